@@ -122,7 +122,9 @@ def extract_contacts(docs: DataFrame) -> DataFrame:
 
 def extract_skills(docs: DataFrame, dictionary: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
     """Add ``skills``: the sorted distinct words of the text that the dictionary (``skill``) lists."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^a-z0-9+#.]+"), lambda w: w != ""))
+    # A full stop inside a word belongs to it (node.js), one at its end does not.
+    text = F.regexp_replace(F.lower("text"), r"\.+([^a-z0-9]|\z)", " ")
+    words = F.array_distinct(F.filter(F.split(text, r"[^a-z0-9+#.]+"), lambda w: w != ""))
     tokens = docs.select("doc_id", F.explode(words).alias("skill"))
     hits = lookup_join(tokens, dictionary.select(F.lower("skill").alias("skill")).distinct(), "skill", "inner", max_broadcast)
     found = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("skill")).alias("skills"))
