@@ -1,6 +1,6 @@
 """Queries over the test tables, one or more per operator, with the SQL to compare them with."""
 
-from checks import cleaning, documents
+from checks import cleaning, documents, matching
 
-MODULES = (cleaning, documents)
-flagship = None
+MODULES = (cleaning, documents, matching)
+flagship = matching.k5_shortlists

@@ -23,27 +23,27 @@ AS_OF = dt.date(2026, 4, 1)
 
 
 def _resume_folder(spark, sf):
-    """The documents written as one text file each, under ``doc_id=...``; every other one with
-    Windows line ends."""
+    """The documents written as one text file each, after a first line with the document's id;
+    every other one with Windows line ends."""
     path = scratch_path(spark, "resume-files")
     docs = fx.table(spark, sf, "documents")
     body = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
-    # One file per document: sorted by the folder column, a task writes one file after the other.
-    docs.select("doc_id", body.alias("value")).repartition("doc_id").write.partitionBy("doc_id").text(path)
+    files = docs.select(F.concat_ws("\n", F.col("doc_id").cast("string"), body).alias("value"))
+    files.write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
 def _scanned(spark, sf):
     files = read_resume_files(spark, _resume_folder(spark, sf), "*.txt")
+    doc_id = F.regexp_extract(F.col("content").cast("string"), r"\A\d+", 0)
     # The writer ends every file with one line end of its own.
-    content = F.expr("substring(content, 1, length(content) - 1)")
-    return files.withColumns(
-        {"doc_id": F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long"), "content": content}
-    )
+    length = F.col("length") - F.length(doc_id) - 2
+    content = F.substring("content", F.length(doc_id) + 2, length.cast("int"))
+    return files.withColumns({"doc_id": doc_id.cast("long"), "length": length, "content": content})
 
 
 def s1_read_resume_files(spark, sf):
-    return _scanned(spark, sf).select("doc_id", "format", (F.col("length") - 1).alias("length"))
+    return _scanned(spark, sf).select("doc_id", "format", "length")
 
 
 def s2_file_format(spark, sf):
@@ -183,6 +183,7 @@ QUERIES = {
 _RULES = e.prompt_rules(AS_OF).replace("'", "''")
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _PHONE = r"\+?[0-9][0-9() .-]{7,17}[0-9]"
+_PHONE_LABEL = r"(?im)^[ \t]*(?:phone|mobile|telephone|tel|cell)[^:\n]*:[ \t]*(\+?[0-9][0-9() .-]{7,17}[0-9])"
 _LOCATION = r"(?im)^[ \t]*(?:location|address|city)[ \t]*:[ \t]*([^\r\n]+)"
 
 
@@ -225,7 +226,7 @@ ORACLES = {
         ELSE 'every model is over its quota' END AS error
       FROM (SELECT doc_id, length(text) AS n FROM documents)""",
     "e5_extract_contacts": f"""SELECT doc_id, nullif(trim(regexp_extract(text, '[^\\s][^\\r\\n]*')), '') AS name,
-      nullif(regexp_extract(text, '{_EMAIL}'), '') AS email, nullif(regexp_extract(text, '{_PHONE}'), '') AS phone,
+      nullif(regexp_extract(text, '{_EMAIL}'), '') AS email, coalesce(nullif(regexp_extract(text, '{_PHONE_LABEL}', 1), ''), nullif(regexp_extract(text, '{_PHONE}'), '')) AS phone,
       nullif(trim(regexp_extract(text, '{_LOCATION}', 1)), '') AS location FROM documents""",
     "e5_resume_contacts": """SELECT c_custkey AS doc_id, c_name AS name, replace(c_name, '#', '.') || '@mail.example' AS email,
       '+49 30 ' || (c_custkey + 1000000) AS phone, n_name AS location
