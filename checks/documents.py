@@ -29,7 +29,7 @@ def _resume_folder(spark, sf):
     docs = fx.table(spark, sf, "documents")
     body = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
     files = docs.select(F.concat_ws("\n", F.col("doc_id").cast("string"), body).alias("value"))
-    files.write.option("maxRecordsPerFile", 1).text(path)
+    files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 

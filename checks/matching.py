@@ -8,8 +8,9 @@ from checks import fixtures as fx
 from checks.cleaning import candidates, neighbours
 from checks.oracles import using
 from screenforge.functions.text import skill_count
-from screenforge.functions.vectors import set_cosine100, unit, unit_dot100
+from screenforge.functions.vectors import cosine100, set_cosine100
 from screenforge.operators import ranking
+from screenforge.operators.joins import lookup_join
 from screenforge.operators.scoring import add_score, match, prepare_requests, word_similarity
 from screenforge.operators.similarity import add_skill_vector, embed, train_skill_vectors
 from screenforge.plans import shortlist
@@ -26,7 +27,7 @@ def _stored(spark, sf, fmt):
 
 
 def _listed(df):
-    return df.select("application_id", "role", "name", "email", "location", F.array_join("skills", "|").alias("skills"), "experience")
+    return df.select("application_id", "role", "name", "email", "location", F.coalesce(F.array_join("skills", "|"), F.lit("")).alias("skills"), "experience")
 
 
 def s4_read_candidates(spark, sf):
@@ -58,10 +59,11 @@ def _with_vectors(spark, sf):
 
 
 def v2_skill_vector(spark, sf):
-    """Similarity of each candidate's vector to that of the skill "red"; 0 without skills."""
-    red = fx.skill_vectors(spark, sf).where(F.col("skill") == "red").select(F.col("embedding").alias("red"))
-    rows = _with_vectors(spark, sf).select("application_id", "vector").join(F.broadcast(red))
-    return rows.select("application_id", F.round(unit_dot100(F.col("vector"), unit(F.col("red"))), 4).alias("raw"))
+    """Similarity of each candidate's vector to that of its first skill alone; 0 without skills."""
+    rows = _with_vectors(spark, sf).select("application_id", "vector", F.get("skills", F.lit(0)).alias("skill"))
+    pairs = lookup_join(rows, fx.skill_vectors(spark, sf), "skill")
+    raw = F.coalesce(cosine100(F.col("vector"), F.col("embedding")), F.lit(0.0))
+    return pairs.select("application_id", F.round(raw, 4).alias("raw"))
 
 
 def v3_train_skill_vectors(spark, sf):
@@ -194,8 +196,8 @@ ORACLES = {
     "v1_cosine": """SELECT a.vec_id, round(100 * list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS raw
       FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "v2_skill_vector": using("candidate_vectors", body="""SELECT application_id, round(coalesce(100 * list_cosine_similarity(v,
-        (SELECT embedding::DOUBLE[] FROM skill_vectors WHERE skill = 'red')), 0), 4) AS raw
-      FROM candidates LEFT JOIN candidate_vectors USING (application_id)"""),
+        embedding::DOUBLE[]), 0), 4) AS raw FROM candidates LEFT JOIN candidate_vectors USING (application_id)
+      LEFT JOIN skill_vectors ON skill = skills[1]"""),
     "v3_train_skill_vectors": "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS skill, 16::BIGINT AS dims FROM part",
     "v4_embed": """SELECT doc_id, length(text) || ',' || (length(text) - length(replace(text, ' ', ''))) || ','
       || (length(text) - length(replace(text, 'e', ''))) AS vector FROM documents""",

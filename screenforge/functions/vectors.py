@@ -18,12 +18,6 @@ def cosine100(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms * 100)
 
 
-def unit(v: Column) -> Column:
-    """Vector scaled to length 1; an all-zero vector becomes null (similar to nothing)."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
-
-
 def unit_dot100(a: Column, b: Column) -> Column:
     """:func:`cosine100` for vectors already of length 1; 0 where one is missing."""
     return F.coalesce(dot(a, b) * 100, F.lit(0.0))

@@ -81,6 +81,7 @@ _CELLS = 4_000_000
 
 
 def _vectors(column: pd.Series, dims: int) -> np.ndarray:
+    """Matrix of the vectors; a missing one is a row of zeros."""
     out = np.zeros((len(column), dims))
     for row, vector in enumerate(column):
         if vector is not None:
@@ -88,7 +89,7 @@ def _vectors(column: pd.Series, dims: int) -> np.ndarray:
     return out
 
 
-def _block_shortlist(k: int, cut: float, dims: int):
+def _block_shortlist(k: int, cut: float):
     """Function for one block: candidates of a role against the requests of that role."""
 
     def run(people: pd.DataFrame, jobs: pd.DataFrame) -> pd.DataFrame:
@@ -96,6 +97,7 @@ def _block_shortlist(k: int, cut: float, dims: int):
         people = people.sort_values(
             ["experience", "skill_count", "application_id"], ascending=[False, False, True], kind="stable"
         ).reset_index(drop=True)
+        dims = max((len(v) for column in (people["vector"], jobs["job_vector"]) for v in column if v is not None), default=0)
         vectors = _vectors(people["vector"], dims)
         years = people["experience"].to_numpy(dtype=float)[:, None]
         place_code, places = pd.factorize(people["location"].str.lower())
@@ -145,7 +147,6 @@ def shortlists(
     requests: DataFrame,
     k: int = SHORTLIST_SIZE,
     cut: float = RAW_SIMILARITY_CUT,
-    dims: int = 64,
     blocks: int | None = None,
 ) -> DataFrame:
     """First ``k`` candidates for each of many prepared requests, by vector similarity; exact.
@@ -185,7 +186,7 @@ def shortlists(
     partial = (
         people.groupBy("role", "block")
         .cogroup(jobs.groupBy("role", "block"))
-        .applyInPandas(_block_shortlist(k, cut, dims), _SHORTLIST)
+        .applyInPandas(_block_shortlist(k, cut), _SHORTLIST)
     )
     order = [
         F.when(F.col("any_filter"), F.col("score")).otherwise(F.lit(0.0)).desc(),

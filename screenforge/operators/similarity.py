@@ -5,32 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Normalizer, Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenforge.functions.text import present_skills
-from screenforge.functions.vectors import unit
 from screenforge.operators.joins import lookup_join
 
 
-def add_skill_vector(
-    df: DataFrame, skill_vectors: DataFrame, row_id: str, skills: str = "skills", target: str = "vector", dims: int = 64
-) -> DataFrame:
+def add_skill_vector(df: DataFrame, skill_vectors: DataFrame, row_id: str, skills: str = "skills", target: str = "vector") -> DataFrame:
     """Add the unit vector of a skill list: the sum of its skills' vectors, scaled to length 1.
 
     ``skill_vectors`` has ``skill`` (lower case, unique) and ``embedding``. Null where no skill is
-    known. The sums are kept per dimension, so a list collapses to one row before the shuffle.
+    known. Rows are placed by their id first; words, sums and the join back all stay in that
+    place, so the vectors themselves are not shuffled.
     """
-    words = df.select(row_id, F.explode(present_skills(F.col(skills))).alias("skill"))
-    found = lookup_join(words, skill_vectors.select("skill", "embedding"), "skill", "inner")
-    sums = found.groupBy(row_id).agg(
-        *[F.sum(F.get("embedding", F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(dims)]
-    )
-    vectors = sums.select(row_id, unit(F.array(*[F.col(f"_d{i}") for i in range(dims)])).alias(target))
-    return df.join(vectors, row_id, "left")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(partitions, row_id)
+    known = skill_vectors.select("skill", array_to_vector(F.col("embedding").cast("array<double>")).alias("_v"))
+    words = placed.select(row_id, F.explode(present_skills(F.col(skills))).alias("skill"))
+    sums = lookup_join(words, known, "skill", "inner").groupBy(row_id).agg(Summarizer.sum(F.col("_v")).alias("_sum"))
+    scaled = Normalizer(p=2.0, inputCol="_sum", outputCol="_unit").transform(sums)
+    vectors = scaled.where(~F.forall(vector_to_array("_sum"), lambda x: x == 0))
+    return placed.join(vectors.select(row_id, vector_to_array("_unit").alias(target)), row_id, "left")
 
 
 def train_skill_vectors(df: DataFrame, skills: str = "skills", dims: int = 64, seed: int = 7, partitions: int = 8, iterations: int = 1) -> DataFrame:

@@ -9,11 +9,12 @@ from screenforge.operators.filters import positive_score
 from screenforge.operators.ranking import finalists, rank_matches, shortlists
 from screenforge.operators.scoring import add_score, match, prepare_requests, vector_similarity
 from screenforge.operators.similarity import add_skill_vector
+from screenforge.session import materialize
 
 
-def with_job_vectors(requests: DataFrame, skill_vectors: DataFrame, dims: int = 64) -> DataFrame:
+def with_job_vectors(requests: DataFrame, skill_vectors: DataFrame) -> DataFrame:
     """One vector per request, computed once and not once per candidate."""
-    return add_skill_vector(requests, skill_vectors, "request_id", "job_skills", "job_vector", dims)
+    return add_skill_vector(requests, skill_vectors, "request_id", "job_skills", "job_vector")
 
 
 def score_matches(
@@ -37,15 +38,15 @@ def shortlist_many(
     skill_vectors: DataFrame,
     k: int = SHORTLIST_SIZE,
     cut: float = RAW_SIMILARITY_CUT,
-    dims: int = 64,
 ) -> DataFrame:
     """First ``k`` candidates of each raw job request.
 
     Candidates no request can list are cut before vectors are looked up for the rest, unless
-    ``candidates`` already carry ``vector``.
+    ``candidates`` already carry ``vector``. The rest is written to the scratch folder, because
+    the lookup reads it twice.
     """
     able = finalists(candidates, k)
     if "vector" not in able.columns:
-        able = add_skill_vector(able, skill_vectors, "application_id", dims=dims)
-    jobs = with_job_vectors(prepare_requests(requests), skill_vectors, dims)
-    return shortlists(able, jobs, k, cut, dims)
+        able = add_skill_vector(materialize(able, "finalists"), skill_vectors, "application_id")
+    jobs = with_job_vectors(prepare_requests(requests), skill_vectors)
+    return shortlists(able, jobs, k, cut)
