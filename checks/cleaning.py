@@ -225,9 +225,6 @@ QUERIES = {
     )
 }
 
-_OLD_NEW = """, old AS (SELECT * FROM cleaned WHERE applied_at < TIMESTAMP '1998-01-01'),
-  new AS (SELECT * FROM cleaned WHERE applied_at >= TIMESTAMP '1998-01-01')"""
-
 ORACLES = {
     "x1_parse_experience": using("applications", body=f"""
       SELECT application_id, {o.experience('experience_raw')} AS experience,
@@ -272,10 +269,10 @@ ORACLES = {
     "d1_dedup_first": using("cleaned", body="""SELECT application_id, role, email FROM cleaned c WHERE NOT EXISTS (
       SELECT 1 FROM cleaned e WHERE e.role = c.role AND e.email_key = c.email_key
         AND (e.applied_at, e.application_id) < (c.applied_at, c.application_id))"""),
-    "j1_new_applications": using("cleaned", body="SELECT application_id, part FROM (SELECT 1)").replace(
-        "\nSELECT application_id, part FROM (SELECT 1)", _OLD_NEW + """
-      SELECT application_id, CASE WHEN EXISTS (SELECT 1 FROM old WHERE old.role = new.role
-        AND old.email_key = new.email_key) THEN 'registered' ELSE 'new' END AS part FROM new"""),
+    "j1_new_applications": using("cleaned", body="""SELECT application_id,
+        CASE WHEN min(applied_at) OVER (PARTITION BY role || '/' || coalesce(email_key, ' ' || application_id))
+          < TIMESTAMP '1998-01-01' THEN 'registered' ELSE 'new' END AS part
+      FROM cleaned QUALIFY applied_at >= TIMESTAMP '1998-01-01'"""),
     "u1_append_rows": using("cleaned", body="""SELECT application_id, role, name,
       CASE WHEN applied_at >= TIMESTAMP '1998-01-01' THEN experience END AS experience FROM cleaned"""),
     "j2_weights": using("prepared", body="""SELECT request_id, role, w_skills::BIGINT AS w_skills,

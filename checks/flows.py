@@ -9,8 +9,8 @@ from checks import oracles as o
 from checks.cleaning import candidates
 from checks.documents import AS_OF
 from checks.oracles import using
-from screenforge.operators.outbox import build_outbox
 from screenforge.plans.intake import read_applications, register
+from screenforge.plans.invitation import invite
 from screenforge.plans.shortlist import shortlist_many
 from screenforge.schemas import APPLICATION
 from screenforge.session import scratch_path
@@ -21,11 +21,11 @@ def w1_continuous_intake(spark, sf):
     """Applications arrive in yearly files; the stored table must equal one batch job over all."""
     base = scratch_path(spark, "intake")
     apps = fx.applications(spark, sf)
-    years = apps.withColumn("year", F.year("applied_at"))
-    years.write.partitionBy("year").parquet(f"{base}/history")
-    for year in range(1995, 2002):
-        part = spark.read.schema(APPLICATION).parquet(f"{base}/history/year={year}")
-        part.coalesce(1).write.mode("append").parquet(f"{base}/incoming")
+    apps.withColumn("year", F.year("applied_at")).write.partitionBy("year").parquet(f"{base}/history")
+    first, last = spark.read.parquet(f"{base}/history").agg(F.min("year"), F.max("year")).first()
+    for year in range(first, last + 1):
+        part = spark.read.parquet(f"{base}/history").where(F.col("year") == year)
+        part.select(*APPLICATION.fieldNames()).write.mode("append").parquet(f"{base}/incoming")
         stream = spark.readStream.schema(APPLICATION).parquet(f"{base}/incoming")
         start_intake(stream, f"{base}/table", f"{base}/checkpoint", available_now=True).awaitTermination()
     return read_intake(spark, f"{base}/table").select("application_id", "role", "email", "experience")
@@ -51,16 +51,10 @@ def flow_shortlist_to_messages(spark, sf):
     """Each request's first five are invited, one mail request per job request."""
     requests = fx.job_requests(spark, sf)
     top = shortlist_many(candidates(spark, sf), requests, fx.skill_vectors(spark, sf))
-    ordered = F.array_sort(F.collect_list(F.struct("place", "email", "name")))
-    mails = top.groupBy("request_id").agg(ordered.alias("who")).select(
-        "request_id",
-        F.transform("who", lambda x: x["email"]).alias("emails"),
-        F.transform("who", lambda x: x["name"]).alias("names"),
-    )
-    with_role = mails.join(requests.select("request_id", "role"), "request_id")
-    messages = build_outbox(
-        with_role.withColumns({"date": F.lit("2025-05-05"), "time": F.lit("10:30"), "venue": F.lit("")})
+    schedule = requests.select("request_id", "role").withColumns(
+        {"date": F.lit("2025-05-05"), "time": F.lit("10:30"), "venue": F.lit("")}
     )
+    messages = invite(top, schedule)
     return messages.select("request_id", F.col("position").cast("long").alias("position"), "email", "subject", "status")
 
 

@@ -159,6 +159,13 @@ def k4_most_experienced(spark, sf):
     return ranking.most_experienced(rows).select("application_id", "name", "experience")
 
 
+def k4_role_overview(spark, sf):
+    """The listing and the first five of a stored role."""
+    every, first = shortlist.role_overview(spark, _stored(spark, sf, "parquet"), "QA")
+    columns = ["application_id", "experience", "score"]
+    return every.select(F.lit("all").alias("part"), *columns).union(first.select(F.lit("first"), *columns))
+
+
 def k5_top_matches(spark, sf):
     """First five of the form requests, from scored rows."""
     top = ranking.top_matches(_matches(spark, sf))
@@ -177,7 +184,7 @@ QUERIES = {
         s4_read_candidates, s5_write_candidates, s6_score_column, s7_to_records, v1_cosine, v2_skill_vector,
         v3_train_skill_vectors, v4_embed, v5_word_similarity, v6_empty_side, j3_match, v7_score,
         v7_score_negative_experience, f4_positive_score, k1_rank_filtered, k1_word_similarity, k2_rank_unfiltered,
-        k3_by_experience, k4_most_experienced, k5_top_matches, k5_shortlists,
+        k3_by_experience, k4_most_experienced, k4_role_overview, k5_top_matches, k5_shortlists,
     )
 }
 
@@ -222,6 +229,9 @@ ORACLES = {
     "k3_by_experience": using("candidates", body="SELECT application_id, name, experience FROM candidates WHERE role = 'developer'"),
     "k4_most_experienced": using("candidates", body="""SELECT application_id, name, experience FROM candidates
       WHERE role = 'developer' AND experience > 0 ORDER BY experience DESC, application_id LIMIT 5"""),
+    "k4_role_overview": using("candidates", body="""SELECT 'all' AS part, application_id, experience, 0::DOUBLE AS score
+      FROM candidates WHERE role = 'testing' UNION ALL (SELECT 'first', application_id, experience, 0 FROM candidates
+      WHERE role = 'testing' AND experience > 0 ORDER BY experience DESC, application_id LIMIT 5)"""),
     "k5_top_matches": using("scored_forms", body=f"""SELECT request_id, place, application_id, score FROM (
       SELECT *, {_PLACE} AS place FROM scored_forms WHERE NOT any_filter OR score > 0) WHERE place <= 5"""),
     "k5_shortlists": using("scored", body=f"""SELECT request_id, place, application_id, name, score, experience FROM (

@@ -121,15 +121,20 @@ def extract_contacts(docs: DataFrame) -> DataFrame:
 
 
 def extract_skills(docs: DataFrame, dictionary: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
-    """Add ``skills``: the sorted distinct words of the text that the dictionary (``skill``) lists."""
+    """``doc_id`` and ``skills``: the sorted distinct words of the text that the dictionary
+    (``skill``) lists.
+
+    One pass: words of a document are reduced to its hits before the shuffle, and the text is not
+    carried along.
+    """
     # A full stop inside a word belongs to it (node.js), one at its end does not.
     text = F.regexp_replace(F.lower("text"), r"\.+([^a-z0-9]|\z)", " ")
     words = F.array_distinct(F.filter(F.split(text, r"[^a-z0-9+#.]+"), lambda w: w != ""))
-    tokens = docs.select("doc_id", F.explode(words).alias("skill"))
-    hits = lookup_join(tokens, dictionary.select(F.lower("skill").alias("skill")).distinct(), "skill", "inner", max_broadcast)
-    found = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("skill")).alias("skills"))
-    empty = F.array().cast("array<string>")
-    return docs.join(found, "doc_id", "left").withColumn("skills", F.coalesce("skills", empty))
+    tokens = docs.select("doc_id", F.explode_outer(words).alias("skill"))
+    listed = dictionary.select(F.lower("skill").alias("skill")).distinct().withColumn("_listed", F.lit(True))
+    marked = lookup_join(tokens, listed, "skill", "left", max_broadcast)
+    hits = F.collect_set(F.when(F.col("_listed"), F.col("skill")))
+    return marked.groupBy("doc_id").agg(F.sort_array(hits).alias("skills"))
 
 
 def extract_fields(docs: DataFrame, as_of: dt.date) -> DataFrame:

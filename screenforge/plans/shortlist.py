@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from math import ceil
 
-from screenforge.constants import RAW_SIMILARITY_CUT, SHORTLIST_SIZE
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from screenforge.constants import DEFAULT_ROLE, RAW_SIMILARITY_CUT, SHORTLIST_SIZE
+from screenforge.functions.experience import clean_experience
 from screenforge.operators.filters import positive_score
-from screenforge.operators.ranking import finalists, rank_matches, shortlists
+from screenforge.operators.ranking import by_experience, finalists, most_experienced, rank_matches, shortlists
 from screenforge.operators.scoring import add_score, match, prepare_requests, vector_similarity
 from screenforge.operators.similarity import add_skill_vector
 from screenforge.session import materialize
+from screenforge.sources.candidates import read_candidates, with_score_column
+
+# Candidates of one block, which one task holds in memory with their vectors.
+ROWS_PER_BLOCK = 50_000
 
 
 def with_job_vectors(requests: DataFrame, skill_vectors: DataFrame) -> DataFrame:
@@ -42,11 +49,19 @@ def shortlist_many(
     """First ``k`` candidates of each raw job request.
 
     Candidates no request can list are cut before vectors are looked up for the rest, unless
-    ``candidates`` already carry ``vector``. The rest is written to the scratch folder, because
-    the lookup reads it twice.
+    ``candidates`` already carry ``vector``. The rest is written to the scratch folder: the lookup
+    reads it twice, and its row count sets the number of blocks.
     """
-    able = finalists(candidates, k)
+    spark = candidates.sparkSession
+    able = materialize(finalists(candidates, k), "finalists")
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(able.count() / ROWS_PER_BLOCK))
     if "vector" not in able.columns:
-        able = add_skill_vector(materialize(able, "finalists"), skill_vectors, "application_id")
+        able = add_skill_vector(able, skill_vectors, "application_id")
     jobs = with_job_vectors(prepare_requests(requests), skill_vectors)
-    return shortlists(able, jobs, k, cut)
+    return shortlists(able, jobs, k, cut, blocks)
+
+
+def role_overview(spark: SparkSession, path: str, role: str = DEFAULT_ROLE) -> tuple[DataFrame, DataFrame]:
+    """Stored candidates of a role without any request: all of them by experience, and the first few."""
+    rows = clean_experience(with_score_column(read_candidates(spark, path, role)))
+    return by_experience(rows), most_experienced(rows)
