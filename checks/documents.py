@@ -182,8 +182,8 @@ QUERIES = {
 
 _RULES = e.prompt_rules(AS_OF).replace("'", "''")
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-_PHONE = r"\+?[0-9][0-9() .-]{7,17}[0-9]"
-_PHONE_LABEL = r"(?im)^[ \t]*(?:phone|mobile|telephone|tel|cell)[^:\n]*:[ \t]*(\+?[0-9][0-9() .-]{7,17}[0-9])"
+_PHONE = r"\+?\(?[0-9][0-9() .-]{7,17}[0-9]"
+_PHONE_LABEL = r"(?im)^[ \t]*(?:phone|mobile|telephone|tel|cell)[^:\n]*:[ \t]*(\+?\(?[0-9][0-9() .-]{7,17}[0-9])"
 _LOCATION = r"(?im)^[ \t]*(?:location|address|city)[ \t]*:[ \t]*([^\r\n]+)"
 
 

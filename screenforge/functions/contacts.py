@@ -10,7 +10,7 @@ from screenforge.functions.text import strip
 
 # Patterns without look-around, so that other regex engines read them the same way.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-PHONE = r"\+?[0-9][0-9() .-]{7,17}[0-9]"
+PHONE = r"\+?\(?[0-9][0-9() .-]{7,17}[0-9]"
 PHONE_LABEL = rf"(?im)^[ \t]*(?:phone|mobile|telephone|tel|cell)[^:\n]*:[ \t]*({PHONE})"
 LOCATION = r"(?im)^[ \t]*(?:location|address|city)[ \t]*:[ \t]*([^\r\n]+)"
 FIRST_LINE = r"\S[^\r\n]*"

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import importlib
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +55,29 @@ def materialize(df, label: str):
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_packages(spark: SparkSession, *names: str) -> None:
+    """Give the Python workers of this application the named packages, once.
+
+    Not needed where the packages are installed on the cluster or passed with ``--py-files``.
+    """
+    context = spark.sparkContext
+    for name in names:
+        if (context.applicationId, name) in _shipped:
+            continue
+        root = os.path.dirname(os.path.abspath(importlib.import_module(name).__file__))
+        folder = tempfile.mkdtemp(prefix="screenforge-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = os.path.join(folder, f"{name}.zip")
+        with zipfile.ZipFile(target, "w") as archive:
+            for at, _, files in os.walk(root):
+                for file in files:
+                    if file.endswith(".py"):
+                        full = os.path.join(at, file)
+                        archive.write(full, os.path.join(name, os.path.relpath(full, root)))
+        context.addPyFile(target)
+        _shipped.add((context.applicationId, name))

@@ -17,6 +17,9 @@ _CSV = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
+# An absent field is read as null and a quoted empty one as "". Both would be null with the default
+# mark, so the mark is a character no text holds.
+_CSV_READ = {**_CSV, "multiLine": "true", "nullValue": "\x00"}
 # A CSV file with line ends inside fields is read by one task; keep files small.
 _CSV_ROWS_PER_FILE = 1_000_000
 
@@ -35,7 +38,7 @@ def read_candidates(spark: SparkSession, path: str, role: str | None = None, fmt
     """The table, or one role of it. A missing table is an empty one."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.schema(CANDIDATE_CSV).options(**_CSV).option("multiLine", "true")
+        reader = reader.schema(CANDIDATE_CSV).options(**_CSV_READ)
     else:
         reader = reader.schema(CANDIDATE)
     try:

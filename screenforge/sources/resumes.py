@@ -9,7 +9,10 @@ from screenforge.functions.text import file_format
 
 
 def read_resume_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """All files under ``path``: path, modificationTime, length, content and their ``format``."""
+    """All files under ``path``: path, modificationTime, length, content and their ``format``.
+
+    Spark's file scan leaves out files of zero bytes, which hold no resume.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
