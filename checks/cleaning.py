@@ -60,7 +60,7 @@ def x2_parse_list_literal(spark, sf):
 
 
 def x3_list_literal_round_trip(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    docs = fx.documents(spark, sf).select("doc_id", F.split("text", " ").alias("words"))
     back = docs.select("doc_id", parse_list_literal(format_list_literal(F.col("words"))).alias("words"))
     return back.select("doc_id", F.array_join("words", " ").alias("text"))
 

@@ -26,10 +26,10 @@ def _resume_folder(spark, sf):
     """The documents written as one text file each, after a first line with the document's id;
     every other one with Windows line ends."""
     path = scratch_path(spark, "resume-files")
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.documents(spark, sf)
     body = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
     files = docs.select(F.concat_ws("\n", F.col("doc_id").cast("string"), body).alias("value"))
-    files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.option("maxRecordsPerFile", 1).text(path)
+    files.write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -76,7 +76,7 @@ def t4_with_fallback(spark, sf):
         F.when(k % 9 == 0, F.lit("")).when(k % 9 == 3, F.lit(" \t")).when(k % 9 == 6, F.lit("\n"))
         .when(k % 10 == 1, F.lit(None)).otherwise(F.col("text"))
     )
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.documents(spark, sf)
     return docs.select(
         "doc_id", d.with_fallback(primary, F.col("text"), lambda c: F.when(k % 4 != 0, F.concat(F.lit("read: "), c))).alias("text")
     )
@@ -101,7 +101,7 @@ def _every_other_pdf(data: bytes) -> str:
 
 
 def e1_build_prompts(spark, sf):
-    return e.build_prompts(fx.table(spark, sf, "documents"), AS_OF).select("doc_id", "prompt")
+    return e.build_prompts(fx.documents(spark, sf), AS_OF).select("doc_id", "prompt")
 
 
 def e2_clean_json(spark, sf):
@@ -141,13 +141,13 @@ def _model(reply: str, quota: int, failure: int):
 
 
 def e4_fallback_chain(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    docs = fx.documents(spark, sf).select("doc_id", F.col("text").alias("prompt"))
     models = [("first", _model("one", 2, 5)), ("second", _model("two", 3, 7)), ("third", _model("three", 4, 11))]
     return e.fallback_chain(docs, models).select("doc_id", "model", "reply", "error")
 
 
 def e5_extract_contacts(spark, sf):
-    return e.extract_contacts(fx.table(spark, sf, "documents")).select("doc_id", "name", "email", "phone", "location")
+    return e.extract_contacts(fx.documents(spark, sf)).select("doc_id", "name", "email", "phone", "location")
 
 
 def e5_resume_contacts(spark, sf):
@@ -157,7 +157,7 @@ def e5_resume_contacts(spark, sf):
 def e6_extract_skills(spark, sf):
     words = fx.table(spark, sf, "benchmark").select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("skill"))
     dictionary = words.where(F.length("skill") > 5)
-    found = e.extract_skills(fx.table(spark, sf, "documents"), dictionary)
+    found = e.extract_skills(fx.documents(spark, sf), dictionary)
     return found.select("doc_id", F.array_join("skills", "|").alias("skills"))
 
 

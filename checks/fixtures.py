@@ -53,6 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents. A small table is one input split; deal it out, for its texts take long to read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
@@ -265,7 +272,7 @@ def file_bytes(text: pd.Series, kind: pd.Series) -> pd.Series:
 
 def document_files(spark: SparkSession, sf_dir: str, suffix) -> DataFrame:
     """The documents as files in the shape of a file scan: doc_id, path, content."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", suffix.alias("suffix"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", suffix.alias("suffix"))
     return docs.select(
         "doc_id",
         F.concat(F.lit("/uploads/resume-"), F.col("doc_id"), F.lit("."), F.col("suffix")).alias("path"),
@@ -279,6 +286,6 @@ PAGE_CHARS = 500
 def resume_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents cut into pages; every seventh page of a document could not be read."""
     pages = F.greatest(F.ceil(F.length("text") / PAGE_CHARS).cast("int"), F.lit(1))
-    cut = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(pages, F.lit(1))).alias("page_no"))
+    cut = documents(spark, sf_dir).select("doc_id", "text", F.explode(F.sequence(pages, F.lit(1))).alias("page_no"))
     part = F.substring("text", (F.col("page_no") - 1) * PAGE_CHARS + 1, F.lit(PAGE_CHARS))
     return cut.select("doc_id", "page_no", F.when(F.col("page_no") % 7 != 0, part).alias("text"))

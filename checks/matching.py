@@ -76,7 +76,7 @@ def _letter_counter():
 
 
 def v4_embed(spark, sf):
-    rows = embed(fx.table(spark, sf, "documents").select("doc_id", "text"), "text", _letter_counter)
+    rows = embed(fx.documents(spark, sf).select("doc_id", "text"), "text", _letter_counter)
     return rows.select(
         "doc_id", F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), ",").alias("vector")
     )

@@ -86,34 +86,37 @@ def section(text: Column, headings: tuple[str, ...], closing: tuple[str, ...]) -
     return F.array_join(parts, "\n")
 
 
-def _month_number(name: Column) -> Column:
-    key = F.lower(F.left(name, F.lit(3)))
-    out = F.lit(None).cast("int")
-    for number, month in enumerate(MONTHS, start=1):
-        out = F.when(key == month, F.lit(number)).otherwise(out)
-    return out
+def _groups(line: Column, pattern: str, count: int) -> Column:
+    """All matches in a line, each as the array of its groups; an absent group is ``""``."""
+    row = "|".join(f"${i}" for i in range(1, count + 1))
+    return F.transform(
+        F.regexp_extract_all(line, F.lit(pattern), F.lit(0)),
+        lambda match: F.split(F.regexp_replace(match, pattern, row), r"\|", -1),
+    )
 
 
-def _range_months(match: Column, as_of: dt.date) -> Column:
-    def part(group: int) -> Column:
-        return F.nullif(F.regexp_extract(match, _RANGE, group), F.lit(""))
+def _month_number(name: Column) -> Column:
+    """1 to 12 by the first three letters; 0 without a name."""
+    at = F.position(F.lower(F.left(name, F.lit(3))), F.lit("".join(MONTHS)))
+    return F.when(name == "", F.lit(0)).otherwise(((at + 2) / 3).cast("int"))
+
 
-    month1, year1 = _month_number(part(1)), part(2).try_cast("int")
-    month2, year2 = _month_number(part(4)), part(5).try_cast("int")
-    is_open = part(3).isNotNull()
+def _range_months(groups: Column, as_of: dt.date) -> Column:
+    """Months of (month, year, open end, month, year)."""
+    month1, month2 = _month_number(groups[0]), _month_number(groups[3])
+    year1, year2 = groups[1].try_cast("int"), groups[4].try_cast("int")
     months = (
-        F.when(is_open & month1.isNotNull(), (as_of.year - year1) * 12 + (as_of.month - month1))
-        .when(is_open, (as_of.year - year1) * 12)
-        .when(month1.isNotNull() & month2.isNotNull(), (year2 - year1) * 12 + (month2 - month1) + 1)
+        F.when((groups[2] != "") & (month1 > 0), (as_of.year - year1) * 12 + (as_of.month - month1))
+        .when(groups[2] != "", (as_of.year - year1) * 12)
+        .when((month1 > 0) & (month2 > 0), (year2 - year1) * 12 + (month2 - month1) + 1)
         .otherwise((year2 - year1) * 12)
     )
-    return F.greatest(F.coalesce(months, F.lit(0)), F.lit(0)).cast("double")
+    return F.greatest(months, F.lit(0)).cast("double")
 
 
-def _length_months(match: Column) -> Column:
-    years = F.regexp_extract(match, _LENGTH, 1).try_cast("double")
-    months = F.regexp_extract(match, _LENGTH, 2).try_cast("double")
-    return F.coalesce(years, F.lit(0.0)) * 12 + F.coalesce(months, F.lit(0.0))
+def _length_months(groups: Column) -> Column:
+    """Months of (years, months)."""
+    return groups[0].try_cast("double") * 12 + F.coalesce(groups[1].try_cast("double"), F.lit(0.0))
 
 
 def _sum(values: Column) -> Column:
@@ -128,15 +131,21 @@ def work_history_years(text: Column, as_of: dt.date) -> Column:
     """
     body = section(text, WORK_HEADINGS, WORK_HEADINGS + OTHER_HEADINGS)
 
-    def line_months(line: Column) -> Column:
-        ranges = F.regexp_extract_all(line, F.lit(_RANGE), F.lit(0))
-        lengths = F.regexp_extract_all(line, F.lit(_LENGTH), F.lit(0))
-        only_months = F.regexp_extract_all(line, F.lit(_ONLY_MONTHS), F.lit(1))
-        return (
-            F.when(F.cardinality(ranges) > 0, _sum(F.transform(ranges, lambda m: _range_months(m, as_of))))
-            .when(F.cardinality(lengths) > 0, _sum(F.transform(lengths, _length_months)))
-            .otherwise(_sum(F.transform(only_months, lambda m: m.try_cast("double"))))
+    # Each step is an array of its own, so that no pattern is searched twice.
+    found = F.transform(
+        F.split(body, "\n"),
+        lambda line: F.struct(
+            _groups(line, _RANGE, 5).alias("ranges"),
+            _groups(line, _LENGTH, 2).alias("lengths"),
+            F.regexp_extract_all(line, F.lit(_ONLY_MONTHS), F.lit(1)).alias("months"),
+        ),
+    )
+    per_line = F.transform(
+        found,
+        lambda line: F.when(
+            F.cardinality(line["ranges"]) > 0, _sum(F.transform(line["ranges"], lambda g: _range_months(g, as_of)))
         )
-
-    months = _sum(F.transform(F.split(body, "\n"), line_months))
-    return F.coalesce(F.round(months / 12, 2), F.lit(0.0))
+        .when(F.cardinality(line["lengths"]) > 0, _sum(F.transform(line["lengths"], _length_months)))
+        .otherwise(_sum(F.transform(line["months"], lambda m: m.try_cast("double")))),
+    )
+    return F.coalesce(F.round(_sum(per_line) / 12, 2), F.lit(0.0))

@@ -10,11 +10,15 @@ from screenforge.functions.text import strip
 _JSON_OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
+def only_item(parsed: Column) -> Column:
+    """The item of an array that has exactly one, else null; evaluates ``parsed`` once."""
+    return F.get(F.get(F.filter(F.array(parsed), lambda items: F.cardinality(items) == 1), F.lit(0)), F.lit(0))
+
+
 def _list_items(c: Column) -> Column:
     """Items of exactly one bracketed list, else null."""
     # The outer bracket makes trailing text a parse error instead of being ignored.
-    wrapped = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<array<string>>", _JSON_OPTIONS)
-    return F.when(F.cardinality(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    return only_item(F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<array<string>>", _JSON_OPTIONS))
 
 
 def parse_list_literal(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from screenforge.functions.literals import only_item
 from screenforge.functions.text import strip
 from screenforge.schemas import REPLY
 
@@ -26,9 +27,9 @@ def parse_reply(c: Column) -> Column:
     Anything but exactly one object gives a struct with only ``error`` set. The text is parsed as
     the sole item of an array, because a bare parse would accept text after the object.
     """
-    items = F.from_json(F.concat(F.lit("["), c, F.lit("]")), f"array<{REPLY.simpleString()}>", _STRICT)
+    as_object = F.when(F.startswith(F.ltrim(c), F.lit("{")), F.concat(F.lit("["), c, F.lit("]")))
+    parsed = only_item(F.from_json(as_object, f"array<{REPLY.simpleString()}>", _STRICT))
     failed = F.struct(
         *[F.lit(PARSE_ERROR if f.name == "error" else None).cast("string").alias(f.name) for f in REPLY.fields]
     )
-    one = (F.cardinality(items) == 1) & F.startswith(F.ltrim(c), F.lit("{"))
-    return F.when(one & F.get(items, F.lit(0)).isNotNull(), F.get(items, F.lit(0))).otherwise(failed)
+    return F.coalesce(parsed, failed)

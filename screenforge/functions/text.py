@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from screenforge.constants import FORMAT_SUFFIXES, ROLE_ALIASES
 
 # The characters Python's str.strip() removes (fixed values).
-WHITESPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(c: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(c, rf"\A{WHITESPACE}+|{WHITESPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def is_blank(c: Column) -> Column:
