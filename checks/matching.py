@@ -54,8 +54,13 @@ def v1_cosine(spark, sf):
     return neighbours(spark, sf).select("vec_id", F.round("raw", 4).alias("raw"))
 
 
+def _stored_candidates(spark, sf):
+    """The candidates as a search finds them: registered and written before."""
+    return store.read_candidates(spark, _stored(spark, sf, "parquet"))
+
+
 def _with_vectors(spark, sf):
-    return add_skill_vector(candidates(spark, sf), fx.skill_vectors(spark, sf), "application_id")
+    return add_skill_vector(_stored_candidates(spark, sf), fx.skill_vectors(spark, sf), "application_id")
 
 
 def v2_skill_vector(spark, sf):
@@ -140,7 +145,7 @@ def k1_rank_filtered(spark, sf):
 def k1_word_similarity(spark, sf):
     """One request by shared words."""
     jobs = _forms(spark).where(F.col("request_id") == 1)
-    ranked = shortlist.list_matches(candidates(spark, sf), jobs, word_similarity())
+    ranked = shortlist.list_matches(_stored_candidates(spark, sf), jobs, word_similarity())
     return ranked.select("application_id", "name", "score", "experience")
 
 
@@ -174,7 +179,7 @@ def k5_top_matches(spark, sf):
 
 def k5_shortlists(spark, sf):
     """First five of one request per supplier, from blocks of candidates and requests."""
-    top = shortlist.shortlist_many(candidates(spark, sf), fx.job_requests(spark, sf), fx.skill_vectors(spark, sf))
+    top = shortlist.shortlist_many(_stored_candidates(spark, sf), fx.job_requests(spark, sf), fx.skill_vectors(spark, sf))
     return top.select("request_id", F.col("place").cast("long").alias("place"), "application_id", "name", "score", "experience")
 
 

@@ -73,10 +73,18 @@ def finalists(candidates: DataFrame, k: int = SHORTLIST_SIZE) -> DataFrame:
 
 
 _CARRIED = ("name", "email", "location")
-_SHORTLIST = (
-    "request_id bigint, application_id bigint, any_filter boolean, score double, experience double, "
-    "skill_count bigint, name string, email string, location string"
-)
+_SHORTLIST = {
+    "request_id": "bigint",
+    "application_id": "bigint",
+    "any_filter": "boolean",
+    "score": "double",
+    "experience": "double",
+    "skill_count": "bigint",
+    "name": "string",
+    "email": "string",
+    "location": "string",
+}
+# Scores held at a time; more requests are taken in several steps.
 _CELLS = 4_000_000
 
 
@@ -101,7 +109,8 @@ def _block_shortlist(k: int, cut: float):
         vectors = _vectors(people["vector"], dims)
         years = people["experience"].to_numpy(dtype=float)[:, None]
         place_code, places = pd.factorize(people["location"].str.lower())
-        picked = []
+        # Row numbers of the people picked, and for each the request, its kind and the score.
+        chosen, request, kind, points_of = [], [], [], []
         step = max(1, _CELLS // max(1, len(people)))
         for start in range(0, len(jobs), step):
             part = jobs.iloc[start : start + step].reset_index(drop=True)
@@ -125,6 +134,7 @@ def _block_shortlist(k: int, cut: float):
             filtering = part["any_filter"].to_numpy(dtype=bool)
             keep = ((minimum <= 0) | (years >= minimum)) & (anywhere | at) & (~filtering | (score > 0))
             rank_by = np.where(filtering, score, 0.0)
+            request_ids = part["request_id"].to_numpy()
             for j in range(len(part)):
                 rows = np.flatnonzero(keep[:, j])
                 if len(rows) > k:
@@ -132,12 +142,16 @@ def _block_shortlist(k: int, cut: float):
                     limit = np.partition(values, len(values) - k)[len(values) - k]
                     rows = rows[values >= limit]
                 rows = rows[np.argsort(-rank_by[rows, j], kind="stable")[:k]]
-                best = people.loc[rows, ["application_id", "experience", "skill_count", *_CARRIED]]
-                picked.append(
-                    best.assign(request_id=part.at[j, "request_id"], any_filter=filtering[j], score=score[rows, j])
-                )
-        columns = [field.split()[0] for field in _SHORTLIST.split(", ")]
-        return pd.concat(picked)[columns] if picked else pd.DataFrame(columns=columns)
+                chosen.append(rows)
+                request.append(np.full(len(rows), request_ids[j]))
+                kind.append(np.full(len(rows), filtering[j]))
+                points_of.append(score[rows, j])
+        if not chosen:
+            return pd.DataFrame({name: [] for name in _SHORTLIST})
+        best = people.take(np.concatenate(chosen)).assign(
+            request_id=np.concatenate(request), any_filter=np.concatenate(kind), score=np.concatenate(points_of)
+        )
+        return best[list(_SHORTLIST)]
 
     return run
 
@@ -186,7 +200,7 @@ def shortlists(
     partial = (
         people.groupBy("role", "block")
         .cogroup(jobs.groupBy("role", "block"))
-        .applyInPandas(_block_shortlist(k, cut), _SHORTLIST)
+        .applyInPandas(_block_shortlist(k, cut), ", ".join(f"{n} {t}" for n, t in _SHORTLIST.items()))
     )
     order = [
         F.when(F.col("any_filter"), F.col("score")).otherwise(F.lit(0.0)).desc(),
