@@ -228,9 +228,9 @@ ORACLES = {
     "e5_extract_contacts": f"""SELECT doc_id, nullif(trim(regexp_extract(text, '[^\\s][^\\r\\n]*')), '') AS name,
       nullif(regexp_extract(text, '{_EMAIL}'), '') AS email, coalesce(nullif(regexp_extract(text, '{_PHONE_LABEL}', 1), ''), nullif(regexp_extract(text, '{_PHONE}'), '')) AS phone,
       nullif(trim(regexp_extract(text, '{_LOCATION}', 1)), '') AS location FROM documents""",
-    "e5_resume_contacts": """SELECT c_custkey AS doc_id, c_name AS name, replace(c_name, '#', '.') || '@mail.example' AS email,
-      '+49 30 ' || (c_custkey + 1000000) AS phone, n_name AS location
-      FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "e5_resume_contacts": using("histories", body="""SELECT o_orderkey AS doc_id, c_name AS name,
+      'resume' || o_orderkey || '@mail.example' AS email, '+49 30 ' || (o_orderkey + 1000000) AS phone,
+      n_name AS location FROM histories"""),
     "e6_extract_skills": r"""WITH dictionary AS (SELECT DISTINCT lower(w) AS skill FROM (
         SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) > 5),
       tokens AS (SELECT doc_id, unnest(regexp_split_to_array(
@@ -238,11 +238,7 @@ ORACLES = {
       found AS (SELECT doc_id, list_sort(list(DISTINCT skill)) AS skills FROM tokens
         JOIN dictionary USING (skill) GROUP BY doc_id)
       SELECT doc_id, coalesce(array_to_string(skills, '|'), '') AS skills FROM documents LEFT JOIN found USING (doc_id)""",
-    "e6_listed_skills": "SELECT c_custkey AS doc_id, c_mktsegment || '|Planning|spark|Team work' AS skills FROM customer",
-    "e7_work_history_years": """SELECT c_custkey AS doc_id, round(coalesce(sum(CASE o_orderkey % 4
-        WHEN 0 THEN o_orderkey % 60 + 1
-        WHEN 1 THEN (2026 - year(o_orderdate)) * 12 + 4 - month(o_orderdate)
-        WHEN 2 THEN (2026 - year(o_orderdate)) * 12
-        ELSE o_orderkey % 7 * 12 + o_orderkey % 12 END), 0)::DOUBLE / 12, 2) AS years
-      FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""",
+    "e6_listed_skills": using("histories", body="""SELECT o_orderkey AS doc_id,
+      c_mktsegment || '|Planning|spark|Team work' AS skills FROM histories"""),
+    "e7_work_history_years": using("histories", body="SELECT o_orderkey AS doc_id, years FROM histories"),
 }

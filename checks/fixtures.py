@@ -40,8 +40,6 @@ REQUEST_LOCATION = "CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN n_name ELSE 'n
 
 SKILL_VECTOR_ID = "(ascii(skill) * 7 + length(skill) * 3 + ascii(substring(skill, 2, 1))) % 499"
 
-MAIL_EMAIL = """CASE WHEN l_suppkey % 9 = 0 THEN concat('no-address-', l_suppkey) WHEN l_suppkey % 31 = 0 THEN NULL
-    ELSE concat('contact', l_suppkey, '@mail.example') END"""
 MAIL_ROLE = """CASE o_orderkey % 4 WHEN 0 THEN 'data_engineer' WHEN 1 THEN 'Developer' WHEN 2 THEN 'qa <lead>'
     ELSE 'hr' END"""
 MAIL_TIME = """CASE WHEN o_orderkey % 49 = 0 THEN 'noon' WHEN o_orderkey % 47 = 0 THEN '25:00'
@@ -140,68 +138,56 @@ def skill_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mail_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mail request per order: a recipient per line; some requests name one person less."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "l_linenumber", "l_partkey", "l_suppkey",
-                    F.expr(MAIL_EMAIL).alias("email"),
-                    F.concat(F.lit("Contact & "), F.col("l_partkey")).alias("name"),
-                )
-            )
-        ).alias("lines")
-    )
-    joined = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    names = F.transform("lines", lambda x: x["name"])
-    fewer = F.slice(names, F.lit(1), F.greatest(F.cardinality("lines") - 1, F.lit(0)))
-    return joined.select(
-        F.col("o_orderkey").alias("request_id"),
-        F.transform("lines", lambda x: x["email"]).alias("emails"),
-        F.when(F.col("o_orderkey") % 3 == 0, fewer).otherwise(names).alias("names"),
+    """One mail request per order to one to six people; some requests name one person less."""
+    k = F.col("o_orderkey")
+    numbers = F.transform(F.sequence(F.lit(0), (k % 6).cast("int")), lambda i: (k * 7 + i * 13) % 1000)
+    email = lambda n: (
+        F.when(n % 9 == 0, F.concat(F.lit("no-address-"), n))
+        .when(n % 31 == 0, F.lit(None))
+        .otherwise(F.concat(F.lit("contact"), n, F.lit("@mail.example")))
+    )
+    names = F.transform(numbers, lambda n: F.concat(F.lit("Contact & "), n))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("request_id"),
+        F.transform(numbers, email).alias("emails"),
+        F.when(k % 3 == 0, F.slice(names, F.lit(1), F.cardinality(names) - 1)).otherwise(names).alias("names"),
         F.expr(MAIL_ROLE).alias("role"),
-        F.when(F.col("o_orderkey") % 50 == 0, F.lit("2025-13-45"))
-        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-        .alias("date"),
+        F.when(k % 50 == 0, F.lit("2025-13-45")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"),
         F.expr(MAIL_TIME).alias("time"),
         F.expr(MAIL_VENUE).alias("venue"),
     )
 
 
 def work_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One resume text per customer: a job line per order, and years elsewhere that must not count."""
+    """One resume text per order with up to four jobs, and years elsewhere that must not count."""
     k = F.col("o_orderkey")
+
+    def month(column):
+        return F.when(k % 2 == 0, F.date_format(column, "MMM yyyy")).otherwise(F.date_format(column, "MMMM yyyy"))
+
     end = F.add_months(F.col("o_orderdate").cast("date"), (k % 60).cast("int"))
-    start_text = F.when(k % 2 == 0, F.date_format("o_orderdate", "MMM yyyy")).otherwise(F.date_format("o_orderdate", "MMMM yyyy"))
-    period = (
-        F.when(k % 4 == 0, F.concat(start_text, F.lit(" to "), F.date_format(end, "MMM yyyy")))
-        .when(k % 4 == 1, F.concat(start_text, F.lit(" to "), F.when(k % 8 == 1, F.lit("Present")).otherwise(F.lit("Ongoing"))))
-        .when(k % 4 == 2, F.concat(F.date_format("o_orderdate", "yyyy"), F.lit(" - Till Present")))
-        .otherwise(F.concat(k % 7, F.lit(" years "), k % 12, F.lit(" months")))
-    )
-    job = F.concat(F.lit("- Employer no. "), k, F.lit(", "), period)
-    jobs = (
-        table(spark, sf_dir, "orders")
-        .groupBy("o_custkey")
-        .agg(F.array_join(F.sort_array(F.collect_list(job)), "\n").alias("jobs"))
-    )
-    return (
-        table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(jobs, F.col("c_custkey") == F.col("o_custkey"), "left")
-        .select(
-            F.col("c_custkey").alias("doc_id"),
-            F.concat(
-                F.col("c_name"), F.lit("\nMail: "), F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@mail.example"),
-                F.lit("\nPhone: +49 30 "), (F.col("c_custkey") + 1000000).cast("string"),
-                F.lit("\nLocation: "), F.col("n_name"),
-                F.lit("\n\nSummary\n25 years of experience, 1980 to Present\n\nSkills:\n"),
-                F.col("c_mktsegment"), F.lit(", Planning; spark\n- Team work\n\n"),
-                F.when(F.col("c_custkey") % 2 == 0, F.lit("WORK EXPERIENCE")).otherwise(F.lit("Employment History:")),
-                F.lit("\n"), F.coalesce("jobs", F.lit("")),
-                F.lit("\n\nEducation\nMay 1985 to Jun 1990\n"),
-            ).alias("text"),
-        )
+    jobs = [
+        (2, F.concat(month("o_orderdate"), F.lit(" to "), month(end))),
+        (3, F.concat(month("o_orderdate"), F.when(k % 8 < 4, F.lit(" to Present")).otherwise(F.lit(" - Ongoing")))),
+        (5, F.concat(F.date_format("o_orderdate", "yyyy"), F.lit(" - Till Present"))),
+        (7, F.concat(k % 11, F.lit(" years "), k % 12, F.lit(" months"))),
+    ]
+    lines = [
+        F.when(k % part != 0, F.concat(F.lit(f"- Employer no. {part}"), k, F.lit(", "), period, F.lit("\n"))).otherwise(F.lit(""))
+        for part, period in jobs
+    ]
+    return orders_with_customers(spark, sf_dir).select(
+        k.alias("doc_id"),
+        F.concat(
+            F.col("c_name"), F.lit("\nMail: "), F.lit("resume"), k, F.lit("@mail.example"),
+            F.lit("\nPhone: +49 30 "), (k + 1000000).cast("string"),
+            F.lit("\nLocation: "), F.col("n_name"),
+            F.lit("\n\nSummary\n25 years of experience, 1980 to Present\n\nSkills:\n"),
+            F.col("c_mktsegment"), F.lit(", Planning; spark\n- Team work\n\n"),
+            F.when(k % 2 == 0, F.lit("WORK EXPERIENCE\n")).otherwise(F.lit("Employment History:\n")),
+            *lines,
+            F.lit("\nEducation\nMay 1985 to Jun 1990\n"),
+        ).alias("text"),
     )
 
 

@@ -64,16 +64,10 @@ _TITLED = o.title("j.role")
 
 ORACLES = {
     "w1_continuous_intake": using("candidates", body="SELECT application_id, role, email, experience FROM candidates"),
-    "flow_resumes_to_candidates": """SELECT c_custkey AS application_id,
-        CASE WHEN c_custkey % 2 = 0 THEN 'testing' ELSE 'developer' END AS role, c_name AS name,
-        replace(c_name, '#', '.') || '@mail.example' AS email, n_name AS location,
-        c_mktsegment || '|Planning|spark|Team work' AS skills,
-        round(coalesce(sum(CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 60 + 1
-          WHEN 1 THEN (2026 - year(o_orderdate)) * 12 + 4 - month(o_orderdate)
-          WHEN 2 THEN (2026 - year(o_orderdate)) * 12
-          ELSE o_orderkey % 7 * 12 + o_orderkey % 12 END), 0)::DOUBLE / 12, 2) AS experience
-      FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON c_custkey = o_custkey
-      GROUP BY c_custkey, c_name, n_name, c_mktsegment""",
+    "flow_resumes_to_candidates": using("histories", body="""SELECT o_orderkey AS application_id,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'testing' ELSE 'developer' END AS role, c_name AS name,
+        'resume' || o_orderkey || '@mail.example' AS email, n_name AS location,
+        c_mktsegment || '|Planning|spark|Team work' AS skills, years AS experience FROM histories"""),
     "flow_shortlist_to_messages": using("scored", body=f"""SELECT t.request_id, place - 1 AS position, email,
       CASE WHEN coalesce(contains(email, '@'), false) THEN 'Interview invitation: ' || {_TITLED} || ' at Example Company' END AS subject,
       CASE WHEN coalesce(contains(email, '@'), false) THEN 'ready' ELSE 'failed' END AS status

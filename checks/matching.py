@@ -114,7 +114,7 @@ def _form_scores(spark, sf):
 
 
 def j3_match(spark, sf):
-    pairs = match(candidates(spark, sf), prepare_requests(fx.job_requests(spark, sf)))
+    pairs = match(candidates(spark, sf), _forms(spark))
     return pairs.select("request_id", "application_id")
 
 
@@ -217,8 +217,8 @@ ORACLES = {
       ELSE 100 * len(list_intersect(skills, ['red', 'gear', 'small'])) / sqrt(3 * len(skills)) END, 4) AS raw FROM candidates"""),
     "v6_empty_side": using("word_scored_forms", body="""SELECT request_id, application_id, 0::DOUBLE AS raw_similarity
       FROM word_scored_forms WHERE coalesce(len(skills), 0) = 0"""),
-    "j3_match": using("candidates", "prepared", body="""SELECT request_id, application_id
-      FROM candidates c JOIN prepared r ON c.role = r.role WHERE (min_experience <= 0 OR experience >= min_experience)
+    "j3_match": using("candidates", "prepared_forms", body="""SELECT request_id, application_id
+      FROM candidates c JOIN prepared_forms r ON c.role = r.role WHERE (min_experience <= 0 OR experience >= min_experience)
         AND (wanted_location = '' OR contains(lower(location), wanted_location))"""),
     "v7_score": using("scored_forms", body="SELECT request_id, application_id, score FROM scored_forms"),
     "v7_score_negative_experience": using("candidates", "prepared_forms", body="""SELECT request_id, application_id,

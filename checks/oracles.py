@@ -124,14 +124,22 @@ PARTS = {
     "word_scored_forms": _scored("prepared_forms", WORD_RAW),
     "scored_forms": _scored("prepared_forms", VECTOR_RAW.format(jobs="form_vectors")),
     "scored": _scored("prepared", VECTOR_RAW.format(jobs="job_vectors")),
-    "mail_requests": f"""SELECT o_orderkey AS request_id, emails,
+    "mail_requests": f"""SELECT o_orderkey AS request_id,
+        list_transform(numbers, lambda n: CASE WHEN n % 9 = 0 THEN 'no-address-' || n WHEN n % 31 = 0 THEN NULL
+          ELSE 'contact' || n || '@mail.example' END) AS emails,
         CASE WHEN o_orderkey % 3 = 0 THEN names[1:len(names) - 1] ELSE names END AS names, {fx.MAIL_ROLE} AS role,
         CASE WHEN o_orderkey % 50 = 0 THEN '2025-13-45' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date,
         {fx.MAIL_TIME} AS time, {fx.MAIL_VENUE} AS venue
-      FROM orders JOIN (SELECT l_orderkey,
-          list({fx.MAIL_EMAIL} ORDER BY l_linenumber, l_partkey, l_suppkey) AS emails,
-          list('Contact & ' || l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS names
-        FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""",
+      FROM (SELECT *, list_transform(numbers, lambda n: 'Contact & ' || n) AS names
+        FROM (SELECT *, list_transform(range(0, o_orderkey % 6 + 1), lambda i: (o_orderkey * 7 + i * 13) % 1000) AS numbers
+          FROM orders))""",
+    # Months of the jobs a work history lists, from the dates it was made of.
+    "histories": """SELECT o_orderkey, c_name, c_mktsegment, n_name, round((
+        CASE WHEN o_orderkey % 2 <> 0 THEN o_orderkey % 60 + 1 ELSE 0 END
+        + CASE WHEN o_orderkey % 3 <> 0 THEN (2026 - year(o_orderdate)) * 12 + 4 - month(o_orderdate) ELSE 0 END
+        + CASE WHEN o_orderkey % 5 <> 0 THEN (2026 - year(o_orderdate)) * 12 ELSE 0 END
+        + CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 11 * 12 + o_orderkey % 12 ELSE 0 END)::DOUBLE / 12, 2) AS years
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "mail_checked": r"""SELECT *, strftime(try_strptime(date, '%Y-%m-%d'), '%A, %d %B %Y') AS long_date,
         strftime(try_strptime('2000-01-01 ' || time, '%Y-%m-%d %H:%M'), '%I:%M %p') AS long_time
       FROM mail_requests""",

@@ -162,25 +162,40 @@ def shortlists(
     k: int = SHORTLIST_SIZE,
     cut: float = RAW_SIMILARITY_CUT,
     blocks: int | None = None,
+    request_blocks: int = 1,
 ) -> DataFrame:
     """First ``k`` candidates for each of many prepared requests, by vector similarity; exact.
 
     ``candidates`` carry ``vector`` and ``requests`` ``job_vector`` (unit vectors or null). The
-    candidates of a role are dealt over ``blocks`` parts, so a role with a third of all rows is
-    spread like the rest. A part scores its rows against the role's requests as matrix products
-    and hands on ``k`` rows per request; pairs never become rows.
+    candidates of a role are dealt over ``blocks`` parts by their id and its requests over
+    ``request_blocks``, so a role with a third of all rows is spread like the rest. A task holds
+    one part of each, scores them as matrix products and hands on ``k`` rows per request; pairs
+    never become rows. Both numbers should keep a part below some ten thousand rows.
     """
     spark = candidates.sparkSession
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    people = candidates.select(
-        "role",
-        F.pmod(F.xxhash64("application_id"), F.lit(blocks)).cast("int").alias("block"),
-        "application_id",
-        "experience",
-        skill_count(F.col("skills")).cast("long").alias("skill_count"),
-        "vector",
-        *_CARRIED,
-    ).repartition(blocks, "role", "block")
+
+    def part_of(column: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+    def every_part(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    cell = ("role", "block", "request_block")
+    tasks = blocks * request_blocks
+    people = (
+        candidates.select(
+            "role",
+            "application_id",
+            "experience",
+            skill_count(F.col("skills")).cast("long").alias("skill_count"),
+            "vector",
+            *_CARRIED,
+        )
+        .withColumn("block", part_of("application_id", blocks))
+        .withColumn("request_block", every_part(request_blocks))
+        .repartition(tasks, *cell)
+    )
     jobs = (
         requests.select(
             "role",
@@ -194,12 +209,13 @@ def shortlists(
             "w_location",
             "job_vector",
         )
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .repartition(blocks, "role", "block")
+        .withColumn("request_block", part_of("request_id", request_blocks))
+        .withColumn("block", every_part(blocks))
+        .repartition(tasks, *cell)
     )
     partial = (
-        people.groupBy("role", "block")
-        .cogroup(jobs.groupBy("role", "block"))
+        people.groupBy(*cell)
+        .cogroup(jobs.groupBy(*cell))
         .applyInPandas(_block_shortlist(k, cut), ", ".join(f"{n} {t}" for n, t in _SHORTLIST.items()))
     )
     order = [

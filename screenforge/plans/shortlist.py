@@ -15,7 +15,7 @@ from screenforge.operators.similarity import add_skill_vector
 from screenforge.session import materialize
 from screenforge.sources.candidates import read_candidates, with_score_column
 
-# Candidates of one block, which one task holds in memory with their vectors.
+# Candidates, or requests, of one block, which one task holds in memory with their vectors.
 ROWS_PER_BLOCK = 50_000
 
 
@@ -50,15 +50,16 @@ def shortlist_many(
 
     Candidates no request can list are cut before vectors are looked up for the rest, unless
     ``candidates`` already carry ``vector``. The rest is written to the scratch folder: the lookup
-    reads it twice, and its row count sets the number of blocks.
+    reads it twice, and the row counts set the numbers of blocks.
     """
     spark = candidates.sparkSession
     able = materialize(finalists(candidates, k), "finalists")
+    jobs = prepare_requests(requests)
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(able.count() / ROWS_PER_BLOCK))
+    request_blocks = max(1, ceil(jobs.count() / ROWS_PER_BLOCK))
     if "vector" not in able.columns:
         able = add_skill_vector(able, skill_vectors, "application_id")
-    jobs = with_job_vectors(prepare_requests(requests), skill_vectors)
-    return shortlists(able, jobs, k, cut, blocks)
+    return shortlists(able, with_job_vectors(jobs, skill_vectors), k, cut, blocks, request_blocks)
 
 
 def role_overview(spark: SparkSession, path: str, role: str = DEFAULT_ROLE) -> tuple[DataFrame, DataFrame]:

@@ -25,8 +25,11 @@ _CSV_ROWS_PER_FILE = 1_000_000
 
 
 def write_candidates(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Add rows to the table, in one folder per role."""
-    rows = df.select(*CANDIDATE.fieldNames())
+    """Add rows to the table, in one folder per role.
+
+    Rows are gathered by role into files of the advised size; a hot role is split over tasks.
+    """
+    rows = df.select(*CANDIDATE.fieldNames()).hint("rebalance", "role")
     writer = rows.write
     if fmt == "csv":
         rows = rows.withColumn("skills", format_list_literal(F.col("skills")))

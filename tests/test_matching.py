@@ -121,12 +121,13 @@ def test_shortlists_equal_the_head_of_the_full_listing(world, k):
     assert by_request(rows) == {key: v[:k] for key, v in expected.items() if v}
 
 
-def test_shortlists_with_stored_vectors_and_few_blocks(world, monkeypatch):
+@pytest.mark.parametrize("request_blocks", [1, 3])
+def test_shortlists_with_stored_vectors_and_few_blocks(world, monkeypatch, request_blocks):
     (candidates, requests, vecs), expected = world
     stored = add_skill_vector(candidates, vecs, "application_id")
     monkeypatch.setattr(ranking, "_CELLS", 50)
     ready = shortlist.with_job_vectors(scoring.prepare_requests(requests), vecs)
-    rows = ranking.shortlists(stored, ready, blocks=2).orderBy("request_id", "place").collect()
+    rows = ranking.shortlists(stored, ready, blocks=2, request_blocks=request_blocks).orderBy("request_id", "place").collect()
     assert by_request(rows) == {key: v[:5] for key, v in expected.items() if v}
 
 

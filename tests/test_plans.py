@@ -43,7 +43,7 @@ def test_no_pair_join_in_shortlists(spark, sf_dir, stored):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert text.count("FlatMapCoGroupsInPandas") == 1 and text.count("WindowGroupLimit") == 2
     # The vectors meet the requests after one shuffle, by role and block.
-    assert len(re.findall(r"Exchange hashpartitioning\(role#\d+, block#\d+", text)) == 2
+    assert len(re.findall(r"Exchange hashpartitioning\(role#\d+, block#\d+, request_block#\d+", text)) == 2
 
 
 def test_default_list_takes_the_head_without_a_full_sort(stored):
