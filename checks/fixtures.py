@@ -51,11 +51,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table that is small enough to be one or few input splits, where the work per row
+    is heavy. A large table has splits enough and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents. A small table is one input split; deal it out, for its texts take long to read."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +151,7 @@ def mail_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("contact"), n, F.lit("@mail.example")))
     )
     names = F.transform(numbers, lambda n: F.concat(F.lit("Contact & "), n))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         k.alias("request_id"),
         F.transform(numbers, email).alias("emails"),
         F.when(k % 3 == 0, F.slice(names, F.lit(1), F.cardinality(names) - 1)).otherwise(names).alias("names"),
@@ -176,7 +180,7 @@ def work_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % part != 0, F.concat(F.lit(f"- Employer no. {part}"), k, F.lit(", "), period, F.lit("\n"))).otherwise(F.lit(""))
         for part, period in jobs
     ]
-    return orders_with_customers(spark, sf_dir).select(
+    return spread(orders_with_customers(spark, sf_dir)).select(
         k.alias("doc_id"),
         F.concat(
             F.col("c_name"), F.lit("\nMail: "), F.lit("resume"), k, F.lit("@mail.example"),

@@ -33,13 +33,6 @@ def dedup_first(df: DataFrame) -> DataFrame:
     )
 
 
-def known_slots(existing: DataFrame) -> DataFrame:
-    """Distinct (role, email key) of stored rows."""
-    return (
-        existing.select("role", email_key(F.col("email")).alias("_slot")).where(F.col("_slot").isNotNull()).distinct()
-    )
-
-
 def _known_of(incoming: DataFrame, existing: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame]:
     keyed = incoming.withColumn("_slot", slot_key())
     slots = keyed.select("role", "_slot").distinct()

@@ -11,15 +11,23 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "left", max_rows: int = 100_000) -> DataFrame:
-    """Join ``table``, which has unique keys, onto a large ``df``.
+def _repeat(table: DataFrame, salts: int) -> DataFrame:
+    return table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
-    A table within ``max_rows`` is broadcast. A larger one is joined by shuffle, where adaptive
-    execution splits the partitions of keys that hold many rows of ``df``.
+
+def lookup_join(
+    df: DataFrame, table: DataFrame, on: str, how: str = "left", max_rows: int = 100_000, salts: int = 16
+) -> DataFrame:
+    """Inner or left join of ``table``, which has unique keys, onto a large ``df``.
+
+    A table within ``max_rows`` is broadcast. A larger one is joined by shuffle: rows of ``df`` with
+    one key are dealt over ``salts`` parts by their other values, and the table is repeated per
+    part, so a key with a third of all rows does not end in one task.
     """
     if is_small(table, max_rows):
-        table = F.broadcast(table)
-    return df.join(table, on, how)
+        return df.join(F.broadcast(table), on, how)
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    return dealt.join(_repeat(table, salts), [on, "_salt"], how).drop("_salt")
 
 
 def spread_join(df: DataFrame, table: DataFrame, key: str, row_id: str, max_rows: int, salts: int | None = None) -> DataFrame:
@@ -32,5 +40,4 @@ def spread_join(df: DataFrame, table: DataFrame, key: str, row_id: str, max_rows
         return df.join(F.broadcast(table), key)
     salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+    return dealt.join(_repeat(table, salts), [key, "_salt"]).drop("_salt")

@@ -85,6 +85,28 @@ def test_fallback_chain(spark):
     }
 
 
+def test_applications_by_model_and_by_rule(spark):
+    import datetime as dt
+
+    from screenforge.plans.intake import read_applications, register
+
+    texts = ["Ann\nann@x.org\nLocation: Bonn\nSkills\nsql, java\n\nWork Experience\n2019 to Present\n", "broken", "limit", ""]
+    files = spark.createDataFrame(
+        [(i, "QA", f"/u/{i}.txt", bytearray(t.encode())) for i, t in enumerate(texts)],
+        "application_id long, role_raw string, path string, content binary",
+    ).withColumn("applied_at", F.expr("timestamp_ntz'2020-01-01 00:00:00'"))
+    good = 'Sure: {"name": "Ann", "email": "ann@x.org", "skills": ["sql"], "experience": "3+ years"}.'
+    first = _answer(("Ann", good, None), ("broken", "no json", None), ("limit", None, "quota"))
+    second = _answer(("limit", '{"name": "Lim", "email": null, "skills": "sql", "experience": 2.345}', None))
+    day = dt.date(2026, 4, 1)
+    by_model = register(read_applications(files, day, [("m1", first), ("m2", second)])).orderBy("application_id").collect()
+    assert [(r.application_id, r.role, r.name, r.email, r.skills, r.experience) for r in by_model] == [
+        (0, "testing", "Ann", "ann@x.org", ["sql"], 3.0), (2, "testing", "Lim", None, [], 2.35),
+    ]
+    by_rule = register(read_applications(files, day)).where("application_id = 0").first()
+    assert (by_rule.name, by_rule.location, by_rule.skills, by_rule.experience) == ("Ann", "Bonn", ["sql", "java"], 7.0)
+
+
 def test_prompt_rules():
     import datetime as dt
 
