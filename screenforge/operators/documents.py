@@ -66,7 +66,11 @@ def odt_text(content: bytes) -> str:
 
 
 def decoder_column(decoders: dict[str, Decoder]) -> Callable[[Column, Column], Column]:
-    """Arrow batch function (content, format) to text; null content stays null, a failure gives null."""
+    """Arrow batch function (content, format) to text; null content stays null, a failure gives null.
+
+    It is marked non-deterministic, so that a later filter on fields of the text is not pushed below
+    it with a second decoding of every file.
+    """
 
     @F.pandas_udf(T.StringType())
     def decode(content: pd.Series, fmt: pd.Series) -> pd.Series:
@@ -80,7 +84,7 @@ def decoder_column(decoders: dict[str, Decoder]) -> Callable[[Column, Column], C
 
         return pd.Series([one(c, f) for c, f in zip(content, fmt, strict=True)], dtype=object)
 
-    return decode
+    return decode.asNondeterministic()
 
 
 def extract_docx(files: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
 def with_fallback(primary: Column, source: Column, fallback: Callable[[Column], Column]) -> Column:
     """``primary`` text, continued by ``fallback(source)`` where it is blank or failed (null).
 
-    The fallback sees null for all other rows, so it works only where it is needed, in one pass.
+    ``primary`` should be a column that is computed already, for it is looked at twice. The fallback sees null for all other rows, so it works only where it is needed, in one pass.
     """
     needed = is_blank(primary)
     second = fallback(F.when(needed, source))
@@ -125,9 +129,10 @@ def extract_text(
     fmt = file_format(F.col("path"))
     decode = decoder_column(known)
     # Contents Spark reads itself, or nobody can read, are not sent to Python.
-    decoded = decode(F.when(fmt.isin(*known), F.col("content")), fmt)
-    text = F.when(fmt == "txt", plain_text(F.col("content"))).otherwise(decoded)
+    decoded = files.withColumn("_text", decode(F.when(fmt.isin(*known), F.col("content")), fmt))
+    text = F.when(fmt == "txt", plain_text(F.col("content"))).otherwise(F.col("_text"))
     if fallbacks:
         again = decoder_column(fallbacks)
-        text = with_fallback(text, F.when(fmt.isin(*fallbacks), F.col("content")), lambda c: again(c, fmt))
-    return files.withColumn("text", F.coalesce(text, F.lit("")))
+        decoded = decoded.withColumn("_text", text)
+        text = with_fallback(F.col("_text"), F.when(fmt.isin(*fallbacks), F.col("content")), lambda c: again(c, fmt))
+    return decoded.withColumn("text", F.coalesce(text, F.lit(""))).drop("_text")

@@ -57,5 +57,7 @@ def embed(df: DataFrame, text: str, load_model: Callable[[], Callable[[list[str]
         for texts in batches:
             yield pd.Series([[float(x) for x in v] for v in model(texts.tolist())])
 
+    # Non-deterministic: no filter is pushed below it with a second call of the model.
+    encode = encode.asNondeterministic()
     distinct = df.select(text).where(F.col(text).isNotNull()).distinct()
     return df.join(distinct.withColumn(target, encode(F.col(text))), text, "left")

@@ -66,3 +66,15 @@ def test_empty_candidates(spark, sf_dir):
     nobody = spark.createDataFrame([], CANDIDATE)
     df = shortlist.shortlist_many(nobody, fx.job_requests(spark, sf_dir), fx.skill_vectors(spark, sf_dir))
     assert df.count() == 0
+
+
+def test_each_file_is_decoded_once(spark):
+    import datetime as dt
+
+    files = spark.createDataFrame(
+        [(1, "qa", "/u/a.docx", bytearray(b""))], "application_id long, role_raw string, path string, content binary"
+    ).withColumn("applied_at", F.expr("timestamp_ntz'2020-01-01 00:00:00'"))
+    rows = intake.register(intake.read_applications(files, dt.date(2026, 4, 1)))
+    assert plan(rows).count("ArrowEvalPython") == 1
+    again = intake.read_applications(files, dt.date(2026, 4, 1), fallbacks={"pdf": bytes.decode})
+    assert plan(intake.register(again)).count("ArrowEvalPython") == 2
