@@ -39,11 +39,14 @@ def build_session(app_name: str = "screenforge", master: str | None = None, **ex
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name for an intermediate table.
 
-    It lies in the shared folder of ``spark.checkpoint.dir``. Only where that is unset (a local
-    test) is a temporary folder of this machine used, which is dropped when the process ends.
+    It lies in the shared folder of ``spark.checkpoint.dir``, or else of ``setCheckpointDir``. Where
+    neither is set, a local session uses a temporary folder of this machine, which is dropped when the
+    process ends; on a cluster, whose machines would not see each other's files, this is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="screenforge-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
