@@ -16,16 +16,17 @@ def _repeat(table: DataFrame, salts: int) -> DataFrame:
 
 
 def lookup_join(
-    df: DataFrame, table: DataFrame, on: str, how: str = "left", max_rows: int = 100_000, salts: int = 16
+    df: DataFrame, table: DataFrame, on: str, how: str = "left", max_rows: int = 100_000, salts: int | None = None
 ) -> DataFrame:
     """Inner or left join of ``table``, which has unique keys, onto a large ``df``.
 
     A table within ``max_rows`` is broadcast. A larger one is joined by shuffle: rows of ``df`` with
-    one key are dealt over ``salts`` parts by their other values, and the table is repeated per
-    part, so a key with a third of all rows does not end in one task.
+    one key are dealt over ``salts`` parts (the shuffle width if not given) by their other values, and
+    the table is repeated per part, so a key with a third of all rows does not end in one task.
     """
     if is_small(table, max_rows):
         return df.join(F.broadcast(table), on, how)
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
     return dealt.join(_repeat(table, salts), [on, "_salt"], how).drop("_salt")
 
