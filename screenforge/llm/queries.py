@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from screenforge.llm.decontamination import contamination
 from screenforge.llm.exact_dedup import exact_groups
+from screenforge.llm.near_dedup import near_groups
 from screenforge.llm.secret_scan import scan
 from screenforge.llm.sentencepiece_bpe import encode_and_decode
 from screenforge.llm.url_filter import judge
@@ -28,6 +29,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
     "op3_url_filter": op3_url_filter,
+    "op5_near_dedup": op5_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
 }
