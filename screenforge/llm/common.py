@@ -73,10 +73,10 @@ def without(docs: DataFrame, losers: DataFrame, max_rows: int = 200_000) -> Data
     return packed.join(lost, match, "left_anti").select("_row.*")
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Pieces of a string column without nulls: first row, last row + 1, their UTF-8 bytes, their offsets in these.
 
-    A piece has about ``most`` bytes, or one row if that is longer.
+    A piece has about ``most`` bytes and ``rows`` rows at most, or one row if that is longer.
     """
     column = column.cast(pa.large_string())
     n = len(column)
@@ -86,6 +86,7 @@ def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
     low = 0
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, side="right")) - 1)
+        high = min(high, low + rows)
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenforge.llm.common import attach, bound_batches, chunks, filled, mixed, ragged, shuffle_width, text_key, without
+from screenforge.llm.word_hashing import BASE, LOWER, word_hashes
 from screenforge.llm.components import components
 from screenforge.operators.joins import is_small
 from screenforge.session import materialize
@@ -21,49 +22,23 @@ WORDS = 5
 PERCENT = 75
 # 32 bands of 4 values: two sets with similarity 0.75 share no band with probability 5e-6.
 BANDS, ROWS = 32, 4
-# Values are compared in batches of so many, and a pair is given up once its similarity reaches the
-# threshold with less than this probability (uniform prior).
-BATCH, MISS = 16, 1e-7
+# Candidates are compared by so many further MinHash values of four bits, in batches; a pair is given up once
+# its similarity reaches the threshold with less than this probability (uniform prior).
+VALUES, BATCH, MISS = 2048, 128, 1e-7
 # Members of a bucket that are compared with each other in one task.
 BLOCK = 1024
 
-BASE = 0x9E3779B97F4A7C15
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-@functools.lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of an odd base, and of its inverse, modulo 2**64."""
-    steps = np.full(size, BASE, np.uint64)
-    back = np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
-    steps[0] = back[0] = 1
-    return np.cumprod(steps), np.cumprod(back)
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of several texts, one text after the other, and the number of each.
 
     Words are runs of bytes other than space and 09-0D, with A-Z in lower case. Every five neighbouring
     words are a shingle; fewer words are one shingle, none are none.
     """
-    low = np.frombuffer(LOWER, np.uint8)[data]
-    word = ~((low == 32) | ((low >= 9) & (low <= 13)))
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
-    edge = offsets[:-1][offsets[:-1] < offsets[1:]]
-    first[edge] = word[edge]
-    last[edge[1:] - 1] = word[edge[1:] - 1]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(1 << max(20, int(len(low)).bit_length()))
-    sums = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=sums[1:])
-    words = mixed((sums[end] - sums[begin]) * down[begin])
-    upto = np.searchsorted(begin, offsets)
-    number = np.diff(upto)
+    words, number = word_hashes(data, offsets)
+    upto = np.cumsum(number) - number
     width = np.minimum(number, WORDS)
     count = number - width + (number > 0)
-    start = ragged(upto[:-1], count)
+    start = ragged(upto, count)
     sizes = np.repeat(width, count)
     hashes = mixed(sizes.astype(np.uint64))
     for k in range(WORDS):
@@ -78,14 +53,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[new], np.bincount(owner[new], minlength=len(number))
 
 
-def signatures(hashes: np.ndarray, count: np.ndarray, values: int = BANDS * ROWS) -> np.ndarray:
-    """MinHash values of each set as a row of 32-bit numbers; zeros for an empty set."""
+def signatures(hashes: np.ndarray, count: np.ndarray, values: int = BANDS * ROWS, first: int = 0) -> np.ndarray:
+    """MinHash values of each set as a row of 32-bit numbers; zeros for an empty set. ``first`` chooses the functions."""
     out = np.zeros((len(count), values), np.uint32)
     full = count > 0
     if not full.any():
         return out
     starts = (np.cumsum(count) - count)[full]
-    factors = mixed(np.arange(1, values + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+    factors = mixed(np.arange(first + 1, first + values + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
     plus = mixed(factors)
     rows = np.empty((int(full.sum()), values), np.uint32)
     for k in range(values):
@@ -118,41 +93,58 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, node binary, n_shingles long, signature binary")
 
 
-def least_matches(values: int = BANDS * ROWS, batch: int = BATCH, percent: int = PERCENT, miss: float = MISS) -> list[int]:
+def fine_signatures(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """VALUES further MinHash values of each set, four bits of each, two in a byte."""
+    low = mixed(signatures(hashes, count, VALUES, BANDS * ROWS).ravel()).reshape(len(count), VALUES).astype(np.uint8) & 15
+    return low[:, ::2] | low[:, 1::2] << 4
+
+
+@functools.lru_cache(maxsize=1)
+def least_matches() -> list[int]:
     """After each batch: the least number of equal values with which a pair goes on.
 
-    With m of n values equal and a uniform prior the similarity is Beta(m + 1, n - m + 1), and it
-    reaches t with the probability that a Binomial(n + 1, t) is at most m.
+    Four-bit values of sets with similarity s agree with probability t = s + (1 - s) / 16. With m of n
+    equal and a uniform prior that probability is Beta(m + 1, n - m + 1), and it reaches t with
+    the probability that a Binomial(n + 1, t) is at most m.
     """
-    t = percent / 100
+    t = PERCENT / 100 + (1 - PERCENT / 100) / 16
     least = []
-    for n in range(batch, values + 1, batch):
-        chance, m = (1 - t) ** (n + 1), 0
-        while chance < miss:
-            m += 1
-            chance += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
-        least.append(m)
+    for n in range(BATCH, VALUES + 1, BATCH):
+        logs = [math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(t) + (n + 1 - m) * math.log(1 - t) for m in range(n + 2)]
+        least.append(int(np.searchsorted(np.cumsum(np.exp(logs)), MISS)))
     return least
 
 
 def may_be_similar(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which pairs of signature rows are not given up in any batch."""
+    """Which pairs of fine signature rows are not given up in any batch."""
     alive = np.arange(len(left))
     equal = np.zeros(len(left), np.int64)
     for k, least in enumerate(least_matches()):
-        part = slice(k * BATCH, (k + 1) * BATCH)
-        equal[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
+        part = slice(k * BATCH // 2, (k + 1) * BATCH // 2)
+        differ = left[alive, part] ^ right[alive, part]
+        equal[alive] += ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)
         alive = alive[equal[alive] >= least]
+        if not len(alive):
+            break
     out = np.zeros(len(left), bool)
     out[alive] = True
     return out
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """(band, node): one row per node and band; the key is a hash of the band's number and its values."""
+    """(place, band, node): one row per node and band; ``band`` is a hash of the band's place and values."""
     size = 4 * ROWS
     keys = [F.xxhash64(F.lit(k), F.substring("signature", k * size + 1, size)) for k in range(BANDS)]
-    return nodes.select("node", F.explode(F.array(*keys)).alias("band"))
+    return nodes.select("node", F.posexplode(F.array(*keys)).alias("place", "band"))
+
+
+def band_marks(coarse: np.ndarray) -> np.ndarray:
+    """32 bits of each band of signature rows: equal where two rows share the band."""
+    values = coarse.reshape(len(coarse), BANDS, ROWS).astype(np.uint64)
+    marks = np.zeros((len(coarse), BANDS), np.uint64)
+    for k in range(ROWS):
+        marks = mixed(marks * np.uint64(BASE) + values[:, :, k])
+    return marks.astype(np.uint32)
 
 
 def _by(column: str, spark: SparkSession) -> Column:
@@ -172,14 +164,14 @@ def pruned(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (_rows(batch.column(f"signature_{c}").to_pylist()) for c in "ab")
+            left, right = (_rows(batch.column(f"fine_{c}").to_pylist()) for c in "ab")
             yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(left, right), pa.bool_()))
 
-    return with_both(pairs, signed, "signature").select("a", "b", "signature_a", "signature_b").mapInArrow(run, "a binary, b binary")
+    return with_both(pairs, signed, "fine").select("a", "b", "fine_a", "fine_b").mapInArrow(run, "a binary, b binary")
 
 
 def _rows(signatures: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), BANDS * ROWS)
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), VALUES // 2)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,103 +190,124 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the rows (node, doc_id, text_key) in ``wanted``: their full sets as 64-bit hashes."""
+    """(node, shingles, fine, marks) of the rows (node, doc_id, text_key) in ``wanted``: their full sets as 64-bit
+    hashes, their fine signatures, and their bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in chunks(batch.column("text")):
+            for low, high, data, offsets in chunks(batch.column("text"), rows=1024):
                 hashes, count = shingles(data, offsets)
                 edge = np.r_[0, np.cumsum(count)].tolist()
                 sets = [hashes[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(low, high - low), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                columns = [sets, *([r.tobytes() for r in rows] for rows in (fine_signatures(hashes, count), band_marks(signatures(hashes, count))))]
+                columns = [batch.column("node").slice(low, high - low), *(pa.array(c, pa.binary()) for c in columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "fine", "marks"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"), filled("text").alias("text"))
     if is_small(wanted, 200_000):  # 40 bytes each
         wanted = F.broadcast(wanted)
     rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
-    return rows.select("node", "text").mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
+    return rows.select("node", "text").mapInArrow(run, "node binary, shingles binary, fine binary, marks binary").dropDuplicates(["node"])
 
 
-def star_pairs(members: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+def star_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One comparison per member of each bucket, with the bucket's pivot, and the members that are left after it.
 
-    ``members``: band, node, root. The pivot is the member with the least salted hash. Members that are linked
-    with it already aren't compared. Buckets whose members are all linked have nothing left to decide;
-    in the others only the pivot is done with.
+    ``members``: place, band, node, degree, root. The pivot is the member that shares buckets with most others,
+    so of a group of near copies the one in their middle. Members that are linked with it already aren't
+    compared. Buckets whose members are all linked have nothing left to decide; in the others only the
+    pivot is done with.
     """
-    order = F.struct(F.xxhash64("node", F.lit(salt)), "node", "root")
+    order = F.struct(-F.col("degree"), F.xxhash64("node"), "node", "root")
     buckets = members.groupBy("band").agg(F.min(order).alias("pivot"), F.min("root").alias("low"), F.max("root").alias("high"))
     buckets = buckets.filter("low < high").select("band", "pivot.node", "pivot.root").toDF("band", "pivot", "pivot_root")
-    open_members = attach(members, buckets, ["band"], _by("node", members.sparkSession)).filter("pivot IS NOT NULL AND node <> pivot")
-    open_members = materialize(open_members, "members")
-    pairs = open_members.filter("root <> pivot_root").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-    return pairs.distinct(), open_members.select("band", "node")
+    # A hot bucket is one side of a sort-merge join, which adaptive execution splits.
+    open_members = materialize(members.join(buckets, "band").filter("node <> pivot"), "members")
+    pairs = open_members.filter("root <> pivot_root").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    return pairs.distinct(), open_members.select("place", "band", "node", "degree")
+
+
+def provisional_roots(links: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that are linked with a pivot: the pivot's own pivot, or else that pivot.
+
+    Equal roots mean that two nodes are connected; connected nodes may have different roots here,
+    which only costs comparisons. The components are found at the end, from all links.
+    """
+    order = F.struct(F.xxhash64("a"), "a")
+    own = links.groupBy(F.col("b").alias("node")).agg(F.min(order).alias("least")).select("node", F.col("least.a").alias("root"))
+    above = own.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+    own = own.join(above, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+    pivots = links.select(F.col("a").alias("node")).distinct().join(own, "node", "left_anti")
+    return own.union(pivots.select("node", "node"))
 
 
 def block_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
     """(a, b) of all pairs in a bucket that are not linked yet and may be similar.
 
-    ``members``: band, node, root. A bucket is cut into blocks of about ``BLOCK`` members; every two of its blocks
-    meet in one task, which compares signatures batch by batch and gives out survivors only.
+    ``members``: place, band, node, root. A bucket is cut into blocks of about ``BLOCK`` members; every two of its
+    blocks meet in one task, which compares signatures batch by batch and gives out survivors only. A
+    pair that shares several bands is compared in the first of these.
     """
     counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     counts = counts.filter("low < high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    spark = members.sparkSession
-    rows = attach(members, counts, ["band"], _by("node", spark)).filter("blocks IS NOT NULL")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = members.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = attach(rows, signed, ["node"], _by("band", spark))
+    rows = attach(rows, signed, ["node"], _by("band", members.sparkSession))
 
     def run(table: pa.Table) -> pa.Table:
         node, root = (np.array(table.column(c).to_pylist(), object) for c in ("node", "root"))
         block = table.column("block").to_numpy()
-        signature = _rows(table.column("signature").to_pylist())
+        fine = _rows(table.column("fine").to_pylist())
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(len(node), BANDS)
+        marks = marks[:, : table.column("place")[0].as_py()]
         _, root = np.unique(root, return_inverse=True)
         a, b = [], []
         cross = block.min() < block.max()
         for i in range(len(node)):
             later = np.flatnonzero((block > block[i]) if cross else (np.arange(len(node)) > i))
             later = later[root[later] != root[i]]
-            near = later[may_be_similar(np.broadcast_to(signature[i], (len(later), signature.shape[1])), signature[later])]
-            a += [min(node[i], node[j]) for j in near]
-            b += [max(node[i], node[j]) for j in near]
+            later = later[~(marks[later] == marks[i]).any(axis=1)]
+            near = later[may_be_similar(np.broadcast_to(fine[i], (len(later), fine.shape[1])), fine[later])]
+            a += [node[i]] * len(near)
+            b += node[near].tolist()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root", "block", "signature")
-    return rows.groupBy("band", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
+    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "place", "node", "root", "block", "fine", "marks")
+    return rows.groupBy("band", "low", "high").applyInArrow(run, "a binary, b binary")
 
 
-def node_components(docs: DataFrame, nodes: DataFrame, stars: int = 3) -> DataFrame:
+def node_components(docs: DataFrame, nodes: DataFrame, stars: int = 1) -> DataFrame:
     """(node, root) of every node that is linked with another.
 
     ``nodes``: node, rep (doc_id, text_key, signature). Nodes that share a bucket are candidates. In each
     of ``stars`` rounds every bucket compares its members with one pivot, so a group of near copies
-    becomes one component by as many comparisons as it has members. Pairs that no round has decided are
-    compared block by block.
+    is connected by as many comparisons as it has members. Pairs that no round has decided are
+    compared block by block, and the components follow from all links.
     """
-    spark = docs.sparkSession
-    signed = nodes.select("node", "rep.signature")
-    banded = bands(signed)
+    banded = bands(nodes.select("node", "rep.signature"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(attach(banded, shared, ["band"], _by("node", spark)).filter("n IS NOT NULL").select("band", "node"), "members")
-    wanted = members.select("node").distinct()
-    wanted = materialize(nodes.join(wanted, "node", "left_semi").select("node", "rep.*"), "candidates")
-    signed = wanted.select("node", "signature")
-    sets = materialize(shingle_sets(docs, wanted.select("node", "doc_id", "text_key")), "shingles")
+    members = materialize(banded.join(shared, "band"), "members")
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    wanted = nodes.join(degrees, "node").select("node", "rep.doc_id", "rep.text_key")
+    sets = materialize(shingle_sets(docs, materialize(wanted, "candidates")), "shingles")
+    signed = sets.select("node", "fine", "marks")
+    members = members.join(degrees, "node").select("place", "band", "node", "degree")
     links: list[DataFrame] = []
-    roots = wanted.limit(0).select("node", F.col("node").alias("root"))
     for step in range(stars + 1):
         if members.isEmpty():
             break
-        rooted = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        rooted = members.withColumn("root", F.col("node"))
+        if links:
+            roots = provisional_roots(functools.reduce(DataFrame.union, links))
+            rooted = members.join(roots, "node", "left").select("place", "band", "node", "degree", F.coalesce("root", "node").alias("root"))
         if step < stars:
-            pairs, members = star_pairs(rooted, step)
+            pairs, members = star_pairs(rooted)
             pairs = pruned(pairs, signed)
         else:
             pairs = block_pairs(rooted, signed)
         links.append(materialize(verified(pairs, sets), "similar"))
-        roots = components(functools.reduce(DataFrame.union, links))
-    return roots
+    none = sets.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    return components(functools.reduce(DataFrame.union, links, none))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
