@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from screenforge.llm.decontamination import contamination
 from screenforge.llm.exact_dedup import exact_groups
+from screenforge.llm.html_extraction import extract
+from screenforge.llm.language_id import identify
 from screenforge.llm.near_dedup import near_groups
+from screenforge.llm.quality import quality
 from screenforge.llm.secret_scan import scan
 from screenforge.llm.sentencepiece_bpe import encode_and_decode
+from screenforge.llm.toxicity import toxicity
 from screenforge.llm.url_filter import judge
 
 
@@ -29,10 +33,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -41,13 +57,21 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_key")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
     "op3_url_filter": op3_url_filter,
+    "op4_html_extraction": op4_html_extraction,
     "op5_near_dedup": op5_near_dedup,
+    "op6_quality": op6_quality,
+    "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
