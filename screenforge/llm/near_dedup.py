@@ -268,8 +268,8 @@ def block_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
             later = later[root[later] != root[i]]
             later = later[~(marks[later] == marks[i]).any(axis=1)]
             near = later[may_be_similar(np.broadcast_to(fine[i], (len(later), fine.shape[1])), fine[later])]
-            a += [node[i]] * len(near)
-            b += node[near].tolist()
+            a += [min(node[i], node[j]) for j in near]  # whatever the order of the rows
+            b += [max(node[i], node[j]) for j in near]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "place", "node", "root", "block", "fine", "marks")
@@ -305,7 +305,8 @@ def node_components(docs: DataFrame, nodes: DataFrame, stars: int = 1) -> DataFr
             pairs = pruned(pairs, signed)
         else:
             pairs = block_pairs(rooted, signed)
-        links.append(materialize(verified(pairs, sets), "similar"))
+        # Written, as what follows reads the pairs more than once.
+        links.append(materialize(verified(materialize(pairs, "pairs"), sets), "similar"))
     none = sets.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
     return components(functools.reduce(DataFrame.union, links, none))
 
