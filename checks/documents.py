@@ -16,6 +16,7 @@ from screenforge.functions.replies import clean_json
 from screenforge.functions.text import file_format
 from screenforge.operators import documents as d
 from screenforge.operators import extraction as e
+from screenforge.plans.intake import clean_applications
 from screenforge.session import scratch_path
 from screenforge.sources.resumes import plain_text, read_resume_files
 
@@ -155,8 +156,10 @@ def e5_resume_contacts(spark, sf):
 
 
 def e6_extract_skills(spark, sf):
-    words = fx.table(spark, sf, "benchmark").select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("skill"))
-    dictionary = words.where(F.length("skill") > 5)
+    words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    listed = fx.table(spark, sf, "benchmark").select(words.alias("w")).where("size(w) > 1")
+    dictionary = listed.select(F.explode(F.concat("w", pairs)).alias("skill"))
     found = e.extract_skills(fx.documents(spark, sf), dictionary)
     return found.select("doc_id", F.array_join("skills", "|").alias("skills"))
 
@@ -171,12 +174,50 @@ def e7_work_history_years(spark, sf):
     return fx.work_histories(spark, sf).select("doc_id", work_history_years(F.col("text"), AS_OF).alias("years"))
 
 
+def e3_numeric_experience(spark, sf):
+    """Replies whose experience is a number, kept as it is, or text, which is parsed."""
+    k = F.col("o_orderkey")
+    years = (k % 17 * F.lit(1.001)).cast("decimal(9,3)").cast("string")
+    value = (
+        F.when(k % 4 == 0, years)
+        .when(k % 4 == 1, F.concat(F.lit('"'), years, F.lit(' years"')))
+        .when(k % 4 == 2, F.concat(F.lit("-"), k % 17))
+        .otherwise(F.concat(F.lit('"-'), k % 17, F.lit('"')))
+    )
+    reply = F.concat(F.lit('{"name": "N", "email": "e@x.example", "skills": ["\\"experience\\": 7,"], "experience": '), value, F.lit("}"))
+    replies = fx.table(spark, sf, "orders").select(
+        k.alias("application_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("applied_at"), F.lit("hr").alias("role_raw"), reply.alias("reply")
+    )
+    rows = e.parse_replies(replies).withColumn("experience_raw", F.col("experience"))
+    return clean_applications(rows).select("application_id", "experience")
+
+
+def e7_date_forms(spark, sf):
+    """Jobs of two years and a month, or up to now, in several forms, with lengths beside them that don't count."""
+    k, start = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    end = F.add_months(start, 24)
+
+    def both(pattern, between):
+        return F.concat(F.date_format(start, pattern), F.lit(between), F.date_format(end, pattern))
+
+    job = (
+        F.when(k % 5 == 0, both("MM/yyyy", " - "))
+        .when(k % 5 == 1, both("yyyy-MM", " to "))
+        .when(k % 5 == 2, both("MMM ''yy", " – "))
+        .when(k % 5 == 3, F.concat(F.date_format(start, "MM/yyyy"), F.when(k % 2 == 0, F.lit(" to date")).otherwise(F.lit(" - now"))))
+        .otherwise(both("MMMM yyyy", " until "))
+    )
+    text = F.concat(F.lit("Name\n\nWork Experience\nWORK EXPERIENCE (5 YEARS)\nAcme, "), job, F.lit("\n- cut 10 years of backlog\n\nEducation\n01/1980 - 01/1990\n"))
+    return fx.table(spark, sf, "orders").select(k.alias("doc_id"), work_history_years(text, AS_OF).alias("years"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         s1_read_resume_files, s2_file_format, s3_plain_text, t1_extract_docx, t2_extract_odt, t3_assemble_pages,
         t4_with_fallback, t5_extract_text, e1_build_prompts, e2_clean_json, e3_parse_reply, e4_fallback_chain,
         e5_extract_contacts, e5_resume_contacts, e6_extract_skills, e6_listed_skills, e7_work_history_years,
+        e3_numeric_experience, e7_date_forms,
     )
 }
 
@@ -231,13 +272,19 @@ ORACLES = {
     "e5_resume_contacts": using("histories", body="""SELECT o_orderkey AS doc_id, c_name AS name,
       'resume' || o_orderkey || '@mail.example' AS email, '+49 30 ' || (o_orderkey + 1000000) AS phone,
       n_name AS location FROM histories"""),
-    "e6_extract_skills": r"""WITH dictionary AS (SELECT DISTINCT lower(w) AS skill FROM (
-        SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) > 5),
-      tokens AS (SELECT doc_id, unnest(regexp_split_to_array(
-        regexp_replace(lower(text), '\.+([^a-z0-9]|\z)', ' ', 'g'), '[^a-z0-9+#.]+')) AS skill FROM documents),
+    "e6_extract_skills": r"""WITH items AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+      dictionary AS (SELECT DISTINCT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS skill
+        FROM items WHERE len(w) > 1),
+      words AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '\.+([^\p{L}\p{N}]|\z)', ' ', 'g'),
+        '[^\p{L}\p{N}+#.]+'), lambda w: w <> '') AS w FROM documents),
+      tokens AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS skill FROM words),
       found AS (SELECT doc_id, list_sort(list(DISTINCT skill)) AS skills FROM tokens
         JOIN dictionary USING (skill) GROUP BY doc_id)
       SELECT doc_id, coalesce(array_to_string(skills, '|'), '') AS skills FROM documents LEFT JOIN found USING (doc_id)""",
+    "e3_numeric_experience": """SELECT o_orderkey AS application_id, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 17 * 1.001::DOUBLE
+      WHEN 1 THEN round(o_orderkey % 17 * 1.001, 2)::DOUBLE WHEN 2 THEN -(o_orderkey % 17)::DOUBLE ELSE (o_orderkey % 17)::DOUBLE END AS experience FROM orders""",
+    "e7_date_forms": """SELECT o_orderkey AS doc_id, round(CASE o_orderkey % 5 WHEN 3 THEN
+        (2026 - year(o_orderdate)) * 12 + 4 - month(o_orderdate) ELSE 25 END::DOUBLE / 12, 2) AS years FROM orders""",
     "e6_listed_skills": using("histories", body="""SELECT o_orderkey AS doc_id,
       c_mktsegment || '|Planning|spark|Team work' AS skills FROM histories"""),
     "e7_work_history_years": using("histories", body="SELECT o_orderkey AS doc_id, years FROM histories"),

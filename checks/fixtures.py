@@ -10,7 +10,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,8 @@ REQUEST_EXPERIENCE = """CAST(CASE s_suppkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN
     WHEN 4 THEN 10 ELSE 1 END AS DOUBLE)"""
 REQUEST_LOCATION = "CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN n_name ELSE 'nation_1' END"
 
-SKILL_VECTOR_ID = "(ascii(skill) * 7 + length(skill) * 3 + ascii(substring(skill, 2, 1))) % 499"
+# The words in order, dealt over all embeddings.
+SKILL_VECTOR_ID = "(number * 7919) % (SELECT count(*) FROM embeddings)"
 
 MAIL_ROLE = """CASE o_orderkey % 4 WHEN 0 THEN 'data_engineer' WHEN 1 THEN 'Developer' WHEN 2 THEN 'qa <lead>'
     ELSE 'hr' END"""
@@ -134,9 +135,12 @@ def form_requests(spark: SparkSession) -> DataFrame:
 def skill_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for each word of the part names."""
     words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("skill")).distinct()
+    vectors = table(spark, sf_dir, "embeddings")
+    # The part names are made of a few fixed words.
+    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("skill")) - 1
     return (
-        words.withColumn("vec_id", F.expr(SKILL_VECTOR_ID).cast("long"))
-        .join(table(spark, sf_dir, "embeddings"), "vec_id")
+        words.withColumn("vec_id", number.cast("long") * 7919 % F.lit(vectors.count()))
+        .join(vectors, "vec_id")
         .select("skill", "embedding")
     )
 

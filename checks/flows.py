@@ -14,7 +14,7 @@ from screenforge.plans.invitation import invite
 from screenforge.plans.shortlist import shortlist_many
 from screenforge.schemas import APPLICATION
 from screenforge.session import scratch_path
-from screenforge.streaming.intake import read_intake, start_intake
+from screenforge.streaming.intake import read_intake, start_file_intake, start_intake
 
 
 def w1_continuous_intake(spark, sf):
@@ -31,17 +31,33 @@ def w1_continuous_intake(spark, sf):
     return read_intake(spark, f"{base}/table").select("application_id", "role", "email", "experience")
 
 
-def flow_resumes_to_candidates(spark, sf):
-    """Work histories as DOCX, ODT and text files, read by rule and registered."""
+def _history_files(spark, sf):
+    """Work histories as DOCX, ODT and text files."""
     kind = F.element_at(F.array(F.lit("txt"), F.lit("docx"), F.lit("odt")), (F.col("doc_id") % 3 + 1).cast("int"))
-    files = fx.work_histories(spark, sf).select(
+    return fx.work_histories(spark, sf).select(
         F.col("doc_id").alias("application_id"),
         F.lit("2026-04-01").cast("timestamp_ntz").alias("applied_at"),
         F.when(F.col("doc_id") % 2 == 0, F.lit("QA")).otherwise(F.lit("Developer")).alias("role_raw"),
         F.concat(F.lit("/uploads/"), F.col("doc_id"), F.lit("."), kind).alias("path"),
         fx.file_bytes("text", kind).alias("content"),
     )
-    rows = register(read_applications(files, AS_OF))
+
+
+def w1_file_intake(spark, sf):
+    """The same files as a stream in two deliveries, the second of which repeats every third file under a later id."""
+    base = scratch_path(spark, "file-intake")
+    files = _history_files(spark, sf)
+    again = files.where("application_id % 3 = 0").withColumn("application_id", F.col("application_id") + 100_000_000)
+    for part in (files, again):
+        part.write.mode("append").parquet(f"{base}/incoming")
+        stream = spark.readStream.schema(files.schema).parquet(f"{base}/incoming")
+        start_file_intake(stream, f"{base}/table", f"{base}/checkpoint", AS_OF, available_now=True).awaitTermination()
+    return read_intake(spark, f"{base}/table").select("application_id", "role", "email", "experience")
+
+
+def flow_resumes_to_candidates(spark, sf):
+    """Resume files read by rule and registered."""
+    rows = register(read_applications(_history_files(spark, sf), AS_OF))
     return rows.select(
         "application_id", "role", "name", "email", "location", F.array_join("skills", "|").alias("skills"), "experience"
     )
@@ -58,12 +74,15 @@ def flow_shortlist_to_messages(spark, sf):
     return messages.select("request_id", F.col("position").cast("long").alias("position"), "email", "subject", "status")
 
 
-QUERIES = {f.__name__: f for f in (w1_continuous_intake, flow_resumes_to_candidates, flow_shortlist_to_messages)}
+QUERIES = {f.__name__: f for f in (w1_continuous_intake, w1_file_intake, flow_resumes_to_candidates, flow_shortlist_to_messages)}
 
 _TITLED = o.title("j.role")
 
 ORACLES = {
     "w1_continuous_intake": using("candidates", body="SELECT application_id, role, email, experience FROM candidates"),
+    "w1_file_intake": using("histories", body="""SELECT o_orderkey AS application_id,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'testing' ELSE 'developer' END AS role, 'resume' || o_orderkey || '@mail.example' AS email,
+      years AS experience FROM histories"""),
     "flow_resumes_to_candidates": using("histories", body="""SELECT o_orderkey AS application_id,
         CASE WHEN o_orderkey % 2 = 0 THEN 'testing' ELSE 'developer' END AS role, c_name AS name,
         'resume' || o_orderkey || '@mail.example' AS email, n_name AS location,

@@ -183,6 +183,32 @@ def k5_shortlists(spark, sf):
     return top.select("request_id", F.col("place").cast("long").alias("place"), "application_id", "name", "score", "experience")
 
 
+def k5_stored_vectors(spark, sf):
+    """Vectors that are stored with the candidates and depend on the order of their skills."""
+    path = scratch_path(spark, "candidates")
+    rows = candidates(spark, sf)
+    odd = F.col("application_id") % 2 == 1
+    rows = rows.withColumn("skills", F.when(odd, F.reverse("skills")).otherwise(F.col("skills")))
+    first = rows.select("application_id", F.get("skills", F.lit(0)).alias("skill"))
+    unit = F.sqrt(F.aggregate(F.transform("_e", lambda x: x * x), F.lit(0.0), lambda a, b: a + b))
+    vectors = lookup_join(first, fx.skill_vectors(spark, sf), "skill", "inner").withColumn("_e", F.col("embedding").cast("array<double>"))
+    vectors = vectors.withColumn("_n", unit).select("application_id", F.transform("_e", lambda x: x / F.col("_n")).alias("vector"))
+    store.write_candidates(rows.join(vectors, "application_id", "left"), path)
+    stored = store.read_candidates(spark, path, vectors=True)
+    top = shortlist.shortlist_many(stored, fx.job_requests(spark, sf), fx.skill_vectors(spark, sf))
+    return top.select("request_id", F.col("place").cast("long").alias("place"), "application_id", "name", "score", F.coalesce(F.array_join("skills", "|"), F.lit("")).alias("skills"))
+
+
+def s4_read_csv_by_name(spark, sf):
+    """A table of another writer: one file per role, other columns in another order."""
+    path = scratch_path(spark, "foreign")
+    rows = candidates(spark, sf).where(F.col("role").isin("hr", "testing"))
+    skills = store.format_list_literal(F.col("skills")).alias("skills")
+    rows = rows.select("role", "name", "email", F.lit("n/a").alias("note"), "location", skills, "experience", "application_id")
+    rows.write.partitionBy("role").options(**store._CSV).csv(path)
+    return _listed(store.read_candidates(spark, path, fmt="csv"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -190,6 +216,7 @@ QUERIES = {
         v3_train_skill_vectors, v4_embed, v5_word_similarity, v6_empty_side, j3_match, v7_score,
         v7_score_negative_experience, f4_positive_score, k1_rank_filtered, k1_word_similarity, k2_rank_unfiltered,
         k3_by_experience, k4_most_experienced, k4_role_overview, k5_top_matches, k5_shortlists,
+        k5_stored_vectors, s4_read_csv_by_name,
     )
 }
 
@@ -239,6 +266,10 @@ ORACLES = {
       WHERE role = 'testing' AND experience > 0 ORDER BY experience DESC, application_id LIMIT 5)"""),
     "k5_top_matches": using("scored_forms", body=f"""SELECT request_id, place, application_id, score FROM (
       SELECT *, {_PLACE} AS place FROM scored_forms WHERE NOT any_filter OR score > 0) WHERE place <= 5"""),
+    "s4_read_csv_by_name": using("candidates", body=_LISTED + " WHERE role IN ('hr', 'testing')"),
+    "k5_stored_vectors": using("stored_scored", body=f"""SELECT request_id, place, application_id, name, score,
+      coalesce(array_to_string(CASE WHEN application_id % 2 = 1 THEN list_reverse(skills) ELSE skills END, '|'), '') AS skills
+      FROM (SELECT *, {_PLACE} AS place FROM stored_scored WHERE NOT any_filter OR score > 0) WHERE place <= 5"""),
     "k5_shortlists": using("scored", body=f"""SELECT request_id, place, application_id, name, score, experience FROM (
       SELECT *, {_PLACE} AS place FROM scored WHERE NOT any_filter OR score > 0) WHERE place <= 5"""),
 }

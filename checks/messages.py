@@ -54,6 +54,14 @@ def o5_escape_html(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", escape_html(F.col("html")).alias("escaped"))
 
 
+def o6_rerun(spark, sf):
+    """A second run of the same requests adds no message."""
+    path = scratch_path(spark, "outbox")
+    for _ in range(2):
+        ob.write_outbox(_outbox(spark, sf), path)
+    return spark.read.parquet(path).select("request_id", _position(), "status")
+
+
 def o6_write_outbox(spark, sf):
     path = scratch_path(spark, "outbox")
     ob.write_outbox(_outbox(spark, sf), path)
@@ -76,7 +84,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         o1_expand_recipients, o2_validate_requests, o3_venue_or_address, o4_plain_messages, o5_html_messages,
-        o5_escape_html, o6_write_outbox, a1_delivery_report, a1_request_report,
+        o5_escape_html, o6_rerun, o6_write_outbox, a1_delivery_report, a1_request_report,
     )
 }
 
@@ -106,16 +114,18 @@ ORACLES = {
       CASE WHEN venue IS NULL OR venue = '' THEN '1 Example Street, Exampletown' ELSE venue END AS venue FROM mail_requests"""),
     "o4_plain_messages": using("outbox", body="""SELECT request_id, position::BIGINT AS position,
       CASE WHEN status = 'ready' THEN 'Interview invitation: ' || titled || ' at Example Company' END AS subject,
-      CASE WHEN status = 'ready' THEN 'Dear ' || name || ',' || chr(10) || chr(10) || 'you are on the shortlist for the role '
-        || role || ' at Example Company.' || chr(10) || chr(10) || 'Date: ' || long_date || chr(10) || 'Time: ' || long_time
-        || chr(10) || 'Venue: ' || place || chr(10) || chr(10) || 'Please bring your resume and proof of identity.'
-        || chr(10) || chr(10) || 'Kind regards' || chr(10) || 'Example Company' END AS plain FROM outbox"""),
+      CASE WHEN status = 'ready' THEN 'Example Company would like to meet you.' || chr(10) || chr(10) || 'Venue: ' || place || chr(10)
+        || 'Date: ' || long_date || chr(10) || 'Time: ' || long_time || chr(10) || chr(10) || 'Hello ' || name
+        || ', we have read your application as ' || role || ' and have kept this hour for you. Answer this mail if another one suits you better.'
+        || chr(10) || chr(10) || 'Until then' || chr(10) || 'Example Company, 1 Example Street, Exampletown' END AS plain FROM outbox"""),
     "o5_html_messages": using("outbox", body=f"""SELECT request_id, position::BIGINT AS position, CASE WHEN status = 'ready' THEN
-      '<html><body><p>Dear ' || {_escaped('name')} || ',</p><p>you are on the shortlist for the role <b>' || {_escaped('titled')}
-      || '</b> at Example Company.</p><ul><li>Date: ' || long_date || '</li><li>Time: ' || long_time || '</li><li>Venue: '
-      || {_escaped('place')} || '</li></ul><p>Please bring your resume and proof of identity.</p>'
+      '<html><body><h1>Example Company would like to meet you</h1><table><tr><td>Venue</td><td>' || {_escaped('place')}
+      || '</td></tr><tr><td>Date</td><td>' || long_date || '</td></tr><tr><td>Time</td><td>' || long_time || '</td></tr></table><p>Hello '
+      || {_escaped('name')} || ', we have read your application as <b>' || {_escaped('titled')}
+      || '</b> and have kept this hour for you. Answer this mail if another one suits you better.</p>'
       || '<p>Example Company<br>1 Example Street, Exampletown</p></body></html>' END AS html FROM outbox"""),
     "o5_escape_html": f"SELECT page_id, {_escaped('html')} AS escaped FROM pages",
+    "o6_rerun": using("outbox", body="SELECT request_id, position::BIGINT AS position, status FROM outbox"),
     "o6_write_outbox": using("outbox", body="""SELECT request_id, position::BIGINT AS position, email, name, status,
       NULL::VARCHAR AS error FROM outbox"""),
     "a1_delivery_report": _delivered_sql(f"SELECT request_id, sent, failed, errors FROM ({_REPORT})"),

@@ -43,6 +43,7 @@ def title(c: str) -> str:
       lambda r: upper(r[1:1]) || lower(r[2:])), '')"""
 
 
+# The weights of the roles.
 _WEIGHTS = {
     "w_skills": {"datascience": 60, "developer": 50, "testing": 40, "data_engineer": 60, "cloud_engineer": 70, "hr": 30},
     "w_experience": {"datascience": 25, "developer": 30, "testing": 40, "data_engineer": 30, "cloud_engineer": 20, "hr": 40},
@@ -116,14 +117,19 @@ PARTS = {
     + ") AS t(request_id, role, skills, experience, location)",
     "prepared": _prepared("job_requests"),
     "prepared_forms": _prepared("form_requests"),
-    "skill_vectors": f"""SELECT skill, embedding FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS skill FROM part)
+    "skill_vectors": f"""SELECT skill, embedding FROM (SELECT skill, row_number() OVER (ORDER BY skill) - 1 AS number
+        FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS skill FROM part))
       JOIN embeddings ON vec_id = {fx.SKILL_VECTOR_ID}""",
+    # Stored vectors that depend on the order of the skills: that of the first one, for odd ids of the last one.
+    "stored_vectors": """SELECT application_id, embedding::DOUBLE[] AS v FROM candidates
+      JOIN skill_vectors ON skill = skills[CASE WHEN application_id % 2 = 1 THEN len(skills) ELSE 1 END]""",
     "candidate_vectors": _summed("application_id", "skills", "candidates"),
     "job_vectors": _summed("request_id", "job_skills", "prepared"),
     "form_vectors": _summed("request_id", "job_skills", "prepared_forms"),
     "word_scored_forms": _scored("prepared_forms", WORD_RAW),
     "scored_forms": _scored("prepared_forms", VECTOR_RAW.format(jobs="form_vectors")),
     "scored": _scored("prepared", VECTOR_RAW.format(jobs="job_vectors")),
+    "stored_scored": _scored("prepared", VECTOR_RAW.format(jobs="job_vectors").replace("candidate_vectors", "stored_vectors")),
     "mail_requests": f"""SELECT o_orderkey AS request_id,
         list_transform(numbers, lambda n: CASE WHEN n % 9 = 0 THEN 'no-address-' || n WHEN n % 31 = 0 THEN NULL
           ELSE 'contact' || n || '@mail.example' END) AS emails,
@@ -162,6 +168,8 @@ _NEEDS = {
     "word_scored_forms": ["candidates", "prepared_forms"],
     "scored_forms": ["candidates", "prepared_forms", "candidate_vectors", "form_vectors"],
     "scored": ["candidates", "prepared", "candidate_vectors", "job_vectors"],
+    "stored_vectors": ["candidates", "skill_vectors"],
+    "stored_scored": ["candidates", "prepared", "stored_vectors", "job_vectors"],
     "mail_checked": ["mail_requests"],
     "recipients": ["mail_checked"],
     "outbox": ["recipients"],

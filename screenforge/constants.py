@@ -36,3 +36,6 @@ FORMAT_SUFFIXES = {
     ".txt": "txt",
     ".odt": "odt",
 }
+
+# An error with one of these is a used-up quota.
+QUOTA_WORDS = ("quota", "429")

@@ -68,14 +68,17 @@ OTHER_HEADINGS = (
     "awards",
     "contact",
 )
-OPEN_ENDS = ("till present", "present", "current", "ongoing")
+OPEN_ENDS = ("till present", "till date", "present", "current", "ongoing", "now", "today", "date")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_MONTH = rf"(?:({'|'.join(MONTHS)})[a-z]*\.?,?\s+)?"
-_YEAR = r"((?:19|20)\d{2})"
-_RANGE = rf"(?i)\b{_MONTH}{_YEAR}\s*(?:to|until|[-–—])\s*(?:({'|'.join(OPEN_ENDS)})\b|{_MONTH}{_YEAR})"
+# A month and year: June 2019, Mar '19, 06/2019, 2019-06, or the year alone. Groups: name, number before, year, number after.
+_POINT = rf"(?:(?:({'|'.join(MONTHS)})[a-z]*\.?,?\s+)|(0?[1-9]|1[0-2])[/.])?((?:19|20)\d{{2}}|['’]\d{{2}})(?:-(0[1-9]|1[0-2])(?!\d))?"
+_RANGE = rf"(?i)(?<![\w/.]){_POINT}\s*(?:to|until|[-–—])\s*(?:({'|'.join(OPEN_ENDS)})\b|{_POINT})"
 _LENGTH = r"(?i)\b(\d+(?:\.\d+)?)\s*\+?\s*years?\b(?:\s*(?:and\s+)?(\d+)\s*months?\b)?"
 _ONLY_MONTHS = r"(?i)\b(\d+)\s*\+?\s*months?\b"
+_ITEM = r"^\s*[-*•·–]\s"
+_AT_END = r"(?i)(?:years?|months?)\s*[).]?\s*$"
+_HEADED = rf"(?i)^\s*(?:{'|'.join(WORK_HEADINGS)})\s*\("
 
 
 def section(text: Column, headings: tuple[str, ...], closing: tuple[str, ...]) -> Column:
@@ -101,13 +104,23 @@ def _month_number(name: Column) -> Column:
     return F.when(name == "", F.lit(0)).otherwise(((at + 2) / 3).cast("int"))
 
 
+def _point(name: Column, before: Column, year: Column, after: Column, as_of: dt.date) -> tuple[Column, Column]:
+    """Month (0 without one) and year. Two digits are a year of the last hundred."""
+    number = F.coalesce(before.try_cast("int"), after.try_cast("int"), F.lit(0))
+    month = F.when(name != "", _month_number(name)).otherwise(number)
+    short = F.right(year, F.lit(2)).try_cast("int")
+    century = as_of.year // 100 * 100
+    of_two = F.when(short > as_of.year % 100, short + century - 100).otherwise(short + century)
+    return month, F.when(F.length(year) == 3, of_two).otherwise(year.try_cast("int"))
+
+
 def _range_months(groups: Column, as_of: dt.date) -> Column:
-    """Months of (month, year, open end, month, year)."""
-    month1, month2 = _month_number(groups[0]), _month_number(groups[3])
-    year1, year2 = groups[1].try_cast("int"), groups[4].try_cast("int")
+    """Months of the two points of a range, the second of which may be open."""
+    month1, year1 = _point(groups[0], groups[1], groups[2], groups[3], as_of)
+    month2, year2 = _point(groups[5], groups[6], groups[7], groups[8], as_of)
     months = (
-        F.when((groups[2] != "") & (month1 > 0), (as_of.year - year1) * 12 + (as_of.month - month1))
-        .when(groups[2] != "", (as_of.year - year1) * 12)
+        F.when((groups[4] != "") & (month1 > 0), (as_of.year - year1) * 12 + (as_of.month - month1))
+        .when(groups[4] != "", (as_of.year - year1) * 12)
         .when((month1 > 0) & (month2 > 0), (year2 - year1) * 12 + (month2 - month1) + 1)
         .otherwise((year2 - year1) * 12)
     )
@@ -126,8 +139,9 @@ def _sum(values: Column) -> Column:
 def work_history_years(text: Column, as_of: dt.date) -> Column:
     """Total years over all jobs of the work sections; 0.0 without such a section.
 
-    A job line counts by its date range, else by its stated length. Overlapping jobs add up.
-    Claims outside the work sections are ignored.
+    A job line counts by its date range, else by its stated length. Inside a listed item, and not at its
+    end, a length counts only where no line has a range: under a dated job it tells of something else. One
+    in brackets after a heading never counts. Overlapping jobs add up. Claims outside the work sections are ignored.
     """
     body = section(text, WORK_HEADINGS, WORK_HEADINGS + OTHER_HEADINGS)
 
@@ -135,16 +149,20 @@ def work_history_years(text: Column, as_of: dt.date) -> Column:
     found = F.transform(
         F.split(body, "\n"),
         lambda line: F.struct(
-            _groups(line, _RANGE, 5).alias("ranges"),
+            _groups(line, _RANGE, 9).alias("ranges"),
             _groups(line, _LENGTH, 2).alias("lengths"),
             F.regexp_extract_all(line, F.lit(_ONLY_MONTHS), F.lit(1)).alias("months"),
+            (F.rlike(line, F.lit(_ITEM)) & ~F.rlike(line, F.lit(_AT_END))).alias("aside"),
+            F.rlike(line, F.lit(_HEADED)).alias("headed"),
         ),
     )
+    dated = F.exists(found, lambda line: F.cardinality(line["ranges"]) > 0)
     per_line = F.transform(
         found,
         lambda line: F.when(
             F.cardinality(line["ranges"]) > 0, _sum(F.transform(line["ranges"], lambda g: _range_months(g, as_of)))
         )
+        .when(line["headed"] | (line["aside"] & dated), F.lit(0.0))
         .when(F.cardinality(line["lengths"]) > 0, _sum(F.transform(line["lengths"], _length_months)))
         .otherwise(_sum(F.transform(line["months"], lambda m: m.try_cast("double")))),
     )

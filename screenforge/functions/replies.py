@@ -21,6 +21,14 @@ def clean_json(c: Column) -> Column:
     return F.when(braces != "", braces).otherwise(strip(bare))
 
 
+def number_in_reply(c: Column, field: str) -> Column:
+    """A field of cleaned JSON text as a double where it is a JSON number; null for text and all else."""
+    value = F.try_variant_get(F.try_parse_json(c), f"$.{field}", "variant")
+    kind = F.schema_of_variant(value)
+    is_number = (kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
+    return F.when(is_number, F.try_variant_get(F.try_parse_json(c), f"$.{field}", "double"))
+
+
 def parse_reply(c: Column) -> Column:
     """Cleaned JSON text to a struct of text fields.
 

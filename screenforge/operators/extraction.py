@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenforge.constants import QUOTA_WORDS
 from screenforge.functions.contacts import (
     contact_email,
     contact_location,
@@ -17,7 +18,7 @@ from screenforge.functions.contacts import (
 )
 from screenforge.functions.experience import work_history_years
 from screenforge.functions.literals import parse_list_literal
-from screenforge.functions.replies import clean_json, parse_reply
+from screenforge.functions.replies import clean_json, number_in_reply, parse_reply
 from screenforge.operators.joins import lookup_join
 from screenforge.session import materialize
 
@@ -28,27 +29,27 @@ EXHAUSTED = "every model is over its quota"
 Model = Callable[[Column], Column]
 
 
+def _span(years: float) -> str:
+    return f"{years:g}"
+
+
 def prompt_rules(as_of: dt.date) -> str:
-    """Instructions put before the resume, with examples counted from ``as_of``."""
-    today = as_of.strftime("%B %Y")
-    since_january = as_of.year - 2019
-    since_june = round(since_january + (as_of.month - 6) / 12, 2)
+    """What a model is asked to do with the resume that follows. Examples count from ``as_of``."""
+    start = dt.date(as_of.year - 4, 9, 1)
+    running = round((as_of.year - start.year) + (as_of.month - start.month) / 12, 2)
     return "\n".join(
         [
-            f"Read the resume below and return one JSON object. The current month is {today}.",
-            "Keys: name, email, phone, location, skills, experience.",
-            "name, email and phone are text from the contact part.",
-            "location is the city or state of the contact part, or null.",
-            "skills is a flat array of skill names.",
-            "experience is the total of years over all jobs of the work section, as a plain number:",
-            f"- a job that goes on ends in {today}: '2019 to Present' is {since_january},"
-            f" 'June 2019 to Present' is {since_june};",
-            "- 'Jan 2018 to Dec 2020' is 3, '2 years 5 months' is 2.42, '3+ years' is 3;",
-            "- add up the jobs: 3, 2, 1, 2 and 2 years make 10;",
-            "- claims in a summary or profile do not count; without a work section it is 0.",
-            "Return the JSON only.",
+            "You turn an applicant's resume into one JSON object and write nothing besides it.",
             "",
-            "Resume:",
+            "experience: a number, the years worked. Take every position of the employment section, work out its length, and add all lengths.",
+            f"  Reckon with {as_of:%B %Y} as the present month; a position begun in {start:%B %Y} and still held has {_span(running)}.",
+            "  From Feb 2015 to Jan 2017 is 2; a position described as '4 years 3 months' has 4.25; '7+ years' has 7.",
+            "  What the applicant says about total experience elsewhere is no position. Without an employment section write 0.",
+            "skills: a list of strings, one skill in each, not nested.",
+            "location: the town or region where the applicant lives; null if the resume has none.",
+            "name, phone, email: strings, as the applicant writes them at the top.",
+            "",
+            "The resume:",
             "",
         ]
     )
@@ -62,7 +63,7 @@ def build_prompts(docs: DataFrame, as_of: dt.date) -> DataFrame:
 def is_quota_error(error: Column) -> Column:
     """Errors after which the next model is tried."""
     message = F.lower(error)
-    return F.coalesce(F.contains(message, F.lit("quota")) | F.contains(message, F.lit("429")), F.lit(False))
+    return F.coalesce(F.contains(message, F.lit(QUOTA_WORDS[0])) | F.contains(message, F.lit(QUOTA_WORDS[1])), F.lit(False))
 
 
 def fallback_chain(df: DataFrame, models: list[tuple[str, Model]], prompt: str = "prompt") -> DataFrame:
@@ -96,14 +97,21 @@ def fallback_chain(df: DataFrame, models: list[tuple[str, Model]], prompt: str =
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
-    """Add name, email, phone, location, skills (array), experience (text) and error of ``reply``."""
-    parsed = replies.withColumn("_r", parse_reply(clean_json(F.col("reply"))))
+    """Add name, email, phone, location, skills (array), experience (text) and error of ``reply``, and
+    experience_number where the experience is a number and not text."""
+    cleaned = clean_json(F.col("reply"))
+    parsed = replies.withColumn("_r", parse_reply(cleaned))
     fields = {f: F.col(f"_r.{f}") for f in ("name", "email", "phone", "location", "experience")}
     error = F.col("_r.error")
     if "error" in replies.columns:
         error = F.coalesce(F.col("error"), error)
     return parsed.withColumns(
-        {**fields, "skills": parse_list_literal(F.col("_r.skills")), "error": error}
+        {
+            **fields,
+            "skills": parse_list_literal(F.col("_r.skills")),
+            "error": error,
+            "experience_number": F.when(F.col("_r.experience").isNotNull(), number_in_reply(cleaned, "experience")),
+        }
     ).drop("_r")
 
 
@@ -120,21 +128,34 @@ def extract_contacts(docs: DataFrame) -> DataFrame:
     )
 
 
+def _words(text: Column) -> Column:
+    """Words in lower case, in order. Letters and digits of every language, plus and number signs belong to a
+    word, and full stops inside it (node.js)."""
+    bare = F.regexp_replace(F.lower(text), r"\.+([^\p{L}\p{N}]|\z)", " ")
+    return F.filter(F.split(bare, r"[^\p{L}\p{N}+#.]+"), lambda w: w != "")
+
+
 def extract_skills(docs: DataFrame, dictionary: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
-    """``doc_id`` and ``skills``: the sorted distinct words of the text that the dictionary
-    (``skill``) lists.
+    """``doc_id`` and ``skills``: the sorted distinct entries of the dictionary (``skill``) that stand in the text.
 
-    One pass: words of a document are reduced to its hits before the shuffle, and the text is not
-    carried along.
+    An entry of several words is found where its words follow each other. Only hits are shuffled, and the text
+    is not carried along; documents without any hit are brought back by their id.
     """
-    # A full stop inside a word belongs to it (node.js), one at its end does not.
-    text = F.regexp_replace(F.lower("text"), r"\.+([^a-z0-9]|\z)", " ")
-    words = F.array_distinct(F.filter(F.split(text, r"[^a-z0-9+#.]+"), lambda w: w != ""))
-    tokens = docs.select("doc_id", F.explode_outer(words).alias("skill"))
-    listed = dictionary.select(F.lower("skill").alias("skill")).distinct().withColumn("_listed", F.lit(True))
-    marked = lookup_join(tokens, listed, "skill", "left", max_broadcast)
-    hits = F.collect_set(F.when(F.col("_listed"), F.col("skill")))
-    return marked.groupBy("doc_id").agg(F.sort_array(hits).alias("skills"))
+    listed = dictionary.select(F.array_join(_words(F.col("skill")), " ").alias("skill")).where("skill <> ''").distinct()
+    longest = listed.agg(F.max(F.size(F.split("skill", " ")))).first()[0] or 1
+    words = F.col("_words")
+
+    def runs_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    runs = [runs_of(n) for n in range(1, longest + 1)]
+    tokens = docs.select("doc_id", _words(F.col("text")).alias("_words"))
+    tokens = tokens.select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("skill"))
+    found = lookup_join(tokens, listed, "skill", "inner", max_broadcast)
+    hits = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("skill")).alias("skills"))
+    every = docs.select("doc_id").distinct().join(hits, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("skills", F.array().cast("array<string>")).alias("skills"))
 
 
 def extract_fields(docs: DataFrame, as_of: dt.date) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from screenforge.functions.dates import format_interview_date, format_interview_
 from screenforge.functions.text import escape_html, title_case, valid_email
 
 INVALID_SCHEDULE = "invalid date or time"
+INCOMPLETE = "name or role is missing"
 
 
 @dataclass(frozen=True)
@@ -53,33 +55,36 @@ def subject(sender: Sender = Sender()) -> Column:
 def plain_message(sender: Sender = Sender()) -> Column:
     """The role stands as it was given."""
     return F.concat(
-        F.lit("Dear "), F.col("name"),
-        F.lit(",\n\nyou are on the shortlist for the role "), F.col("role"), F.lit(f" at {sender.company}."),
-        F.lit("\n\nDate: "), F.col("long_date"),
+        F.lit(f"{sender.company} would like to meet you.\n\nVenue: "), F.col("venue"),
+        F.lit("\nDate: "), F.col("long_date"),
         F.lit("\nTime: "), F.col("long_time"),
-        F.lit("\nVenue: "), F.col("venue"),
-        F.lit(f"\n\nPlease bring your resume and proof of identity.\n\nKind regards\n{sender.company}"),
+        F.lit("\n\nHello "), F.col("name"),
+        F.lit(", we have read your application as "), F.col("role"),
+        F.lit(" and have kept this hour for you. Answer this mail if another one suits you better."),
+        F.lit(f"\n\nUntil then\n{sender.company}, {sender.address}"),
     )
 
 
 def html_message(sender: Sender = Sender()) -> Column:
     """The same message as HTML, with the role in title case and all values escaped."""
     return F.concat(
-        F.lit("<html><body><p>Dear "), escape_html(F.col("name")),
-        F.lit(",</p><p>you are on the shortlist for the role <b>"), escape_html(title_case(F.col("role"))),
-        F.lit(f"</b> at {sender.company}.</p><ul><li>Date: "), F.col("long_date"),
-        F.lit("</li><li>Time: "), F.col("long_time"),
-        F.lit("</li><li>Venue: "), escape_html(F.col("venue")),
-        F.lit(f"</li></ul><p>Please bring your resume and proof of identity.</p><p>{sender.company}<br>{sender.address}</p></body></html>"),
+        F.lit(f"<html><body><h1>{sender.company} would like to meet you</h1><table><tr><td>Venue</td><td>"), escape_html(F.col("venue")),
+        F.lit("</td></tr><tr><td>Date</td><td>"), F.col("long_date"),
+        F.lit("</td></tr><tr><td>Time</td><td>"), F.col("long_time"),
+        F.lit("</td></tr></table><p>Hello "), escape_html(F.col("name")),
+        F.lit(", we have read your application as <b>"), escape_html(title_case(F.col("role"))),
+        F.lit("</b> and have kept this hour for you. Answer this mail if another one suits you better.</p>"),
+        F.lit(f"<p>{sender.company}<br>{sender.address}</p></body></html>"),
     )
 
 
 def build_outbox(requests: DataFrame, sender: Sender = Sender()) -> DataFrame:
     """Messages of all valid requests. ``status`` is ``ready``, or ``failed`` without a message
-    where the email is invalid."""
+    where the email is invalid, or, with an error text, where a name or the role is missing."""
     valid = validate_requests(requests).where("success").withColumn("venue", venue_or_address(F.col("venue"), sender))
     rows = expand_recipients(valid.drop("success", "error"))
-    ok = valid_email(F.col("email"))
+    complete = F.col("name").isNotNull() & F.col("role").isNotNull()
+    ok = valid_email(F.col("email")) & complete
     return rows.select(
         "request_id",
         "position",
@@ -89,13 +94,24 @@ def build_outbox(requests: DataFrame, sender: Sender = Sender()) -> DataFrame:
         F.when(ok, plain_message(sender)).alias("plain"),
         F.when(ok, html_message(sender)).alias("html"),
         F.when(ok, F.lit("ready")).otherwise(F.lit("failed")).alias("status"),
-        F.lit(None).cast("string").alias("error"),
+        F.when(valid_email(F.col("email")) & ~complete, F.lit(INCOMPLETE)).alias("error"),
     )
 
 
 def write_outbox(outbox: DataFrame, path: str) -> None:
-    """Add messages to the table a sender reads. The sender reports status and error back."""
-    outbox.write.mode("append").parquet(path)
+    """Add messages to the table a sender reads. The sender reports status and error back.
+
+    A message that is there already, by request and position, stays as it is, so a second run adds
+    nothing. One writer at a time.
+    """
+    new = outbox
+    try:
+        there = outbox.sparkSession.read.schema(outbox.schema).parquet(path).select("request_id", "position").distinct()
+        new = outbox.join(there, ["request_id", "position"], "left_anti").select(*outbox.columns)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new.write.mode("append").parquet(path)
 
 
 def delivery_report(outbox: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +53,12 @@ def most_experienced(candidates: DataFrame, k: int = SHORTLIST_SIZE) -> DataFram
 def finalists(candidates: DataFrame, k: int = SHORTLIST_SIZE) -> DataFrame:
     """Candidates that can reach any request's first ``k``.
 
-    Candidates of one role with equal skills and location differ only in experience, and no
-    request scores less experience higher. So only the first ``k`` of such a group can be
-    listed. The cut runs in every input partition before the shuffle.
+    Candidates of one role with equal skills, stored vector and location differ only in experience,
+    and with weights of zero or more no request scores less experience higher. So only the first
+    ``k`` of such a group can be listed. The cut runs in every input partition before the shuffle.
     """
-    alike = Window.partitionBy("role", "_skills", "_size", "_place").orderBy(
+    stored = ["vector"] if "vector" in candidates.columns else []
+    alike = Window.partitionBy("role", "_skills", "_size", "_place", *stored).orderBy(
         F.col("experience").desc_nulls_last(), F.col("application_id")
     )
     return (
@@ -72,7 +75,7 @@ def finalists(candidates: DataFrame, k: int = SHORTLIST_SIZE) -> DataFrame:
     )
 
 
-_CARRIED = ("name", "email", "location")
+_CARRIED = ("name", "email", "phone", "location", "skills")
 _SHORTLIST = {
     "request_id": "bigint",
     "application_id": "bigint",
@@ -82,7 +85,9 @@ _SHORTLIST = {
     "skill_count": "bigint",
     "name": "string",
     "email": "string",
+    "phone": "string",
     "location": "string",
+    "skills": "array<string>",
 }
 # Scores held at a time; more requests are taken in several steps.
 _CELLS = 4_000_000
@@ -109,6 +114,7 @@ def _block_shortlist(k: int, cut: float):
         vectors = _vectors(people["vector"], dims)
         years = people["experience"].to_numpy(dtype=float)[:, None]
         place_code, places = pd.factorize(people["location"].str.lower())
+        known_places = pa.array(places, pa.string())
         # Row numbers of the people picked, and for each the request, its kind and the score.
         chosen, request, kind, points_of = [], [], [], []
         step = max(1, _CELLS // max(1, len(people)))
@@ -121,7 +127,7 @@ def _block_shortlist(k: int, cut: float):
             near = np.zeros((len(places) + 1, len(part)), dtype=bool)
             for wanted, rows in part.groupby("wanted_location").indices.items():
                 if wanted:
-                    near[: len(places), rows] = np.array([wanted in p for p in places], dtype=bool)[:, None]
+                    near[: len(places), rows] = pc.match_substring(known_places, wanted).to_numpy(zero_copy_only=False)[:, None]
             at = near[place_code]
             raw = vectors @ _vectors(part["job_vector"], dims).T * 100
             points = (
@@ -184,20 +190,22 @@ def shortlists(
     cell = ("role", "block", "request_block")
     tasks = blocks * request_blocks
     people = (
-        candidates.select(
+        candidates.where("role IS NOT NULL")
+        .select(
             "role",
             "application_id",
             "experience",
             skill_count(F.col("skills")).cast("long").alias("skill_count"),
             "vector",
-            *_CARRIED,
+            *[c if c in candidates.columns else F.lit(None).cast(_SHORTLIST[c]).alias(c) for c in _CARRIED],
         )
         .withColumn("block", part_of("application_id", blocks))
         .withColumn("request_block", every_part(request_blocks))
         .repartition(tasks, *cell)
     )
     jobs = (
-        requests.select(
+        requests.where("role IS NOT NULL")
+        .select(
             "role",
             "request_id",
             (F.cardinality("job_skills") > 0).alias("wants_skills"),

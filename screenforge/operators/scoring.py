@@ -85,6 +85,6 @@ def add_score(pairs: DataFrame, raw: Column, cut: float = RAW_SIMILARITY_CUT) ->
     score = (
         F.when(wants_skills & (similar < cut), F.lit(0.0))
         .when(~wants_skills & (points == 0), F.lit(1.0))
-        .otherwise(F.round(points, 2))
+        .otherwise(F.floor(points * 100 + 0.5) / 100)  # as in the blocks of ranking.shortlists, ties included
     )
     return pairs.withColumn("raw_similarity", raw_similarity).withColumn("score", score)

@@ -59,5 +59,10 @@ def embed(df: DataFrame, text: str, load_model: Callable[[], Callable[[list[str]
 
     # Non-deterministic: no filter is pushed below it with a second call of the model.
     encode = encode.asNondeterministic()
-    distinct = df.select(text).where(F.col(text).isNotNull()).distinct()
-    return df.join(distinct.withColumn(target, encode(F.col(text))), text, "left")
+    # Texts are compared by digest and hash; a frequent text is spread over salts on its way back.
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_digest", F.sha2(text, 256)).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    distinct = keyed.where(F.col(text).isNotNull()).groupBy("_digest").agg(F.first(text).alias("_text"))
+    vectors = distinct.select("_digest", encode(F.col("_text")).alias(target))
+    runs = keyed.select("_digest", "_salt").distinct().join(vectors, "_digest")
+    return keyed.join(runs, ["_digest", "_salt"], "left").drop("_digest", "_salt")

@@ -45,8 +45,9 @@ def shortlist_many(
     skill_vectors: DataFrame,
     k: int = SHORTLIST_SIZE,
     cut: float = RAW_SIMILARITY_CUT,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
-    """First ``k`` candidates of each raw job request.
+    """First ``k`` candidates of each raw job request; ``weights`` as in :func:`prepare_requests`.
 
     Candidates no request can list are cut before vectors are looked up for the rest, unless
     ``candidates`` already carry ``vector``. The rest is written to the scratch folder: the lookup
@@ -54,7 +55,7 @@ def shortlist_many(
     """
     spark = candidates.sparkSession
     able = materialize(finalists(candidates, k), "finalists")
-    jobs = prepare_requests(requests)
+    jobs = prepare_requests(requests, weights)
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(able.count() / ROWS_PER_BLOCK))
     request_blocks = max(1, ceil(jobs.count() / ROWS_PER_BLOCK))
     if "vector" not in able.columns:

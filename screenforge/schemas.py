@@ -30,6 +30,10 @@ CANDIDATE = T.StructType(
     ]
 )
 
+# A stored candidate may carry the vector of its skills, so that no search computes it again.
+VECTOR = T.StructField("vector", T.ArrayType(T.DoubleType()))
+CANDIDATE_WITH_VECTOR = T.StructType([*CANDIDATE.fields, VECTOR])
+
 # CSV cannot hold arrays; the list is written as its literal text.
 CANDIDATE_CSV = T.StructType(
     [T.StructField(f.name, T.StringType() if f.name == "skills" else f.dataType) for f in CANDIDATE.fields]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from screenforge.constants import ROLE_ALIASES
 from screenforge.functions.literals import format_list_literal, parse_list_literal
-from screenforge.schemas import CANDIDATE, CANDIDATE_CSV
+from screenforge.schemas import CANDIDATE, CANDIDATE_CSV, CANDIDATE_WITH_VECTOR
 
 # Keep blanks at the ends of fields, and line ends inside them.
 _CSV = {
@@ -27,9 +28,12 @@ _CSV_ROWS_PER_FILE = 1_000_000
 def write_candidates(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     """Add rows to the table, in one folder per role.
 
-    Rows are gathered by role into files of the advised size; a hot role is split over tasks.
+    Rows are gathered by role into files of the advised size; a hot role is split over tasks. A
+    ``vector`` is stored with its row (Parquet only). Roles are folder names: gather free-text roles
+    that are not in use under one name before writing very many of them.
     """
-    rows = df.select(*CANDIDATE.fieldNames()).hint("rebalance", "role")
+    fields = CANDIDATE.fieldNames() + (["vector"] if fmt == "parquet" and "vector" in df.columns else [])
+    rows = df.select(*fields).hint("rebalance", "role")
     writer = rows.write
     if fmt == "csv":
         rows = rows.withColumn("skills", format_list_literal(F.col("skills")))
@@ -37,24 +41,46 @@ def write_candidates(df: DataFrame, path: str, fmt: str = "parquet", mode: str =
     writer.partitionBy("role").mode(mode).format(fmt).save(path)
 
 
-def read_candidates(spark: SparkSession, path: str, role: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """The table, or one role of it. A missing table is an empty one."""
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.schema(CANDIDATE_CSV).options(**_CSV_READ)
-    else:
-        reader = reader.schema(CANDIDATE)
+def _named_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files by the names in their header: a missing column is null, others are left out.
+
+    All files must have the header of the first; another one is an error and not a wrong column. Without
+    ``role=`` folders and without a role column the role is the file's name.
+    """
+    first = spark.read.options(**_CSV_READ).csv(path)
+    df = spark.read.options(**_CSV_READ, enforceSchema="false").schema(_as_text(first.schema)).csv(path)
+    if "role" not in df.columns:
+        df = df.withColumn("role", F.lower(F.regexp_extract(F.input_file_name(), r"([^/]*)\.csv$", 1)))
+    fields = [
+        F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in CANDIDATE_CSV.fields
+    ]
+    return df.select(*fields).withColumn("skills", parse_list_literal(F.col("skills")))
+
+
+def _as_text(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+
+
+def read_candidates(
+    spark: SparkSession, path: str, role: str | None = None, fmt: str = "parquet", vectors: bool = False
+) -> DataFrame:
+    """The table, or one role of it; with ``vectors`` also the stored vector, null where there is none.
+
+    A missing table is an empty one.
+    """
+    schema = CANDIDATE_WITH_VECTOR if vectors else CANDIDATE
     try:
-        df = reader.load(path)
+        df = _named_csv(spark, path) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], CANDIDATE)
-    if fmt == "csv":
-        df = df.withColumn("skills", parse_list_literal(F.col("skills")))
+        return spark.createDataFrame([], schema)
+    if fmt == "csv" and vectors:
+        df = df.withColumn("vector", F.lit(None).cast("array<double>"))
     if role is not None:
         df = df.where(F.col("role") == ROLE_ALIASES.get(role.lower(), role.lower()))
-    return df.select(*CANDIDATE.fieldNames())
+    return df.select(*schema.fieldNames())
 
 
 def with_score_column(df: DataFrame) -> DataFrame:

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from typing import Any
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from screenforge.plans.intake import register
+from screenforge.functions.text import email_key
+from screenforge.operators.dedup import new_applications
+from screenforge.plans.intake import read_applications, register
 from screenforge.schemas import CANDIDATE
+from screenforge.session import materialize
+
+# Fixed for the life of a table: its key folders are numbered by it.
+KEY_BUCKETS = 64
 
+_KEYS = T.StructType(
+    [T.StructField("role", T.StringType()), T.StructField("email", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())]
+)
 _STORED = T.StructType([*CANDIDATE.fields, T.StructField("batch_id", T.LongType())])
 
 
@@ -24,16 +36,32 @@ def read_intake(spark: SparkSession, table: str) -> DataFrame:
         return spark.createDataFrame([], _STORED)
 
 
+def _read_keys(spark: SparkSession, table: str) -> DataFrame:
+    try:
+        return spark.read.schema(_KEYS).parquet(f"{table}_keys")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _KEYS)
+
+
 def store_batch(applications: DataFrame, batch_id: int, table: str) -> None:
     """Register one batch against all earlier ones.
 
-    A batch looks only at folders of lower numbers and replaces its own, so a replay after a
-    failure gives the same table. The duplicate check reads two columns of the history.
+    Accepted (role, email) keys lie in a table of their own beside the candidates, in folders by
+    batch and hash bucket. A batch is computed once, opens only its own buckets of lower batch
+    numbers, and replaces only its own folders, so a replay after a failure gives the same tables.
     """
     spark = applications.sparkSession
-    earlier = read_intake(spark, table).where(F.col("batch_id") < batch_id)
-    accepted = register(applications, earlier)
-    accepted.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+    key = email_key(F.col("email"))
+    accepted = register(applications).withColumn("bucket", F.pmod(F.xxhash64("role", key), F.lit(KEY_BUCKETS)).cast("int"))
+    accepted = materialize(accepted, "batch")
+    buckets = [r.bucket for r in accepted.select("bucket").distinct().collect()]  # KEY_BUCKETS numbers at most
+    earlier = _read_keys(spark, table).where((F.col("batch_id") < batch_id) & F.col("bucket").isin(buckets))
+    new = materialize(new_applications(accepted, earlier), "new")
+    new.select(*CANDIDATE.fieldNames()).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+    keys = new.where(key.isNotNull()).select("role", key.alias("email"), "bucket").repartition("bucket")
+    keys.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}_keys/batch_id={batch_id}")
 
 
 def start_intake(stream: DataFrame, table: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -47,3 +75,16 @@ def start_intake(stream: DataFrame, table: str, checkpoint: str, available_now:
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def start_file_intake(
+    files: DataFrame, table: str, checkpoint: str, as_of: dt.date, available_now: bool = False, **reading: Any
+) -> StreamingQuery:
+    """The same from a stream of resume files with ``application_id``, ``applied_at`` and ``role_raw``.
+
+    ``reading`` goes to :func:`read_applications`: models, decoders and fallbacks, which run inside each batch.
+    """
+    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda df, batch_id: store_batch(read_applications(df, as_of, **reading), batch_id, table)
+    )
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
