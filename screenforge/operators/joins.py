@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# Besides its row bound, what is broadcast may have so many bytes, by the sizes below.
+MOST_BYTES = 256 << 20
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Counts no further than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+
+def _bytes_of(value: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value: texts by length, lists by their items, 1 kB where the type hides its size."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+        size = F.aggregate(value, F.lit(16), lambda total, x: total + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        size = F.size(value) * 8 + 16
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.UserDefinedType, T.VariantType)):
+        size = F.lit(1024)
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(8)).cast("long")
+
+
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = MOST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes. Looks no further than one row beyond."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        size = size + _bytes_of(df[f"`{field.name}`"], field.dataType)
+    rows, total = df.select(size.alias("_size")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("_size")).first()
+    return rows <= max_rows and (total or 0) <= max_bytes
 
 
 def _repeat(table: DataFrame, salts: int) -> DataFrame:

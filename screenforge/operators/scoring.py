@@ -50,12 +50,15 @@ def prepare_requests(requests: DataFrame, weights: DataFrame | None = None) -> D
     return add_weights(prepared, weights)
 
 
-def match(candidates: DataFrame, requests: DataFrame, max_broadcast: int = 10_000) -> DataFrame:
-    """Pairs of a prepared request and a candidate of its role that pass both pre-filters."""
+def match(candidates: DataFrame, requests: DataFrame, max_broadcast: int = 10_000, regex: bool = False) -> DataFrame:
+    """Pairs of a prepared request and a candidate of its role that pass both pre-filters.
+
+    With ``regex`` the wanted location is a regular expression. Pairs become rows: meant for few requests.
+    """
     pairs = spread_join(candidates, requests, "role", "application_id", max_broadcast)
     return pairs.where(
         meets_experience(F.col("experience"), F.col("min_experience"))
-        & meets_location(F.col("location"), F.col("wanted_location"))
+        & meets_location(F.col("location"), F.col("wanted_location"), regex)
     )
 
 
@@ -69,7 +72,7 @@ def vector_similarity() -> Column:
     return unit_dot100(F.col("vector"), F.col("job_vector"))
 
 
-def add_score(pairs: DataFrame, raw: Column, cut: float = RAW_SIMILARITY_CUT) -> DataFrame:
+def add_score(pairs: DataFrame, raw: Column, cut: float = RAW_SIMILARITY_CUT, regex: bool = False) -> DataFrame:
     """Add ``raw_similarity`` and ``score`` (0-100, two decimals)."""
     wants_skills = F.cardinality("job_skills") > 0
     raw_similarity = F.when(wants_skills, F.coalesce(raw, F.lit(0.0))).otherwise(F.lit(0.0))
@@ -78,7 +81,7 @@ def add_score(pairs: DataFrame, raw: Column, cut: float = RAW_SIMILARITY_CUT) ->
         similar * F.col("w_skills") / 100
         + F.when(F.col("experience") >= F.col("min_experience"), F.col("w_experience")).otherwise(F.lit(0))
         + F.when(
-            (F.col("wanted_location") != "") & location_matches(F.col("location"), F.col("wanted_location")),
+            (F.col("wanted_location") != "") & location_matches(F.col("location"), F.col("wanted_location"), regex),
             F.col("w_location"),
         ).otherwise(F.lit(0))
     )

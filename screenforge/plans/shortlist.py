@@ -25,18 +25,18 @@ def with_job_vectors(requests: DataFrame, skill_vectors: DataFrame) -> DataFrame
 
 
 def score_matches(
-    candidates: DataFrame, requests: DataFrame, raw: Column | None = None, cut: float = RAW_SIMILARITY_CUT
+    candidates: DataFrame, requests: DataFrame, raw: Column | None = None, cut: float = RAW_SIMILARITY_CUT, regex: bool = False
 ) -> DataFrame:
     """Every match of every prepared request with its score, unordered."""
     raw = vector_similarity() if raw is None else raw
-    return positive_score(add_score(match(candidates, requests), raw, cut))
+    return positive_score(add_score(match(candidates, requests, regex=regex), raw, cut, regex))
 
 
 def list_matches(
-    candidates: DataFrame, requests: DataFrame, raw: Column | None = None, cut: float = RAW_SIMILARITY_CUT
+    candidates: DataFrame, requests: DataFrame, raw: Column | None = None, cut: float = RAW_SIMILARITY_CUT, regex: bool = False
 ) -> DataFrame:
     """Every match of every prepared request, in order. For many requests use :func:`shortlist_many`."""
-    return rank_matches(score_matches(candidates, requests, raw, cut))
+    return rank_matches(score_matches(candidates, requests, raw, cut, regex))
 
 
 def shortlist_many(

@@ -179,7 +179,7 @@ def test_outbox_and_report(spark):
     rows = outbox.build_outbox(requests, sender).orderBy("position").collect()
     assert [(r.email, r.status) for r in rows] == [("a@x", "ready"), ("bad", "failed"), (None, "failed")]
     assert rows[0].subject == "Interview invitation: Data_Engineer at Acme"
-    assert "role data_engineer at Acme" in rows[0].plain and "Venue: Main St 1" in rows[0].plain
+    assert "application as data_engineer and" in rows[0].plain and "Venue: Main St 1" in rows[0].plain
     assert "Monday, 05 May 2025" in rows[0].plain and "<b>Data_Engineer</b>" in rows[0].html
     sent = outbox.build_outbox(requests, sender).withColumns(
         {"error": F.when(F.col("status") == "ready", F.lit("full")), "status": F.lit("failed")}

@@ -167,6 +167,9 @@ def test_lookup_join_beyond_the_bound(spark, world):
 def test_is_small(spark):
     assert joins.is_small(spark.range(10), 10)
     assert not joins.is_small(spark.range(11), 10)
+    wide = spark.createDataFrame([("x" * 100, ["y" * 50, None], [1.0] * 20, None)], "a string, b array<string>, c array<double>, d binary")
+    assert joins.is_small(wide, 10, 1_000) and not joins.is_small(wide, 10, 300)
+    assert joins.is_small(wide.limit(0), 0)
 
 
 APPLICATION = "application_id long, applied_at timestamp_ntz, role string, email string"
