@@ -202,7 +202,7 @@ def k5_stored_vectors(spark, sf):
 def s4_read_csv_by_name(spark, sf):
     """A table of another writer: one file per role, other columns in another order."""
     path = scratch_path(spark, "foreign")
-    rows = candidates(spark, sf).where(F.col("role").isin("hr", "testing"))
+    rows = candidates(spark, sf)
     skills = store.format_list_literal(F.col("skills")).alias("skills")
     rows = rows.select("role", "name", "email", F.lit("n/a").alias("note"), "location", skills, "experience", "application_id")
     rows.write.partitionBy("role").options(**store._CSV).csv(path)
@@ -266,7 +266,7 @@ ORACLES = {
       WHERE role = 'testing' AND experience > 0 ORDER BY experience DESC, application_id LIMIT 5)"""),
     "k5_top_matches": using("scored_forms", body=f"""SELECT request_id, place, application_id, score FROM (
       SELECT *, {_PLACE} AS place FROM scored_forms WHERE NOT any_filter OR score > 0) WHERE place <= 5"""),
-    "s4_read_csv_by_name": using("candidates", body=_LISTED + " WHERE role IN ('hr', 'testing')"),
+    "s4_read_csv_by_name": using("candidates", body=_LISTED),
     "k5_stored_vectors": using("stored_scored", body=f"""SELECT request_id, place, application_id, name, score,
       coalesce(array_to_string(CASE WHEN application_id % 2 = 1 THEN list_reverse(skills) ELSE skills END, '|'), '') AS skills
       FROM (SELECT *, {_PLACE} AS place FROM stored_scored WHERE NOT any_filter OR score > 0) WHERE place <= 5"""),
