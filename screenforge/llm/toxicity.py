@@ -22,6 +22,8 @@ BAG, STRIDE = 12, 6
 THRESHOLD = 0.5
 # The classifier is fitted on a sample of labelled rows: at most so many of each class, and so many bytes of text.
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 8 << 20
+# Texts are scored so many bytes at a time: a spelling's subwords take some hundred bytes each.
+SCORED_BYTES = 1 << 18
 # Subwords of fewer documents of the sample tell nothing.
 MIN_DOCUMENTS = 8
 # Of the text a bag may be made of: letters, digits, characters above 7F.
@@ -178,7 +180,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in chunks(batch.column("text")):
+            for low, high, data, offsets in chunks(batch.column("text"), SCORED_BYTES):
                 columns = [batch.column(c).slice(low, high - low) for c in ("doc_id", "held_out", "text_key")]
                 columns.append(pa.array(shared.value.scores(data, offsets), pa.float64()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "text_key", "score"])
