@@ -17,7 +17,7 @@ from screenforge.llm.common import bound_batches, chunks, filled, ragged
 
 SPACE = "▁"
 # Words whose ids a worker keeps at a time.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 NONE = np.int64(1 << 40)
 codecs.register_error("one-per-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -116,7 +116,7 @@ class PieceModel:
         self.surface_size = np.array([len(s) for s in surface], np.int64)
         self.surface_at = np.cumsum(self.surface_size) - self.surface_size
         self.size = n
-        self.known, self.ids, self.at, self.count = {}, *(np.zeros(0, np.int64) for _ in range(3))
+        self.forget()
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; NONE where there is no such piece."""
@@ -199,13 +199,17 @@ class PieceModel:
             ids[filled_in] = self.bytes[[b for s in spelled for b in s]]
         return ids, np.bincount(owner, minlength=len(words))
 
+    def forget(self) -> None:
+        """Empty the store, so that a worker that is kept between tasks holds only the model's tables."""
+        self.known, self.ids, self.at, self.count = {}, *(np.zeros(0, np.int64) for _ in range(3))
+
     def looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A store of ids, and start and length of each word's ids in it.
 
         The store keeps the words of earlier pieces. It begins anew before it gets too large.
         """
         if len(self.known) + len(words) > KNOWN_WORDS or len(self.ids) > 8 * KNOWN_WORDS:
-            self.known, self.ids, self.at, self.count = {}, *(np.zeros(0, np.int64) for _ in range(3))
+            self.forget()
         before = len(self.known)
         place = np.array([self.known.setdefault(w, len(self.known)) for w in words], np.int64)
         if len(self.known) > before:
@@ -287,5 +291,6 @@ def encode_and_decode(docs: DataFrame, model_path: str, with_values: bool = Fals
                 columns[0] = batch.column("doc_id").slice(row, len(number))
                 row += len(number)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, names)], schema=names)
+        model.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text")).mapInArrow(run, schema)
