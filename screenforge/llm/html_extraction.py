@@ -2,13 +2,15 @@
 
 A wrapper is a union-free regular expression over the tokens of a host's pages: tags in order, groups
 that are optional or repeated, and text slots. What all pages of a host say in the same place is template.
+extract() keeps the wrapper of a host as a table of places with exact counts; page_wrapper() and merged() give
+the expression of a few pages as a tree.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,17 +20,17 @@ from pyspark.sql import functions as F
 
 from screenforge.llm.common import attach, bound_batches, filled, shuffle_width
 from screenforge.llm.url_filter import host_and_path
-from screenforge.operators.joins import is_small
+from screenforge.operators.joins import is_small, lookup_join
 from screenforge.session import materialize
 
 # A text that stands in one place on so many pages of a host, without any other text there, is template.
 TEMPLATE_PAGES = 3
-# Nodes a wrapper may have; beyond it, optional groups of a single page are forgotten.
+# Nodes a tree from trimmed() may have. extract() counts places and trims nothing.
 MOST_NODES = 3_000
 # Elements within elements that a wrapper follows; deeper ones count as children of the last.
 DEPTH = 60
-# Hosts a task folds at a time.
-OPEN_HOSTS = 500
+# Rows of fixed places (8 bytes each) that may be broadcast.
+MOST_BROADCAST = 200_000
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
@@ -251,92 +253,135 @@ def template_texts(node: Node, pages: int = TEMPLATE_PAGES) -> set[int]:
     return found
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, template) of every host whose wrapper has template texts.
+def place_of(place: int, label: str, nth: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{place} {label} {nth}") >> 1
 
-    ``pages``: host, html. Every task folds its pages into one wrapper per host; the wrappers of a
-    host then meet by salt, and those of the salts in the end, so no task sees all pages of a host.
-    Equal pages count once per task.
-    """
-    spark = pages.sparkSession
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Node] = {}
-        seen: set[int] = set()
+def slots(labels: list[str]) -> list[tuple[str, list[int]]]:
+    """Neighbours as groups: (label, positions). As in :func:`folded`, neighbouring groups of equal labels are one."""
+    out: list[tuple[str, list[int]]] = []
+    for i, label in enumerate(labels):
+        out.append((label, [i]))
+        for width in (1, 2, 3):
+            if len(out) >= 2 * width and all(out[-width + k][0] == out[-2 * width + k][0] for k in range(width)):
+                for k in range(width):
+                    out[-2 * width + k][1].extend(out[-width + k][1])
+                del out[-width:]
+                break
+    return out
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(map(json.dumps, held.values()), pa.string())], names=["host", "wrapper"])
-            held.clear()
-            seen.clear()
-            return batch
 
-        for batch in batches:
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                key = text_hash(host + " " + page)
-                if key in seen:
-                    continue
-                seen.add(key)
-                own = page_wrapper(page)
-                held[host] = trimmed(merged(held[host], own)) if host in held else own
-                if len(held) > OPEN_HOSTS or len(seen) > 100 * OPEN_HOSTS:
-                    yield out()
-        if held:
-            yield out()
-
-    def meet(table: pa.Table) -> pa.Table:
-        whole: Node | None = None
-        for text in table.column("wrapper"):
-            own = json.loads(text.as_py())
-            whole = trimmed(merged(whole, own)) if whole else own
-        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([json.dumps(whole)], pa.string())})
-
-    def template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sorted(template_texts(json.loads(w))) for w in batch.column("wrapper").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.int64()))], names=["host", "template"])
+class Piece:
+    """A text that may count: what it says, its hash, whether it is in the main element, and its two places."""
+
+    __slots__ = ("text", "hash", "main", "places")
+
+    def __init__(self, text: str, main: bool):
+        self.text, self.main, self.places = text, main, (0, 0)
+        self.hash = text_hash(" ".join(text.split()))
+
+
+def read(page: str, host: str = "") -> list[Piece | None]:
+    """The texts that may count, in order; None where a block ends.
+
+    A place is the way from the root: the label of every element and which group of that label it is among its
+    neighbours, counted from the first or from the last, so that an optional group in front or behind moves one of
+    the two only.
+    """
+    root: list = ["#page", [], None]  # label, children, text
+    path = [root]
+    deep = 0
+    found: list[Piece | None] = []
+    for kind, value, dropped, main, block in walk(page):
+        if block:
+            found.append(None)
+        if kind == "open":
+            if len(path) > DEPTH:
+                deep += 1
+                continue
+            node: list = [value, [], None]
+            path[-1][1].append(node)
+            path.append(node)
+        elif kind == "close":
+            if deep:
+                deep -= 1
+            elif len(path) > 1:
+                path.pop()
+        elif kind == "void" and value == "br":
+            found.append(Piece(" ", main))
+        elif kind == "text" and not dropped:
+            own = Piece(html.unescape(value), main)
+            found.append(own)
+            if own.text.strip():
+                path[-1][1].append(["#text", [], own])
+    stack = [(root, place_of(1, host, 0), place_of(2, host, 0))]
+    while stack:
+        (_, children, own), front, back = stack.pop()
+        if own:
+            own.places = (front, back)
+            continue
+        groups = slots([c[0] for c in children])
+        left = Counter(label for label, _ in groups)
+        nth: Counter = Counter()
+        for label, members in groups:
+            left[label] -= 1
+            places = place_of(front, label, nth[label]), place_of(back, label, left[label])
+            nth[label] += 1
+            stack += [(children[i], *places) for i in members]
+    return found
 
-    parts = pages.select("host", "html").mapInArrow(fold, "host string, wrapper string").withColumn("part", F.spark_partition_id())
-    parts = materialize(parts, "part-wrappers")
-    salts = max(2, int(shuffle_width(spark) ** 0.5))
-    met = parts.groupBy("host", F.pmod("part", F.lit(salts)).alias("salt")).applyInArrow(lambda t: meet(t.select(["host", "wrapper"])), "host string, wrapper string")
-    whole = met.groupBy("host").applyInArrow(meet, "host string, wrapper string")
-    return whole.mapInArrow(template, "host string, template array<long>").filter("size(template) > 0")
 
+def counted(found: list[Piece | None]) -> list[Piece]:
+    """The texts that can be in the result."""
+    return [p for p in found if p and p.text.strip()]
 
-def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(page_key, fixed) of every page on which a text is template: the places of these texts.
+
+    ``pages``: page_key, host, html. The wrapper of a host is counted, not folded page by page: every text of every
+    page goes by host and place into one aggregation, which is exact however many places a host has. A place
+    whose text is the same on all pages that have it, and on ``TEMPLATE_PAGES`` different ones at least, is
+    template; a place with several texts, on one page or on several, is a slot.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[], [], [], []]
+            for key, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_key", "host", "html"))):
+                texts = counted(read(page, host))
+                times = Counter(place for p in texts for place in p.places)
+                for p in texts:
+                    for place in p.places:
+                        for column, value in zip(columns, (key, place, p.hash if times[place] == 1 else None, key)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["page_key", "place", "text", "rest"])
+
+    placed = materialize(pages.select("page_key", "host", "html").mapInArrow(run, "page_key long, place long, text long, rest long"), "places")
+    by_rest = placed.groupBy("place", "rest").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.max(F.col("text").isNull()).alias("slot"))
+    fixed = by_rest.groupBy("place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("slot").alias("slot"), F.count(F.lit(1)).alias("pages"))
+    fixed = fixed.filter(~F.col("slot") & (F.col("low") == F.col("high")) & (F.col("pages") >= TEMPLATE_PAGES)).select("place")
+    met = lookup_join(placed.select("page_key", "place"), materialize(fixed, "fixed"), "place", "inner", MOST_BROADCAST)
+    return met.groupBy("page_key").agg(F.collect_set("place").alias("fixed"))
+
+
+def main_text(page: str, fixed: frozenset[int] = frozenset(), host: str = "") -> str:
     """Blocks of the main text joined by line breaks.
 
     Inside ``article`` or ``main`` everything counts that isn't dropped; a page without these counts whole, less the
-    texts of its host's template.
+    texts at the ``fixed`` places of its host.
     """
-    every: list[str] = []
-    inside: list[str] = []
+    found = read(page, host)
+    has_main = any(p.main for p in found if p)
+    blocks: list[str] = []
     own: list[str] = []
-    mine: list[str] = []
-    has_main = False
-
-    def end_block() -> None:
-        for pieces, blocks in ((own, every), (mine, inside)):
-            text = " ".join("".join(pieces).split())
-            if text:
+    for p in [*found, None]:
+        if p is None:
+            if text := " ".join("".join(own).split()):
                 blocks.append(text)
-            pieces.clear()
-
-    for kind, value, dropped, main, block in walk(page):
-        has_main |= main
-        if block:
-            end_block()
-        if kind == "text" and not dropped:
-            text = html.unescape(value)
-            if main:
-                mine.append(text)
-            elif not template or text_hash(" ".join(text.split())) not in template:
-                own.append(text)
-        elif kind == "void" and value == "br":
-            own.append(" ")
-            mine.append(" ")
-    end_block()
-    return "\n".join(inside if has_main else every)
+            own.clear()
+        elif p.main if has_main else fixed.isdisjoint(p.places):
+            own.append(p.text)
+    return "\n".join(blocks)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -349,18 +394,18 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     bound_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), filled("html").alias("html"))
-    rows = rows.withColumn("host", host_and_path(F.col("url"))[0])
+    rows = rows.withColumn("host", F.coalesce(host_and_path(F.col("url"))[0], F.lit(""))).withColumn("page_key", F.xxhash64("host", "html"))
     known = materialize(wrappers(rows), "wrappers")
     if is_small(known, 10_000):
-        rows = rows.join(F.broadcast(known), "host", "left")
+        rows = rows.join(F.broadcast(known), "page_key", "left")
     else:
-        rows = attach(rows, known, ["host"], F.pmod(F.xxhash64("page_id"), F.lit(shuffle_width(spark))))
+        rows = attach(rows, known, ["page_key"], F.pmod(F.xxhash64("page_id"), F.lit(shuffle_width(spark))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            templates = (frozenset(t or ()) for t in batch.column("template").to_pylist())
-            texts = [main_text(page.as_py(), template) for page, template in zip(batch.column("html"), templates)]
+            fixed = (frozenset(f or ()) for f in batch.column("fixed").to_pylist())
+            texts = [main_text(page.as_py(), own, host.as_py()) for page, own, host in zip(batch.column("html"), fixed, batch.column("host"))]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "host", "html", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")

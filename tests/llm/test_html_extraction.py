@@ -69,3 +69,18 @@ def test_template_text_without_main_element_is_dropped(spark):
 def test_article_that_is_copied_is_kept(spark):
     rows = [(i, "http://h/1", _page("<article><p>same story</p></article>", nav=str(i))) for i in range(9)]
     assert {r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"same story"}
+
+
+def _texts(spark, rows, parts=1):
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string").repartition(parts)
+    return [r.text for r in extract(frame).orderBy("page_id").collect()]
+
+
+def test_no_template_of_a_varied_host_is_forgotten(spark):
+    rows = [("http://h/", "<body>" + "".join(f"<div class='x{c}{chr(97 + i % 26)}{chr(97 + i // 26)}'>only {i}</div>" for i in range(600))) for c in "abcdefgh"]
+    for at in (1, 60, 900):
+        rows[at:at] = [("http://h/", f"<body><div class='late'>All rights reserved</div><p>story {at}</p>")]
+    for parts in (1, 4):
+        texts = _texts(spark, rows, parts)
+        assert sorted(t for t in texts if "story" in t) == ["story 1", "story 60", "story 900"]
+        assert all(t.count("only") == 600 for t in texts if "story" not in t)
