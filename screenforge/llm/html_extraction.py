@@ -23,7 +23,7 @@ from screenforge.llm.url_filter import host_and_path
 from screenforge.operators.joins import is_small, lookup_join
 from screenforge.session import materialize
 
-# A text that stands in one place on so many pages of a host, without any other text there, is template.
+# A text that stands in one place on so many pages of a host that differ in other text, without any other text there, is template.
 TEMPLATE_PAGES = 3
 # Nodes a tree from trimmed() may have. extract() counts places and trims nothing.
 MOST_NODES = 3_000
@@ -336,23 +336,33 @@ def counted(found: list[Piece | None]) -> list[Piece]:
     return [p for p in found if p and p.text.strip()]
 
 
+def other_text(texts: list[Piece]) -> dict[int, int]:
+    """For the hash of every different text of a page, a number for the set of the others."""
+    different = {p.hash for p in texts}
+    whole = sum(different)
+    return {own: (whole - own) % (1 << 63) for own in different}
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(page_key, fixed) of every page on which a text is template: the places of these texts.
 
     ``pages``: page_key, host, html. The wrapper of a host is counted, not folded page by page: every text of every
     page goes by host and place into one aggregation, which is exact however many places a host has. A place
-    whose text is the same on all pages that have it, and on ``TEMPLATE_PAGES`` different ones at least, is
-    template; a place with several texts, on one page or on several, is a slot.
+    whose text is the same on all pages that have it is template if these have ``TEMPLATE_PAGES`` different other
+    texts at least; a place with several texts, on one page or on several, is a slot. Pages whose texts are the same
+    count once, wherever they are read and however they differ in menus or scripts.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], [], []]
             for key, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_key", "host", "html"))):
                 texts = counted(read(page, host))
+                rest = other_text(texts)
                 times = Counter(place for p in texts for place in p.places)
                 for p in texts:
                     for place in p.places:
-                        for column, value in zip(columns, (key, place, p.hash if times[place] == 1 else None, key)):
+                        for column, value in zip(columns, (key, place, p.hash if times[place] == 1 else None, rest[p.hash])):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["page_key", "place", "text", "rest"])
 

@@ -84,3 +84,13 @@ def test_no_template_of_a_varied_host_is_forgotten(spark):
         texts = _texts(spark, rows, parts)
         assert sorted(t for t in texts if "story" in t) == ["story 1", "story 60", "story 900"]
         assert all(t.count("only") == 600 for t in texts if "story" not in t)
+
+
+def test_copies_keep_their_text_in_any_number_of_partitions(spark):
+    rows = [(None, "<body><p>same story</p><div>its end</div></body>")] * 9
+    rows += [("http://h/", _page("<div>one page</div><p>only</p>", nav=f"{i}<script>{i}</script>")) for i in range(9)]
+    rows += [("http://g/", f"<body><div><p>Notice</p></div><b>Notice</b><i>{i}</i></body>") for i in range(4)]
+    rows += [("http://g/", "<body><div><p>Notice</p></div><b>another</b><i>Notice</i></body>")]
+    expected = ["same story\nits end"] * 9 + ["one page\nonly"] * 9 + [f"Notice{i}" for i in range(4)] + ["anotherNotice"]
+    for parts in (1, 5, 23):
+        assert _texts(spark, rows, parts) == expected
