@@ -124,7 +124,9 @@ def walk(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
                 stack.append((value, dropped or gone, main or is_main))
                 open_names[value] = open_names.get(value, 0) + 1
                 dropped, main = stack[-1][1:]
-            label = value + "".join(sorted("." + p for p in named(attributes)[0])) if "=" in attributes else value
+            label = value
+            if "=" in attributes and value not in ("html", "body", *MAIN_TAGS):  # their names, like those with digits, tell pages apart
+                label += "".join(sorted("." + p for p in named(attributes)[0] if p.isascii() and not any(map(str.isdigit, p))))
             yield "open" if value not in VOID else "void", label, dropped, main, block
         elif open_names.get(value):
             while True:
@@ -282,7 +284,9 @@ class Piece:
 
 
 def read(page: str, host: str = "") -> list[Piece | None]:
-    """The texts that may count, in order; None where a block ends.
+    """The texts that can be in the result, in order; None where a block ends.
+
+    These are the texts in ``article`` or ``main``, or all if the page has neither, without what :func:`walk` drops.
 
     A place is the way from the root: the label of every element and which group of that label it is among its
     neighbours, counted from the first or from the last, so that an optional group in front or behind moves one of
@@ -292,7 +296,9 @@ def read(page: str, host: str = "") -> list[Piece | None]:
     path = [root]
     deep = 0
     found: list[Piece | None] = []
+    has_main = False
     for kind, value, dropped, main, block in walk(page):
+        has_main |= main
         if block:
             found.append(None)
         if kind == "open":
@@ -328,12 +334,7 @@ def read(page: str, host: str = "") -> list[Piece | None]:
             places = place_of(front, label, nth[label]), place_of(back, label, left[label])
             nth[label] += 1
             stack += [(children[i], *places) for i in members]
-    return found
-
-
-def counted(found: list[Piece | None]) -> list[Piece]:
-    """The texts that can be in the result."""
-    return [p for p in found if p and p.text.strip()]
+    return [p for p in found if p is None or p.main == has_main]
 
 
 def other_text(texts: list[Piece]) -> dict[int, int]:
@@ -357,7 +358,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             columns: list[list] = [[], [], [], []]
             for key, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_key", "host", "html"))):
-                texts = counted(read(page, host))
+                texts = [p for p in read(page, host) if p and p.text.strip()]
                 rest = other_text(texts)
                 times = Counter(place for p in texts for place in p.places)
                 for p in texts:
@@ -377,19 +378,17 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def main_text(page: str, fixed: frozenset[int] = frozenset(), host: str = "") -> str:
     """Blocks of the main text joined by line breaks.
 
-    Inside ``article`` or ``main`` everything counts that isn't dropped; a page without these counts whole, less the
-    texts at the ``fixed`` places of its host.
+    Inside ``article`` or ``main`` everything counts that isn't dropped; a page without these counts whole. Of either,
+    the texts at the ``fixed`` places of the host are left out.
     """
-    found = read(page, host)
-    has_main = any(p.main for p in found if p)
     blocks: list[str] = []
     own: list[str] = []
-    for p in [*found, None]:
+    for p in [*read(page, host), None]:
         if p is None:
             if text := " ".join("".join(own).split()):
                 blocks.append(text)
             own.clear()
-        elif p.main if has_main else fixed.isdisjoint(p.places):
+        elif fixed.isdisjoint(p.places):
             own.append(p.text)
     return "\n".join(blocks)
 

@@ -94,3 +94,12 @@ def test_copies_keep_their_text_in_any_number_of_partitions(spark):
     expected = ["same story\nits end"] * 9 + ["one page\nonly"] * 9 + [f"Notice{i}" for i in range(4)] + ["anotherNotice"]
     for parts in (1, 5, 23):
         assert _texts(spark, rows, parts) == expected
+
+
+def test_template_inside_the_main_element_is_dropped(spark):
+    def story(i, tags=""):
+        return f"<article id='post-{i}' class='c{i}'><p class='x'>Thank you for reading</p><h1>title {i}</h1><p>text {i}</p><ul>{tags}</ul><div>Copy me</div></article>"
+
+    rows = [("http://h/", _page(story(i, "<li>red<li>blue"))) for i in range(5)] + [("http://g/", _page(story(9)))]
+    for parts in (1, 6):
+        assert _texts(spark, rows, parts) == [f"title {i}\ntext {i}\nred\nblue" for i in range(5)] + ["Thank you for reading\ntitle 9\ntext 9\nCopy me"]
