@@ -36,7 +36,7 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -45,11 +45,22 @@ BLOCKS = set(
 DROPPED = set("nav footer aside form head button dialog menu".split())
 MAIN_TAGS = ("article", "main")
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar".split())
+# Whole class names and ids, with - for _. What has one of the first is no main text.
 DROPPED_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb "
-    "breadcrumbs sidebar rail footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
-    "signup share sharing social related recommended comment comments discussion reply replies disqus pagination pager".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsbygoogle ad-banner ad-container ad-slot sponsor sponsored nav navbar "
+    "breadcrumb breadcrumbs pagination pager cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent gdpr "
+    "newsletter-signup share-buttons social-share".split()
 )
+COMMENT_NAMES = set("comments comments-area comment-list disqus disqus-thread".split())
+# What has one of these may be main text; it goes where most of it is template of the host.
+DOUBTFUL_NAMES = set(
+    "promo promotion banner menu navigation sidebar rail footer header masthead site-header site-footer consent notice notices popup modal overlay "
+    "newsletter subscribe signup share sharing social related recommended related-posts comment discussion reply replies".split()
+)
+# Why a text may not count: a form around it (which may be the page's own), a doubtful name, a name, comments, a tag or role.
+FORM, DOUBTFUL, NAMED, COMMENTS, GONE = 1, 2, 4, 8, 16
+# Numbers of doubtful groups begin at this bit.
+GROUP = 5
 # An open element of the first kind ends where one of the second begins.
 ENDS = {"p": BLOCKS - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
@@ -72,29 +83,33 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def named(attributes: str) -> tuple[set[str], set[str]]:
-    """Parts of class and id, and the roles, in lower case."""
-    parts: set[str] = set()
+    """Class names and id, and the roles, in lower case."""
+    names: set[str] = set()
     roles: set[str] = set()
     if "=" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() in ("class", "id"):
-                parts.update(re.split(r"[\s_-]+", value))
+                names.update(value.replace("_", "-").split())
             else:
                 roles.update(value.split())
-    return parts, roles
+    return names, roles
 
 
 def text_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def walk(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
-    """Every token in place: (kind, value, inside something dropped, inside the main element, starts a new block).
+def walk(page: str) -> Iterator[tuple[str, str, int, bool, bool]]:
+    """Every token in place: (kind, value, why it may not count, inside the main element, starts a new block).
 
-    Elements that HTML ends by itself are ended; a closing tag without an open element is ignored.
+    Elements that HTML ends by itself are ended; a closing tag without an open element is ignored. The reasons are bits,
+    with the number of the outermost doubtful group above them. Names and forms around an ``article`` or ``main``
+    don't reach into it, except that comments in the main
+    element stay comments.
     """
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, int, bool]] = []
+    groups = 0
     open_names: dict[str, int] = {}
 
     def leave() -> str:
@@ -103,7 +118,7 @@ def walk(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
         return name
 
     for kind, value, attributes in tokens(page):
-        dropped, main = stack[-1][1:] if stack else (False, False)
+        dropped, main = stack[-1][1:] if stack else (0, False)
         if kind == "text":
             yield kind, value, dropped, main, False
         elif kind == "open":
@@ -115,18 +130,30 @@ def walk(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
                     yield "close", leave(), dropped, main, False
                 if stack[-1][0] == "p":
                     yield "close", leave(), dropped, main, True
-            dropped, main = stack[-1][1:] if stack else (False, False)
+            dropped, main = stack[-1][1:] if stack else (0, False)
+            names, roles = named(attributes)
             if value not in VOID:
-                parts, roles = named(attributes)
                 is_main = value in MAIN_TAGS or "main" in roles or "articlebody" in roles
-                gone = value in DROPPED or (value == "header" and not main) or not DROPPED_ROLES.isdisjoint(roles)
-                gone = gone or (not DROPPED_NAMES.isdisjoint(parts) and value not in ("html", "body", *MAIN_TAGS))
-                stack.append((value, dropped or gone, main or is_main))
+                if is_main:
+                    dropped &= GONE | (COMMENTS if main else 0)
+                elif value == "form":
+                    dropped |= FORM
+                if (value in DROPPED and value != "form") or (value == "header" and not main) or not DROPPED_ROLES.isdisjoint(roles):
+                    dropped |= GONE
+                if not is_main and value not in ("html", "body"):
+                    if not COMMENT_NAMES.isdisjoint(names):
+                        dropped |= COMMENTS
+                    elif not DROPPED_NAMES.isdisjoint(names):
+                        dropped |= NAMED
+                    elif not DOUBTFUL_NAMES.isdisjoint(names) and not dropped & DOUBTFUL:
+                        groups += 1
+                        dropped |= DOUBTFUL | groups << GROUP
+                stack.append((value, dropped, main or is_main))
                 open_names[value] = open_names.get(value, 0) + 1
                 dropped, main = stack[-1][1:]
             label = value
-            if "=" in attributes and value not in ("html", "body", *MAIN_TAGS):  # their names, like those with digits, tell pages apart
-                label += "".join(sorted("." + p for p in named(attributes)[0] if p.isascii() and not any(map(str.isdigit, p))))
+            if names and value not in ("html", "body", *MAIN_TAGS):  # their names, like those with digits, tell pages apart
+                label += "".join(sorted("." + n for n in names if not any(map(str.isdigit, n))))
             yield "open" if value not in VOID else "void", label, dropped, main, block
         elif open_names.get(value):
             while True:
@@ -274,19 +301,21 @@ def slots(labels: list[str]) -> list[tuple[str, list[int]]]:
 
 
 class Piece:
-    """A text that may count: what it says, its hash, whether it is in the main element, and its two places."""
+    """A text that may count: what it says, its hash, whether it is in the main element, in a form or in a doubtful group
+    (its number), and its two places."""
 
-    __slots__ = ("text", "hash", "main", "places")
+    __slots__ = ("text", "hash", "main", "form", "group", "places")
 
-    def __init__(self, text: str, main: bool):
-        self.text, self.main, self.places = text, main, (0, 0)
+    def __init__(self, text: str, main: bool, dropped: int):
+        self.text, self.main, self.form, self.group, self.places = text, main, bool(dropped & FORM), dropped >> GROUP, (0, 0)
         self.hash = text_hash(" ".join(text.split()))
 
 
 def read(page: str, host: str = "") -> list[Piece | None]:
     """The texts that can be in the result, in order; None where a block ends.
 
-    These are the texts in ``article`` or ``main``, or all if the page has neither, without what :func:`walk` drops.
+    These are the texts in ``article`` or ``main``, or all if the page has neither, without what is in dropped
+    elements or forms. A page without these two whose texts are all in forms is a page within a form.
 
     A place is the way from the root: the label of every element and which group of that label it is among its
     neighbours, counted from the first or from the last, so that an optional group in front or behind moves one of
@@ -314,9 +343,9 @@ def read(page: str, host: str = "") -> list[Piece | None]:
             elif len(path) > 1:
                 path.pop()
         elif kind == "void" and value == "br":
-            found.append(Piece(" ", main))
-        elif kind == "text" and not dropped:
-            own = Piece(html.unescape(value), main)
+            found.append(Piece(" ", main, dropped))
+        elif kind == "text" and not dropped & (NAMED | COMMENTS | GONE):
+            own = Piece(html.unescape(value), main, dropped)
             found.append(own)
             if own.text.strip():
                 path[-1][1].append(["#text", [], own])
@@ -334,7 +363,8 @@ def read(page: str, host: str = "") -> list[Piece | None]:
             places = place_of(front, label, nth[label]), place_of(back, label, left[label])
             nth[label] += 1
             stack += [(children[i], *places) for i in members]
-    return [p for p in found if p is None or p.main == has_main]
+    formed = not has_main and all(p.form for p in found if p and p.text.strip())
+    return [p for p in found if p is None or (p.main == has_main and (formed or not p.form))]
 
 
 def other_text(texts: list[Piece]) -> dict[int, int]:
@@ -379,16 +409,22 @@ def main_text(page: str, fixed: frozenset[int] = frozenset(), host: str = "") ->
     """Blocks of the main text joined by line breaks.
 
     Inside ``article`` or ``main`` everything counts that isn't dropped; a page without these counts whole. Of either,
-    the texts at the ``fixed`` places of the host are left out.
+    the texts at the ``fixed`` places of the host are left out, and doubtful groups in which these are half or more.
     """
+    found = read(page, host)
+    template: Counter = Counter()
+    for p in found:
+        if fixed and p and p.group:
+            template[p.group] += len(p.text.strip()) * (-1 if fixed.isdisjoint(p.places) else 1)
+    gone = {group for group, more in template.items() if more >= 0}
     blocks: list[str] = []
     own: list[str] = []
-    for p in [*read(page, host), None]:
+    for p in [*found, None]:
         if p is None:
             if text := " ".join("".join(own).split()):
                 blocks.append(text)
             own.clear()
-        elif fixed.isdisjoint(p.places):
+        elif p.group not in gone and fixed.isdisjoint(p.places):
             own.append(p.text)
     return "\n".join(blocks)
 

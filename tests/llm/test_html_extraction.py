@@ -103,3 +103,20 @@ def test_template_inside_the_main_element_is_dropped(spark):
     rows = [("http://h/", _page(story(i, "<li>red<li>blue"))) for i in range(5)] + [("http://g/", _page(story(9)))]
     for parts in (1, 6):
         assert _texts(spark, rows, parts) == [f"title {i}\ntext {i}\nred\nblue" for i in range(5)] + ["Thank you for reading\ntitle 9\ntext 9\nCopy me"]
+
+
+def test_names_and_forms_around_an_article_do_not_drop_it():
+    article = "<article><p>story</article>"
+    for around in ("<div class='site no-sidebar'>", "<div class='has-sidebar'>", "<div class=sidebar>", "<div id='ads'>", "<form id=aspnetForm>", "<main><form><div class='nav'>"):
+        assert (around, main_text(_page(around + article)))[1] == "story"
+    assert main_text(_page("<form id=aspnetForm><h1>All</h1><p>of it</form>")) == "All\nof it"
+    assert main_text(_page("<form>search</form><p>text")) == "text" and main_text(_page("<aside><article>x</article></aside>")) == ""
+    inside = "<header class='entry-header'><h1>title</h1></header><section id=discussion>d</section><p class='related-work'>w</p><p class='rail-travel' data-id=ad>r</p>"
+    assert main_text(_page(f"<article>{inside}<div id=comments><article>c</article></div></article>")) == "title\nd\nw\nr"
+
+
+def test_the_wrapper_confirms_a_doubtful_group(spark):
+    share = "<div class='share'><b>Share this story with all your friends</b><i>{}</i></div>"
+    rows = [("http://h/", _page(f"<article><p>story {i}</p>{share.format(i)}<section id='discussion'><h2>Discussion</h2><p>long words {i}</p></section></article>")) for i in range(4)]
+    rows += [("http://g/", _page(f"<article><p>story</p>{share.format(7)}</article>"))]
+    assert _texts(spark, rows, 3) == [f"story {i}\nlong words {i}" for i in range(4)] + ["story\nShare this story with all your friends7"]
