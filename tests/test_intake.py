@@ -110,3 +110,16 @@ def test_messages_are_never_null_and_never_doubled(spark, tmp_path):
         write_outbox(outbox, str(tmp_path / "o"))
     rows = sorted(spark.read.parquet(str(tmp_path / "o")).collect(), key=lambda r: r.email)
     assert [(r.status, r.plain is None, r.error) for r in rows] == [("ready", False, None), ("failed", True, "name or role is missing"), ("failed", True, "name or role is missing")]
+
+
+def test_batches_without_key_folders_still_block(spark, tmp_path):
+    table = str(tmp_path / "t")
+    people = spark.createDataFrame([_person(i, [], None) for i in (1, 2)] + [(*_person(3, [], None)[:4], None, *_person(3, [], None)[5:])], PERSON).drop("vector")
+    for batch, ids in ((0, (1,)), (1, (3,))):
+        people.where(F.col("application_id").isin(*ids)).write.parquet(f"{table}/batch_id={batch}")
+    applications = people.withColumn("role_raw", F.col("role")).withColumn("experience_raw", F.lit("3"))
+    for _ in range(2):
+        streaming.store_batch(applications, 2, table)
+        stored = streaming.read_intake(spark, table).where("batch_id = 2")
+        assert sorted(r.application_id for r in stored.collect()) == [2, 3]
+    assert {p.split("=")[-1] for p in glob.glob(f"{table}_keys/batch_id=*")} == {"0", "1", "2"}
