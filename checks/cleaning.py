@@ -193,6 +193,13 @@ def j1_new_applications(spark, sf):
     return fresh.union(dedup.registered_applications(new, old).select("application_id", F.lit("registered")))
 
 
+def j1_large_delivery(spark, sf):
+    """The same against a delivery too large to be broadcast."""
+    old, new = _old_and_new(spark, sf)
+    fresh = dedup.new_applications(new, old, max_rows=0).select("application_id", F.lit("new").alias("part"))
+    return fresh.union(dedup.registered_applications(new, old, max_rows=0).select("application_id", F.lit("registered")))
+
+
 def u1_append_rows(spark, sf):
     old, new = _old_and_new(spark, sf)
     narrow = old.select("application_id", "role", "name")
@@ -221,7 +228,7 @@ QUERIES = {
         x3_format_list_literal, x4_resolve_role, x5_email_key, x6_split_skills, x7_skill_count, x8_title_case,
         x9_format_interview_date, x10_format_interview_time, x11_valid_email, e8_valid_extractions,
         f1_minimum_experience, f2_location, f3_similarity_cut, f5_any_filter, f6_drop_nameless, f7_has_experience,
-        d1_dedup_first, j1_new_applications, u1_append_rows, j2_weights, j2_weights_from_table,
+        d1_dedup_first, j1_new_applications, j1_large_delivery, u1_append_rows, j2_weights, j2_weights_from_table,
     )
 }
 
@@ -282,3 +289,4 @@ ORACLES = {
       (CASE role WHEN 'developer' THEN 20 WHEN 'designer' THEN 2 ELSE 30 END)::BIGINT AS w_experience,
       (CASE role WHEN 'developer' THEN 70 WHEN 'designer' THEN 97 ELSE 20 END)::BIGINT AS w_location FROM prepared"""),
 }
+ORACLES["j1_large_delivery"] = ORACLES["j1_new_applications"]

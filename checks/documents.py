@@ -158,12 +158,22 @@ def e5_resume_contacts(spark, sf):
 def e6_extract_skills(spark, sf):
     words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    listed = fx.table(spark, sf, "benchmark").select(words.alias("w")).where("size(w) > 1")
+    listed = fx.table(spark, sf, "benchmark").select(words.alias("w")).where("size(w) > 0")
+    pairs = F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))
     dictionary = listed.select(F.explode(F.concat("w", pairs)).alias("skill"))
     found = e.extract_skills(fx.documents(spark, sf), dictionary)
     return found.select("doc_id", F.array_join("skills", "|").alias("skills"))
 
 
+def e6_long_entries(spark, sf):
+    """Entries of one to twenty words, joined by salted anchors instead of a broadcast."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    items = fx.table(spark, sf, "benchmark").select("item_id", words.alias("w")).where("size(w) > 0")
+    entry = F.array_join(F.slice("w", F.lit(1), (F.col("item_id") % 20 + 1).cast("int")), " ")
+    hits = e.skill_hits(fx.documents(spark, sf), items.select(entry.alias("skill")), max_broadcast=0)
+    return hits.groupBy("doc_id", "skill").agg(F.count(F.lit(1)).alias("places"))
+
+
 def e6_listed_skills(spark, sf):
     return fx.work_histories(spark, sf).select(
         "doc_id", F.array_join(listed_skills(F.col("text")), "|").alias("skills")
@@ -216,7 +226,7 @@ QUERIES = {
     for f in (
         s1_read_resume_files, s2_file_format, s3_plain_text, t1_extract_docx, t2_extract_odt, t3_assemble_pages,
         t4_with_fallback, t5_extract_text, e1_build_prompts, e2_clean_json, e3_parse_reply, e4_fallback_chain,
-        e5_extract_contacts, e5_resume_contacts, e6_extract_skills, e6_listed_skills, e7_work_history_years,
+        e5_extract_contacts, e5_resume_contacts, e6_extract_skills, e6_long_entries, e6_listed_skills, e7_work_history_years,
         e3_numeric_experience, e7_date_forms,
     )
 }
@@ -274,13 +284,21 @@ ORACLES = {
       n_name AS location FROM histories"""),
     "e6_extract_skills": r"""WITH items AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
       dictionary AS (SELECT DISTINCT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS skill
-        FROM items WHERE len(w) > 1),
+        FROM items WHERE len(w) > 0),
       words AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '\.+([^\p{L}\p{N}]|\z)', ' ', 'g'),
         '[^\p{L}\p{N}+#.]+'), lambda w: w <> '') AS w FROM documents),
       tokens AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS skill FROM words),
       found AS (SELECT doc_id, list_sort(list(DISTINCT skill)) AS skills FROM tokens
         JOIN dictionary USING (skill) GROUP BY doc_id)
       SELECT doc_id, coalesce(array_to_string(skills, '|'), '') AS skills FROM documents LEFT JOIN found USING (doc_id)""",
+    "e6_long_entries": r"""WITH items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+      dictionary AS (SELECT DISTINCT w[1 : item_id % 20 + 1] AS entry FROM items WHERE len(w) > 0),
+      sizes AS (SELECT DISTINCT len(entry) AS size FROM dictionary),
+      words AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '\.+([^\p{L}\p{N}]|\z)', ' ', 'g'),
+        '[^\p{L}\p{N}+#.]+'), lambda w: w <> '') AS w FROM documents),
+      runs AS (SELECT doc_id, w[i : i + size - 1] AS entry
+        FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words CROSS JOIN sizes WHERE len(w) >= size))
+      SELECT doc_id, array_to_string(entry, ' ') AS skill, count(*) AS places FROM runs JOIN dictionary USING (entry) GROUP BY ALL""",
     "e3_numeric_experience": """SELECT o_orderkey AS application_id, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 17 * 1.001::DOUBLE
       WHEN 1 THEN round(o_orderkey % 17 * 1.001, 2)::DOUBLE WHEN 2 THEN -(o_orderkey % 17)::DOUBLE ELSE (o_orderkey % 17)::DOUBLE END AS experience FROM orders""",
     "e7_date_forms": """SELECT o_orderkey AS doc_id, round(CASE o_orderkey % 5 WHEN 3 THEN

@@ -15,9 +15,10 @@ from screenforge.plans.shortlist import shortlist_many
 from screenforge.schemas import APPLICATION
 from screenforge.session import scratch_path
 from screenforge.streaming.intake import read_intake, start_file_intake, start_intake
+from screenforge.streaming.state import start_state_intake
 
 
-def w1_continuous_intake(spark, sf):
+def _yearly(spark, sf, start):
     """Applications arrive in yearly files; the stored table must equal one batch job over all."""
     base = scratch_path(spark, "intake")
     apps = fx.applications(spark, sf)
@@ -27,10 +28,20 @@ def w1_continuous_intake(spark, sf):
         part = spark.read.parquet(f"{base}/history").where(F.col("year") == year)
         part.select(*APPLICATION.fieldNames()).write.mode("append").parquet(f"{base}/incoming")
         stream = spark.readStream.schema(APPLICATION).parquet(f"{base}/incoming")
-        start_intake(stream, f"{base}/table", f"{base}/checkpoint", available_now=True).awaitTermination()
+        start(stream, f"{base}/table", f"{base}/checkpoint", available_now=True).awaitTermination()
     return read_intake(spark, f"{base}/table").select("application_id", "role", "email", "experience")
 
 
+def w1_continuous_intake(spark, sf):
+    """Keys in merged runs beside the table; every year is a stream of its own from the same checkpoint."""
+    return _yearly(spark, sf, start_intake)
+
+
+def w1_state_intake(spark, sf):
+    """Keys in the stream's state, which every restart finds again."""
+    return _yearly(spark, sf, start_state_intake)
+
+
 def _history_files(spark, sf):
     """Work histories as DOCX, ODT and text files."""
     kind = F.element_at(F.array(F.lit("txt"), F.lit("docx"), F.lit("odt")), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -74,12 +85,13 @@ def flow_shortlist_to_messages(spark, sf):
     return messages.select("request_id", F.col("position").cast("long").alias("position"), "email", "subject", "status")
 
 
-QUERIES = {f.__name__: f for f in (w1_continuous_intake, w1_file_intake, flow_resumes_to_candidates, flow_shortlist_to_messages)}
+QUERIES = {f.__name__: f for f in (w1_continuous_intake, w1_state_intake, w1_file_intake, flow_resumes_to_candidates, flow_shortlist_to_messages)}
 
 _TITLED = o.title("j.role")
 
 ORACLES = {
     "w1_continuous_intake": using("candidates", body="SELECT application_id, role, email, experience FROM candidates"),
+    "w1_state_intake": using("candidates", body="SELECT application_id, role, email, experience FROM candidates"),
     "w1_file_intake": using("histories", body="""SELECT o_orderkey AS application_id,
       CASE WHEN o_orderkey % 2 = 0 THEN 'testing' ELSE 'developer' END AS role, 'resume' || o_orderkey || '@mail.example' AS email,
       years AS experience FROM histories"""),

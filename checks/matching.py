@@ -10,6 +10,7 @@ from checks.oracles import using
 from screenforge.functions.text import skill_count
 from screenforge.functions.vectors import cosine100, set_cosine100
 from screenforge.operators import ranking
+from screenforge.operators.cooccurrence import cooccurrence, learned_skill_vectors, ppmi
 from screenforge.operators.joins import lookup_join
 from screenforge.operators.scoring import add_score, match, prepare_requests, word_similarity
 from screenforge.operators.similarity import add_skill_vector, embed, train_skill_vectors
@@ -80,6 +81,19 @@ def _letter_counter():
     return lambda texts: [[len(t), t.count(" "), t.count("e")] for t in texts]
 
 
+def v3_cooccurrence(spark, sf):
+    """Counts and weights from which skill vectors are learned, over the candidates' skills and their roles."""
+    rows = candidates(spark, sf).select(F.concat(F.coalesce("skills", F.array().cast("array<string>")), F.array("role")).alias("skills"))
+    weights = ppmi(cooccurrence(rows))
+    return weights.select("skill", "other", "n", F.round("weight", 6).alias("weight"))
+
+
+def v3_learned_vectors(spark, sf):
+    """A vector of 8 numbers for every skill that occurs with another, none of them zero alone."""
+    learned = learned_skill_vectors(candidates(spark, sf), dims=8)
+    return learned.select("skill", F.cardinality("embedding").cast("long").alias("dims"))
+
+
 def v4_embed(spark, sf):
     rows = embed(fx.documents(spark, sf).select("doc_id", "text"), "text", _letter_counter)
     return rows.select(
@@ -199,6 +213,36 @@ def k5_stored_vectors(spark, sf):
     return top.select("request_id", F.col("place").cast("long").alias("place"), "application_id", "name", "score", F.coalesce(F.array_join("skills", "|"), F.lit("")).alias("skills"))
 
 
+def k5_pruned_shortlists(spark, sf):
+    """The same first five, from the clusters of candidates that can hold them."""
+    search = shortlist.shortlist_pruned(_stored_candidates(spark, sf), fx.job_requests(spark, sf), fx.skill_vectors(spark, sf), rows_per_cluster=100)
+    return search.rows.select("request_id", F.col("place").cast("long").alias("place"), "application_id", "name", "score", "experience")
+
+
+def k1_to_k5_search(spark, sf):
+    """Ranked list, whole listing and first five of the form requests, from one scan."""
+    jobs = shortlist.with_job_vectors(_forms(spark), fx.skill_vectors(spark, sf))
+    found = shortlist.search(_with_vectors(spark, sf), jobs)
+    columns = ["request_id", "application_id", "experience"]
+    parts = [
+        found.ranked.select(F.lit("ranked").alias("part"), *columns, "score", F.lit(0).cast("long").alias("place")),
+        found.listing.select(F.lit("listing"), *columns, F.lit(0.0), F.lit(0).cast("long")),
+        found.top.select(F.lit("top"), *columns, "score", F.col("place").cast("long")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def s5_candidate_batches(spark, sf):
+    """Two batches; the first is written twice, and of a third only the rows are there."""
+    path = scratch_path(spark, "candidate-batches")
+    rows = candidates(spark, sf)
+    odd, even = rows.where("application_id % 2 = 1"), rows.where("application_id % 2 = 0")
+    for part, name in ((odd, "odd"), (odd, "odd"), (even, "even")):
+        store.write_candidate_batch(part, path, name)
+    store.candidate_batches(spark, path).add_rows(rows.withColumn("vector", F.lit(None).cast("array<double>")), "cut-off")
+    return _listed(store.read_candidate_batches(spark, path))
+
+
 def s4_read_csv_by_name(spark, sf):
     """A table of another writer: one file per role, other columns in another order."""
     path = scratch_path(spark, "foreign")
@@ -216,7 +260,8 @@ QUERIES = {
         v3_train_skill_vectors, v4_embed, v5_word_similarity, v6_empty_side, j3_match, v7_score,
         v7_score_negative_experience, f4_positive_score, k1_rank_filtered, k1_word_similarity, k2_rank_unfiltered,
         k3_by_experience, k4_most_experienced, k4_role_overview, k5_top_matches, k5_shortlists,
-        k5_stored_vectors, s4_read_csv_by_name,
+        k5_stored_vectors, s4_read_csv_by_name, v3_cooccurrence, v3_learned_vectors, k5_pruned_shortlists,
+        k1_to_k5_search, s5_candidate_batches,
     )
 }
 
@@ -273,3 +318,18 @@ ORACLES = {
     "k5_shortlists": using("scored", body=f"""SELECT request_id, place, application_id, name, score, experience FROM (
       SELECT *, {_PLACE} AS place FROM scored WHERE NOT any_filter OR score > 0) WHERE place <= 5"""),
 }
+ORACLES["s5_candidate_batches"] = ORACLES["s5_write_candidates"]
+ORACLES["k5_pruned_shortlists"] = ORACLES["k5_shortlists"]
+ORACLES["v3_cooccurrence"] = using("candidates", body="").rstrip() + """, listed AS (
+    SELECT DISTINCT application_id, unnest(list_append(coalesce(skills, []), role)) AS skill FROM candidates),
+  counted AS (SELECT a.skill, b.skill AS other, count(*) AS n FROM listed a JOIN listed b
+    ON a.application_id = b.application_id AND a.skill <> b.skill GROUP BY ALL)
+  SELECT skill, other, n, round(weight, 6) AS weight FROM (SELECT skill, other, n, ln(n * sum(n) OVER ()::DOUBLE
+    / (sum(n) OVER (PARTITION BY skill)::DOUBLE * sum(n) OVER (PARTITION BY other))) AS weight FROM counted) WHERE weight > 0"""
+ORACLES["v3_learned_vectors"] = using("candidates", body="""SELECT DISTINCT unnest(skills) AS skill, 8::BIGINT AS dims
+  FROM candidates WHERE len(skills) > 1""")
+ORACLES["k1_to_k5_search"] = using("scored_forms", "candidates", "prepared_forms", body=f"""SELECT 'ranked' AS part, request_id, application_id, experience, score, 0::BIGINT AS place
+      FROM scored_forms WHERE NOT any_filter OR score > 0
+    UNION ALL SELECT 'listing', request_id, application_id, c.experience, 0, 0 FROM candidates c JOIN prepared_forms r ON c.role = r.role
+    UNION ALL SELECT 'top', request_id, application_id, experience, score, place FROM (SELECT *, {_PLACE} AS place
+      FROM scored_forms WHERE NOT any_filter OR score > 0) WHERE place <= 5""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -68,6 +70,36 @@ def o6_write_outbox(spark, sf):
     return spark.read.parquet(path).select("request_id", _position(), "email", "name", "status", "error")
 
 
+def _logged(spark, sf):
+    """Two writers add the same messages, one twice; a sender's second attempts are reported before its first ones."""
+    log = ob.DeliveryLog(spark, scratch_path(spark, "delivery-log"))
+    messages, day = _outbox(spark, sf), dt.datetime(2025, 5, 1)
+    for writer, hours in (("late", 2), ("early", 1), ("late", 3)):
+        log.add_messages(messages.withColumn("name", F.concat("name", F.lit(f" by {writer}"))), writer, day + dt.timedelta(hours=hours))
+    ready = log.pending().select("request_id", "position", "email")
+    full = (F.length("email") % 2 == 0) & ~F.endswith("email", F.lit("1@mail.example"))
+
+    def report(rows, attempt, failed, error, hour):
+        return rows.select(
+            "request_id", "position", F.lit(attempt).alias("attempt"), F.when(failed, F.lit("failed")).otherwise(F.lit("sent")).alias("status"),
+            F.when(failed, F.lit(error)).alias("error"), F.lit(day + dt.timedelta(hours=hour)).cast("timestamp_ntz").alias("reported_at"),
+        )
+
+    log.add_reports(report(ready, 2, full, "mailbox full", 5), "second")
+    log.add_reports(report(ready, 1, F.lit(True), "no connection", 9), "first")
+    log.add_reports(report(ready.where("position < 0"), 3, F.lit(True), "none", 9), "empty")
+    return log.outbox()
+
+
+def o6_delivery_log(spark, sf):
+    return _logged(spark, sf).select("request_id", _position(), "email", "name", "status", "error", F.col("attempt").cast("long").alias("attempt"))
+
+
+def a1_logged_report(spark, sf):
+    report = ob.delivery_report(_logged(spark, sf))
+    return report.select("request_id", "sent", "failed", F.array_join("errors", "; ").alias("errors"))
+
+
 def a1_delivery_report(spark, sf):
     report = ob.delivery_report(_delivered(spark, sf))
     return report.select("request_id", "sent", "failed", F.array_join("errors", "; ").alias("errors"))
@@ -84,7 +116,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         o1_expand_recipients, o2_validate_requests, o3_venue_or_address, o4_plain_messages, o5_html_messages,
-        o5_escape_html, o6_rerun, o6_write_outbox, a1_delivery_report, a1_request_report,
+        o5_escape_html, o6_rerun, o6_write_outbox, a1_delivery_report, a1_request_report, o6_delivery_log, a1_logged_report,
     )
 }
 
@@ -135,3 +167,7 @@ ORACLES = {
       FROM (SELECT request_id, long_date IS NOT NULL AND long_time IS NOT NULL AS ok FROM mail_checked)
       LEFT JOIN ({_REPORT}) USING (request_id)"""),
 }
+ORACLES["a1_logged_report"] = ORACLES["a1_delivery_report"]
+ORACLES["o6_delivery_log"] = _delivered_sql("""SELECT request_id, position::BIGINT AS position, email, name || ' by early' AS name,
+  CASE WHEN full_box THEN 'failed' WHEN status = 'ready' THEN 'sent' ELSE status END AS status,
+  CASE WHEN full_box THEN 'mailbox full' END AS error, CASE WHEN status = 'ready' THEN 2 ELSE 0 END::BIGINT AS attempt FROM delivered""")

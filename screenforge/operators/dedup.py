@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from screenforge.functions.text import email_key
 from screenforge.operators.joins import is_small
 
+# The filter of a large delivery's keys has so many places: at most 4 M numbers of 8 bytes are broadcast.
+FILTER_BITS = 22
+
 
 def slot_key() -> Column:
     """Email key, or a key of its own for a row without email.
@@ -39,8 +42,19 @@ def _known_of(incoming: DataFrame, existing: DataFrame, max_rows: int) -> tuple[
     stored = existing.select("role", email_key(F.col("email")).alias("_slot")).where(F.col("_slot").isNotNull())
     if is_small(slots, max_rows):
         # A small delivery against a long history: filter the history where it lies, shuffle only hits.
-        stored = stored.join(F.broadcast(slots), ["role", "_slot"], "left_semi")
-    return keyed, stored.distinct()
+        return keyed, stored.join(F.broadcast(slots), ["role", "_slot"], "left_semi").distinct()
+    return keyed, _possible(stored, slots).distinct()
+
+
+def _possible(stored: DataFrame, slots: DataFrame) -> DataFrame:
+    """Stored keys that may be among ``slots``: a Bloom filter of one probe, applied where the history lies.
+
+    The places of the delivery's keys are broadcast, 2 ** FILTER_BITS numbers at most, whatever the size of the
+    delivery. A key that is in it always passes; of the others as many as the filter is full.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("role", "_slot"), 64 - FILTER_BITS)
+    places = slots.select(place.alias("_place")).distinct()
+    return stored.withColumn("_place", place).join(F.broadcast(places), "_place", "left_semi").drop("_place")
 
 
 def new_applications(incoming: DataFrame, existing: DataFrame, max_rows: int = 1_000_000) -> DataFrame:

@@ -19,7 +19,7 @@ from screenforge.functions.contacts import (
 from screenforge.functions.experience import work_history_years
 from screenforge.functions.literals import parse_list_literal
 from screenforge.functions.replies import clean_json, number_in_reply, parse_reply
-from screenforge.operators.joins import lookup_join
+from screenforge.operators.joins import attach, is_small, shuffle_width
 from screenforge.session import materialize
 
 EXHAUSTED = "every model is over its quota"
@@ -135,24 +135,54 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(bare, r"[^\p{L}\p{N}+#.]+"), lambda w: w != "")
 
 
+def anchored(dictionary: DataFrame) -> DataFrame:
+    """(anchor, entries): the dictionary's entries (``skill``, ``words``, ``before``) under the rarest word of each.
+
+    Rarest is the word that stands in the fewest entries, of equals the longest; ``before`` is the number of words
+    in front of it. Equal entries are one.
+    """
+    listed = dictionary.select(_words(F.col("skill")).alias("words")).where(F.cardinality("words") > 0).distinct()
+    placed = listed.select(F.array_join("words", " ").alias("skill"), "words", F.posexplode("words").alias("before", "anchor"))
+    spread = F.pmod(F.xxhash64("skill", "before"), F.lit(shuffle_width(dictionary.sparkSession)))
+    placed = attach(placed, placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("_often")), ["anchor"], spread)
+    best = F.min(F.struct("_often", -F.length("anchor"), "before", "anchor")).alias("_best")
+    return placed.groupBy("skill", "words").agg(best).select(F.col("_best.anchor").alias("anchor"), "skill", "words", F.col("_best.before").alias("before"))
+
+
+def skill_hits(docs: DataFrame, dictionary: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
+    """(doc_id, skill): an entry of the dictionary per place where it stands in the text.
+
+    Every entry is looked for at its rarest word alone, and its other words are compared at that place; so rows
+    follow the places of anchors, whatever the length of entries. Within ``max_broadcast`` entries the comparison
+    happens where the text lies. A larger dictionary is joined by salted anchors, and only what needs a
+    comparison is brought to the words of its document.
+    """
+    anchors = anchored(dictionary)
+    tokens = docs.select("doc_id", _words(F.col("text")).alias("_words"))
+    first = F.col("_at") - F.col("before")
+    same = (first >= 0) & (F.slice("_words", F.greatest(first, F.lit(0)) + 1, F.size("words")) == F.col("words"))
+    if is_small(anchors, max_broadcast):
+        places = tokens.select("doc_id", "_words", F.posexplode("_words").alias("_at", "anchor"))
+        return places.join(F.broadcast(anchors), "anchor").where((F.size("words") == 1) | same).select("doc_id", "skill")
+    tokens = materialize(tokens, "words")
+    anchors = materialize(anchors, "anchors")
+    places = tokens.select("doc_id", F.posexplode("_words").alias("_at", "anchor"))
+    single = anchors.where("size(words) = 1").select("anchor", "skill")
+    longer = anchors.where("size(words) > 1").select("anchor", "skill", "words", "before")
+    salt = F.pmod(F.xxhash64("doc_id", "_at"), F.lit(shuffle_width(docs.sparkSession)))
+    hits = attach(places.select("doc_id", F.col("anchor"), "_at"), single, ["anchor"], salt).where("skill IS NOT NULL").select("doc_id", "skill")
+    open_ = attach(places, longer, ["anchor"], salt).where("skill IS NOT NULL")
+    compared = open_.join(tokens, "doc_id").where(same).select("doc_id", "skill")
+    return hits.unionByName(compared)
+
+
 def extract_skills(docs: DataFrame, dictionary: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
     """``doc_id`` and ``skills``: the sorted distinct entries of the dictionary (``skill``) that stand in the text.
 
     An entry of several words is found where its words follow each other. Only hits are shuffled, and the text
     is not carried along; documents without any hit are brought back by their id.
     """
-    listed = dictionary.select(F.array_join(_words(F.col("skill")), " ").alias("skill")).where("skill <> ''").distinct()
-    longest = listed.agg(F.max(F.size(F.split("skill", " ")))).first()[0] or 1
-    words = F.col("_words")
-
-    def runs_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-
-    runs = [runs_of(n) for n in range(1, longest + 1)]
-    tokens = docs.select("doc_id", _words(F.col("text")).alias("_words"))
-    tokens = tokens.select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("skill"))
-    found = lookup_join(tokens, listed, "skill", "inner", max_broadcast)
+    found = skill_hits(docs, dictionary, max_broadcast)
     hits = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("skill")).alias("skills"))
     every = docs.select("doc_id").distinct().join(hits, "doc_id", "left")
     return every.select("doc_id", F.coalesce("skills", F.array().cast("array<string>")).alias("skills"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,20 @@ def is_small(df: DataFrame, max_rows: int, max_bytes: int = MOST_BYTES) -> bool:
     return rows <= max_rows and (total or 0) <= max_bytes
 
 
-def _repeat(table: DataFrame, salts: int) -> DataFrame:
-    return table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def attach(rows: DataFrame, values: DataFrame, keys: list[str], salt: Column) -> DataFrame:
+    """Left join of ``values`` onto ``rows``, of which any share may have one key.
+
+    The keys of ``rows`` are first reduced to one row per key and salt; the value goes to those few,
+    and then to the rows by key and salt. A hot key is spread over all salts, and no value is repeated
+    for a salt that has no row.
+    """
+    salted = rows.withColumn("_salt", salt)
+    runs = salted.select(*keys, "_salt").distinct()
+    return salted.join(runs.join(values, keys), [*keys, "_salt"], "left").drop("_salt")
 
 
 def lookup_join(
@@ -45,23 +57,25 @@ def lookup_join(
 
     A table within ``max_rows`` is broadcast. A larger one is joined by shuffle: rows of ``df`` with
     one key are dealt over ``salts`` parts (the shuffle width if not given) by their other values, and
-    the table is repeated per part, so a key with a third of all rows does not end in one task.
+    a key's value goes to the parts that have it, so a key with a third of all rows does not end in one task.
     """
     if is_small(table, max_rows):
         return df.join(F.broadcast(table), on, how)
-    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    return dealt.join(_repeat(table, salts), [on, "_salt"], how).drop("_salt")
+    salts = salts or shuffle_width(df.sparkSession)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+    if how == "left":
+        return attach(df, table, [on], salt)
+    return attach(df, table.withColumn("_there", F.lit(True)), [on], salt).where("_there").drop("_there")
 
 
 def spread_join(df: DataFrame, table: DataFrame, key: str, row_id: str, max_rows: int, salts: int | None = None) -> DataFrame:
     """Inner join on a key with few values, each of which may hold a large share of ``df``.
 
     Within ``max_rows`` the table is broadcast. Otherwise the rows of a key are dealt over
-    ``salts`` parts by their id and the table is repeated once per part.
+    ``salts`` parts by their id, and the table's rows go to those parts of their key that have any.
     """
     if is_small(table, max_rows):
         return df.join(F.broadcast(table), key)
-    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    return dealt.join(_repeat(table, salts), [key, "_salt"]).drop("_salt")
+    salts = salts or shuffle_width(df.sparkSession)
+    salt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+    return attach(df, table.withColumn("_there", F.lit(True)), [key], salt).where("_there").drop("_there")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenforge.functions.dates import format_interview_date, format_interview_time
 from screenforge.functions.text import escape_html, title_case, valid_email
+from screenforge.schemas import MESSAGE, REPORT
+from screenforge.sources.batches import BatchTable
 
 INVALID_SCHEDULE = "invalid date or time"
 INCOMPLETE = "name or role is missing"
@@ -114,6 +117,59 @@ def write_outbox(outbox: DataFrame, path: str) -> None:
     new.write.mode("append").parquet(path)
 
 
+class DeliveryLog:
+    """Messages and what senders report on them, as two tables that are only added to.
+
+    Any number of writers may add messages, and any number of senders reports, each batch under a name of its own; a batch that is
+    written again changes nothing. Readers merge: of a message that several writers have made the earliest counts, so none
+    is doubled, and its status is that of the latest attempt that was reported, in whatever order reports came.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.messages = BatchTable(spark, f"{path}/messages", MESSAGE)
+        self.reports = BatchTable(spark, f"{path}/reports", REPORT)
+
+    def add_messages(self, outbox: DataFrame, batch: str, written_at: dt.datetime) -> bool:
+        """Add the rows of :func:`build_outbox`."""
+        return self.messages.write(outbox.withColumn("written_at", F.lit(written_at).cast("timestamp_ntz")), batch)
+
+    def add_reports(self, reports: DataFrame, batch: str) -> bool:
+        """Add a sender's reports: request_id, position, attempt (from 1), status, error, reported_at."""
+        return self.reports.write(reports, batch)
+
+    def pending(self) -> DataFrame:
+        """Messages that are ready to be sent and have no report yet."""
+        return self.outbox().where("status = 'ready' AND attempt = 0")
+
+    def outbox(self) -> DataFrame:
+        """One row per message with its present status, error and attempt (0 without a report); reports on unknown messages are left out.
+
+        One shuffle by message; both sides are reduced to one row per message before it.
+        """
+        message = [f.name for f in MESSAGE.fields if f.name not in ("request_id", "position", "written_at")]
+        made = self.messages.read().select(
+            "request_id", "position", F.struct("written_at", "batch").alias("_made"), F.struct(*message).alias("_message"),
+            F.lit(None).cast("struct<attempt:int,reported_at:timestamp_ntz,batch:string>").alias("_tried"),
+            F.lit(None).cast("struct<status:string,error:string,attempt:int>").alias("_report"),
+        )
+        told = self.reports.read().select(
+            "request_id", "position", F.lit(None).cast(made.schema["_made"].dataType).alias("_made"), F.lit(None).cast(made.schema["_message"].dataType).alias("_message"),
+            F.struct("attempt", "reported_at", "batch").alias("_tried"), F.struct("status", "error", "attempt").alias("_report"),
+        )
+        merged = made.unionByName(told).groupBy("request_id", "position").agg(
+            F.min_by("_message", "_made").alias("_message"), F.max_by("_report", "_tried").alias("_report")
+        )
+        reported = F.col("_report").isNotNull()
+        return merged.where(F.col("_message").isNotNull()).select(
+            "request_id",
+            "position",
+            *[F.col(f"_message.{n}") for n in message if n not in ("status", "error")],
+            F.when(reported, F.col("_report.status")).otherwise(F.col("_message.status")).alias("status"),
+            F.when(reported, F.col("_report.error")).otherwise(F.col("_message.error")).alias("error"),
+            F.coalesce("_report.attempt", F.lit(0)).alias("attempt"),
+        )
+
+
 def delivery_report(outbox: DataFrame) -> DataFrame:
     """Per request: messages sent and failed, and the error texts in recipient order.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from screenforge.constants import RAW_SIMILARITY_CUT, SHORTLIST_SIZE
 from screenforge.functions.text import present_skills, skill_count
 from screenforge.operators.filters import has_experience
+from screenforge.operators.joins import lookup_join, shuffle_width
 
 
 def _rank_order() -> list[Column]:
@@ -162,6 +163,68 @@ def _block_shortlist(k: int, cut: float):
     return run
 
 
+def block_shape() -> str:
+    """Schema of the rows a block hands on."""
+    return ", ".join(f"{n} {t}" for n, t in _SHORTLIST.items())
+
+
+def people_of(candidates: DataFrame) -> DataFrame:
+    """What a block needs of candidates."""
+    return candidates.where("role IS NOT NULL").select(
+        "role",
+        "application_id",
+        "experience",
+        skill_count(F.col("skills")).cast("long").alias("skill_count"),
+        "vector",
+        *[c if c in candidates.columns else F.lit(None).cast(_SHORTLIST[c]).alias(c) for c in _CARRIED],
+    )
+
+
+def jobs_of(requests: DataFrame) -> DataFrame:
+    """What a block needs of prepared requests."""
+    return requests.where("role IS NOT NULL").select(
+        "role",
+        "request_id",
+        (F.cardinality("job_skills") > 0).alias("wants_skills"),
+        "min_experience",
+        "wanted_location",
+        "any_filter",
+        "w_skills",
+        "w_experience",
+        "w_location",
+        "job_vector",
+    )
+
+
+def part_of(column: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(column), parts).cast("int")
+
+
+def every_part(parts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))
+
+
+def place_of_block_row() -> Column:
+    """The place of a block's row among all rows of its request."""
+    order = [
+        F.when(F.col("any_filter"), F.col("score")).otherwise(F.lit(0.0)).desc(),
+        F.col("experience").desc(),
+        F.col("skill_count").desc(),
+        F.col("application_id"),
+    ]
+    return F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
+
+
+def role_grid(candidates: DataFrame, requests: DataFrame, rows: int, request_rows: int) -> DataFrame:
+    """(role, blocks, request_blocks) of the roles that have both: parts of about so many rows.
+
+    A role with few candidates is one block, and no request of it is copied.
+    """
+    people = candidates.groupBy("role").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("blocks"))
+    jobs = requests.groupBy("role").agg(F.ceil(F.count(F.lit(1)) / request_rows).cast("int").alias("request_blocks"))
+    return people.join(jobs, "role")
+
+
 def shortlists(
     candidates: DataFrame,
     requests: DataFrame,
@@ -169,68 +232,30 @@ def shortlists(
     cut: float = RAW_SIMILARITY_CUT,
     blocks: int | None = None,
     request_blocks: int = 1,
+    grid: DataFrame | None = None,
 ) -> DataFrame:
     """First ``k`` candidates for each of many prepared requests, by vector similarity; exact.
 
     ``candidates`` carry ``vector`` and ``requests`` ``job_vector`` (unit vectors or null). The
     candidates of a role are dealt over ``blocks`` parts by their id and its requests over
-    ``request_blocks``, so a role with a third of all rows is spread like the rest. A task holds
+    ``request_blocks``, or over as many as ``grid`` (:func:`role_grid`) has for the role, so a role with a third of
+    all rows is spread and a small one is not. A task holds
     one part of each, scores them as matrix products and hands on ``k`` rows per request; pairs
-    never become rows. Both numbers should keep a part below some ten thousand rows.
+    never become rows. A part should have some ten thousand rows at most.
     """
-    spark = candidates.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def part_of(column: str, parts: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
-
-    def every_part(parts: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-
+    people, jobs = people_of(candidates), jobs_of(requests)
+    if grid is None:
+        blocks = blocks or shuffle_width(candidates.sparkSession)
+        people, jobs = (df.withColumns({"blocks": F.lit(blocks), "request_blocks": F.lit(request_blocks)}) for df in (people, jobs))
+    else:
+        people, jobs = (lookup_join(df, grid, "role", "inner") for df in (people, jobs))
     cell = ("role", "block", "request_block")
-    tasks = blocks * request_blocks
-    people = (
-        candidates.where("role IS NOT NULL")
-        .select(
-            "role",
-            "application_id",
-            "experience",
-            skill_count(F.col("skills")).cast("long").alias("skill_count"),
-            "vector",
-            *[c if c in candidates.columns else F.lit(None).cast(_SHORTLIST[c]).alias(c) for c in _CARRIED],
-        )
-        .withColumn("block", part_of("application_id", blocks))
-        .withColumn("request_block", every_part(request_blocks))
-        .repartition(tasks, *cell)
-    )
-    jobs = (
-        requests.where("role IS NOT NULL")
-        .select(
-            "role",
-            "request_id",
-            (F.cardinality("job_skills") > 0).alias("wants_skills"),
-            "min_experience",
-            "wanted_location",
-            "any_filter",
-            "w_skills",
-            "w_experience",
-            "w_location",
-            "job_vector",
-        )
-        .withColumn("request_block", part_of("request_id", request_blocks))
-        .withColumn("block", every_part(blocks))
-        .repartition(tasks, *cell)
-    )
+    people = people.withColumn("block", part_of("application_id", F.col("blocks"))).withColumn("request_block", every_part(F.col("request_blocks")))
+    jobs = jobs.withColumn("request_block", part_of("request_id", F.col("request_blocks"))).withColumn("block", every_part(F.col("blocks")))
     partial = (
-        people.groupBy(*cell)
-        .cogroup(jobs.groupBy(*cell))
-        .applyInPandas(_block_shortlist(k, cut), ", ".join(f"{n} {t}" for n, t in _SHORTLIST.items()))
+        people.drop("blocks", "request_blocks")
+        .groupBy(*cell)
+        .cogroup(jobs.drop("blocks", "request_blocks").groupBy(*cell))
+        .applyInPandas(_block_shortlist(k, cut), block_shape())
     )
-    order = [
-        F.when(F.col("any_filter"), F.col("score")).otherwise(F.lit(0.0)).desc(),
-        F.col("experience").desc(),
-        F.col("skill_count").desc(),
-        F.col("application_id"),
-    ]
-    place = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
-    return partial.withColumn("place", place).where(F.col("place") <= k).drop("any_filter")
+    return partial.withColumn("place", place_of_block_row()).where(F.col("place") <= k).drop("any_filter")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from math import ceil
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from screenforge.constants import DEFAULT_ROLE, RAW_SIMILARITY_CUT, SHORTLIST_SIZE
 from screenforge.functions.experience import clean_experience
-from screenforge.operators.filters import positive_score
-from screenforge.operators.ranking import by_experience, finalists, most_experienced, rank_matches, shortlists
+from screenforge.operators.filters import meets_experience, meets_location, positive_score
+from screenforge.operators.joins import shuffle_width, spread_join
+from screenforge.operators.pruning import ROWS_PER_CLUSTER, PrunedSearch, pruned_shortlists
+from screenforge.operators.ranking import by_experience, finalists, most_experienced, rank_matches, role_grid, shortlists, top_matches
 from screenforge.operators.scoring import add_score, match, prepare_requests, vector_similarity
 from screenforge.operators.similarity import add_skill_vector
 from screenforge.session import materialize
@@ -17,6 +21,9 @@ from screenforge.sources.candidates import read_candidates, with_score_column
 
 # Candidates, or requests, of one block, which one task holds in memory with their vectors.
 ROWS_PER_BLOCK = 50_000
+LEAST_ROWS_PER_BLOCK = 2_000
+# More requests of one search are joined by shuffle.
+MOST_REQUESTS = 10_000
 
 
 def with_job_vectors(requests: DataFrame, skill_vectors: DataFrame) -> DataFrame:
@@ -51,16 +58,67 @@ def shortlist_many(
 
     Candidates no request can list are cut before vectors are looked up for the rest, unless
     ``candidates`` already carry ``vector``. The rest is written to the scratch folder: the lookup
-    reads it twice, and the row counts set the numbers of blocks.
+    reads it twice, and the row counts per role set the numbers of blocks.
     """
     spark = candidates.sparkSession
     able = materialize(finalists(candidates, k), "finalists")
     jobs = prepare_requests(requests, weights)
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(able.count() / ROWS_PER_BLOCK))
-    request_blocks = max(1, ceil(jobs.count() / ROWS_PER_BLOCK))
+    # All tasks get work where there is enough, and no block is larger than a task can hold.
+    rows = min(ROWS_PER_BLOCK, max(LEAST_ROWS_PER_BLOCK, ceil(able.count() / shuffle_width(spark))))
+    grid = materialize(role_grid(able, jobs, rows, ROWS_PER_BLOCK), "grid")
     if "vector" not in able.columns:
         able = add_skill_vector(able, skill_vectors, "application_id")
-    return shortlists(able, with_job_vectors(jobs, skill_vectors), k, cut, blocks, request_blocks)
+    return shortlists(able, with_job_vectors(jobs, skill_vectors), k, cut, grid=grid)
+
+
+def shortlist_pruned(
+    candidates: DataFrame,
+    requests: DataFrame,
+    skill_vectors: DataFrame,
+    k: int = SHORTLIST_SIZE,
+    cut: float = RAW_SIMILARITY_CUT,
+    weights: DataFrame | None = None,
+    rows_per_cluster: int = ROWS_PER_CLUSTER,
+) -> PrunedSearch:
+    """The same rows as :func:`shortlist_many`, opening only the clusters of candidates that can hold one of them.
+
+    Worth it where vectors of a role differ much and requests name skills; beside the rows it tells how many clusters each
+    request has opened.
+    """
+    able = materialize(finalists(candidates, k), "finalists")
+    if "vector" not in able.columns:
+        able = add_skill_vector(able, skill_vectors, "application_id")
+    jobs = with_job_vectors(prepare_requests(requests, weights), skill_vectors)
+    return pruned_shortlists(able, jobs, k, cut, rows_per_cluster, ROWS_PER_BLOCK)
+
+
+class Search(NamedTuple):
+    """What one search shows: matches in order, the whole role by experience, the first matches, and counts of rows."""
+
+    ranked: DataFrame
+    listing: DataFrame
+    top: DataFrame
+    counts: dict[str, int]
+
+
+def search(
+    candidates: DataFrame, requests: DataFrame, raw: Column | None = None, k: int = SHORTLIST_SIZE, cut: float = RAW_SIMILARITY_CUT, regex: bool = False
+) -> Search:
+    """Everything a recruiter sees for a few prepared requests, from one scan of the candidates.
+
+    Every candidate of a request's role is scored once and stored with a mark whether it matches; ``ranked`` (K1, K2),
+    ``listing`` (K3, per request) and ``top`` (K5) read that table. ``counts``: rows scored, and matches, counted while writing.
+    """
+    raw = vector_similarity() if raw is None else raw
+    pairs = spread_join(candidates, requests, "role", "application_id", MOST_REQUESTS)
+    passes = meets_experience(F.col("experience"), F.col("min_experience")) & meets_location(F.col("location"), F.col("wanted_location"), regex)
+    scored = add_score(pairs, raw, cut, regex)
+    scored = scored.withColumn("matches", F.coalesce(passes & (~F.col("any_filter") | (F.col("score") > 0)), F.lit(False)))
+    seen = Observation()
+    stored = materialize(scored.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("matches").alias("matches")), "search")
+    matches = stored.where("matches").drop("matches")
+    listing = stored.drop("matches").orderBy("request_id", F.col("experience").desc_nulls_last(), "application_id")
+    return Search(rank_matches(matches), listing, top_matches(matches, k), seen.get)
 
 
 def role_overview(spark: SparkSession, path: str, role: str = DEFAULT_ROLE) -> tuple[DataFrame, DataFrame]:

@@ -43,3 +43,20 @@ CANDIDATE_CSV = T.StructType(
 REPLY = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("name", "email", "phone", "location", "skills", "experience", "error")]
 )
+
+# A message of the outbox as its writer made it, and a sender's report on one attempt.
+MESSAGE = T.StructType(
+    [T.StructField("request_id", T.LongType()), T.StructField("position", T.IntegerType())]
+    + [T.StructField(n, T.StringType()) for n in ("email", "name", "subject", "plain", "html", "status", "error")]
+    + [T.StructField("written_at", T.TimestampNTZType())]
+)
+REPORT = T.StructType(
+    [
+        T.StructField("request_id", T.LongType()),
+        T.StructField("position", T.IntegerType()),
+        T.StructField("attempt", T.IntegerType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("reported_at", T.TimestampNTZType()),
+    ]
+)

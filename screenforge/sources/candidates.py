@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from screenforge.constants import ROLE_ALIASES
 from screenforge.functions.literals import format_list_literal, parse_list_literal
 from screenforge.schemas import CANDIDATE, CANDIDATE_CSV, CANDIDATE_WITH_VECTOR
+from screenforge.sources.batches import BatchTable
 
 # Keep blanks at the ends of fields, and line ends inside them.
 _CSV = {
@@ -41,6 +42,26 @@ def write_candidates(df: DataFrame, path: str, fmt: str = "parquet", mode: str =
     writer.partitionBy("role").mode(mode).format(fmt).save(path)
 
 
+def candidate_batches(spark: SparkSession, path: str) -> BatchTable:
+    """The candidate table in batches, for writers that may repeat a write; vectors are stored with the rows."""
+    return BatchTable(spark, path, CANDIDATE_WITH_VECTOR, ("role",))
+
+
+def write_candidate_batch(df: DataFrame, path: str, batch: str) -> bool:
+    """Add a named batch of candidates, once: False, and nothing written, if it is there already."""
+    if "vector" not in df.columns:
+        df = df.withColumn("vector", F.lit(None).cast("array<double>"))
+    return candidate_batches(df.sparkSession, path).write(df, batch)
+
+
+def read_candidate_batches(spark: SparkSession, path: str, role: str | None = None, vectors: bool = False) -> DataFrame:
+    """The rows of all complete batches, or one role of them."""
+    df = candidate_batches(spark, path).read()
+    if role is not None:
+        df = df.where(F.col("role") == ROLE_ALIASES.get(role.lower(), role.lower()))
+    return df.select(*(CANDIDATE_WITH_VECTOR if vectors else CANDIDATE).fieldNames())
+
+
 def _named_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV files by the names in their header: a missing column is null, others are left out.
 

@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from screenforge.functions.text import email_key
 from screenforge.operators.dedup import new_applications
 from screenforge.plans.intake import read_applications, register
 from screenforge.schemas import CANDIDATE
 from screenforge.session import materialize
-
-# Fixed for the life of a table: its key folders are numbered by it.
-KEY_BUCKETS = 64
+from screenforge.streaming.keys import KeyStore, keyed
 
 _KEYS = T.StructType(
     [T.StructField("role", T.StringType()), T.StructField("email", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())]
@@ -45,48 +42,24 @@ def _read_keys(spark: SparkSession, table: str) -> DataFrame:
         return spark.createDataFrame([], _KEYS)
 
 
-def _add_missing_keys(spark: SparkSession, table: str, batch_id: int) -> None:
-    """Write the key folders of lower batches that have none, as in tables from before keys were stored apart.
-
-    A folder counts once its write has ended, so a failure on the way is made good by the next batch.
-    """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-
-    def batches(pattern: str, above: int) -> set[int]:
-        path = jvm.org.apache.hadoop.fs.Path(pattern)
-        found = path.getFileSystem(conf).globStatus(path) or []
-        return {int(str(f.getPath()).split("/")[-1 - above].removeprefix("batch_id=")) for f in found}
-
-    missing = batches(f"{table}/batch_id=*", 0) - batches(f"{table}_keys/batch_id=*/_SUCCESS", 1)
-    for old in sorted(b for b in missing if b < batch_id):
-        _write_keys(spark.read.schema(CANDIDATE).parquet(f"{table}/batch_id={old}"), old, table)
-
-
-def _write_keys(accepted: DataFrame, batch_id: int, table: str) -> None:
-    key = email_key(F.col("email"))
-    bucket = F.pmod(F.xxhash64("role", key), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
-    keys = accepted.where(key.isNotNull()).select("role", key.alias("email"), bucket).repartition("bucket")
-    keys.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}_keys/batch_id={batch_id}")
-
-
 def store_batch(applications: DataFrame, batch_id: int, table: str) -> None:
     """Register one batch against all earlier ones.
 
-    Accepted (role, email) keys lie in a table of their own beside the candidates, in folders by
-    batch and hash bucket. A batch is computed once, opens only its own buckets of lower batch
-    numbers, and replaces only its own folders, so a replay after a failure gives the same tables.
-    Earlier batches without key folders get them first.
+    Accepted (role, email) keys lie beside the candidates in a :class:`KeyStore`: merged runs, of which a batch opens
+    only the folders that can hold its keys. A batch is computed once and replaces only its own folders,
+    so a replay after a failure gives the same tables. A table without a manifest of the batch before, as
+    from before there were any, gets its keys from its rows first.
     """
     spark = applications.sparkSession
-    key = email_key(F.col("email"))
-    accepted = register(applications).withColumn("bucket", F.pmod(F.xxhash64("role", key), F.lit(KEY_BUCKETS)).cast("int"))
-    accepted = materialize(accepted, "batch")
-    buckets = [r.bucket for r in accepted.select("bucket").distinct().collect()]  # KEY_BUCKETS numbers at most
-    _add_missing_keys(spark, table, batch_id)
-    earlier = _read_keys(spark, table).where((F.col("batch_id") < batch_id) & F.col("bucket").isin(buckets))
-    new = materialize(new_applications(accepted, earlier), "new")
+    store = KeyStore(spark, table)
+    accepted = materialize(register(applications), "batch")
+    runs = store.runs_before(batch_id)
+    if runs is None:
+        rows = read_intake(spark, table).where(F.col("batch_id") < batch_id).select("batch_id").distinct()
+        runs = store.adopt([r.batch_id for r in rows.collect()])
+    new = new_applications(accepted, store.known(keyed(accepted), runs))
     new.select(*CANDIDATE.fieldNames()).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-    _write_keys(new, batch_id, table)
+    store.add(keyed(spark.read.schema(CANDIDATE).parquet(f"{table}/batch_id={batch_id}")), batch_id, runs)
 
 
 def start_intake(stream: DataFrame, table: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
