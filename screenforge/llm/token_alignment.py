@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +20,13 @@ from screenforge.session import materialize
 
 # Texts are tokenised and aligned about so many bytes at a time.
 PIECE_BYTES = 1 << 20
-# Texts above this are given to the tokenizers in parts, cut where no token of either can reach across.
-LONG_CHARS = 1 << 18
-SAFE_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
-# The store of aligned windows begins anew beyond so many windows, or eight times as many pairs in them.
-KNOWN_WINDOWS = 300_000
+# Before a space between two of these characters both tokenizers begin a token, whatever stands around them.
+SAFE_CUT = re.compile("(?<=[!-~]) (?=[!-~])")
+# The stores of words and of aligned windows begin anew beyond so many, or eight times as many ids or pairs.
+KNOWN_WINDOWS = 200_000
+WORDS_A_CALL = 256
+# A group with more links is counted by its distinct ids.
+MANY_LINKS = 1 << 10
 # So many id pairs (17 bytes each) may be broadcast.
 BROADCAST_PAIRS = 1_000_000
 
@@ -50,16 +51,14 @@ class Surface:
         return self.data[ragged(self.at[ids], self.size[ids])]
 
 
-def parts_of(text: str) -> list[str]:
-    """A text in parts of about LONG_CHARS, cut before single spaces between ASCII letters: both tokenizers begin a token there."""
-    parts, start = [], 0
-    while len(text) - start > LONG_CHARS:
-        cut = SAFE_CUT.search(text, start + LONG_CHARS)
-        if not cut:
-            break
-        parts.append(text[start : cut.start()])
-        start = cut.start()
-    return [*parts, text[start:]]
+def counted_pairs(owner: np.ndarray, pairs: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of each owner in order, and how often each is there."""
+    if not len(pairs):
+        return owner, pairs, often
+    by = np.lexsort((pairs, owner))
+    owner, pairs, often = owner[by], pairs[by], often[by]
+    first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])])
+    return owner[first], pairs[first], np.add.reduceat(often, first)
 
 
 class Aligner:
@@ -88,75 +87,120 @@ class Aligner:
             else:
                 surface.append(piece.replace("▁", " ").encode())
         self.b_bytes = Surface(surface)
+        self.decimals = Surface([b"%d," % i for i in range(max(len(surface), max(names) + 1))])
+        self.forget_words()
         self.forget()
 
+    def forget_words(self) -> None:
+        self.words: dict[str, int] = {}
+        self.word_ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.word_at = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.word_size = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
     def forget(self) -> None:
         self.known: dict[tuple[bytes, bytes], int] = {}
-        self.shown: list[str] = []
+        self.shown: list[bytes] = []
         self.sums: list[tuple[int, int]] = []
         self.linked: list[bytes] = []
         self.often: list[bytes] = []
         self.held = 0
 
     def tokenised(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Flat ids and number of ids of each text, by both tokenizers."""
-        parts = [parts_of(text) for text in texts]
-        number = [len(p) for p in parts]
-        by_a = self.a.encode_batch_fast([" " + p if i == 0 else p for ps in parts for i, p in enumerate(ps)], add_special_tokens=False)
-        by_b = self.b.encode([p if i == 0 else p[1:] for ps in parts for i, p in enumerate(ps)], num_threads=1)
+        """Flat ids and number of ids of each text, by both tokenizers.
+
+        Texts are cut where no token of either can reach across, and words met before are looked up. A cut-off space
+        comes back in front of the word: of itself in the second vocabulary, and put there for the first one.
+        """
+        parts = [SAFE_CUT.split(text) for text in texts]
+        if len(self.words) > KNOWN_WINDOWS or len(self.word_ids[0]) > 8 * KNOWN_WINDOWS:
+            self.forget_words()
+        before, known = len(self.words), self.words
+        place = np.array([known.setdefault(w, len(known)) for words in parts for w in words], np.int64)
+        if len(known) > before:
+            new = list(itertools.islice(known, before, None))
+            ids = self.b.encode(new, num_threads=1)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            by_b = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum())), size
+            for side, (flat, size) in enumerate((self._spaced(new), by_b)):
+                self.word_at[side] = np.r_[self.word_at[side], len(self.word_ids[side]) + np.cumsum(size) - size]
+                self.word_ids[side] = np.r_[self.word_ids[side], flat]
+                self.word_size[side] = np.r_[self.word_size[side], size]
+        first = np.cumsum([0, *(len(words) for words in parts[:-1])])
         found = []
-        for ids in ([e.ids for e in by_a], by_b):
-            count = np.array([len(i) for i in ids], np.int64)
-            flat = np.concatenate([np.array(i, np.int32) for i in ids])
-            found.append((flat, np.add.reduceat(count, np.cumsum([0, *number[:-1]]))))
+        for ids, at, size in zip(self.word_ids, self.word_at, self.word_size):
+            found.append((ids[ragged(at[place], size[place])], np.add.reduceat(size[place], first)))
         return found
 
-    def align(self, left: list[int], a_size: list[int], right: list[int], b_size: list[int]) -> tuple[str, int, int, bytes, bytes]:
-        """One window: its groups as text, their number, the number of links, the linked pairs and how often each is linked (64-bit)."""
-        links, shown, n_links, a, b, last = {}, [], 0, 0, 0, len(left)
-        while a < last:
-            a_to, b_to, ahead = a + 1, b + 1, a_size[a] - b_size[b]
-            while ahead:  # the side that is behind takes its next token
-                if ahead > 0:
-                    ahead -= b_size[b_to]
-                    b_to += 1
-                else:
-                    ahead += a_size[a_to]
-                    a_to += 1
-            mine, other = left[a:a_to], right[b:b_to]
-            shown.append(",".join(map(str, mine)) + "|" + ",".join(map(str, other)))
-            n_links += len(mine) * len(other)
-            if len(mine) * len(other) > 64:
-                mine, other = Counter(mine).items(), Counter(other).items()
-                for x, times in mine:
-                    for y, more in other:
-                        links[x << 32 | y] = links.get(x << 32 | y, 0) + times * more
-            else:
-                for x in mine:
-                    for y in other:
-                        pair = x << 32 | y
-                        links[pair] = links.get(pair, 0) + 1
-            a, b = a_to, b_to
-        return ";".join(shown), len(shown), n_links, array("q", links).tobytes(), array("q", links.values()).tobytes()
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of space + word in the first vocabulary, and their number. Words that are safe to put together are, as calls cost more than words."""
+        safe = [bool(w) and "!" <= w[0] <= "~" and "!" <= w[-1] <= "~" for w in words]
+        joined = [w for w, ok in zip(words, safe) if ok]
+        lines = [" " + " ".join(joined[i : i + WORDS_A_CALL]) for i in range(0, len(joined), WORDS_A_CALL)]
+        lines += [" " + w for w, ok in zip(words, safe) if not ok]
+        ids = [e.ids for e in self.a.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+        order = np.argsort(~np.array(safe), kind="stable")  # as in the lines
+        ends = np.cumsum(np.array([len(w.encode()) + 1 for w in words], np.int64)[order])
+        edge = np.r_[0, np.searchsorted(np.cumsum(self.a_bytes.size[flat]), ends, side="right")]
+        size, at = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        size[order], at[order] = np.diff(edge), edge[:-1]
+        return flat[ragged(at, size)], size
+
+    def keep(self, a_ids: np.ndarray, a_size: np.ndarray, b_ids: np.ndarray, b_size: np.ndarray) -> None:
+        """Align new windows, all at once, and store the results. ``a_size``, ``b_size``: number of ids of each window."""
+        a_end, b_end = np.cumsum(self.a_bytes.size[a_ids]), np.cumsum(self.b_bytes.size[b_ids])
+        ends = np.intersect1d(a_end, b_end, assume_unique=True)
+        a_group, b_group = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
+        a_in, b_in = np.bincount(a_group, minlength=len(ends)), np.bincount(b_group, minlength=len(ends))
+        window = np.searchsorted(a_end[np.cumsum(a_size) - 1], ends)
+        n_groups = np.bincount(window, minlength=len(a_size))
+        links = a_in * b_in
+        n_links = np.zeros(len(a_size), np.int64)
+        np.add.at(n_links, window, links)
+        # As text: the ids of the first side of a group, those of the second, the next group; each with the sign that follows.
+        a_place, b_place = np.arange(len(a_ids)) + (np.cumsum(b_in) - b_in)[a_group], np.arange(len(b_ids)) + np.cumsum(a_in)[b_group]
+        ids = np.empty(len(a_ids) + len(b_ids), np.int64)
+        ids[a_place], ids[b_place] = a_ids, b_ids
+        upto = np.cumsum(self.decimals.size[ids])
+        text = self.decimals.joined(ids)
+        text[upto[a_place[np.cumsum(a_in) - 1]] - 1] = ord("|")
+        text[upto[b_place[np.cumsum(b_in) - 1]] - 1] = ord(";")
+        text, last = text.tobytes(), upto[np.cumsum(a_size + b_size) - 1].tolist()
+        # All pairs within small groups; large ones by their distinct ids, each counted.
+        few = links <= MANY_LINKS
+        mine = np.flatnonzero(few[a_group])
+        other = b_in[a_group[mine]]
+        pairs = np.repeat(a_ids[mine].astype(np.int64) << 32, other) | b_ids[ragged((np.cumsum(b_in) - b_in)[a_group[mine]], other)]
+        owner, often = np.repeat(window[a_group[mine]], other), np.ones(len(pairs), np.int64)
+        for g in np.flatnonzero(~few):
+            left, times = np.unique(a_ids[a_group == g].astype(np.int64), return_counts=True)
+            right, more = np.unique(b_ids[b_group == g].astype(np.int64), return_counts=True)
+            pairs = np.r_[pairs, (left[:, None] << 32 | right[None, :]).ravel()]
+            often = np.r_[often, (times[:, None] * more[None, :]).ravel()]
+            owner = np.r_[owner, np.full(len(left) * len(right), window[g])]
+        owner, pairs, often = counted_pairs(owner, pairs, often)
+        edge = np.searchsorted(owner, np.arange(len(a_size) + 1)) * 8
+        pairs, often, edge = pairs.tobytes(), often.tobytes(), edge.tolist()
+        self.shown += [text[x:y] for x, y in zip([0, *last], last)]
+        self.sums += zip(n_groups.tolist(), n_links.tolist())
+        self.linked += [pairs[x:y] for x, y in zip(edge, edge[1:])]
+        self.often += [often[x:y] for x, y in zip(edge, edge[1:])]
+        self.held += len(pairs)
 
     def windows(self, a_ids: np.ndarray, a_at: np.ndarray, b_ids: np.ndarray, b_at: np.ndarray) -> np.ndarray:
-        """The store's number of every window: ids from one place of ``a_at`` and ``b_at`` to the next."""
-        a_raw, b_raw = a_ids.astype("<i4").tobytes(), b_ids.astype("<i4").tobytes()
-        a_list, b_list, a_size, b_size = a_ids.tolist(), b_ids.tolist(), self.a_bytes.size[a_ids].tolist(), self.b_bytes.size[b_ids].tolist()
-        a_edge, b_edge, known, found = a_at.tolist(), b_at.tolist(), self.known, []
-        for a, a_to, b, b_to in zip(a_edge, a_edge[1:], b_edge, b_edge[1:]):
-            key = (a_raw[4 * a : 4 * a_to], b_raw[4 * b : 4 * b_to])
-            at = known.get(key)
-            if at is None:
-                at = known[key] = len(self.shown)
-                shown, n_groups, n_links, linked, often = self.align(a_list[a:a_to], a_size[a:a_to], b_list[b:b_to], b_size[b:b_to])
-                self.shown.append(shown)
-                self.sums.append((n_groups, n_links))
-                self.linked.append(linked)
-                self.often.append(often)
-                self.held += len(linked)
-            found.append(at)
-        return np.array(found, np.int64)
+        """The store's number of every window: ids from one place of ``a_at`` and ``b_at`` to the next. New id tuples are aligned."""
+        a_raw, b_raw, known, before = a_ids.astype("<i4").tobytes(), b_ids.astype("<i4").tobytes(), self.known, len(self.known)
+        a_edge, b_edge = (4 * a_at).tolist(), (4 * b_at).tolist()
+        found = np.array(
+            [known.setdefault((a_raw[a:a_to], b_raw[b:b_to]), len(known)) for a, a_to, b, b_to in zip(a_edge, a_edge[1:], b_edge, b_edge[1:])], np.int64
+        )
+        if len(known) > before:
+            new = np.flatnonzero(found >= before)
+            _, first = np.unique(found[new], return_index=True)
+            new = new[first]
+            a_size, b_size = a_at[new + 1] - a_at[new], b_at[new + 1] - b_at[new]
+            self.keep(a_ids[ragged(a_at[new], a_size)], a_size, b_ids[ragged(b_at[new], b_size)], b_size)
+        return found
 
     def rows(self, column: pa.Array) -> Iterator[tuple[int, int, list]]:
         """Per piece of a column without nulls: first row, last row + 1, and the values of n_a to often as lists."""
@@ -195,7 +239,7 @@ class Aligner:
         np.add.at(links, document, sums[:, 1])
         edge = np.searchsorted(document, np.arange(n + 1)).tolist()
         shown = self.shown
-        texts = [";".join([shown[w] for w in which[x:y].tolist()]) for x, y in zip(edge, edge[1:])]
+        texts = [b"".join([shown[w] for w in which[x:y].tolist()])[:-1] for x, y in zip(edge, edge[1:])]
         # Distinct pairs of each text, and how often they are linked in it.
         used, place = np.unique(which, return_inverse=True)
         linked = [self.linked[w] for w in used.tolist()]
@@ -204,18 +248,13 @@ class Aligner:
         often = np.frombuffer(b"".join([self.often[w] for w in used.tolist()]), np.int64)
         size = held[place]
         at = ragged((np.cumsum(held) - held)[place], size)
-        pairs, often = pairs[at], often[at]
-        owner = np.repeat(document, size)
-        by = np.lexsort((pairs, owner))
-        pairs, often, owner = pairs[by], often[by], owner[by]
-        first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])]) if len(pairs) else np.zeros(0, np.int64)
-        often = np.add.reduceat(often, first) if len(first) else often
-        lists = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
+        owner, pairs, often = counted_pairs(np.repeat(document, size), pairs[at], often[at])
+        lists = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
         counts = [np.bincount(owner_a, minlength=n), np.bincount(owner_b, minlength=n), groups, links]
         columns = [pa.array(c.astype(np.int64)) for c in counts]
-        digests = [hashlib.sha256(t.encode()).hexdigest() if ok else "" for t, ok in zip(texts, good.tolist())]
-        columns += [pa.array(texts, pa.string()), pa.array(digests, pa.string())]
-        return columns + [pa.ListArray.from_arrays(pa.array(lists), pa.array(v)) for v in (pairs[first], often)]
+        digests = [hashlib.sha256(t).hexdigest() if ok else "" for t, ok in zip(texts, good.tolist())]
+        columns += [pa.array(texts, pa.binary()), pa.array(digests, pa.string())]
+        return columns + [pa.ListArray.from_arrays(pa.array(lists), pa.array(v)) for v in (pairs, often)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -240,10 +279,11 @@ def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, with_groups:
         aligner = _aligner(*shared.value)
         for batch in batches:
             for low, high, (*counts, groups, digests, pairs, often) in aligner.rows(batch.column("text")):
-                columns = [batch.column("doc_id").slice(low, high - low), *counts, digests, pairs, often, *([groups] if with_groups else [])]
+                columns = [batch.column("doc_id").slice(low, high - low), *counts, digests, pairs, often, *([groups.cast(pa.string())] if with_groups else [])]
                 names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "often", "groups"]
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
         aligner.forget()
+        aligner.forget_words()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text")).mapInArrow(run, schema)
 
@@ -262,8 +302,7 @@ def alignment(docs: DataFrame, byte_level_path: str, piece_path: str) -> DataFra
     A null or empty text, or one whose tokens do not spell space + text in both vocabularies, has
     zeros and an empty digest. Every row counts as a document of its own, also where rows repeat; a
     null doc_id stays null; other columns are not looked at; an empty table gives no rows. Texts are
-    tokenised whole; above LONG_CHARS characters the tokenizers get them in parts whose tokens are the
-    same. A group without a shared offset inside links all its tokens, so a text of many different ids in
+    tokenised whole, by words whose tokens are the same apart. A group without a shared offset inside links all its tokens, so a text of many different ids in
     one group has as many distinct pairs as their product.
     """
     rows = aligned(docs, byte_level_path, piece_path).withColumn("row", F.monotonically_increasing_id())

@@ -107,16 +107,30 @@ def test_groups_and_links_are_shown(spark, libraries):
     assert dict(zip(row.pairs, row.often)) == {x << 32 | y: n for (x, y), n in links.items()}
 
 
-def test_long_texts_in_parts_and_a_store_that_begins_anew(libraries, monkeypatch):
-    monkeypatch.setattr(token_alignment, "LONG_CHARS", 500)
+def test_stores_that_begin_anew_and_large_groups(libraries, monkeypatch):
     monkeypatch.setattr(token_alignment, "PIECE_BYTES", 4000)
     monkeypatch.setattr(token_alignment, "KNOWN_WINDOWS", 20)
+    monkeypatch.setattr(token_alignment, "MANY_LINKS", 2)
     with open(A, encoding="utf-8") as one, open(B, "rb") as two:
         aligner = Aligner(one.read(), two.read())
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["alpha", "beta2", "γ", "it's", "  ", "Omega."]) for _ in range(n)) for n in (3, 2000, 40, 5000)] + ["ab" * 3000]
-    shown = [t for _, _, values in aligner.rows(pa.array(texts)) for t in values[4].to_pylist()]
-    assert shown == [_shown(groups) for *_, groups in _brute(libraries, texts)]
+    found = [row for _, _, values in aligner.rows(pa.array(texts)) for row in zip(*(v.to_pylist() for v in values))]
+    for (*_, shown, _, pairs, often), (_, _, links, groups) in zip(found, _brute(libraries, texts), strict=True):
+        assert shown.decode() == _shown(groups)
+        assert dict(zip(pairs, often)) == {x << 32 | y: n for (x, y), n in links.items()}
+
+
+def test_words_apart_have_the_same_tokens(libraries):
+    """Around every safe cut, for many characters on the far side of its neighbours."""
+    a_lib, b_lib = libraries
+    rng = random.Random(8)
+    far = "é 日😀\n\t \u00a0\u2003▁'.1aA\u0301\u200d<|"
+    for _ in range(3000):
+        text = "".join(rng.choice(far + "xyZ09!~ ") for _ in range(rng.randint(1, 30)))
+        words = token_alignment.SAFE_CUT.split(text)
+        assert [i for w in words for i in a_lib.encode(" " + w, add_special_tokens=False).ids] == a_lib.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        assert [i for w in words for i in b_lib.encode(w)] == b_lib.encode(text), repr(text)
 
 
 def test_empty_table(spark):
