@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,7 +24,11 @@ WORD_BITS = 22
 # The filter of frequent pairs has 16 bits a pair, and 2 ** 29 (64 MB) at most; beyond that it lets more pairs through.
 MOST_FILTER_BITS = 29
 BITS_A_BUCKET = 32768
+# Prefixes with more than 1 / (HOT * number of partitions) of a sample of so many texts (and two for each partition) are cut into strips.
+HOT, SAMPLE_TEXTS = 8, 2_000
 NO_LANG = "und"
+# As a next word: the end of a piece. No word has this sign.
+END = "."
 WORD, BLANK, BREAK = 0, 1, 2
 
 
@@ -118,10 +123,20 @@ class Stripes:
     With a filter, the prefixes have two words, and only what it lets through is counted.
     """
 
-    def __init__(self, strips: int, pairs: PairFilter | None = None):
-        self.strips, self.pairs = strips, pairs
+    def __init__(self, strips: int, pairs: PairFilter | None = None, hot: frozenset[tuple[str, ...]] = frozenset()):
+        self.strips, self.pairs, self.hot = strips, pairs, hot
         self.clear()
 
+    def _cut(self) -> np.ndarray:
+        """The hot prefixes among those counted here."""
+        found = []
+        for lang, *words in self.hot:
+            number = self.langs.get(lang)
+            for word in words:
+                number = None if number is None or word not in self.words else number << WORD_BITS | self.words[word]
+            found.append(-1 if number is None else number)
+        return np.array(found, np.int64)
+
     def clear(self) -> None:
         self.langs: dict[str, int] = {}
         self.words: dict[str, int] = {}
@@ -169,11 +184,12 @@ class Stripes:
                 self.clear()
 
     def _batches(self, prefix: np.ndarray, following: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-        strip = (np.concatenate(self.hashes)[following].view(np.uint64) % np.uint64(self.strips)).astype(np.int64)
+        strip = (np.concatenate(self.hashes)[following].view(np.uint64) % np.uint64(self.strips)).astype(np.int32)
+        strip[~np.isin(prefix, self._cut())] = 0
         by = np.lexsort((strip, prefix))
         prefix, following, often, strip = prefix[by], following[by], often[by], strip[by]
         edge = np.r_[np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (strip[1:] != strip[:-1])]), len(prefix)]
-        names, langs = pa.array([None, *self.words], pa.string()), pa.array([*self.langs], pa.string())
+        names, langs = pa.array([END, *self.words], pa.string()), pa.array([*self.langs], pa.string())
         mask = (1 << WORD_BITS) - 1
         for low in range(0, len(edge) - 1, STRIPES_A_BATCH):
             cut = edge[low : low + STRIPES_A_BATCH + 1]
@@ -182,32 +198,40 @@ class Stripes:
                 lang, first, second = head >> WORD_BITS, head & mask, np.zeros(len(head), np.int64)
             else:
                 lang, first, second = head >> 2 * WORD_BITS, head >> WORD_BITS & mask, head & mask
-            entries = pa.StructArray.from_arrays([names.take(pa.array(following[body])), pa.array(often[body])], names=["next", "n"])
-            stripe = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), entries)
-            columns = [langs.take(pa.array(lang)), names.take(pa.array(first)), names.take(pa.array(second)), pa.array(strip[cut[:-1]]), stripe]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "first", "second", "strip", "stripe"])
+            # Words hold no space, so a stripe travels as two texts: the next words, and their counts unless all are 1.
+            places = pa.array((cut - cut[0]).astype(np.int32))
+            following_words = pc.binary_join(pa.ListArray.from_arrays(places, names.take(pa.array(following[body]))), " ")
+            counts = pc.binary_join(pa.ListArray.from_arrays(places, pa.array(often[body]).cast(pa.string())), " ")
+            counts = pc.if_else(pa.array(np.maximum.reduceat(often[body], cut[:-1] - cut[0]) == 1), "", counts)
+            columns = [langs.take(pa.array(lang)), names.take(pa.array(first)), pc.if_else(pa.array(second == 0), "", names.take(pa.array(second)))]
+            columns += [pa.array(strip[cut[:-1]]), following_words, counts]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "first", "second", "strip", "stripe", "counts"])
 
 
 PREFIX = ["lang", "first", "second", "strip"]
 
 
-def merged_stripes(docs: DataFrame, pairs: PairFilter | None = None) -> DataFrame:
+def _language(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), filled("text").alias("text"))
+
+
+def merged_stripes(docs: DataFrame, pairs: PairFilter | None = None, hot: frozenset[tuple[str, ...]] = frozenset()) -> DataFrame:
     """(lang, first, second, strip, next, n): the stripes of all tasks, merged element by element.
 
-    Without ``pairs`` the prefixes have one word (``second`` is null), and a null ``next`` is the end of a
+    Without ``pairs`` the prefixes have one word (``second`` is empty), and a null ``next`` is the end of a
     piece, so the counts of a prefix add up to its occurrences. With ``pairs`` they have two, and an entry is
-    counted where both its first two and its last two words are let through. A stripe is cut into
-    strips by the hash of the next word, as many as there are shuffle partitions, so that the stripe of a prefix that
-    a third of all text begins with is merged in all of them.
+    counted where both its first two and its last two words are let through. The stripe of a ``hot`` prefix is cut
+    into strips by the hash of the next word, as many as there are shuffle partitions, so that it is merged in all of
+    them; what is hot moves work only, and changes no count.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     strips = shuffle_width(spark)
-    shared = spark.sparkContext.broadcast(pairs)
-    schema = "lang string, first string, second string, strip long, stripe array<struct<next:string,n:bigint>>"
+    shared = spark.sparkContext.broadcast((pairs, hot))
+    schema = "lang string, first string, second string, strip int, stripe string, counts string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = Stripes(strips, shared.value)
+        counters = Stripes(strips, *shared.value)
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for low, high, data, offsets in chunks(batch.column("text"), PIECE_BYTES):
@@ -215,27 +239,43 @@ def merged_stripes(docs: DataFrame, pairs: PairFilter | None = None) -> DataFram
                 yield from counters.taken()
         yield from counters.taken(last=True)
 
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), filled("text").alias("text")).mapInArrow(run, schema)
-    return rows.repartition(strips, *PREFIX).select(*PREFIX, F.inline("stripe")).groupBy(*PREFIX, "next").agg(F.sum("n").alias("n"))
+    rows = _language(docs).mapInArrow(run, schema).repartition(strips, *PREFIX)
+    counts = F.when(F.col("counts") != "", F.split("counts", " ")).otherwise(F.array().cast("array<string>"))
+    entries = rows.select(*PREFIX, F.inline(F.arrays_zip(F.split("stripe", " ").alias("next"), counts.alias("n"))))
+    entries = entries.select(*PREFIX, F.nullif("next", F.lit(END)).alias("next"), F.coalesce(F.col("n").cast("long"), F.lit(1)).alias("n"))
+    return entries.groupBy(*PREFIX, "next").agg(F.sum("n").alias("n"))
+
 
+def hot_prefixes(docs: DataFrame) -> tuple[frozenset[tuple[str, ...]], frozenset[tuple[str, ...]]]:
+    """(lang, word) and (lang, word, word) that a good share of a sample begins with: HOT times the number of partitions of each at most."""
+    width = shuffle_width(docs.sparkSession)
+    total = docs.count()
+    wanted = SAMPLE_TEXTS + 2 * width
+    sample = docs if total <= wanted else docs.sample(wanted / total, seed=7)
+    entries = materialize(merged_stripes(sample), "sample")
+    least = (entries.agg(F.sum("n")).first()[0] or 0) / (HOT * width)
+    words = entries.groupBy("lang", "first").agg(F.sum("n").alias("n")).filter(F.col("n") > least).collect()
+    pairs = entries.filter((F.col("n") > least) & F.col("next").isNotNull()).collect()
+    return frozenset((r.lang, r.first) for r in words), frozenset((r.lang, r["first"], r["next"]) for r in pairs)
 
-def counted_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, words, n) of every word, and of every phrase of two or three words that occurs ``least`` times; and (lang, n) of all words.
 
-    ``words`` is an array. Three words can only be as frequent as the two pairs in them, so the second
+def counted_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, first, n) of every word that occurs ``least`` times, (lang, words, n) of such phrases of two or three, and (lang, n) of all words.
+
+    Three words can only be as frequent as the two pairs in them, so the second
     reading counts only where the filter of the frequent pairs lets both through; its mistakes are cut
     by the exact count.
     """
-    merged = merged_stripes(docs).withColumn("next", F.when(F.col("n") >= least, F.col("next")))
+    hot_words, hot_pairs = hot_prefixes(docs)
+    merged = merged_stripes(docs, hot=hot_words).withColumn("next", F.when(F.col("n") >= least, F.col("next")))
     # The rare next words of a strip become one entry: it is still part of the prefix's total.
     ones = materialize(merged.groupBy(*PREFIX, "next").agg(F.sum("n").alias("n")).drop("second"), "stripes")
     pairs = ones.filter("next IS NOT NULL").select("lang", "first", F.col("next").alias("second"), "n")
     totals = materialize(ones.groupBy("lang", "first").agg(F.sum("n").alias("n")), "word-counts")
-    threes = materialize(merged_stripes(docs, pair_filter(pairs)).filter(F.col("n") >= least), "extensions")
+    threes = materialize(merged_stripes(docs, pair_filter(pairs), hot_pairs).filter(F.col("n") >= least), "extensions")
     phrases = pairs.select("lang", F.array("first", "second").alias("words"), "n")
     phrases = phrases.unionByName(threes.select("lang", F.array("first", "second", "next").alias("words"), "n"))
-    single = totals.filter(F.col("n") >= least).select("lang", F.array("first").alias("words"), "n")
-    return single.unionByName(phrases), totals.groupBy("lang").agg(F.sum("n").alias("n"))
+    return totals.filter(F.col("n") >= least), phrases, totals.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def score_of(a: Column, left: Column, right: Column) -> Column:
@@ -247,15 +287,18 @@ def score_of(a: Column, left: Column, right: Column) -> Column:
 def ranked(rows: DataFrame, most: int, width: int) -> DataFrame:
     """The first ``most`` rows of each language by score, count and phrase, with their rank.
 
-    They are found in ``width`` parts of each language first, then in about the root of so many, then in
-    all, so that one language with most phrases is not sorted in one task.
+    They are found in ``width`` parts of each language first, then in an eighth of so many, and so on, so that
+    no task sorts more than eight times ``most`` rows that another one has sorted before.
     """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(width))
-    for parts in (part, F.floor(part / max(1, math.isqrt(width))), F.lit(0)):
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(width)))
+    while True:
         place = F.row_number().over(W.partitionBy("lang", "_part").orderBy(*order))
-        rows = rows.withColumn("_part", parts.cast("long")).withColumn("rank", place).filter(F.col("rank") <= most).drop("_part")
-    return rows.withColumn("rank", F.col("rank").cast("long"))
+        rows = rows.withColumn("rank", place.cast("long")).filter(F.col("rank") <= most)
+        if width == 1:
+            return rows.drop("_part")
+        width = -(-width // 8)
+        rows = rows.withColumn("_part", F.pmod("_part", F.lit(width)))
 
 
 def collocations(docs: DataFrame, least: int = 10, share: int = 50, most: int = 2000) -> DataFrame:
@@ -268,23 +311,25 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, most: int =
     table (or a language without candidates) gives no rows. Words may have any length.
     """
     salt = F.pmod(F.xxhash64("phrase"), F.lit(shuffle_width(docs.sparkSession)))
-    counted, totals = counted_phrases(docs, least)
-    counted = materialize(counted.select("lang", "words", F.array_join("words", " ").alias("phrase"), "n"), "phrases")
-    candidates = counted.filter(F.size("words") > 1).withColumnRenamed("n", "a")
-    cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
-    cuts = cuts.select(
-        "lang", "phrase", "a", "k",
-        F.array_join(F.slice("words", F.lit(1), F.col("k")), " ").alias("left"),
-        F.array_join(F.slice("words", F.col("k") + 1, F.size("words")), " ").alias("right"),
-    )
-    values = counted.select("lang", "phrase", "n")
-    for side, name in (("left", "l"), ("right", "r")):
-        cuts = attach(cuts, values.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)), ["lang", side], salt)
-    weakest = F.min(F.struct(score_of(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("cut")
-    scored = cuts.groupBy("lang", "phrase").agg(F.max("a").alias("a"), weakest)
+    singles, counted, totals = counted_phrases(docs, least)
+    counted = counted.select("lang", F.array_join("words", " ").alias("phrase"), "words", F.col("n").alias("a"))
     inner = F.array(F.slice("words", 1, 2), F.slice("words", 2, 2))
-    around = candidates.filter(F.size("words") == 3).select("lang", F.explode(inner).alias("words"), "a")
+    around = counted.filter(F.size("words") == 3).select("lang", F.explode(inner).alias("words"), "a")
     around = around.groupBy("lang", F.array_join("words", " ").alias("phrase")).agg(F.max("a").alias("around"))
-    scored = scored.join(around, ["lang", "phrase"], "left").filter(F.coalesce(F.col("around") * 100 < F.col("a") * share, F.lit(True)))
+    kept = counted.join(around, ["lang", "phrase"], "left").filter(F.coalesce(F.col("around") * 100 < F.col("a") * share, F.lit(True)))
+    kept = materialize(kept.select("lang", "phrase", "words", "a"), "candidates")
+    # Counts of single words, and of the pairs in threes, come from tables of their own.
+    ones = singles.select("lang", F.col("first").alias("part"), "n")
+    twos = counted.filter(F.size("words") == 2).select("lang", F.col("phrase").alias("part"), F.col("a").alias("n"))
+    cuts = kept.select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
+    left, right = F.slice("words", F.lit(1), F.col("k")), F.slice("words", F.col("k") + 1, F.size("words"))
+    sides = cuts.select("lang", "phrase", "a", "k", F.posexplode(F.array(F.array_join(left, " "), F.array_join(right, " "))).alias("side", "part"))
+    single = ~F.col("part").contains(" ")
+    sides = attach(sides.filter(single), ones, ["lang", "part"], salt).unionByName(attach(sides.filter(~single), twos, ["lang", "part"], salt))
+    sides = sides.groupBy("lang", "phrase", "k").agg(
+        F.max("a").alias("a"), F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r")
+    )
+    weakest = F.min(F.struct(score_of(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")).alias("cut")
+    scored = sides.groupBy("lang", "phrase").agg(F.max("a").alias("a"), weakest)
     best = ranked(scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), most, shuffle_width(docs.sparkSession))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

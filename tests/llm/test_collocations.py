@@ -81,7 +81,8 @@ def test_counters_that_are_handed_on_early(spark, monkeypatch):
     from screenforge.llm.common import chunks
 
     rows = _rows(4, 9, 100)
-    counters, found = Stripes(3), Counter()
+    hot, strips = {("en", "the"), ("de", "of"), ("en", "never")}, set()
+    counters, found = Stripes(3, hot=frozenset(hot)), Counter()
     texts, langs = [r[1] or "" for r in rows], [r[2] or "und" for r in rows]
     batches = []
     for low, high, data, offsets in chunks(pa.array(texts), 500):
@@ -90,13 +91,24 @@ def test_counters_that_are_handed_on_early(spark, monkeypatch):
     batches += counters.taken(last=True)
     for batch in batches:
         for row in batch.to_pylist():
-            for entry in row["stripe"]:
-                found[row["lang"], row["first"]] += entry["n"]
+            words = row["stripe"].split(" ")
+            counts = row["counts"].split(" ") if row["counts"] else ["1"] * len(words)
+            found[row["lang"], row["first"]] += sum(map(int, counts))
+            assert len(words) == len(counts) and (row["strip"] == 0 or (row["lang"], row["first"]) in hot)
+            strips.add(row["strip"])
     expected = Counter()
     for text, lang in zip(texts, langs):
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(LOWER)):
             expected.update((lang, w) for w in re.findall(r"[^\x20\x09]+", piece))
-    assert found == expected and len(batches) > 10
+    assert found == expected and len(batches) > 10 and strips == {0, 1, 2}
+
+
+def test_hot_prefixes(spark, monkeypatch):
+    rows = [(i, "the cat, the dog of cats", "en", 1, "x", 2, 3) for i in range(300)] + [(i, f"one{i} two{i}", None, 1, "x", 2, 3) for i in range(200)]
+    for sample in (2_000, 20):
+        monkeypatch.setattr(module, "SAMPLE_TEXTS", sample)
+        words, pairs = module.hot_prefixes(_docs(spark, rows))
+        assert {("en", "the"), ("en", "of")} <= words and ("en", "the", "dog") in pairs and not any(lang == "und" for lang, *_ in words)
 
 
 def test_filter_lets_all_frequent_pairs_through(spark):
