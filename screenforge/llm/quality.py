@@ -134,18 +134,50 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return model
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: int = 100) -> float:
+    """The share of positives among unlabelled texts, from the scores of both under any model that ranks positives higher.
+
+    Above any score there is at least prior times the positives' share among the unlabelled, so the lowest quotient of
+    the two shares is an upper bound, which is sharp where a score is reached by positives only (Blanchard et
+    al., 2010). Quotients are taken at the positives' scores with ``least`` of them above, and a tenth of them at least.
+    """
+    cuts = np.sort(positive)[::-1]
+    above = np.arange(1, len(cuts) + 1)
+    share = (len(unlabelled) - np.searchsorted(np.sort(unlabelled), cuts, side="left")) / max(1, len(unlabelled))
+    steady = above >= min(len(cuts), max(least, len(cuts) // 10))
+    return float(np.clip(np.min((share / (above / len(cuts)))[steady]), 0.01, 0.99))
+
+
+def _sampled(rows: DataFrame, most: int) -> np.ndarray:
+    """The features of ``most`` different rows (or all), those of the lowest hashes.
+
+    Hashes above a threshold stay where they are, so about as many rows reach the driver as are wanted, whatever
+    the number of partitions.
+    """
+    order = F.xxhash64("doc_id", "features", F.lit("quality"))
+    total = rows.count()
+    margin = 1.2
+    while True:
+        share = margin * (most + 100) / max(1, total)
+        within = rows if share >= 1 else rows.filter(order < int(-(2**63) + share * 2**64))
+        found = within.dropDuplicates(["doc_id", "features"]).orderBy(order, "doc_id").limit(most).select("features").toArrow()
+        if found.num_rows == most or share >= 1:
+            return found.column("features").combine_chunks().flatten().to_numpy().reshape(found.num_rows, len(FEATURES)).astype(np.float64)
+        margin *= 2  # many rows repeat, or the hashes fell badly
+
+
 def fit(rows: DataFrame, labels: DataFrame) -> Quality | None:
     """A model from :func:`measured` rows: trusted positives are learnable rows labelled 1, all learnable rows are
-    the unlabelled ones, the prior is the share of label 1 among the labelled. None without positives."""
+    the unlabelled ones. The prior is estimated by a first model, which takes it to be a half. None without positives."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~is_held_out())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    learnable = rows.filter("NOT held_out").withColumn("order", F.xxhash64("doc_id", F.lit("quality")))
-    positive = learnable.join(known.filter("y = 1"), "doc_id", "left_semi").orderBy("order", "doc_id").limit(SAMPLE_POSITIVE).select("features").collect()
-    unlabelled = learnable.orderBy("order", "doc_id").limit(SAMPLE_UNLABELLED).select("features").collect()
-    if not positive:
+    learnable = rows.filter("NOT held_out")
+    positive = _sampled(learnable.join(known.filter("y = 1"), "doc_id", "left_semi"), SAMPLE_POSITIVE)
+    if not len(positive):
         return None
-    share = known.agg(F.avg("y")).first()[0]
-    return train(*(np.array([r.features for r in part], np.float64) for part in (positive, unlabelled)), min(share, 0.99))
+    unlabelled = _sampled(learnable, SAMPLE_UNLABELLED)
+    first = train(positive, unlabelled, 0.5)
+    return train(positive, unlabelled, estimated_prior(first.scores(positive), first.scores(unlabelled)))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

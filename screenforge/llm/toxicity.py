@@ -30,12 +30,12 @@ MIN_DOCUMENTS = 8
 BETWEEN = ~np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 
 
-def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of several texts in lower case: the number of each word's spelling, how many words each text has,
-    the buckets of all spellings' subwords one after the other, and how many each spelling has."""
+    the buckets of all spellings' subwords one after the other, how many each spelling has, and its hash."""
     begin, end, number = word_spans(data, offsets, BETWEEN)
     sums, down = prefix_sums(data)
-    _, at, which = np.unique((sums[end] - sums[begin]) * down[begin], return_index=True, return_inverse=True)
+    spelling, at, which = np.unique((sums[end] - sums[begin]) * down[begin], return_index=True, return_inverse=True)
     size = end[at] - begin[at]
     marked = np.full(int((size + 2).sum()), 60, np.uint8)
     last = np.cumsum(size + 2)
@@ -52,7 +52,21 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         owners.append(np.repeat(np.arange(len(size)), count))
     owner = np.concatenate(owners)
     by = np.argsort(owner, kind="stable")
-    return which, number, np.concatenate(parts)[by].astype(np.int32), np.bincount(owner, minlength=len(size))
+    return which, number, np.concatenate(parts)[by].astype(np.int32), np.bincount(owner, minlength=len(size)), spelling
+
+
+def sampled_subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first four results of :func:`subwords` for a whole sample, hashed a piece at a time."""
+    column = pa.array([t.lower() for t in texts], pa.large_string())
+    pieces = [subwords(data, offsets) for _, _, data, offsets in chunks(column, SCORED_BYTES)]
+    spelling = np.concatenate([p[4] for p in pieces])
+    _, at, place = np.unique(spelling, return_index=True, return_inverse=True)
+    base = np.cumsum([0, *(len(p[4]) for p in pieces)])
+    which = np.concatenate([place[low + p[0]] for low, p in zip(base, pieces)])
+    count = np.concatenate([p[3] for p in pieces])
+    start = np.cumsum(count) - count
+    buckets = np.concatenate([p[2] for p in pieces])[ragged(start[at], count[at])]
+    return which, np.concatenate([p[1] for p in pieces]), buckets, count[at]
 
 
 def bags(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +87,7 @@ class Toxicity:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Each text's probability: that of its most toxic bag. Without words, that of an empty bag."""
-        which, number, buckets, count = subwords(data, offsets)
+        which, number, buckets, count, _ = subwords(data, offsets)
         logit = np.full(len(number), self.bias)
         if len(which):
             spelling = np.add.reduceat(self.weights[buckets], np.cumsum(count) - count) / count
@@ -90,9 +104,7 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.
     Both classes count the same, whatever their shares. A document's loss is the cross-entropy of its bags, each counted by how toxic it looks now: at
     first almost evenly, at the end almost only the most toxic one, as in scoring.
     """
-    column = pa.array([t.lower() for t in texts], pa.large_string())
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    which, number, buckets, count = subwords(data, np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1])
+    which, number, buckets, count = sampled_subwords(texts)
     first, size, each = bags(number)
     text = np.repeat(np.arange(len(number)), each)
     starts, full = (np.cumsum(each) - each)[each > 0], each > 0
@@ -139,8 +151,11 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.
     return Toxicity((embedding @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most SAMPLE_ROWS rows per class that aren't held out, by hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y, text) of at most SAMPLE_ROWS labelled rows per class that aren't held out, by hash of the id, and SAMPLE_BYTES of text.
+
+    An id counts once, with one of its texts. What reaches the driver is an id, a hash and a length for each of these rows.
+    """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~is_held_out())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("doc_id", F.lit("sample"))
@@ -148,24 +163,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[lis
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(SAMPLE_ROWS)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    measured = sorted(rows.select("doc_id", "y", order.alias("o"), F.octet_length("text").alias("n")).limit(4 * SAMPLE_ROWS).collect(), key=lambda r: (r.o, r.doc_id))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), filled("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("text_key", F.octet_length("text").alias("n"))).alias("one"), F.min(order).alias("o"))
+    measured = sorted(one.select("doc_id", "one.*", "o").collect(), key=lambda r: (r.o, r.doc_id))  # 2 * SAMPLE_ROWS at most
     total, kept = 0, []
     for r in measured:
         if total + r.n <= SAMPLE_BYTES:
             total += r.n
-            kept.append(r.doc_id)
-    within = docs.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")
-    found = sorted(set(rows.join(F.broadcast(within), "doc_id").select("doc_id", "y", "text").collect()))
-    return [r.text for r in found], np.array([r.y for r in found], np.float64)
+            kept.append((r.doc_id, r.text_key))
+    within = docs.sparkSession.createDataFrame(kept, "doc_id long, text_key long")
+    return rows.join(F.broadcast(within), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "y", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
-    """A model from the labelled rows; one that rejects nothing if these don't hold both classes."""
-    texts, toxic = labelled_sample(docs, labels, "toxic")
-    if len(set(toxic.tolist())) < 2 or not any(texts):
+    """A model from the labelled rows; one that rejects nothing if these don't hold both classes.
+
+    The sample, SAMPLE_BYTES at most, goes to one task, which returns the weights (1 MB).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["y"], r["text"]) for batch in batches for r in batch.to_pylist())
+        texts, toxic = [r[2] for r in rows], np.array([r[1] for r in rows], np.float64)
+        if len(set(toxic.tolist())) == 2 and any(texts):
+            model = train(texts, toxic)
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["weights", "bias"])
+
+    found = labelled_sample(docs, labels, "toxic").repartition(1).mapInArrow(run, "weights binary, bias double").collect()
+    if not found:
         return Toxicity(np.zeros(BUCKETS, np.float32), -30.0)
-    return train(texts, toxic)
+    return Toxicity(np.frombuffer(bytes(found[0].weights), np.float32), found[0].bias)
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
