@@ -120,3 +120,99 @@ def test_the_wrapper_confirms_a_doubtful_group(spark):
     rows = [("http://h/", _page(f"<article><p>story {i}</p>{share.format(i)}<section id='discussion'><h2>Discussion</h2><p>long words {i}</p></section></article>")) for i in range(4)]
     rows += [("http://g/", _page(f"<article><p>story</p>{share.format(7)}</article>"))]
     assert _texts(spark, rows, 3) == [f"story {i}\nlong words {i}" for i in range(4)] + ["story\nShare this story with all your friends7"]
+
+
+def test_headings_that_a_site_repeats_stay_in_articles(spark):
+    def story(i):
+        parts = f"<h1>Title {i}</h1><h2>Summary</h2><p>about {i}</p><h2>Ingredients</h2><ul><li><b>Flour:</b> {i} g</ul><table><tr><th>Price</th><td>{i} €</td></table>"
+        return f"<article>{parts}<h2>Legal</h2><p>All rights reserved</p></article>"
+
+    rows = [("http://h/", _page(story(i))) for i in range(4)]
+    rows += [("http://n/", f"<body><h1>Our site</h1><p>story {i}</p>") for i in range(4)]  # without an article a repeated heading is the site's
+    expected = [f"Title {i}\nSummary\nabout {i}\nIngredients\nFlour: {i} g\nPrice\n{i} €" for i in range(4)] + [f"story {i}" for i in range(4)]
+    for parts in (1, 3):
+        assert _texts(spark, rows, parts) == expected
+
+
+def test_what_the_contract_names_goes_with_or_without_a_template():
+    for name in ("class='comment'", "id=reviews", "class='sidebar'", "class='notice'", "class='ad-box'", "class='menu'"):
+        assert main_text(_page(f"<article><p>story</p><div {name}>differs everywhere</div></article>")) == "story"
+    assert main_text("<body><div id=header>site</div><div class='menu'>a</div><p>text</p><div id='footer'>me</div>") == "text"
+    assert main_text("<article><div class='header'><h1>title</h1></div><p>text</p><div class=footer>the end</div></article>") == "title\ntext\nthe end"
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    def seconds(part, n):
+        start = time.perf_counter()
+        main_text("<p>start</p>" + part * n)
+        return time.perf_counter() - start
+
+    for part in ("<a", "<a ", "<", "<!", "</", "<a b='", "<a \"", "<!--", "<script>", "<a b=\"'", "<p><b", "&amp", "<a\n>", "</p", "<a b=\">'"):
+        seconds(part, 1_000)
+        assert seconds(part, 160_000 // len(part)) < 6, part
+    assert main_text("<p>a<b <i") == "a<b <i" and main_text("<p>x <a href='y>link</a> z") == "x link z"
+    assert main_text("1 < 2 and 3 > 2 <b>x</b>") == "1 < 2 and 3 > 2 x"
+
+
+def _walk_texts(tree, found):
+    """Every text with the labels on the way to it and, per label, which group of neighbours it is in: a plain place."""
+    from screenforge.llm.html_extraction import slots
+
+    def go(node, way):
+        label, children, own = node
+        if own >= 0:
+            yield own, way
+        groups = slots([c[0] for c in children])
+        for n, (_, members) in enumerate(groups):
+            for i in members:
+                yield from go(children[i], (*way, (children[i][0], n)))
+
+    return dict(go(tree, ()))
+
+
+def test_places_are_nodes_of_the_aligned_wrapper():
+    """Against the definition, on random pages of one template whose optional groups come and go."""
+    import functools
+    import random
+
+    from screenforge.llm.html_extraction import places, read, without_texts, tree_wrapper
+
+    rng = random.Random(7)
+    pages, truth = [], []
+    for i in range(60):
+        parts, names = [], []
+        for name, tag in (("head", "<h1>{}</h1>"), ("lead", "<div class=lead>{}</div>"), ("ad", "<div class=x><b>{}</b></div>"), ("body", "<p>{}</p>"), ("end", "<ul><li>{}</li></ul>")):
+            if name in ("head", "body") or rng.random() < 0.6:
+                for _ in range(rng.randint(1, 3) if name == "body" else 1):
+                    parts.append(tag.format(f"{name} {i}"))
+                    names.append(name)
+        pages.append("<article>" + "".join(parts) + "</article>")
+        truth.append(names)
+    parsed = [read(p) for p in pages]
+    wrapper = functools.reduce(merged, [tree_wrapper(without_texts(*p)) for p in parsed])
+    by_name = {}
+    for (tree, found), names in zip(parsed, truth):
+        own = places(tree, wrapper, "h", len(found))
+        at = [own[i] for i, p in enumerate(found) if p and p.hash]
+        assert len(at) == len(names) and 0 not in at
+        for name, place in zip(names, at):
+            by_name.setdefault(name, set()).add(place)
+        assert set(_walk_texts(tree, found)) == {i for i, p in enumerate(found) if p and p.hash}
+    assert all(len(v) == 1 for v in by_name.values()) and len(set.union(*by_name.values())) == 5
+
+
+def test_wrappers_in_rounds_equal_one_after_the_other(spark, monkeypatch):
+    import pickle
+
+    from screenforge.llm import html_extraction as h
+
+    monkeypatch.setattr(h, "FAN", 2)
+    rows = [(i, f"http://h{i % 2}/", f"h{i % 2}", f"<article><h1>{i}</h1>{'<p>x' * (i % 4 + 1)}{'<div class=z>ad</div>' if i % 5 == 0 else ''}</article>") for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, host string, html string").repartition(8)
+    found = {r.host: pickle.loads(bytes(r.wrapper)) for r in h.wrappers(h.materialize(h.parsed(frame), "parsed")).collect()}
+    assert set(found) == {"h0", "h1"}
+    for wrapper in found.values():
+        article = wrapper[5][0]
+        assert wrapper[3] == 20 and [(c[0], c[1], c[2]) for c in article[5]] == [("h1", False, False), ("p", False, True), ("div.z", True, False)]
