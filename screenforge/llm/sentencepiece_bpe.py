@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from screenforge.llm.common import bound_batches, chunks, filled, ragged
 
 SPACE = "▁"
+# Words of more symbols are merged pair by pair from a heap, as rounds over them would take time with the square of their length.
+LONG_WORD = 64
 # Words whose ids a worker keeps at a time.
 KNOWN_WORDS = 200_000
 NONE = np.int64(1 << 40)
@@ -116,6 +119,7 @@ class PieceModel:
         self.surface_size = np.array([len(s) for s in surface], np.int64)
         self.surface_at = np.cumsum(self.surface_size) - self.surface_size
         self.size = n
+        self.by_pair: dict[int, tuple[int, int]] | None = None  # made when a long word is met
         self.forget()
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +170,47 @@ class PieceModel:
         by = np.argsort(word, kind="stable")
         return symbols[by], word[by]
 
+    def merged_long(self, symbols: list[int]) -> list[int]:
+        """Merge the symbols of one long word: always the leftmost pair of the lowest rank, from a heap."""
+        if self.by_pair is None:
+            there = self.pairs.keys != -1
+            at = self.pairs.at[there]
+            self.by_pair = dict(zip(self.pairs.keys[there].tolist(), zip(self.ranks[at].tolist(), self.made[at].tolist())))
+        get = self.by_pair.get
+        after, before = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
+        heap = []
+        for i, (a, b) in enumerate(zip(symbols, symbols[1:])):
+            if found := get(a << 32 | b):
+                heap.append((found[0], i, a, b, found[1]))
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j < 0 or symbols[j] != b:
+                continue  # one of them has been merged since
+            symbols[i], symbols[j] = made, -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (found := get(symbols[x] << 32 | symbols[y])):
+                    heapq.heappush(heap, (found[0], x, symbols[x], symbols[y], found[1]))
+        return [x for x in symbols if x >= 0]
+
+    def merged_all(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`merged`, long words apart."""
+        long = np.bincount(word)[word] > LONG_WORD if len(word) else np.zeros(0, bool)
+        if not long.any():
+            return self.merged(symbols, word)
+        done = [self.merged(symbols[~long], word[~long])]
+        edge = np.flatnonzero(np.r_[True, np.diff(word[long]) != 0, True])
+        for low, high in zip(edge[:-1], edge[1:]):
+            ids = np.array(self.merged_long(symbols[long][low:high].tolist()), np.int64)
+            done.append((ids, np.full(len(ids), word[long][low])))
+        symbols, word = (np.concatenate(x) for x in zip(*done))
+        by = np.argsort(word, kind="stable")
+        return symbols[by], word[by]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word one after the other, and how many each has."""
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -181,9 +226,9 @@ class PieceModel:
         symbols = np.where(symbols < 0, -1 - points, symbols)  # unknown characters keep their code point
         known = symbols >= 0
         if known.all():
-            ids, part = self.merged(symbols, part)
+            ids, part = self.merged_all(symbols, part)
         else:
-            ids, parts = self.merged(symbols[known], part[known])
+            ids, parts = self.merged_all(symbols[known], part[known])
             ids, part = np.r_[ids, symbols[~known]], np.r_[parts, part[~known]]
             by = np.argsort(part, kind="stable")
             ids, part = ids[by], part[by]

@@ -74,3 +74,32 @@ def test_rows(spark, library):
         assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert encode_and_decode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+LONG = [" " * 5_000, "x " + " " * 3_000 + "y", "=" * 4_000, "ab" * 3_000, "the" * 2_000, "abcdefghij" * 500, "日本語" * 1_000, "a▁" * 2_000, "é" * 2_000, "\u0800" * 1_000]
+
+
+def test_long_words_equal_the_library(model, library):
+    rng = random.Random(12)
+    texts = LONG + ["".join(rng.choices("abcdeinrst", k=rng.randint(60, 2_000))) for _ in range(60)] + ["".join(rng.choices(" =-_", k=900)) for _ in range(10)]
+    i = 0
+    for flat, number in model.encode(pa.array(texts)):
+        for ids in np.split(flat, np.cumsum(number)[:-1]):
+            assert ids.tolist() == library.encode(texts[i], add_bos=True, add_eos=True), texts[i][:30]
+            i += 1
+    assert i == len(texts)
+
+
+@pytest.mark.parametrize("part", [" ", "abcdefghij", "thequickbrownfox", "=", "xyzzy1"])
+def test_time_grows_with_the_text(model, part):
+    import time
+
+    def seconds(n):
+        model.forget()
+        start = time.perf_counter()
+        list(model.encode(pa.array([(part * (n // len(part) + 1))[:n]])))
+        return time.perf_counter() - start
+
+    seconds(20_000)
+    once, thrice = (min(seconds(n) for _ in range(2)) for n in (100_000, 300_000))
+    assert thrice < 6 * once + 0.5
