@@ -17,6 +17,7 @@ from screenforge.llm.secret_scan import scan
 from screenforge.llm.sentencepiece_bpe import encode_and_decode
 from screenforge.llm.token_alignment import alignment
 from screenforge.llm.toxicity import toxicity
+from screenforge.llm import url_filter
 from screenforge.llm.url_filter import judge
 
 
@@ -143,9 +144,10 @@ ruled AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN contains(host, 'cheap-pills') AND (path = '' OR starts_with(path, '/')) THEN 'block'
-    WHEN contains(host, 'casino') AND (path = '' OR starts_with(path, '/')) THEN 'block'
-    WHEN contains(path, '/cgi-bin/') OR ends_with(path, '/wp-login.php') THEN 'block' ELSE 'allow' END AS verdict
+    WHEN (path = '' OR starts_with(path, '/')) AND len(list_filter([HOST_WORDS], lambda w: contains(host, w))) > 0 THEN 'block'
+    WHEN len(list_filter([SEGMENTS], lambda w: contains(path || '/', '/' || w || '/'))) > 0 THEN 'block'
+    WHEN len(list_filter([FILES], lambda w: ends_with(path, '/' || w))) > 0 THEN 'block'
+    WHEN starts_with(path, '/') AND len(list_filter([ENDINGS], lambda w: ends_with(path, '.' || w))) > 0 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """,
     "op8_exact_dedup": """
@@ -232,3 +234,5 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """,
 }
+for _name in ("HOST_WORDS", "SEGMENTS", "FILES", "ENDINGS"):
+    ORACLES["op3_url_filter"] = ORACLES["op3_url_filter"].replace(f"[{_name}]", str(list(getattr(url_filter, _name))))

@@ -15,8 +15,34 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # (rule, verdict): host and start of the path; a rule fits the host and its subdomains.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-# Globs over host and path for urls without a rule; what they match is blocked.
-BLOCKED = ("*cheap-pills*", "*cheap-pills*/**", "*casino*", "*casino*/**", "**/cgi-bin/**", "**/wp-login.php")
+# For urls without a rule. What is blocked: hosts that contain one of these words,
+HOST_WORDS = (
+    "cheap-pills casino poker jackpot slots gambling betting sportsbet viagra cialis pharmacy-online payday-loan quick-loan free-money "
+    "crypto-giveaway bitcoin-doubler porn xxx escort hookup warez keygen torrent-download replica-watches fake-rolex adserver doubleclick "
+    "popunder clicktrack malware phishing spyware"
+).split()
+# paths with one of these segments, under any host,
+SEGMENTS = (
+    "cgi-bin wp-admin wp-includes xmlrpc phpmyadmin administrator adserver ads advert banners sponsored affiliate click redirect track tracking "
+    "pixel login logout signin signup register password-reset checkout cart basket wishlist print share email-friend unsubscribe"
+).split()
+# and files with one of these names or endings.
+FILES = "wp-login.php xmlrpc.php login.php login.aspx register.php cart.php checkout.php robots.txt sitemap.xml ads.txt favicon.ico".split()
+ENDINGS = (
+    "jpg jpeg png gif webp svg ico bmp mp3 mp4 avi mov webm wav zip gz tar rar 7z exe dmg apk iso css js json xml rss woff woff2 ttf pdf doc docx xls xlsx ppt pptx"
+).split()
+
+
+def blocked_globs() -> list[str]:
+    """The lists above as globs over host and path."""
+    globs = [form.format(word) for word in HOST_WORDS for form in ("*{}*", "*{}*/**")]
+    globs += [form.format(segment) for segment in SEGMENTS for form in ("**/{}", "**/{}/**")]
+    return globs + [f"**/{name}" for name in FILES] + [f"*/**.{ending}" for ending in ENDINGS]
+
+
+BLOCKED = tuple(blocked_globs())
+# Longer urls are stepped over alone.
+LONG_URL = 4_096
 
 
 class GlobSet:
@@ -58,10 +84,22 @@ class GlobSet:
         for at in starts:
             self.start[at // 64] |= np.uint64(1 << at % 64)
         self.accept = np.array(accepts, np.int64)
+        # The same masks as whole numbers, for strings that are longer than all others of their batch.
+        self.whole_forward, self.whole_stay = ([int.from_bytes(row.tobytes(), "little") for row in t] for t in (self.forward, self.stay))
+        self.whole_start = int.from_bytes(self.start.tobytes(), "little")
+
+    def matches_one(self, text: bytes) -> np.ndarray:
+        """Which glob matches one string, byte by byte."""
+        state, forward, stay = self.whole_start, self.whole_forward, self.whole_stay
+        for byte in text:
+            state = (state << 1 & forward[byte]) | (state & stay[byte])
+        return np.array([state >> int(at) & 1 for at in self.accept], bool)
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which string (row) is matched by which glob (column)."""
         size = np.diff(offsets)
+        long = np.flatnonzero(size > LONG_URL)
+        size = np.where(size > LONG_URL, 0, size)
         by = np.argsort(-size, kind="stable")
         begin, left = offsets[:-1][by], size[by]
         states = np.tile(self.start, (len(by), 1))
@@ -76,6 +114,8 @@ class GlobSet:
         found = np.zeros((len(by), len(self.accept)), bool)
         bits = states[:, self.accept // 64] >> (self.accept % 64).astype(np.uint64) & one
         found[by] = bits.astype(bool)
+        for row in long:
+            found[row] = self.matches_one(data[offsets[row] : offsets[row + 1]].tobytes())
         return found
 
 

@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 
 from screenforge.llm.common import chunks
-from screenforge.llm.url_filter import GlobSet, judge
+from screenforge.llm import url_filter
+from screenforge.llm.url_filter import BLOCKED, GlobSet, judge
 
 
 def _regex(glob):
@@ -36,6 +37,22 @@ def test_automaton_against_regular_expressions():
         assert found[:, j].tolist() == [bool(pattern.fullmatch(t)) for t in texts], glob
 
 
+def test_the_whole_list_against_regular_expressions(monkeypatch):
+    """Some hundred globs over many words of masks, on urls made of their parts; long ones alone."""
+    rng = random.Random(9)
+    parts = ["casino", "slots", "x", "/", "/", ".", "ads", "wp-login.php", "robots.txt", "jpg", "pdf", "cgi-bin", "a.b", "é", "login", "7z"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    automaton = GlobSet(BLOCKED)
+    assert len(BLOCKED) > 150 and automaton.words > 20
+    patterns = [_regex(glob) for glob in BLOCKED]
+    expected = [[bool(p.fullmatch(t)) for p in patterns] for t in texts]
+    assert sum(map(sum, expected)) > 200
+    for most in (4_096, 5):
+        monkeypatch.setattr(url_filter, "LONG_URL", most)
+        found = np.concatenate([automaton.matches(d, o) for _, _, d, o in chunks(pa.array(texts), 900)])
+        assert found.tolist() == expected
+
+
 CASES = [
     (1, "http://a.net/x", "a.net", "/x", "net/", "block"),
     (2, "https://NET/", "net", "/", "net/", "block"),
