@@ -51,14 +51,29 @@ class Surface:
         return self.data[ragged(self.at[ids], self.size[ids])]
 
 
+# Two ids in one number: half of its bits each, and for sorting by an owner as well so few that the owner fits in above.
+HALF = 32
+ID_BITS = 20
+
+
 def counted_pairs(owner: np.ndarray, pairs: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs of each owner in order, and how often each is there."""
     if not len(pairs):
         return owner, pairs, often
-    by = np.lexsort((pairs, owner))
-    owner, pairs, often = owner[by], pairs[by], often[by]
-    first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])])
-    return owner[first], pairs[first], np.add.reduceat(often, first)
+    key = (owner << 2 * ID_BITS) | (pairs >> HALF) << ID_BITS | (pairs & (1 << ID_BITS) - 1)
+    by = np.argsort(key)
+    key = key[by]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    by_first = by[first]
+    return owner[by_first], pairs[by_first], np.add.reduceat(often[by], first)
+
+
+class Numbered(dict):
+    """Numbers for keys, in the order in which they are first looked up."""
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        return number
 
 
 class Aligner:
@@ -92,36 +107,37 @@ class Aligner:
         self.forget()
 
     def forget_words(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = Numbered()
+        self.word_good = np.zeros(0, bool)
         self.word_ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         self.word_at = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         self.word_size = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
     def forget(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.known = Numbered()
         self.shown: list[bytes] = []
-        self.sums: list[tuple[int, int]] = []
-        self.linked: list[bytes] = []
-        self.often: list[bytes] = []
-        self.held = 0
+        self.n_groups, self.n_links, self.n_pairs, self.linked, self.often = (np.zeros(0, np.int64) for _ in range(5))
 
-    def tokenised(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Flat ids and number of ids of each text, by both tokenizers.
+    def tokenised(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Whether both tokenizers spell space + text, and flat ids and number of ids of each text by both of them.
 
         Texts are cut where no token of either can reach across, and words met before are looked up. A cut-off space
-        comes back in front of the word: of itself in the second vocabulary, and put there for the first one.
+        comes back in front of the word: of itself in the second vocabulary, and put there for the first one. Tokens
+        never spell more than their word, so a text is spelled right if all its words are.
         """
         parts = [SAFE_CUT.split(text) for text in texts]
         if len(self.words) > KNOWN_WINDOWS or len(self.word_ids[0]) > 8 * KNOWN_WINDOWS:
             self.forget_words()
         before, known = len(self.words), self.words
-        place = np.array([known.setdefault(w, len(known)) for words in parts for w in words], np.int64)
+        place = np.array(list(map(known.__getitem__, itertools.chain.from_iterable(parts))), np.int64)
         if len(known) > before:
             new = list(itertools.islice(known, before, None))
             ids = self.b.encode(new, num_threads=1)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             by_b = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum())), size
-            for side, (flat, size) in enumerate((self._spaced(new), by_b)):
+            by_a = self._spaced(new)
+            self.word_good = np.r_[self.word_good, self.spelled(new, (self.a_bytes, *by_a), (self.b_bytes, *by_b))]
+            for side, (flat, size) in enumerate((by_a, by_b)):
                 self.word_at[side] = np.r_[self.word_at[side], len(self.word_ids[side]) + np.cumsum(size) - size]
                 self.word_ids[side] = np.r_[self.word_ids[side], flat]
                 self.word_size[side] = np.r_[self.word_size[side], size]
@@ -129,7 +145,23 @@ class Aligner:
         found = []
         for ids, at, size in zip(self.word_ids, self.word_at, self.word_size):
             found.append((ids[ragged(at[place], size[place])], np.add.reduceat(size[place], first)))
-        return found
+        return np.logical_and.reduceat(self.word_good[place], first), found
+
+    @staticmethod
+    def spelled(words: list[str], *sides: tuple[Surface, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether the tokens of each word spell space + word, on all sides."""
+        spaced = [b" " + w.encode() for w in words]
+        length = np.array(list(map(len, spaced)), np.int64)
+        want, at = np.frombuffer(b"".join(spaced), np.uint8), np.cumsum(length) - length
+        good = np.ones(len(words), bool)
+        for surface, ids, count in sides:
+            owner = np.repeat(np.arange(len(words)), count)
+            good &= np.bincount(owner, surface.size[ids], len(words)).astype(np.int64) == length
+            body = surface.joined(ids[good[owner]])
+            different = np.flatnonzero(body != want[ragged(at[good], length[good])])
+            if len(different):
+                good[np.flatnonzero(good)[np.searchsorted(np.cumsum(length[good]), different, side="right")]] = False
+        return good
 
     def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of space + word in the first vocabulary, and their number. Words that are safe to put together are, as calls cost more than words."""
@@ -170,30 +202,30 @@ class Aligner:
         few = links <= MANY_LINKS
         mine = np.flatnonzero(few[a_group])
         other = b_in[a_group[mine]]
-        pairs = np.repeat(a_ids[mine].astype(np.int64) << 32, other) | b_ids[ragged((np.cumsum(b_in) - b_in)[a_group[mine]], other)]
+        pairs = np.repeat(a_ids[mine].astype(np.int64) << HALF, other) | b_ids[ragged((np.cumsum(b_in) - b_in)[a_group[mine]], other)]
         owner, often = np.repeat(window[a_group[mine]], other), np.ones(len(pairs), np.int64)
         for g in np.flatnonzero(~few):
             left, times = np.unique(a_ids[a_group == g].astype(np.int64), return_counts=True)
             right, more = np.unique(b_ids[b_group == g].astype(np.int64), return_counts=True)
-            pairs = np.r_[pairs, (left[:, None] << 32 | right[None, :]).ravel()]
+            pairs = np.r_[pairs, (left[:, None] << HALF | right[None, :]).ravel()]
             often = np.r_[often, (times[:, None] * more[None, :]).ravel()]
             owner = np.r_[owner, np.full(len(left) * len(right), window[g])]
         owner, pairs, often = counted_pairs(owner, pairs, often)
-        edge = np.searchsorted(owner, np.arange(len(a_size) + 1)) * 8
-        pairs, often, edge = pairs.tobytes(), often.tobytes(), edge.tolist()
         self.shown += [text[x:y] for x, y in zip([0, *last], last)]
-        self.sums += zip(n_groups.tolist(), n_links.tolist())
-        self.linked += [pairs[x:y] for x, y in zip(edge, edge[1:])]
-        self.often += [often[x:y] for x, y in zip(edge, edge[1:])]
-        self.held += len(pairs)
+        new = (n_groups, n_links, np.bincount(owner, minlength=len(a_size)), pairs, often)
+        old = (self.n_groups, self.n_links, self.n_pairs, self.linked, self.often)
+        self.n_groups, self.n_links, self.n_pairs, self.linked, self.often = (np.r_[x, y] for x, y in zip(old, new))
 
     def windows(self, a_ids: np.ndarray, a_at: np.ndarray, b_ids: np.ndarray, b_at: np.ndarray) -> np.ndarray:
         """The store's number of every window: ids from one place of ``a_at`` and ``b_at`` to the next. New id tuples are aligned."""
-        a_raw, b_raw, known, before = a_ids.astype("<i4").tobytes(), b_ids.astype("<i4").tobytes(), self.known, len(self.known)
-        a_edge, b_edge = (4 * a_at).tolist(), (4 * b_at).tolist()
-        found = np.array(
-            [known.setdefault((a_raw[a:a_to], b_raw[b:b_to]), len(known)) for a, a_to, b, b_to in zip(a_edge, a_edge[1:], b_edge, b_edge[1:])], np.int64
-        )
+        known, before = self.known, len(self.known)
+        # The ids of a window one after the other, those of the second vocabulary marked by a bit, are its key.
+        a_size, b_size = np.diff(a_at), np.diff(b_at)
+        both = np.empty(len(a_ids) + len(b_ids), "<i4")
+        both[np.arange(len(a_ids)) + np.repeat(b_at[:-1], a_size)] = a_ids
+        both[np.arange(len(b_ids)) + np.repeat(a_at[1:], b_size)] = b_ids | 1 << ID_BITS
+        raw, edge = both.tobytes(), (4 * (a_at + b_at)).tolist()
+        found = np.array(list(map(known.__getitem__, [raw[x:y] for x, y in zip(edge, edge[1:])])), np.int64)
         if len(known) > before:
             new = np.flatnonzero(found >= before)
             _, first = np.unique(found[new], return_index=True)
@@ -204,28 +236,18 @@ class Aligner:
 
     def rows(self, column: pa.Array) -> Iterator[tuple[int, int, list]]:
         """Per piece of a column without nulls: first row, last row + 1, and the values of n_a to often as lists."""
-        for low, high, data, offsets in chunks(column, PIECE_BYTES):
-            if len(self.shown) > KNOWN_WINDOWS or self.held > 64 * KNOWN_WINDOWS:
+        for low, high, _, offsets in chunks(column, PIECE_BYTES):
+            if len(self.shown) > KNOWN_WINDOWS or len(self.linked) > 8 * KNOWN_WINDOWS:
                 self.forget()
-            yield low, high, self._piece(column.slice(low, high - low).to_pylist(), data, offsets)
+            yield low, high, self._piece(column.slice(low, high - low).to_pylist(), offsets)
 
-    def _piece(self, texts: list[str], data: np.ndarray, offsets: np.ndarray) -> list:
+    def _piece(self, texts: list[str], offsets: np.ndarray) -> list:
         n = len(texts)
-        want = np.diff(offsets) + 1  # bytes of space + text
-        good = want > 1
-        (a, a_count), (b, b_count) = self.tokenised(texts)
+        good, ((a, a_count), (b, b_count)) = self.tokenised(texts)
+        good &= np.diff(offsets) > 0
         owner_a, owner_b = np.repeat(np.arange(n), a_count), np.repeat(np.arange(n), b_count)
-        for surface, ids, owner in ((self.a_bytes, a, owner_a), (self.b_bytes, b, owner_b)):
-            good &= np.bincount(owner, surface.size[ids], n).astype(np.int64) == want
-        spaced = np.full(int(want.sum()), 32, np.uint8)
-        at = np.cumsum(want) - want
-        spaced[ragged(at + 1, want - 1)] = data
-        for surface, ids, owner in ((self.a_bytes, a, owner_a), (self.b_bytes, b, owner_b)):
-            body = surface.joined(ids[good[owner]])
-            different = np.flatnonzero(body != spaced[ragged(at[good], want[good])])
-            if len(different):
-                good[np.flatnonzero(good)[np.searchsorted(np.cumsum(want[good]), different, side="right")]] = False
-        a, b, owner_a, owner_b = a[good[owner_a]], b[good[owner_b]], owner_a[good[owner_a]], owner_b[good[owner_b]]
+        if not good.all():
+            a, b, owner_a, owner_b = a[good[owner_a]], b[good[owner_b]], owner_a[good[owner_a]], owner_b[good[owner_b]]
         a_size, b_size = self.a_bytes.size[a], self.b_bytes.size[b]
         a_start, b_start = np.cumsum(a_size) - a_size, np.cumsum(b_size) - b_size
         # Both tokenizers begin a token with a space at these offsets; the first token of each text is among them.
@@ -233,22 +255,16 @@ class Aligner:
         a_at, b_at = np.searchsorted(a_start, anchors), np.searchsorted(b_start, anchors)
         which = self.windows(a, np.r_[a_at, len(a)], b, np.r_[b_at, len(b)]) if len(anchors) else np.zeros(0, np.int64)
         document = owner_a[a_at]
-        sums = np.array([self.sums[w] for w in which.tolist()], np.int64).reshape(-1, 2)
-        groups = np.bincount(document, sums[:, 0], n).astype(np.int64)
+        groups = np.bincount(document, self.n_groups[which], n).astype(np.int64)
         links = np.zeros(n, np.int64)
-        np.add.at(links, document, sums[:, 1])
+        np.add.at(links, document, self.n_links[which])
         edge = np.searchsorted(document, np.arange(n + 1)).tolist()
         shown = self.shown
         texts = [b"".join([shown[w] for w in which[x:y].tolist()])[:-1] for x, y in zip(edge, edge[1:])]
         # Distinct pairs of each text, and how often they are linked in it.
-        used, place = np.unique(which, return_inverse=True)
-        linked = [self.linked[w] for w in used.tolist()]
-        held = np.array([len(pairs) // 8 for pairs in linked], np.int64)
-        pairs = np.frombuffer(b"".join(linked), np.int64)
-        often = np.frombuffer(b"".join([self.often[w] for w in used.tolist()]), np.int64)
-        size = held[place]
-        at = ragged((np.cumsum(held) - held)[place], size)
-        owner, pairs, often = counted_pairs(np.repeat(document, size), pairs[at], often[at])
+        size = self.n_pairs[which]
+        at = ragged((np.cumsum(self.n_pairs) - self.n_pairs)[which], size)
+        owner, pairs, often = counted_pairs(np.repeat(document, size), self.linked[at], self.often[at])
         lists = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
         counts = [np.bincount(owner_a, minlength=n), np.bincount(owner_b, minlength=n), groups, links]
         columns = [pa.array(c.astype(np.int64)) for c in counts]
