@@ -16,6 +16,7 @@ from screenforge.functions.replies import clean_json
 from screenforge.functions.text import file_format
 from screenforge.operators import documents as d
 from screenforge.operators import extraction as e
+from screenforge.operators.retries import AnswerQueue
 from screenforge.plans.intake import clean_applications
 from screenforge.session import scratch_path
 from screenforge.sources.resumes import plain_text, read_resume_files
@@ -147,6 +148,29 @@ def e4_fallback_chain(spark, sf):
     return e.fallback_chain(docs, models).select("doc_id", "model", "reply", "error")
 
 
+def e4_retries(spark, sf):
+    """Models whose quota ends later: three drains, the second of them twice, and one that comes too early."""
+    queue = AnswerQueue(spark, scratch_path(spark, "answers"), dt.timedelta(minutes=10))
+    docs = fx.documents(spark, sf).select(F.col("doc_id").alias("request_id"), F.length("text").cast("string").alias("prompt"))
+    queue.put(docs, "asked")
+    day, n = dt.datetime(2026, 4, 1), lambda prompt: prompt.cast("long")
+
+    def model(name, free):
+        return name, lambda prompt: F.struct(
+            F.when(free(n(prompt)), F.concat(F.lit(f"{name} "), prompt)).alias("reply"), F.when(~free(n(prompt)), F.lit("429 quota")).alias("error")
+        )
+
+    first = [model("one", lambda x: x % 2 != 0)]
+    later = [model("two", lambda x: x % 3 != 0), model("three", lambda x: x % 5 != 0)]
+    last = [model("four", lambda x: x >= 0)]
+    queue.drain(first, "d1", day)
+    queue.drain(last, "early", day + dt.timedelta(minutes=9))
+    for _ in range(2):
+        queue.drain(later, "d2", day + dt.timedelta(minutes=10))
+    queue.drain(last, "d3", day + dt.timedelta(minutes=40))
+    return queue.latest().select("request_id", F.col("attempt").cast("long").alias("attempt"), "done", "model", "reply", "error")
+
+
 def e5_extract_contacts(spark, sf):
     return e.extract_contacts(fx.documents(spark, sf)).select("doc_id", "name", "email", "phone", "location")
 
@@ -225,7 +249,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s1_read_resume_files, s2_file_format, s3_plain_text, t1_extract_docx, t2_extract_odt, t3_assemble_pages,
-        t4_with_fallback, t5_extract_text, e1_build_prompts, e2_clean_json, e3_parse_reply, e4_fallback_chain,
+        t4_with_fallback, t5_extract_text, e1_build_prompts, e2_clean_json, e3_parse_reply, e4_fallback_chain, e4_retries,
         e5_extract_contacts, e5_resume_contacts, e6_extract_skills, e6_long_entries, e6_listed_skills, e7_work_history_years,
         e3_numeric_experience, e7_date_forms,
     )
@@ -276,6 +300,9 @@ ORACLES = {
         WHEN n % 4 <> 0 THEN CASE WHEN n % 11 = 0 THEN 'connection reset' END
         ELSE 'every model is over its quota' END AS error
       FROM (SELECT doc_id, length(text) AS n FROM documents)""",
+    "e4_retries": """SELECT doc_id AS request_id, CASE WHEN n % 2 <> 0 THEN 1 WHEN n % 15 <> 0 THEN 2 ELSE 3 END::BIGINT AS attempt, true AS done,
+      m AS model, m || ' ' || n AS reply, NULL::VARCHAR AS error FROM (SELECT *, CASE WHEN n % 2 <> 0 THEN 'one' WHEN n % 3 <> 0 THEN 'two'
+        WHEN n % 5 <> 0 THEN 'three' ELSE 'four' END AS m FROM (SELECT doc_id, length(text) AS n FROM documents))""",
     "e5_extract_contacts": f"""SELECT doc_id, nullif(trim(regexp_extract(text, '[^\\s][^\\r\\n]*')), '') AS name,
       nullif(regexp_extract(text, '{_EMAIL}'), '') AS email, coalesce(nullif(regexp_extract(text, '{_PHONE_LABEL}', 1), ''), nullif(regexp_extract(text, '{_PHONE}'), '')) AS phone,
       nullif(trim(regexp_extract(text, '{_LOCATION}', 1)), '') AS location FROM documents""",

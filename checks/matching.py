@@ -17,6 +17,7 @@ from screenforge.operators.similarity import add_skill_vector, embed, train_skil
 from screenforge.plans import shortlist
 from screenforge.session import scratch_path
 from screenforge.sources import candidates as store
+from screenforge.sources import pages
 
 # --- candidate table ----------------------------------------------------------------------------
 
@@ -173,6 +174,24 @@ def k3_by_experience(spark, sf):
     return ranking.by_experience(rows).select("application_id", "name", "experience")
 
 
+def k3_pages(spark, sf):
+    """The listing read back page by page: the first four by number, the rest behind the last row of each."""
+    path = scratch_path(spark, "listing")
+    rows = candidates(spark, sf).where(F.col("role") == "developer").select("application_id", "name", "experience")
+    total = rows.count()
+    size = max(1, total // 9)
+    pages.write_listing(rows, path, rows_per_file=max(1, total // 5))
+    parts = [pages.read_page(spark, path, number, size).withColumn("page", F.lit(number)) for number in range(4)]
+    for number in range(4, -(-total // size)):
+        last = parts[-1].orderBy(F.col("experience").asc_nulls_first(), F.desc("application_id")).first()
+        behind = pages.read_after(spark, path, pages.Cursor(last.experience, last.application_id), size)
+        parts.append(behind.withColumn("page", F.lit(number)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("page").cast("long").alias("page"), "application_id", "name", "experience")
+
+
 def k4_most_experienced(spark, sf):
     rows = candidates(spark, sf).where(F.col("role") == "developer")
     return ranking.most_experienced(rows).select("application_id", "name", "experience")
@@ -261,7 +280,7 @@ QUERIES = {
         v7_score_negative_experience, f4_positive_score, k1_rank_filtered, k1_word_similarity, k2_rank_unfiltered,
         k3_by_experience, k4_most_experienced, k4_role_overview, k5_top_matches, k5_shortlists,
         k5_stored_vectors, s4_read_csv_by_name, v3_cooccurrence, v3_learned_vectors, k5_pruned_shortlists,
-        k1_to_k5_search, s5_candidate_batches,
+        k1_to_k5_search, s5_candidate_batches, k3_pages,
     )
 }
 
@@ -333,3 +352,5 @@ ORACLES["k1_to_k5_search"] = using("scored_forms", "candidates", "prepared_forms
     UNION ALL SELECT 'listing', request_id, application_id, c.experience, 0, 0 FROM candidates c JOIN prepared_forms r ON c.role = r.role
     UNION ALL SELECT 'top', request_id, application_id, experience, score, place FROM (SELECT *, {_PLACE} AS place
       FROM scored_forms WHERE NOT any_filter OR score > 0) WHERE place <= 5""")
+ORACLES["k3_pages"] = using("candidates", body="""SELECT (row_number() OVER (ORDER BY experience DESC NULLS LAST, application_id) - 1) // greatest(1, count(*) OVER () // 9) AS page,
+  application_id, name, experience FROM candidates WHERE role = 'developer'""")

@@ -74,6 +74,8 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 # A month and year: June 2019, Mar '19, 06/2019, 2019-06, or the year alone. Groups: name, number before, year, number after.
 _POINT = rf"(?:(?:({'|'.join(MONTHS)})[a-z]*\.?,?\s+)|(0?[1-9]|1[0-2])[/.])?((?:19|20)\d{{2}}|['’]\d{{2}})(?:-(0[1-9]|1[0-2])(?!\d))?"
 _RANGE = rf"(?i)(?<![\w/.]){_POINT}\s*(?:to|until|[-–—])\s*(?:({'|'.join(OPEN_ENDS)})\b|{_POINT})"
+# Every range has a year of four digits or two behind an apostrophe.
+_MAY_BE_RANGE = r"(?:19|20)\d\d|['’]\d\d"
 _LENGTH = r"(?i)\b(\d+(?:\.\d+)?)\s*\+?\s*years?\b(?:\s*(?:and\s+)?(\d+)\s*months?\b)?"
 _ONLY_MONTHS = r"(?i)\b(\d+)\s*\+?\s*months?\b"
 _ITEM = r"^\s*[-*•·–]\s"
@@ -145,13 +147,19 @@ def work_history_years(text: Column, as_of: dt.date) -> Column:
     """
     body = section(text, WORK_HEADINGS, WORK_HEADINGS + OTHER_HEADINGS)
 
-    # Each step is an array of its own, so that no pattern is searched twice.
+    # Each step is an array of its own, so that no pattern is searched twice. Without a digit a line has neither range nor length.
+    lines = F.filter(F.split(body, "\n"), lambda line: F.rlike(line, F.lit("[0-9]")))
+    none = F.array().cast("array<array<string>>")
+
+    def says(line: Column, word: str) -> Column:
+        return F.contains(F.lower(line), F.lit(word))
+
     found = F.transform(
-        F.split(body, "\n"),
+        lines,
         lambda line: F.struct(
-            _groups(line, _RANGE, 9).alias("ranges"),
-            _groups(line, _LENGTH, 2).alias("lengths"),
-            F.regexp_extract_all(line, F.lit(_ONLY_MONTHS), F.lit(1)).alias("months"),
+            F.when(F.rlike(line, F.lit(_MAY_BE_RANGE)), _groups(line, _RANGE, 9)).otherwise(none).alias("ranges"),
+            F.when(says(line, "year"), _groups(line, _LENGTH, 2)).otherwise(none).alias("lengths"),
+            F.when(says(line, "month"), F.regexp_extract_all(line, F.lit(_ONLY_MONTHS), F.lit(1))).otherwise(F.array().cast("array<string>")).alias("months"),
             (F.rlike(line, F.lit(_ITEM)) & ~F.rlike(line, F.lit(_AT_END))).alias("aside"),
             F.rlike(line, F.lit(_HEADED)).alias("headed"),
         ),
