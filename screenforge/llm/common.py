@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenforge.operators.joins import is_small
+from screenforge.operators.joins import attach, is_small, shuffle_width
+
+__all__ = ["attach", "bound_batches", "chunks", "filled", "is_held_out", "mixed", "power_of", "ragged", "shuffle_width", "text_key", "without"]
 
 # An Arrow batch on its way to a Python worker is cut at about so many bytes, besides Spark's row limit.
 BATCH_BYTES = 16 << 20
@@ -39,26 +41,11 @@ def is_held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(True))
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def power_of(base: int, least: int) -> int:
     """How often ``base`` is multiplied with itself to reach ``least``; one time at least."""
     return max(1, math.ceil(math.log(max(2, least), base) - 1e-9))
 
 
-def attach(rows: DataFrame, values: DataFrame, keys: list[str], salt: Column) -> DataFrame:
-    """Left join of ``values`` (unique in ``keys``) onto ``rows``, of which any share may have one key.
-
-    The keys of ``rows`` are first reduced to one row per key and salt; the value goes to those few,
-    and then to the rows by key and salt, so that a hot key is spread over all salts.
-    """
-    salted = rows.withColumn("_salt", salt)
-    runs = salted.select(*keys, "_salt").distinct()
-    return salted.join(runs.join(values, keys), [*keys, "_salt"], "left").drop("_salt")
-
-
 def without(docs: DataFrame, losers: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """``docs`` without the rows whose id and text are in ``losers`` (doc_id, text_key), all columns as they were.
 
