@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +14,10 @@ from pyspark.sql import functions as F
 
 from screenforge.operators.joins import attach, is_small, shuffle_width
 
-__all__ = ["attach", "bound_batches", "chunks", "filled", "is_held_out", "mixed", "power_of", "ragged", "shuffle_width", "text_key", "without"]
+__all__ = ["attach", "bound_batches", "chunks", "filled", "freeing", "is_held_out", "mixed", "power_of", "ragged", "shuffle_width", "text_key", "without"]
 
 # An Arrow batch on its way to a Python worker is cut at about so many bytes, besides Spark's row limit.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -26,6 +28,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker that lives on gives the memory it no longer uses back to its machine."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def filled(column: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenforge.llm.common import attach, bound_batches, chunks, filled, mixed, ragged, shuffle_width, text_key, without
+from screenforge.llm.common import attach, bound_batches, chunks, filled, freeing, mixed, ragged, shuffle_width, text_key, without
 from screenforge.llm.word_hashing import BASE, LOWER, word_hashes
 from screenforge.llm.components import components
 from screenforge.operators.joins import is_small
@@ -90,7 +90,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), filled("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, node binary, n_shingles long, signature binary")
+    return rows.mapInArrow(freeing(run), "doc_id long, text_key long, node binary, n_shingles long, signature binary")
 
 
 def fine_signatures(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def pruned(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             left, right = (_rows(batch.column(f"fine_{c}").to_pylist()) for c in "ab")
             yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(left, right), pa.bool_()))
 
-    return with_both(pairs, signed, "fine").select("a", "b", "fine_a", "fine_b").mapInArrow(run, "a binary, b binary")
+    return with_both(pairs, signed, "fine").select("a", "b", "fine_a", "fine_b").mapInArrow(freeing(run), "a binary, b binary")
 
 
 def _rows(signatures: list[bytes]) -> np.ndarray:
@@ -186,7 +186,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(left) + len(right) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_both(pairs, sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a binary, b binary")
+    return with_both(pairs, sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(freeing(run), "a binary, b binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if is_small(wanted, 200_000):  # 40 bytes each
         wanted = F.broadcast(wanted)
     rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
-    return rows.select("node", "text").mapInArrow(run, "node binary, shingles binary, fine binary, marks binary").dropDuplicates(["node"])
+    return rows.select("node", "text").mapInArrow(freeing(run), "node binary, shingles binary, fine binary, marks binary").dropDuplicates(["node"])
 
 
 def star_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:

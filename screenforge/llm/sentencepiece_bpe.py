@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenforge.llm.common import bound_batches, chunks, filled, ragged
+from screenforge.llm.common import bound_batches, chunks, filled, freeing, ragged
 
 SPACE = "▁"
 # Words of more symbols are merged pair by pair from a heap, as rounds over them would take time with the square of their length.
@@ -338,4 +338,4 @@ def encode_and_decode(docs: DataFrame, model_path: str, with_values: bool = Fals
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, names)], schema=names)
         model.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text")).mapInArrow(freeing(run), schema)

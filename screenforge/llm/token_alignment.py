@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenforge.llm.common import attach, bound_batches, chunks, filled, ragged, shuffle_width
+from screenforge.llm.common import attach, bound_batches, chunks, filled, freeing, ragged, shuffle_width
 from screenforge.operators.joins import is_small
 from screenforge.session import materialize
 
@@ -301,7 +301,7 @@ def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, with_groups:
         aligner.forget()
         aligner.forget_words()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text")).mapInArrow(freeing(run), schema)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenforge.llm.common import bound_batches, chunks, filled, is_held_out, mixed, ragged, text_key, without
+from screenforge.llm.common import bound_batches, chunks, filled, freeing, is_held_out, mixed, ragged, text_key, without
 from screenforge.llm.word_hashing import prefix_sums, word_spans
 from screenforge.session import materialize
 
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
             model = train(texts, toxic)
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["weights", "bias"])
 
-    found = labelled_sample(docs, labels, "toxic").repartition(1).mapInArrow(run, "weights binary, bias double").collect()
+    found = labelled_sample(docs, labels, "toxic").repartition(1).mapInArrow(freeing(run), "weights binary, bias double").collect()
     if not found:
         return Toxicity(np.zeros(BUCKETS, np.float32), -30.0)
     return Toxicity(np.frombuffer(bytes(found[0].weights), np.float32), found[0].bias)
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "text_key", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out().alias("held_out"), text_key().alias("text_key"), F.lower(filled("text")).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, text_key long, score double")
+    scored = rows.mapInArrow(freeing(run), "doc_id long, held_out boolean, text_key long, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
