@@ -18,6 +18,8 @@ KEY_BUCKETS = 64
 # Every run has a bitmap of 1 MB, each bucket's part of it in one piece.
 BITS_A_BUCKET = 1 << 17
 BITS_A_ROW = 32768
+# A run of fewer keys is one file; a larger one has a folder per bucket.
+FLAT_KEYS = 200_000
 # So many runs of one level are merged into one of the next.
 FAN = 8
 
@@ -86,7 +88,7 @@ def merge_plan(runs: list[Run], fan: int = FAN) -> list[list[Run]]:
 class KeyStore:
     """The (role, email) keys of a table's batches.
 
-    A batch writes its keys as a run of level 0, in folders by bucket; ``fan`` runs of a level are merged into one of the
+    A batch writes its keys as a run of level 0, a large one in folders by bucket; ``fan`` runs of a level are merged into one of the
     next, so after n batches there are at most (fan - 1) log n of them. A manifest per batch lists the runs that hold
     all keys up to that batch. It is written last, and a batch reads the manifest of the one before it:
     what a batch left behind half-way is not seen, and a batch that is run again finds what it found first and replaces its
@@ -151,27 +153,33 @@ class KeyStore:
         found = {}
         for row in rows.where(F.col("part").isin(parts)).toLocalIterator():  # 1 MB a run at most
             found.setdefault(row.run, []).append(row)
-        return [
-            f"{self._folder(run)}/bucket={bucket}" for run in runs for bucket in shared_buckets(mine, _bytes(found.get(f"{run.level}-{run.name}", [])))
-        ]
+        opened = []
+        for run in runs:
+            shared = shared_buckets(mine, _bytes(found.get(f"{run.level}-{run.name}", [])))
+            if run.keys < FLAT_KEYS:
+                opened += [self._folder(run)] if shared else []
+            else:
+                opened += [f"{self._folder(run)}/bucket={bucket}" for bucket in shared]
+        return opened
+
+    def _write(self, keys: DataFrame, run: Run) -> None:
+        if run.keys < FLAT_KEYS:
+            keys.coalesce(1).write.mode("overwrite").parquet(self._folder(run))
+        else:  # a large bucket is dealt over several files
+            files = max(1, min(4096, run.keys // 5_000_000))
+            dealt = keys.repartition(KEY_BUCKETS * files, "bucket", F.pmod(F.xxhash64("email"), F.lit(files)))
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(self._folder(run))
+        self._write_map(keys, run)
 
     def add(self, keys: DataFrame, batch_id: int, runs: list[Run]) -> list[Run]:
         """Store a batch's keys beside ``runs``, merge where a level is full, publish the manifest; returns the new runs."""
-        n = keys.count()
-        keys.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.keys}/batch_id={batch_id}")
-        if n:
-            run = Run(str(batch_id), 0, n)
-            self._write_map(keys, run)
-            runs = [*runs, run]
+        run = Run(str(batch_id), 0, keys.count())
+        self._write(keys, run)
+        runs = [*runs, run] if run.keys else runs
         while plan := merge_plan(runs, self.fan):
             group = plan[0]
             into = Run(f"{group[0].level + 1}-{batch_id}", group[0].level + 1, sum(r.keys for r in group))
-            merged = self._read([self._folder(r) for r in group])
-            # A large bucket is dealt over several files.
-            files = max(1, min(4096, into.keys // 5_000_000))
-            dealt = merged.repartition(max(files, KEY_BUCKETS if into.keys > 100_000 else 1), "bucket", F.pmod(F.xxhash64("email"), F.lit(files)))
-            dealt.write.mode("overwrite").partitionBy("bucket").parquet(self._folder(into))
-            self._write_map(self._read([self._folder(into)]), into)
+            self._write(self._read([self._folder(r) for r in group]), into)
             place = runs.index(group[0])
             runs = [*runs[:place], into, *[r for r in runs[place:] if r not in group]]
         listed = [(r.name, r.level, r.keys, i) for i, r in enumerate(runs)]

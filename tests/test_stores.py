@@ -124,6 +124,18 @@ def test_batch_cut_off_before_its_manifest_is_not_seen(spark, tmp_path, monkeypa
     assert stored(spark, table) == first_ones(batches)
 
 
+def test_large_runs_open_their_own_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keys, "FLAT_KEYS", 25)
+    table, batches = str(tmp_path / "t"), [[application(100 * b + i, f"{(13 * b + i) % 160}@x") for i in range(40)] for b in range(9)]
+    for n, rows in enumerate(batches):
+        intake.store_batch(applications(spark, rows), n, table)
+    assert stored(spark, table) == first_ones(batches)
+    store_ = KeyStore(spark, table)
+    known = keyed(applications(spark, [application(1, "7@x")]).withColumn("role", F.col("role_raw")))
+    opened = store_.folders(known, store_.runs_before(9))
+    assert len(opened) == 1 and "/bucket=" in opened[0]
+
+
 def test_bitmaps_name_every_shared_bucket():
     mine, other = keys._bytes([]), keys._bytes([])
     mine[5], other[5] = 0b110, 0b011
