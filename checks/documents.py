@@ -320,12 +320,14 @@ ORACLES = {
       SELECT doc_id, coalesce(array_to_string(skills, '|'), '') AS skills FROM documents LEFT JOIN found USING (doc_id)""",
     "e6_long_entries": r"""WITH items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
       dictionary AS (SELECT DISTINCT w[1 : item_id % 20 + 1] AS entry FROM items WHERE len(w) > 0),
-      sizes AS (SELECT DISTINCT len(entry) AS size FROM dictionary),
       words AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '\.+([^\p{L}\p{N}]|\z)', ' ', 'g'),
         '[^\p{L}\p{N}+#.]+'), lambda w: w <> '') AS w FROM documents),
-      runs AS (SELECT doc_id, w[i : i + size - 1] AS entry
-        FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words CROSS JOIN sizes WHERE len(w) >= size))
-      SELECT doc_id, array_to_string(entry, ' ') AS skill, count(*) AS places FROM runs JOIN dictionary USING (entry) GROUP BY ALL""",
+      places AS (SELECT doc_id, i, word, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS following
+        FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words)),
+      begun AS (SELECT doc_id, i, entry FROM places JOIN (SELECT entry, entry[1] AS word, entry[2] AS following FROM dictionary) d
+        ON places.word = d.word AND (d.following IS NULL OR places.following = d.following))
+      SELECT doc_id, array_to_string(entry, ' ') AS skill, count(*) AS places FROM begun JOIN words USING (doc_id)
+      WHERE w[i : i + len(entry) - 1] = entry GROUP BY ALL""",
     "e3_numeric_experience": """SELECT o_orderkey AS application_id, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 17 * 1.001::DOUBLE
       WHEN 1 THEN round(o_orderkey % 17 * 1.001, 2)::DOUBLE WHEN 2 THEN -(o_orderkey % 17)::DOUBLE ELSE (o_orderkey % 17)::DOUBLE END AS experience FROM orders""",
     "e7_date_forms": """SELECT o_orderkey AS doc_id, round(CASE o_orderkey % 5 WHEN 3 THEN
