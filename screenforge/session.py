@@ -52,11 +52,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df, label: str):
-    """Write ``df`` to a scratch table and read it back: cuts lineage and survives lost executors."""
+def materialize(df, label: str, **options: str):
+    """Write ``df`` to a scratch table and read it back: cuts lineage and survives lost executors. ``options`` go to the writer."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
