@@ -522,7 +522,7 @@ def _wrapper_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def placed(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(page_id, url, pieces, places, texts, rests) of every page, aligned with its host's wrapper.
+    """(row, places, texts, rests) of every page, aligned with its host's wrapper.
 
     ``places``: of each piece; ``texts``: its hash, null where the place has several texts on the page; ``rests``: a number for the page's other texts.
     """
@@ -532,7 +532,7 @@ def placed(rows: DataFrame, known: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in known.collect()})  # MOST_WRAPPER_BYTES at most
         rows = rows.withColumn("wrapper", F.lit(None).cast("binary"))
     else:
-        rows = attach(rows, known, ["host"], F.pmod(F.xxhash64("page_id", "url"), F.lit(shuffle_width(spark))))
+        rows = attach(rows, known, ["host"], F.pmod(F.xxhash64("row"), F.lit(shuffle_width(spark))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, Node] = {}
@@ -551,15 +551,15 @@ def placed(rows: DataFrame, known: DataFrame) -> DataFrame:
                 lists[0].append(own)
                 lists[1].append([p.hash if p and p.hash and times[at] == 1 else None for p, at in zip(found, own)])
                 lists[2].append([rest[p.hash] if p and p.hash else 0 for p in found])
-            columns = [*(batch.column(c) for c in ("page_id", "url", "pieces")), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "pieces", "places", "texts", "rests"])
+            columns = [batch.column("row"), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "places", "texts", "rests"])
 
-    shape = "page_id long, url string, pieces binary, places array<long>, texts array<long>, rests array<long>"
-    return rows.select("page_id", "url", "host", "pieces", "tree", "wrapper").mapInArrow(run, shape)
+    shape = "row long, places array<long>, texts array<long>, rests array<long>"
+    return rows.select("row", "host", "pieces", "tree", "wrapper").mapInArrow(run, shape)
 
 
 def fixed_places(rows: DataFrame) -> DataFrame:
-    """(row, fixed) of every row of :func:`placed` on which a text is template: the places of these texts.
+    """(row, places, fixed) of every row of :func:`placed` on which a text is template, with the places of these texts.
 
     Every text of every page goes by its place into one aggregation, which is exact however many places a host has. A place
     whose text is the same on all pages that have it is template if these have ``TEMPLATE_PAGES`` different other
@@ -571,7 +571,7 @@ def fixed_places(rows: DataFrame) -> DataFrame:
     fixed = by_rest.groupBy("place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("slot").alias("slot"), F.count(F.lit(1)).alias("pages"))
     fixed = fixed.filter(~F.col("slot") & (F.col("low") == F.col("high")) & (F.col("pages") >= TEMPLATE_PAGES)).select("place")
     met = lookup_join(rows.select("row", F.explode("places").alias("place")).filter("place != 0"), materialize(fixed, "fixed"), "place", "inner", MOST_BROADCAST)
-    return met.groupBy("row").agg(F.collect_set("place").alias("fixed"))
+    return met.groupBy("row").agg(F.collect_set("place").alias("fixed")).join(rows.select("row", "places"), "row")
 
 
 def main_text(page: str, fixed: frozenset[int] = frozenset(), own: list[int] | None = None) -> str:
@@ -624,11 +624,12 @@ def extract(pages: DataFrame) -> DataFrame:
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), filled("html").alias("html"))
     rows = rows.withColumn("host", F.coalesce(host_and_path(F.col("url"))[0], F.lit("")))
-    rows = materialize(parsed(rows.select("page_id", "url", "host", "html")), "parsed")
-    rows = placed(rows, materialize(wrappers(rows), "wrappers")).withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(rows, "placed")
-    known = materialize(fixed_places(rows), "fixed-places")
-    rows = rows.select("row", "page_id", "url", "pieces", "places")
+    rows = parsed(rows.select("page_id", "url", "host", "html")).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "parsed", compression="zstd")
+    aligned_pages = materialize(placed(rows, materialize(wrappers(rows), "wrappers")), "placed", compression="zstd")
+    known = materialize(fixed_places(aligned_pages), "fixed-places")
+    # Only pages with template texts get their places back.
+    rows = rows.select("row", "page_id", "url", "pieces")
     rows = rows.join(F.broadcast(known), "row", "left") if is_small(known, 10_000) else rows.join(known, "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
