@@ -93,6 +93,23 @@ def test_risk_of_positives_and_unlabelled():
     assert (model.scores(positive[2_400:]) > 0.5).mean() > 0.95 and (model.scores(negative[600:]) < 0.5).mean() > 0.9
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_is_estimated_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(8)
+    positive, n = rng.normal(2, 1, (4_000, 2)), int(6_000 * prior)
+    unlabelled = np.vstack([rng.normal(2, 1, (n, 2)), rng.normal(-2, 1, (6_000 - n, 2))])
+    model = quality.train(positive, unlabelled, 0.5)
+    assert abs(quality.estimated_prior(model.scores(positive), model.scores(unlabelled)) - prior) < 0.06
+
+
+def test_sample_is_the_lowest_hashes_whatever_the_partitions(spark):
+    rows = spark.range(3_000).selectExpr("id AS doc_id", "false AS held_out", "array_repeat(cast(id AS float), 16) AS features")
+    rows = rows.select("doc_id", "held_out", "features").unionByName(rows.limit(1).crossJoin(spark.range(5_000)).select("doc_id", "held_out", "features"))
+    few = [sorted(quality._sampled(rows.repartition(n), 200)[:, 0].tolist()) for n in (1, 7)]
+    assert few[0] == few[1] and len(set(few[0])) == 200
+    assert len(quality._sampled(rows, 5_000)) == 3_000
+
+
 def test_languages(spark, sf_dir):
     docs, _ = _tables(spark, sf_dir)
     frame = _with_odd(spark, docs)
