@@ -30,8 +30,7 @@ def _resume_folder(spark, sf):
     path = scratch_path(spark, "resume-files")
     docs = fx.documents(spark, sf)
     body = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
-    files = docs.select(F.concat_ws("\n", F.col("doc_id").cast("string"), body).alias("value"))
-    files.write.option("maxRecordsPerFile", 1).text(path)
+    fx.write_text_files(docs.select(F.concat_ws("\n", F.col("doc_id").cast("string"), body).alias("value")), path)
     return path
 
 

@@ -6,10 +6,15 @@ The expressions in capitals are plain SQL that Spark and DuckDB read alike; ``or
 from __future__ import annotations
 
 import io
+import os
 import zipfile
+from collections.abc import Iterator
+from urllib.parse import urlsplit
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -274,6 +279,37 @@ def document_files(spark: SparkSession, sf_dir: str, suffix) -> DataFrame:
     )
 
 
+def write_text_files(values: DataFrame, path: str) -> None:
+    """Every ``value`` as a text file of its own below ``path``, with a line end behind it.
+
+    In a folder of the file system the tasks write the files themselves: Hadoop's local file system starts two processes
+    for each. A repeated task writes the same names again, and a file is there whole or not at all. Any other store gets
+    them from Spark's writer.
+    """
+    default = values.sparkSession.conf.get("spark.hadoop.fs.defaultFS", "file:///")
+    if (urlsplit(path).scheme or urlsplit(default).scheme) != "file":
+        values.write.option("maxRecordsPerFile", 1).text(path)
+        return
+    base = urlsplit(path).path
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get(), 0
+        folder = f"{base}/part-{task.partitionId():05d}"
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for value in batch.column("value"):
+                name = f"{folder}/{count:08d}.txt"
+                started = f"{name}.{task.taskAttemptId()}"
+                with open(started, "wb") as file:
+                    file.write(value.as_py().encode() + b"\n")
+                os.replace(started, name)
+                count += 1
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["files"])
+
+    os.makedirs(base, exist_ok=True)
+    values.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 PAGE_CHARS = 500
 
 

@@ -212,3 +212,15 @@ def test_replayed_batch_changes_nothing(spark, sf_dir):
     after = sorted(r.application_id for r in intake.read_intake(spark, table).collect())
     expected = sorted(r.application_id for r in register(fx.applications(spark, sf_dir)).collect())
     assert before == after == expected
+
+
+def test_text_files_are_written_one_per_row_and_nothing_beside_them(spark):
+    rows = [(1, "a\r\nb"), (1, "a\r\nb"), (None, "ü"), (4, "")]
+    values = spark.createDataFrame(rows, "doc_id long, value string").repartition(3)
+    path = scratch_path(spark, "files")
+    fx.write_text_files(values.select("value"), path)
+    names = [name for _, _, files in os.walk(path) for name in files]
+    assert len(names) == len(rows) and all(name.endswith(".txt") for name in names)
+    found = sorted(r.text for r in read_resume_files(spark, path, "*.txt").selectExpr("cast(content AS string) AS text").collect())
+    assert found == sorted(value + "\n" for _, value in rows)
+    fx.write_text_files(values.where("false").select("value"), scratch_path(spark, "files"))
