@@ -9,6 +9,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ DATES = (
 )
 # Words of the documents that count as guessable: the most frequent ones, with so many occurrences at least, of so many letters.
 MOST_WORDS, LEAST_TIMES, WORD_LETTERS = 20_000, 10, (3, 20)
-# In longer values walks and repeats within others, and repeats of more than four characters, are not tried.
-LONG_VALUE = 256
+# What repeats within a value has so many characters at most, in values of any length: a longer unit takes over 200 bits by itself.
+REPEAT_UNIT = 64
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -55,7 +56,8 @@ def _neighbours() -> dict[str, set[str]]:
 class GuessCost:
     """How many guesses a value takes if it is guessed part by part, in bits."""
 
-    def __init__(self, words: Sequence[str] = WORDS):
+    def __init__(self, words: Sequence[str] = WORDS, longest_unit: int = REPEAT_UNIT):
+        self.longest_unit = longest_unit
         self.rank = {}
         for i, word in enumerate(words):
             self.rank.setdefault(word.lower(), i + 2)
@@ -65,6 +67,10 @@ class GuessCost:
     def _single(self, c: str) -> float:
         return math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
+    def _step(self, a: str, b: str):
+        """The way from a key to one that touches it."""
+        return (ord(b) - ord(a)) if a.isdigit() and b.isdigit() else [(r, row.find(b) - row.find(a)) for r, row in enumerate(ROWS) if b in row]
+
     def _walk_ends(self, value: str, start: int) -> Iterator[tuple[int, float]]:
         """Ends of keyboard walks of three keys or more from ``start``, and their bits."""
         turns, last = 0, None
@@ -72,23 +78,36 @@ class GuessCost:
             a, b = value[i - 1].lower(), value[i].lower()
             if b not in self.keys.get(a, ()):
                 return
-            step = (ord(b) - ord(a)) if a.isdigit() and b.isdigit() else [(r, row.find(b) - row.find(a)) for r, row in enumerate(ROWS) if b in row]
+            step = self._step(a, b)
             turns += step != last
             last = step
             if i - start >= 2:
                 yield i + 1, math.log2(len(self.keys)) + turns * math.log2(4.6) + math.log2(i + 1 - start)
 
-    def _repeat_ends(self, value: str, start: int, single: list[float], longest: int) -> Iterator[tuple[int, float]]:
-        """Ends of repeats of the one to ``longest`` characters at ``start``, and their bits."""
-        for unit in range(1, min(longest, (len(value) - start) // 2) + 1):
-            part, end = value[start : start + unit], start + unit
-            if not value.startswith(part, end):
+    def _walk_steps(self, value: str) -> tuple[list[int], list[int]]:
+        """For every character where the keyboard walk through it began, and how often that walk has turned up to it."""
+        begun, turned, last = list(range(len(value))), [0] * len(value), None
+        for i in range(1, len(value)):
+            a, b = value[i - 1].lower(), value[i].lower()
+            if b in self.keys.get(a, ()):
+                step = self._step(a, b)
+                begun[i], turned[i] = begun[i - 1], turned[i - 1] + (begun[i - 1] < i - 1 and step != last)
+                last = step
+        return begun, turned
+
+    def _repeats(self, value: str) -> list[tuple[int, int, int]]:
+        """(first end, last end, unit) of the longest stretches that repeat a unit, which itself is no repeat, by first end."""
+        codes, found = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32), []
+        for unit in range(1, min(self.longest_unit, len(value) // 2) + 1):
+            same = codes[:-unit] == codes[unit:]
+            if not same.any():
                 continue
-            bits = sum(single[start : start + unit])
-            while value.startswith(part, end):
-                end += unit
-                if end - start >= 3 and (end - start <= LONG_VALUE or not value.startswith(part, end)):
-                    yield end, bits + math.log2((end - start) // unit)
+            turns = np.flatnonzero(np.diff(same.astype(np.int8), prepend=0, append=0))
+            for start, end in zip(turns[::2].tolist(), turns[1::2].tolist()):
+                part = value[start : start + unit]
+                if end - start >= max(unit, 2) and (part + part).find(part, 1) == unit:
+                    found.append((start + max(2 * unit, 3), end + unit, unit))
+        return sorted(found)
 
     def _word_ends(self, value: str, start: int, forms: tuple[tuple[str, int], ...]) -> Iterator[tuple[int, float]]:
         for size in range(2, min(self.longest, len(value) - start) + 1):
@@ -104,41 +123,69 @@ class GuessCost:
             if m := pattern.match(value, start):
                 yield m.end(), math.log2(365 * 60)
 
-    def parts(self, value: str) -> Iterator[list[tuple[int, float]]]:
-        """For every start the parts there, as (end, bits): words, dates, walks and repeats."""
-        plain, lower = value.lower().translate(LEET), value.lower()
-        if len(lower) != len(value):  # a letter whose lower case has two
-            plain = lower = value
-        forms = ((lower, 0), (plain, 1))
-        single = [self._single(c) for c in value]
-        every = len(value) <= LONG_VALUE
-        skip_walk = skip_repeat = 0
-        for i in range(len(value)):
-            found = [*self._word_ends(value, i, forms), *self._date_ends(value, i)]
-            if every or i >= skip_walk:
-                walks = list(self._walk_ends(value, i))
-                skip_walk = walks[-1][0] - 2 if walks else skip_walk
-                found += walks
-            if every or i >= skip_repeat:
-                repeats = list(self._repeat_ends(value, i, single, len(value) if every else 4))
-                skip_repeat = max([skip_repeat, *(end - 4 for end, _ in repeats)])
-                found += repeats
-            yield found
-
     def bits(self, value: str) -> float:
         """The least sum of bits over all ways to cut ``value`` into parts and brute-force spans; each costs one more bit.
 
         Best costs are kept per prefix, apart for those that end in a brute-force span, which goes on without another extra bit.
+        Of the starts of a walk or repeat only those are kept that are best for some end, so long ones take time in proportion.
         """
+        plain, lower = value.lower().translate(LEET), value.lower()
+        if len(lower) != len(value):  # a letter whose lower case has two
+            plain = lower = value
+        forms = ((lower, 0), (plain, 1))
+        single = [self._single(c) for c in value]
+        sums = [0.0, *itertools.accumulate(single)]
+        begun, turned = self._walk_steps(value)
+        turn, walks, walk_from = math.log2(4.6), _Starts(), -1
+        repeats, active = self._repeats(value)[::-1], []
         best = [math.inf] * (len(value) + 1)  # the prefix ends with a part
         brute = [math.inf] * (len(value) + 1)  # it ends inside a brute-force span
+        at = [0.0] * (len(value) + 1)
         best[0] = 0.0
-        for i, found in enumerate(self.parts(value)):
-            at = min(best[i], brute[i])
-            brute[i + 1] = min(best[i] + 1, brute[i]) + self._single(value[i])
-            for end, cost in found:
-                best[end] = min(best[end], at + 1 + cost)
-        return min(best[-1], brute[-1])
+        for i in range(len(value) + 1):
+            if i >= 3 and begun[i - 1] <= i - 3:
+                if walk_from != begun[i - 1]:
+                    walks, walk_from = _Starts(), begun[i - 1]
+                walks.add(i - 3, at[i - 3] + 1 + math.log2(len(self.keys)) + (1 - turned[i - 2]) * turn)
+                best[i] = min(best[i], walks.least(i) + turned[i - 1] * turn)
+            while repeats and repeats[-1][0] == i:
+                _, last, unit = repeats.pop()
+                active.append((last, unit, [_Starts() for _ in range(unit)]))
+            active = [run for run in active if run[0] >= i]
+            for _, unit, starts in active:
+                start = i - max(2 * unit, 3)
+                starts[i % unit].add(start, at[start] + 1 + sums[start + unit] - sums[start] - math.log2(unit))
+                best[i] = min(best[i], starts[i % unit].least(i))
+            at[i] = min(best[i], brute[i])
+            if i < len(value):
+                brute[i + 1] = min(best[i] + 1, brute[i]) + single[i]
+                for end, cost in (*self._word_ends(value, i, forms), *self._date_ends(value, i)):
+                    best[end] = min(best[end], at[i] + 1 + cost)
+        return at[-1]
+
+
+class _Starts:
+    """Starts of parts whose bits grow with log2 of their length; those that are the best for some end to come."""
+
+    def __init__(self):
+        self.kept: list[tuple[int, float]] = []  # start and the bits without that of the length, both ascending
+
+    def add(self, start: int, bits: float) -> None:
+        """A later start. An earlier one is longer, so it is worth keeping only with fewer bits."""
+        while self.kept and self.kept[-1][1] >= bits:
+            self.kept.pop()
+        self.kept.append((start, bits))
+
+    def least(self, end: int) -> float:
+        """The least bits of a part up to ``end``. A start that an earlier one has caught up with stays behind it."""
+        low, kept = math.inf, []
+        for start, bits in self.kept:
+            total = bits + math.log2(end - start)
+            if total < low:
+                low = total
+                kept.append((start, bits))
+        self.kept = kept
+        return low
 
 
 def frequent_words(docs: DataFrame, most: int = MOST_WORDS) -> list[str]:
@@ -188,7 +235,8 @@ def scan(docs: DataFrame, words: Sequence[str] | None = None, min_bits: float =
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = GuessCost(words)
+        # A unit of more characters has min_bits or more, so it cannot bring a value below them.
+        cost = GuessCost(words, max(REPEAT_UNIT, math.ceil(min_bits / math.log2(10))))
         for batch in batches:
             columns: list[list] = [[] for _ in range(7)]
             for text in batch.column("text"):

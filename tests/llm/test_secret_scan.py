@@ -99,6 +99,16 @@ def test_costs_are_the_least_over_all_segmentations():
         assert abs(cost.bits(value) - least(value)) < 1e-9, value
 
 
+def test_costs_of_long_values_follow_the_same_rule():
+    """A value of 300 characters costs little more than the same repeated 200 characters, whatever it is made of."""
+    bits = GuessCost().bits
+    for part in ("12985", "password1", "qwerfdsa", "abcdefghij"):
+        short, long = part * (200 // len(part)), part * (300 // len(part))
+        assert bits(short) <= bits(long) < bits(short) + 1
+        assert bits("#" + long + "#") < bits("#" + short + "#") + 1
+    assert bits("12985" * 60) < 30 and bits("12985" * 4_000) < 31 and bits("as" * 10_000) < 30
+
+
 def test_words_of_the_texts_are_guessable(spark):
     texts = [(i, "Patience is brilliant, together we wait") for i in range(30)] + [(99, "secret: patience"), (98, "secret: brilliant"), (97, "secret: kwxvzqjphd")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
