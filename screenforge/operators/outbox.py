@@ -144,29 +144,37 @@ class DeliveryLog:
     def outbox(self) -> DataFrame:
         """One row per message with its present status, error and attempt (0 without a report); reports on unknown messages are left out.
 
-        One shuffle by message; both sides are reduced to one row per message before it.
+        One shuffle by message; both sides are reduced to one row per message before it. Every column is picked for itself, by the
+        same order, so that texts nobody asks for are neither read nor shuffled.
         """
-        message = [f.name for f in MESSAGE.fields if f.name not in ("request_id", "position", "written_at")]
+        message = [f for f in MESSAGE.fields if f.name not in ("request_id", "position", "written_at")]
+        report = [REPORT[n] for n in ("status", "error", "attempt")]
+        tried = "struct<attempt:int,reported_at:timestamp_ntz,batch:string>"
+
+        def absent(fields, prefix: str) -> list[Column]:
+            return [F.lit(None).cast(f.dataType).alias(f"{prefix}{f.name}") for f in fields]
+
         made = self.messages.read().select(
-            "request_id", "position", F.struct("written_at", "batch").alias("_made"), F.struct(*message).alias("_message"),
-            F.lit(None).cast("struct<attempt:int,reported_at:timestamp_ntz,batch:string>").alias("_tried"),
-            F.lit(None).cast("struct<status:string,error:string,attempt:int>").alias("_report"),
+            "request_id", "position", F.struct("written_at", "batch").alias("_made"), *[F.col(f.name).alias(f"_m_{f.name}") for f in message],
+            F.lit(None).cast(tried).alias("_tried"), *absent(report, "_r_"),
         )
         told = self.reports.read().select(
-            "request_id", "position", F.lit(None).cast(made.schema["_made"].dataType).alias("_made"), F.lit(None).cast(made.schema["_message"].dataType).alias("_message"),
-            F.struct("attempt", "reported_at", "batch").alias("_tried"), F.struct("status", "error", "attempt").alias("_report"),
+            "request_id", "position", F.lit(None).cast(made.schema["_made"].dataType).alias("_made"), *absent(message, "_m_"),
+            F.struct("attempt", "reported_at", "batch").alias("_tried"), *[F.col(f.name).alias(f"_r_{f.name}") for f in report],
         )
         merged = made.unionByName(told).groupBy("request_id", "position").agg(
-            F.min_by("_message", "_made").alias("_message"), F.max_by("_report", "_tried").alias("_report")
+            F.max(F.col("_made").isNotNull()).alias("_known"),
+            F.max(F.col("_tried").isNotNull()).alias("_reported"),
+            *[F.min_by(f"_m_{f.name}", "_made").alias(f"_m_{f.name}") for f in message],
+            *[F.max_by(f"_r_{f.name}", "_tried").alias(f"_r_{f.name}") for f in report],
         )
-        reported = F.col("_report").isNotNull()
-        return merged.where(F.col("_message").isNotNull()).select(
+        return merged.where("_known").select(
             "request_id",
             "position",
-            *[F.col(f"_message.{n}") for n in message if n not in ("status", "error")],
-            F.when(reported, F.col("_report.status")).otherwise(F.col("_message.status")).alias("status"),
-            F.when(reported, F.col("_report.error")).otherwise(F.col("_message.error")).alias("error"),
-            F.coalesce("_report.attempt", F.lit(0)).alias("attempt"),
+            *[F.col(f"_m_{f.name}").alias(f.name) for f in message if f.name not in ("status", "error")],
+            F.when(F.col("_reported"), F.col("_r_status")).otherwise(F.col("_m_status")).alias("status"),
+            F.when(F.col("_reported"), F.col("_r_error")).otherwise(F.col("_m_error")).alias("error"),
+            F.coalesce("_r_attempt", F.lit(0)).alias("attempt"),
         )
 
 

@@ -234,3 +234,15 @@ def test_history_is_cut_to_possible_keys_before_its_shuffle(spark, monkeypatch):
     stored_keys = old.select("role", F.col("email").alias("_slot"))
     slots = stored_keys.limit(40)
     assert 40 <= dedup._possible(stored_keys, slots).count() < 200
+
+
+def test_the_merge_of_a_log_carries_no_text_that_is_not_asked_for(spark, tmp_path):
+    log = DeliveryLog(spark, str(tmp_path / "log"))
+    rows = [(1, 0, "a@x.example", "A", "subject", "plain", "html", "ready", None)]
+    messages = spark.createDataFrame(rows, "request_id long, position int, email string, name string, subject string, plain string, html string, status string, error string")
+    log.add_messages(messages, "first", dt.datetime(2025, 5, 1))
+    few = log.outbox().select("request_id", "email", "status")
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" in plan and not any(f"{name} " in plan or f"{name}#" in plan.split("Relation")[0] for name in ("html", "plain", "subject"))
+    assert [tuple(r) for r in few.collect()] == [(1, "a@x.example", "ready")]
+    assert [(r.html, r.attempt) for r in log.outbox().collect()] == [("html", 0)]
