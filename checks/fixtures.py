@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenforge.schemas import APPLICATION
+from screenforge.session import give_memory_back
 
 ROLE_RAW = """CASE o_orderkey % 7 WHEN 0 THEN 'datascience' WHEN 1 THEN 'Developer' WHEN 2 THEN 'QA'
     WHEN 3 THEN 'data_engineer' WHEN 4 THEN 'cloud_engineer' WHEN 5 THEN 'hr' ELSE 'designer' END"""
@@ -264,9 +265,11 @@ def _zipped(name: str, body: str) -> bytes:
 
 
 @F.pandas_udf(T.BinaryType())
-def file_bytes(text: pd.Series, kind: pd.Series) -> pd.Series:
+def file_bytes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     makers = {"docx": docx_bytes, "odt": odt_bytes}
-    return pd.Series([makers.get(k, lambda t: t.encode())(t) for t, k in zip(text, kind, strict=True)], dtype=object)
+    for text, kind in batches:
+        yield pd.Series([makers.get(k, lambda t: t.encode())(t) for t, k in zip(text, kind, strict=True)], dtype=object)
+    give_memory_back()
 
 
 def document_files(spark: SparkSession, sf_dir: str, suffix) -> DataFrame:

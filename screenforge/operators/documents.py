@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenforge.functions.text import file_format, is_blank
+from screenforge.session import bound_batches, give_memory_back
 from screenforge.sources.resumes import plain_text
 
 # XML names of the two document formats (fixed values).
@@ -69,11 +70,11 @@ def decoder_column(decoders: dict[str, Decoder]) -> Callable[[Column, Column], C
     """Arrow batch function (content, format) to text; null content stays null, a failure gives null.
 
     It is marked non-deterministic, so that a later filter on fields of the text is not pushed below
-    it with a second decoding of every file.
+    it with a second decoding of every file. After a task the worker gives its memory back.
     """
 
     @F.pandas_udf(T.StringType())
-    def decode(content: pd.Series, fmt: pd.Series) -> pd.Series:
+    def decode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         def one(data, kind):
             if data is None or kind not in decoders:
                 return None
@@ -82,18 +83,22 @@ def decoder_column(decoders: dict[str, Decoder]) -> Callable[[Column, Column], C
             except Exception:
                 return None
 
-        return pd.Series([one(c, f) for c, f in zip(content, fmt, strict=True)], dtype=object)
+        for content, fmt in batches:
+            yield pd.Series([one(c, f) for c, f in zip(content, fmt, strict=True)], dtype=object)
+        give_memory_back()
 
     return decode.asNondeterministic()
 
 
 def extract_docx(files: DataFrame) -> DataFrame:
     """Add ``text`` of DOCX files; ``""`` where a file is unreadable."""
+    bound_batches(files.sparkSession)
     return files.withColumn("text", F.coalesce(decoder_column({"docx": docx_text})("content", F.lit("docx")), F.lit("")))
 
 
 def extract_odt(files: DataFrame) -> DataFrame:
     """Add ``text`` of ODT files; ``""`` where a file is unreadable."""
+    bound_batches(files.sparkSession)
     return files.withColumn("text", F.coalesce(decoder_column({"odt": odt_text})("content", F.lit("odt")), F.lit("")))
 
 
@@ -126,6 +131,7 @@ def extract_text(
     character recognition is for scanned PDF files.
     """
     known: dict[str, Decoder] = {"docx": docx_text, "odt": odt_text, **(decoders or {})}
+    bound_batches(files.sparkSession)
     fmt = file_format(F.col("path"))
     decode = decoder_column(known)
     # Contents Spark reads itself, or nobody can read, are not sent to Python.

@@ -224,3 +224,16 @@ def test_text_files_are_written_one_per_row_and_nothing_beside_them(spark):
     found = sorted(r.text for r in read_resume_files(spark, path, "*.txt").selectExpr("cast(content AS string) AS text").collect())
     assert found == sorted(value + "\n" for _, value in rows)
     fx.write_text_files(values.where("false").select("value"), scratch_path(spark, "files"))
+
+
+def test_files_reach_decoders_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    files = spark.createDataFrame([(i, "/x/a.odt", bytearray(fx.odt_bytes(TEXT))) for i in range(3)], "doc_id long, path string, content binary")
+    try:
+        for extract in (documents.extract_docx, documents.extract_odt, documents.extract_text):
+            spark.conf.set(key, str(64 << 20))
+            assert [r.text for r in extract(files).collect()] == ([""] if extract is documents.extract_docx else [TEXT]) * 3
+            assert int(spark.conf.get(key)) <= 4 << 20
+    finally:
+        spark.conf.set(key, before)
