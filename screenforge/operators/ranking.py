@@ -91,7 +91,7 @@ _SHORTLIST = {
     "skills": "array<string>",
 }
 # Scores held at a time; more requests are taken in several steps.
-_CELLS = 4_000_000
+_CELLS = 1_000_000
 
 
 def _vectors(column: pd.Series, dims: int) -> np.ndarray:
