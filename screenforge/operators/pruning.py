@@ -6,12 +6,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenforge.constants import RAW_SIMILARITY_CUT, SHORTLIST_SIZE
 from screenforge.operators.joins import lookup_join
-from screenforge.operators.ranking import _block_shortlist, _vectors, block_shape, every_part, jobs_of, part_of, people_of, place_of_block_row
+from screenforge.operators.ranking import _block_shortlist, _vectors, block_shape, every_part, jobs_of, part_of, people_of, place_of_block_row, role_grid, shortlists
 from screenforge.session import materialize
 
 # Candidates of a cluster, on average.
@@ -137,6 +137,20 @@ def _rest(cut: float):
     return run
 
 
+def _blind_to_skills() -> Column:
+    """Prepared requests whose score knows experience and place alone, and never falls with more experience."""
+    no_skills = (F.cardinality("job_skills") == 0) | F.col("job_vector").isNull()
+    # A base score of 1 replaces no points, so fewer than 1 for experience would lower it.
+    return no_skills & ((F.col("w_experience") == 0) | (F.col("w_experience") >= 1)) & (F.col("w_location") >= 0)
+
+
+def _best_by_place(members: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of each role and location by experience, number of skills and id: all that such requests can list."""
+    order = [F.nanvl("experience", F.lit(None).cast("double")).desc_nulls_last(), F.desc("skill_count"), F.asc("application_id")]
+    place = F.row_number().over(Window.partitionBy("role", "location").orderBy(*order))
+    return members.withColumn("_row", place).where(F.col("_row") <= k).drop("_row", "skill_count", "cluster", "cosine")
+
+
 def pruned_shortlists(
     candidates: DataFrame,
     requests: DataFrame,
@@ -151,10 +165,23 @@ def pruned_shortlists(
     experience in it and the wanted place. A request first opens the clusters with the highest bounds that have ``k`` members;
     its ``k``-th row there is the least score worth looking for, and of the other clusters only those are
     opened whose bound reaches it. Clusters and requests of a role meet in parts of ``rows_per_block``; requests
-    are copied to the clusters they open, and nowhere else.
+    are copied to the clusters they open, and nowhere else. A request whose scores don't depend on vectors would open
+    every cluster with enough experience; it opens none, and looks at the best of each place instead.
     """
     members, clusters = clustered(candidates, rows_per_cluster, rows_per_block)
-    jobs = materialize(jobs_of(requests), "jobs")
+    requests = materialize(requests, "requests")
+    alike = F.coalesce(_blind_to_skills(), F.lit(False)) & F.col("request_id").isNotNull()
+    seen = requests.where(~alike).select("request_id").distinct()
+    blind = materialize(requests.where(alike).join(seen, "request_id", "left_anti"), "blind")
+    # Requests that share id and role meet each other's clusters below, so their rows are listed once for each pair of them.
+    paired = blind.join(blind.select("request_id", "role"), ["request_id", "role"])
+    few = _best_by_place(members, k)
+    grid = materialize(role_grid(few, blind.where("role IS NOT NULL"), rows_per_block, rows_per_block), "grid")
+    of_blind = shortlists(few, paired, k, cut, grid=grid)
+    per_role = clusters.groupBy("role").agg(F.count(F.lit(1)).alias("clusters"))
+    unopened = lookup_join(blind.where("role IS NOT NULL").select("role", "request_id"), per_role, "role")
+    unopened = unopened.select("request_id", F.coalesce("clusters", F.lit(0)).alias("clusters"), F.lit(0).cast("long").alias("opened"))
+    jobs = materialize(jobs_of(requests.join(blind.select("request_id").distinct(), "request_id", "left_anti")), "jobs")
     parts = jobs.groupBy("role").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("request_blocks"))
     parts = materialize(parts, "request-blocks")
 
@@ -192,4 +219,5 @@ def pruned_shortlists(
     rest = materialize(rest, "opened")
     partial = first.unionByName(compared(rest.where("cluster IS NOT NULL").select("request_id", "role", "cluster")))
     rows = partial.withColumn("place", place_of_block_row()).where(F.col("place") <= k).drop("any_filter")
-    return PrunedSearch(rows, rest.where("cluster IS NULL").select("request_id", "clusters", "opened"))
+    opened = rest.where("cluster IS NULL").select("request_id", "clusters", "opened")
+    return PrunedSearch(rows.unionByName(of_blind), opened.unionByName(unopened))

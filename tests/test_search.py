@@ -93,6 +93,15 @@ def test_most_clusters_are_skipped(spark):
     assert found.opened.where("opened > clusters").count() == 0
 
 
+def test_requests_without_skills_open_no_cluster(spark):
+    candidates, ready = world(spark)
+    blind = ready.where("cardinality(job_skills) = 0 OR job_vector IS NULL")
+    found = pruning.pruned_shortlists(candidates, blind, 5, 15, 40)
+    assert rows_of(found.rows) == rows_of(ranking.shortlists(candidates, blind, 5, blocks=2))
+    opened = found.opened.collect()
+    assert len(opened) == blind.count() and all(r.opened == 0 for r in opened) and any(r.clusters > 1 for r in opened)
+
+
 def test_bounds_hold_for_every_member():
     import pandas as pd
 
