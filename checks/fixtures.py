@@ -239,6 +239,8 @@ def docx_bytes(text: str) -> bytes:
         half = len(line) // 2
         lines.append(f"<w:p>{run(line[:half])}<w:hyperlink>{run(line[half:])}</w:hyperlink></w:p>")
     cells = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+        if "\t" not in part:
+            return f'<w:r><w:t xml:space="preserve">{escape(part)}</w:t></w:r>'
     body = f'<?xml version="1.0"?><w:document xmlns:w="{w}"><w:body>{"".join(lines)}{cells}</w:body></w:document>'
     return _zipped("word/document.xml", body)
 

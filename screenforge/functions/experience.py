@@ -106,32 +106,43 @@ def _month_number(name: Column) -> Column:
     return F.when(name == "", F.lit(0)).otherwise(((at + 2) / 3).cast("int"))
 
 
+def _number(group: Column, kind: str = "int") -> Column:
+    """An absent group is null without a cast: one that fails costs as much as the whole search."""
+    return F.when(group != "", group.try_cast(kind))
+
+
 def _point(name: Column, before: Column, year: Column, after: Column, as_of: dt.date) -> tuple[Column, Column]:
     """Month (0 without one) and year. Two digits are a year of the last hundred."""
-    number = F.coalesce(before.try_cast("int"), after.try_cast("int"), F.lit(0))
+    number = F.coalesce(_number(before), _number(after), F.lit(0))
     month = F.when(name != "", _month_number(name)).otherwise(number)
     short = F.right(year, F.lit(2)).try_cast("int")
     century = as_of.year // 100 * 100
     of_two = F.when(short > as_of.year % 100, short + century - 100).otherwise(short + century)
-    return month, F.when(F.length(year) == 3, of_two).otherwise(year.try_cast("int"))
+    return month, F.when(F.length(year) == 3, of_two).otherwise(_number(year))
 
 
-def _range_months(groups: Column, as_of: dt.date) -> Column:
-    """Months of the two points of a range, the second of which may be open."""
+def _range_points(groups: Column, as_of: dt.date) -> Column:
+    """The two points of a range, and whether the second is open."""
     month1, year1 = _point(groups[0], groups[1], groups[2], groups[3], as_of)
     month2, year2 = _point(groups[5], groups[6], groups[7], groups[8], as_of)
+    columns = {"month1": month1, "year1": year1, "month2": month2, "year2": year2, "open": groups[4] != ""}
+    return F.struct(*[c.alias(name) for name, c in columns.items()])
+
+
+def _range_months(p: Column, as_of: dt.date) -> Column:
+    """Months between the two points of a range."""
     months = (
-        F.when((groups[4] != "") & (month1 > 0), (as_of.year - year1) * 12 + (as_of.month - month1))
-        .when(groups[4] != "", (as_of.year - year1) * 12)
-        .when((month1 > 0) & (month2 > 0), (year2 - year1) * 12 + (month2 - month1) + 1)
-        .otherwise((year2 - year1) * 12)
+        F.when(p["open"] & (p["month1"] > 0), (as_of.year - p["year1"]) * 12 + (as_of.month - p["month1"]))
+        .when(p["open"], (as_of.year - p["year1"]) * 12)
+        .when((p["month1"] > 0) & (p["month2"] > 0), (p["year2"] - p["year1"]) * 12 + (p["month2"] - p["month1"]) + 1)
+        .otherwise((p["year2"] - p["year1"]) * 12)
     )
     return F.greatest(months, F.lit(0)).cast("double")
 
 
 def _length_months(groups: Column) -> Column:
     """Months of (years, months)."""
-    return groups[0].try_cast("double") * 12 + F.coalesce(groups[1].try_cast("double"), F.lit(0.0))
+    return groups[0].try_cast("double") * 12 + F.coalesce(_number(groups[1], "double"), F.lit(0.0))
 
 
 def _sum(values: Column) -> Column:
@@ -147,7 +158,8 @@ def work_history_years(text: Column, as_of: dt.date) -> Column:
     """
     body = section(text, WORK_HEADINGS, WORK_HEADINGS + OTHER_HEADINGS)
 
-    # Each step is an array of its own, so that no pattern is searched twice. Without a digit a line has neither range nor length.
+    # Each step is an array of its own, so that nothing is searched or reckoned twice, and what a range decides is not
+    # searched any further. Without a digit a line has neither range nor length.
     lines = F.filter(F.split(body, "\n"), lambda line: F.rlike(line, F.lit("[0-9]")))
     none = F.array().cast("array<array<string>>")
 
@@ -157,21 +169,43 @@ def work_history_years(text: Column, as_of: dt.date) -> Column:
     found = F.transform(
         lines,
         lambda line: F.struct(
-            F.when(F.rlike(line, F.lit(_MAY_BE_RANGE)), _groups(line, _RANGE, 9)).otherwise(none).alias("ranges"),
-            F.when(says(line, "year"), _groups(line, _LENGTH, 2)).otherwise(none).alias("lengths"),
-            F.when(says(line, "month"), F.regexp_extract_all(line, F.lit(_ONLY_MONTHS), F.lit(1))).otherwise(F.array().cast("array<string>")).alias("months"),
-            (F.rlike(line, F.lit(_ITEM)) & ~F.rlike(line, F.lit(_AT_END))).alias("aside"),
-            F.rlike(line, F.lit(_HEADED)).alias("headed"),
+            line.alias("line"), F.when(F.rlike(line, F.lit(_MAY_BE_RANGE)), _groups(line, _RANGE, 9)).otherwise(none).alias("ranges")
         ),
     )
-    dated = F.exists(found, lambda line: F.cardinality(line["ranges"]) > 0)
-    per_line = F.transform(
-        found,
-        lambda line: F.when(
-            F.cardinality(line["ranges"]) > 0, _sum(F.transform(line["ranges"], lambda g: _range_months(g, as_of)))
+
+    def told(x: Column) -> Column:
+        ranged, line = F.cardinality(x["ranges"]) > 0, x["line"]
+        counts = ~ranged & ~F.rlike(line, F.lit(_HEADED))
+        return F.struct(
+            ranged.alias("ranged"),
+            F.transform(x["ranges"], lambda g: _range_points(g, as_of)).alias("points"),
+            F.when(counts & says(line, "year"), _groups(line, _LENGTH, 2)).otherwise(none).alias("lengths"),
+            F.when(counts & says(line, "month"), F.regexp_extract_all(line, F.lit(_ONLY_MONTHS), F.lit(1)))
+            .otherwise(F.array().cast("array<string>"))
+            .alias("months"),
+            (~ranged & F.rlike(line, F.lit(_ITEM)) & ~F.rlike(line, F.lit(_AT_END))).alias("aside"),
         )
-        .when(line["headed"] | (line["aside"] & dated), F.lit(0.0))
-        .when(F.cardinality(line["lengths"]) > 0, _sum(F.transform(line["lengths"], _length_months)))
-        .otherwise(_sum(F.transform(line["months"], lambda m: m.try_cast("double")))),
+
+    per_line = F.transform(
+        F.transform(found, told),
+        lambda x: F.struct(
+            x["ranged"].alias("ranged"),
+            x["aside"].alias("aside"),
+            F.when(x["ranged"], _sum(F.transform(x["points"], lambda p: _range_months(p, as_of))))
+            .when(F.cardinality(x["lengths"]) > 0, _sum(F.transform(x["lengths"], _length_months)))
+            .otherwise(_sum(F.transform(x["months"], lambda m: m.try_cast("double"))))
+            .alias("months"),
+        ),
+    )
+    # Lengths aside count only where no line has a range, which is known after the last line.
+    months = F.aggregate(
+        per_line,
+        F.struct(F.lit(0.0).alias("every"), F.lit(0.0).alias("main"), F.lit(False).alias("dated")),
+        lambda total, x: F.struct(
+            (total["every"] + x["months"]).alias("every"),
+            F.when(x["aside"], total["main"]).otherwise(total["main"] + x["months"]).alias("main"),
+            (total["dated"] | x["ranged"]).alias("dated"),
+        ),
+        lambda total: F.when(total["dated"], total["main"]).otherwise(total["every"]),
     )
-    return F.coalesce(F.round(_sum(per_line) / 12, 2), F.lit(0.0))
+    return F.coalesce(F.round(months / 12, 2), F.lit(0.0))

@@ -19,7 +19,10 @@ from screenforge.sources.resumes import plain_text
 # XML names of the two document formats (fixed values).
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _ODT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
+_PARAGRAPH, _RUN, _LINK, _TEXT = (f"{_W}{tag}" for tag in ("p", "r", "hyperlink", "t"))
 _WORD_MARKS = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
+_ODT_PARAGRAPH, _SPACES, _COUNT = (f"{_ODT}{tag}" for tag in ("p", "s", "c"))
+_ODT_MARKS = {f"{_ODT}tab": "\t", f"{_ODT}line-break": "\n"}
 
 Decoder = Callable[[bytes], str]
 
@@ -29,18 +32,17 @@ def docx_text(content: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
 
-    def run_text(run) -> str:
-        return "".join((e.text or "") if e.tag == f"{_W}t" else _WORD_MARKS.get(e.tag, "") for e in run)
-
     lines = []
-    for paragraph in body.findall(f"{_W}p"):
-        runs = []
+    for paragraph in body.findall(_PARAGRAPH):
+        parts = []
         for child in paragraph:
-            if child.tag == f"{_W}r":
-                runs.append(child)
-            elif child.tag == f"{_W}hyperlink":
-                runs.extend(child.findall(f"{_W}r"))
-        lines.append("".join(map(run_text, runs)))
+            tag = child.tag
+            for run in (child,) if tag == _RUN else child.findall(_RUN) if tag == _LINK else ():
+                for e in run:
+                    part = e.text if e.tag == _TEXT else _WORD_MARKS.get(e.tag)
+                    if part:
+                        parts.append(part)
+        lines.append("".join(parts))
     return "\n".join(lines)
 
 
@@ -50,20 +52,19 @@ def odt_text(content: bytes) -> str:
         root = ElementTree.fromstring(archive.read("content.xml"))
 
     def inner(element) -> str:
-        out = element.text or ""
+        out = [element.text or ""]
         for child in element:
-            if child.tag == f"{_ODT}s":
-                out += " " * int(child.get(f"{_ODT}c", "1"))
-            elif child.tag == f"{_ODT}tab":
-                out += "\t"
-            elif child.tag == f"{_ODT}line-break":
-                out += "\n"
+            tag = child.tag
+            if tag == _SPACES:
+                out.append(" " * int(child.get(_COUNT, "1")))
+            elif tag in _ODT_MARKS:
+                out.append(_ODT_MARKS[tag])
             else:
-                out += inner(child)
-            out += child.tail or ""
-        return out
+                out.append(inner(child) if len(child) else child.text or "")
+            out.append(child.tail or "")
+        return "".join(out)
 
-    return "\n".join(inner(p) for p in root.iter(f"{_ODT}p"))
+    return "\n".join(inner(p) for p in root.iter(_ODT_PARAGRAPH))
 
 
 def decoder_column(decoders: dict[str, Decoder]) -> Callable[[Column, Column], Column]:

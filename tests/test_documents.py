@@ -1,11 +1,13 @@
 """File formats, extraction, model chain, tables and streams."""
 
+import datetime as dt
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
+from screenforge.functions import experience
 from screenforge.operators import documents, extraction, outbox
 from screenforge.plans.shortlist import role_overview
 from screenforge.session import scratch_path
@@ -237,3 +239,20 @@ def test_files_reach_decoders_in_small_batches(spark):
             assert int(spark.conf.get(key)) <= 4 << 20
     finally:
         spark.conf.set(key, before)
+
+
+def test_absent_numbers_are_null_without_a_cast(spark):
+    """A cast that fails costs as much as a search, and most groups of a date are absent."""
+    rows = spark.createDataFrame([("", 1), ("07", 2), (None, 3)], "group string, n int")
+    got = rows.select(experience._number(F.col("group")).alias("i"), experience._number(F.col("group"), "double").alias("d")).collect()
+    assert [tuple(r) for r in got] == [(None, None), (7, 7.0), (None, None)]
+    aside = "Experience\n- Lead, 6 years of it abroad\n- built in 2 years a team\n- A, 2001 to 2003, 4 months\n- B, 5 years"
+    text = spark.createDataFrame([(aside,), (aside.replace("2001 to 2003", "some time"),)], "text string")
+    years = text.select(experience.work_history_years(F.col("text"), dt.date(2026, 4, 1)).alias("y")).collect()
+    assert [r.y for r in years] == [7.0, 13.33]
+
+
+def test_docx_and_odt_marks_and_nested_runs():
+    text = "a\tb  c\n\n  <d> & é"
+    assert documents.docx_text(fx.docx_bytes(text)) == text
+    assert documents.odt_text(fx.odt_bytes(text)) == text
