@@ -5,6 +5,7 @@ import glob
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from screenforge.plans.intake import register
 from screenforge.schemas import APPLICATION
 from screenforge.sources import candidates as store
 from screenforge.sources.batches import BatchTable
-from screenforge.streaming import intake, keys
+from screenforge.streaming import intake, keys, state
 from screenforge.streaming.keys import KeyStore, Run, keyed, merge_plan
 from screenforge.streaming.state import start_state_intake
 
@@ -159,6 +160,32 @@ def test_state_intake_equals_batches_over_restarts(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+def test_state_holds_keys_in_spark_and_first_rows_win(spark, tmp_path):
+    """Keys are kept by Spark's own deduplication, without a call per key; absent times and roles are the first of their key."""
+    odd = [(5, None, "hr", "n", "a@x", None, None, [], "1"), (2**53 + 1, dt.datetime(2024, 1, 1), "hr", "n", "A@x ", None, None, [], "1"),
+           (2**53 + 3, dt.datetime(2024, 1, 2), None, "n", "a@x", None, None, [], "1"), (2**53 + 2, dt.datetime(2024, 1, 2), None, "n", "a@x", None, None, [], "1")]
+    applications(spark, odd).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(APPLICATION).parquet(str(tmp_path / "in"))
+    query = start_state_intake(stream, str(tmp_path / "t"), str(tmp_path / "c"), available_now=True)
+    query.awaitTermination()
+    assert stored(spark, str(tmp_path / "t")) == {5, 2**53 + 2}
+    assert [o["operatorName"] for o in query.lastProgress["stateOperators"]] == ["dedupe"]
+
+
+def test_first_rows_of_a_task_are_held_in_bounds(monkeypatch):
+    monkeypatch.setattr(state, "HELD_ROWS", 7)
+    rng = random.Random(5)
+    rows = [{"role": rng.choice(["a", None]), "_slot": str(rng.randint(0, 9)), "applied_at": rng.choice([None, 1, 2]), "application_id": i} for i in range(200)]
+    shape = pa.schema({"role": pa.string(), "_slot": pa.string(), "applied_at": pa.int64(), "application_id": pa.int64()})
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 6], shape) for i in range(0, 200, 6)]
+    got = {r["application_id"] for b in state._first_of_part(iter(batches)) for r in b.to_pylist()}
+    best = {}
+    for r in sorted(rows, key=lambda r: (r["applied_at"] is not None, r["applied_at"] or 0, r["application_id"])):
+        best.setdefault((r["role"], r["_slot"]), r["application_id"])
+    assert got == set(best.values())
+    assert list(state._first_of_part(iter([]))) == []
+
+
 # --- manifest tables --------------------------------------------------------------------------------
 
 
