@@ -224,8 +224,10 @@ def k5_stored_vectors(spark, sf):
     rows = rows.withColumn("skills", F.when(odd, F.reverse("skills")).otherwise(F.col("skills")))
     first = rows.select("application_id", F.get("skills", F.lit(0)).alias("skill"))
     unit = F.sqrt(F.aggregate(F.transform("_e", lambda x: x * x), F.lit(0.0), lambda a, b: a + b))
-    vectors = lookup_join(first, fx.skill_vectors(spark, sf), "skill", "inner").withColumn("_e", F.col("embedding").cast("array<double>"))
-    vectors = vectors.withColumn("_n", unit).select("application_id", F.transform("_e", lambda x: x / F.col("_n")).alias("vector"))
+    # Scaled once per skill and not once per candidate.
+    units = fx.skill_vectors(spark, sf).withColumn("_e", F.col("embedding").cast("array<double>")).withColumn("_n", unit)
+    units = units.select("skill", F.transform("_e", lambda x: x / F.col("_n")).alias("vector"))
+    vectors = lookup_join(first, units, "skill", "inner").select("application_id", "vector")
     store.write_candidates(rows.join(vectors, "application_id", "left"), path)
     stored = store.read_candidates(spark, path, vectors=True)
     top = shortlist.shortlist_many(stored, fx.job_requests(spark, sf), fx.skill_vectors(spark, sf))

@@ -113,48 +113,58 @@ def _block_shortlist(k: int, cut: float):
         ).reset_index(drop=True)
         dims = max((len(v) for column in (people["vector"], jobs["job_vector"]) for v in column if v is not None), default=0)
         vectors = _vectors(people["vector"], dims)
-        years = people["experience"].to_numpy(dtype=float)[:, None]
+        all_years = people["experience"].to_numpy(dtype=float)
         place_code, places = pd.factorize(people["location"].str.lower())
         known_places = pa.array(places, pa.string())
         # Row numbers of the people picked, and for each the request, its kind and the score.
-        chosen, request, kind, points_of = [], [], [], []
-        step = max(1, _CELLS // max(1, len(people)))
-        for start in range(0, len(jobs), step):
-            part = jobs.iloc[start : start + step].reset_index(drop=True)
-            wants = part["wants_skills"].to_numpy(dtype=bool)
-            minimum = part["min_experience"].to_numpy(dtype=float)
-            anywhere = (part["wanted_location"] == "").to_numpy()
-            # One text comparison per distinct location and wanted text; the last row is "no location".
-            near = np.zeros((len(places) + 1, len(part)), dtype=bool)
-            for wanted, rows in part.groupby("wanted_location").indices.items():
-                if wanted:
-                    near[: len(places), rows] = pc.match_substring(known_places, wanted).to_numpy(zero_copy_only=False)[:, None]
-            at = near[place_code]
-            raw = vectors @ _vectors(part["job_vector"], dims).T * 100
-            points = (
-                np.where(wants, raw * part["w_skills"].to_numpy() / 100, 0.0)
-                + np.where(years >= minimum, part["w_experience"].to_numpy(), 0)
-                + np.where(at, part["w_location"].to_numpy(), 0)
-            )
-            score = np.floor(points * 100 + 0.5) / 100
-            score = np.where(wants & (raw < cut), 0.0, np.where(~wants & (points == 0), 1.0, score))
-            filtering = part["any_filter"].to_numpy(dtype=bool)
-            keep = ((minimum <= 0) | (years >= minimum)) & (anywhere | at) & (~filtering | (score > 0))
-            rank_by = np.where(filtering, score, 0.0)
-            request_ids = part["request_id"].to_numpy()
-            for j in range(len(part)):
-                rows = np.flatnonzero(keep[:, j])
-                if len(rows) > k:
-                    values = rank_by[rows, j]
-                    limit = np.partition(values, len(values) - k)[len(values) - k]
-                    rows = rows[values >= limit]
-                rows = rows[np.argsort(-rank_by[rows, j], kind="stable")[:k]]
-                chosen.append(rows)
-                request.append(np.full(len(rows), request_ids[j]))
-                kind.append(np.full(len(rows), filtering[j]))
-                points_of.append(score[rows, j])
-        if not chosen:
-            return pd.DataFrame({name: [] for name in _SHORTLIST})
+        chosen, request, kind, points_of = ([np.empty(0, t)] for t in (np.int64, np.int64, bool, float))
+        # Requests of one wanted text meet only the people it lets through; the last row of ``near`` is "no location".
+        for wanted, rows_of in jobs.groupby("wanted_location", sort=False).indices.items():
+            near = np.append(pc.match_substring(known_places, wanted).to_numpy(zero_copy_only=False).astype(bool), False)
+            there = np.flatnonzero(near[place_code]) if wanted else np.arange(len(people))
+            years, vectors_there = all_years[there], vectors[there] if wanted else vectors
+            # No minimum, then rising ones: people are in falling order of years, so those who have it stand in front.
+            group = jobs.iloc[rows_of].sort_values("min_experience", kind="stable")
+            start, able = 0, len(there)
+            while start < len(group):
+                least = group["min_experience"].iat[start]
+                if not least <= 0:
+                    able = int((years >= least).sum())
+                if able == 0:
+                    break
+                part = group.iloc[start : start + max(1, _CELLS // able)]
+                start += len(part)
+                here, have = there[:able], years[:able]
+                wants = part["wants_skills"].to_numpy(dtype=bool)
+                filtering = part["any_filter"].to_numpy(dtype=bool)
+                minimum = part["min_experience"].to_numpy(dtype=float)
+                weights = part[["w_skills", "w_experience", "w_location"]].to_numpy(dtype=float)
+                request_ids = part["request_id"].to_numpy()
+                raw = np.zeros((len(part), able))
+                if wants.any():
+                    raw[wants] = _vectors(part["job_vector"][wants], dims) @ vectors_there[:able].T * 100
+                for j in range(len(part)):
+                    enough = have >= minimum[j]
+                    points = np.where(enough, weights[j, 1], 0.0)
+                    if wants[j]:
+                        points = raw[j] * weights[j, 0] / 100 + points
+                    points = points + (weights[j, 2] if wanted else 0.0)
+                    score = np.floor(points * 100 + 0.5) / 100
+                    score = np.where(raw[j] < cut, 0.0, score) if wants[j] else np.where(points == 0, 1.0, score)
+                    keep = (score > 0) if filtering[j] else np.ones(able, dtype=bool)
+                    rows = np.flatnonzero(keep if minimum[j] <= 0 else keep & enough)
+                    if not filtering[j]:  # the score is ignored
+                        rows = rows[:k]
+                    elif len(rows) > k:
+                        values = score[rows]
+                        limit = np.partition(values, len(values) - k)[len(values) - k]
+                        rows = rows[values >= limit]
+                    if filtering[j]:
+                        rows = rows[np.argsort(-score[rows], kind="stable")[:k]]
+                    chosen.append(here[rows])
+                    request.append(np.full(len(rows), request_ids[j]))
+                    kind.append(np.full(len(rows), filtering[j]))
+                    points_of.append(score[rows])
         best = people.take(np.concatenate(chosen)).assign(
             request_id=np.concatenate(request), any_filter=np.concatenate(kind), score=np.concatenate(points_of)
         )

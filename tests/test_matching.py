@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,21 @@ def test_shortlists_with_stored_vectors_and_few_blocks(world, monkeypatch, reque
     assert by_request(rows) == {key: v[:5] for key, v in expected.items() if v}
 
 
+def test_a_block_scores_only_people_a_request_lets_through():
+    """People elsewhere, or with too few years, meet no matrix product: their vectors here would make it fail."""
+    odd, fine = np.array([np.inf, -np.inf]), np.array([1.0, 0.0])
+    people = pd.DataFrame(
+        [("a", 5.0, 1, 1, "Here", fine), ("b", 4.0, 1, 2, "here too", fine), ("c", 9.0, 1, 3, "away", odd), ("d", 1.0, 1, 4, "here", odd), ("e", 9.0, 1, 5, None, odd), ("f", None, 1, 6, "here", odd)],
+        columns=["name", "experience", "skill_count", "application_id", "location", "vector"],
+    ).assign(email=None, phone=None, skills=None)
+    columns = ["request_id", "wants_skills", "min_experience", "wanted_location", "any_filter", "w_skills", "w_experience", "w_location", "job_vector"]
+    jobs = pd.DataFrame([(1, True, 2.0, "here", True, 50, 30, 20, fine), (2, True, 4.5, "here", True, 50, 30, 20, fine), (3, False, 0.0, "", False, 50, 30, 20, None), (4, True, np.nan, "here", True, 50, 30, 20, fine)], columns=columns)
+    with np.errstate(all="raise"):
+        best = ranking._block_shortlist(2, 15.0)(people, jobs)
+    found = sorted(zip(best["request_id"], best["application_id"], best["score"], strict=True))
+    assert found == [(1, 1, 100.0), (1, 2, 100.0), (2, 1, 100.0), (3, 3, 30.0), (3, 5, 30.0)]
+
+
 def test_top_matches(world):
     (candidates, requests, vecs), expected = world
     ready = shortlist.with_job_vectors(scoring.prepare_requests(requests), vecs)
