@@ -15,7 +15,7 @@ from screenforge.operators.joins import lookup_join
 from screenforge.operators.scoring import add_score, match, prepare_requests, word_similarity
 from screenforge.operators.similarity import add_skill_vector, embed, train_skill_vectors
 from screenforge.plans import shortlist
-from screenforge.session import scratch_path
+from screenforge.session import materialize, scratch_path
 from screenforge.sources import candidates as store
 from screenforge.sources import pages
 
@@ -256,7 +256,7 @@ def k1_to_k5_search(spark, sf):
 def s5_candidate_batches(spark, sf):
     """Two batches; the first is written twice, and of a third only the rows are there."""
     path = scratch_path(spark, "candidate-batches")
-    rows = candidates(spark, sf)
+    rows = materialize(candidates(spark, sf), "candidates")  # three writes read them
     odd, even = rows.where("application_id % 2 = 1"), rows.where("application_id % 2 = 0")
     for part, name in ((odd, "odd"), (odd, "odd"), (even, "even")):
         store.write_candidate_batch(part, path, name)

@@ -7,9 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks import matching as query_checks
 from screenforge.operators import dedup, joins, ranking, scoring
 from screenforge.operators.similarity import add_skill_vector, embed
 from screenforge.plans import intake, shortlist
+from screenforge.schemas import CANDIDATE as CANDIDATE_TABLE
 
 CANDIDATE = "application_id long, role string, name string, email string, location string, skills array<string>, experience double"
 SKILLS = ["sql", "java", "python", "excel", "spark", "law"]
@@ -267,3 +269,21 @@ def test_embed_sends_each_text_once(spark):
 
     rows = {r.id: r.vector for r in embed(df.coalesce(1), "text", load).collect()}
     assert rows[1] == rows[2] and rows[1][0] == 3.0 and rows[3] is None and rows[4][0] == 1.0
+
+
+def test_candidates_of_batches_are_derived_once(spark, monkeypatch):
+    """Three writes read the same candidates."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(i, "hr", "n", f"{i}@x", None, ["sql"], 1.0) for i in range(5)]
+    derived = spark.createDataFrame(rows, CANDIDATE)
+    derived = derived.withColumns({n: F.lit(None).cast(CANDIDATE_TABLE[n].dataType) for n in CANDIDATE_TABLE.fieldNames() if n not in derived.columns})
+    derived = derived.mapInPandas(count, derived.schema)
+    monkeypatch.setattr(query_checks, "candidates", lambda *_: derived)
+    assert query_checks.s5_candidate_batches(spark, "").count() == 5
+    assert seen.value == 5
