@@ -19,7 +19,7 @@ from screenforge.functions.contacts import (
 from screenforge.functions.experience import work_history_years
 from screenforge.functions.literals import parse_list_literal
 from screenforge.functions.replies import clean_json, number_in_reply, parse_reply
-from screenforge.operators.joins import attach, is_small, shuffle_width
+from screenforge.operators.joins import attach, is_small, may_match, shuffle_width
 from screenforge.session import materialize
 
 EXHAUSTED = "every model is over its quota"
@@ -154,8 +154,8 @@ def skill_hits(docs: DataFrame, dictionary: DataFrame, max_broadcast: int = 100_
 
     Every entry is looked for at its rarest word alone, and its other words are compared at that place; so rows
     follow the places of anchors, whatever the length of entries. Within ``max_broadcast`` entries the comparison
-    happens where the text lies. A larger dictionary is joined by salted anchors, and only what needs a
-    comparison is brought to the words of its document.
+    happens where the text lies. A larger dictionary is joined by salted anchors: words that cannot be one are left where
+    they lie, and only what needs a comparison is brought to the words of its document.
     """
     anchors = anchored(dictionary)
     tokens = docs.select("doc_id", _words(F.col("text")).alias("_words"))
@@ -166,7 +166,7 @@ def skill_hits(docs: DataFrame, dictionary: DataFrame, max_broadcast: int = 100_
         return places.join(F.broadcast(anchors), "anchor").where((F.size("words") == 1) | same).select("doc_id", "skill")
     tokens = materialize(tokens, "words")
     anchors = materialize(anchors, "anchors")
-    places = tokens.select("doc_id", F.posexplode("_words").alias("_at", "anchor"))
+    places = may_match(tokens.select("doc_id", F.posexplode("_words").alias("_at", "anchor")), anchors, "anchor")
     single = anchors.where("size(words) = 1").select("anchor", "skill")
     longer = anchors.where("size(words) > 1").select("anchor", "skill", "words", "before")
     salt = F.pmod(F.xxhash64("doc_id", "_at"), F.lit(shuffle_width(docs.sparkSession)))

@@ -50,6 +50,17 @@ def attach(rows: DataFrame, values: DataFrame, keys: list[str], salt: Column) ->
     return salted.join(runs.join(values, keys), [*keys, "_salt"], "left").drop("_salt")
 
 
+def may_match(rows: DataFrame, values: DataFrame, key: str, bits: int = 22) -> DataFrame:
+    """The ``rows`` whose ``key`` may be among those of ``values``: a filter of one probe, applied where the rows lie.
+
+    The places of the keys are broadcast, 2 ** bits numbers at most, however many there are. A key that is among them
+    always passes; of the others as many as the filter is full.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+    places = values.select(place.alias("_place")).distinct()
+    return rows.withColumn("_place", place).join(F.broadcast(places), "_place", "left_semi").drop("_place")
+
+
 def lookup_join(
     df: DataFrame, table: DataFrame, on: str, how: str = "left", max_rows: int = 100_000, salts: int | None = None
 ) -> DataFrame:

@@ -241,6 +241,16 @@ def test_files_reach_decoders_in_small_batches(spark):
         spark.conf.set(key, before)
 
 
+def test_words_that_are_no_anchor_are_not_shuffled(spark):
+    """A dictionary joined by shuffle: before its join, words no entry has are dropped where they lie."""
+    docs = spark.createDataFrame([(1, "red big gear and red"), (2, "other words only"), (3, None)], "doc_id long, text string")
+    dictionary = spark.createDataFrame([("red",), ("big gear",), ("Gear and red",), (None,)], "skill string")
+    hits = extraction.skill_hits(docs, dictionary, max_broadcast=0)
+    assert sorted((r.doc_id, r.skill) for r in hits.collect()) == [(1, "big gear"), (1, "gear and red"), (1, "red"), (1, "red")]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") >= 2
+
+
 def test_absent_numbers_are_null_without_a_cast(spark):
     """A cast that fails costs as much as a search, and most groups of a date are absent."""
     rows = spark.createDataFrame([("", 1), ("07", 2), (None, 3)], "group string, n int")
