@@ -79,12 +79,19 @@ def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One application per order; its skills are the words of the parts ordered."""
-    words = (
+    # Names are gathered whole and cut into words per order, so that rows follow parts and not words.
+    names = (
         table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .select("l_orderkey", F.explode(F.split("p_name", " ")).alias("word"))
+        .where("p_name IS NOT NULL")
+        .select("l_orderkey", "p_name")
+    )
+    words = F.flatten(F.transform("_names", lambda name: F.split(name, " ")))
+    skills = (
+        names.groupBy("l_orderkey")
+        .agg(F.collect_set("p_name").alias("_names"))
+        .select("l_orderkey", F.sort_array(F.array_distinct(words)).alias("skills"))
     )
-    skills = words.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("word")).alias("skills"))
     return (
         orders_with_customers(spark, sf_dir)
         .join(skills, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -232,6 +239,8 @@ def docx_bytes(text: str) -> bytes:
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
     def run(part: str) -> str:
+        if "\t" not in part:
+            return f'<w:r><w:t xml:space="preserve">{escape(part)}</w:t></w:r>'
         return "<w:r>" + "<w:tab/>".join(f'<w:t xml:space="preserve">{escape(t)}</w:t>' for t in part.split("\t")) + "</w:r>"
 
     lines = []
@@ -239,8 +248,6 @@ def docx_bytes(text: str) -> bytes:
         half = len(line) // 2
         lines.append(f"<w:p>{run(line[:half])}<w:hyperlink>{run(line[half:])}</w:hyperlink></w:p>")
     cells = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
-        if "\t" not in part:
-            return f'<w:r><w:t xml:space="preserve">{escape(part)}</w:t></w:r>'
     body = f'<?xml version="1.0"?><w:document xmlns:w="{w}"><w:body>{"".join(lines)}{cells}</w:body></w:document>'
     return _zipped("word/document.xml", body)
 

@@ -1,5 +1,6 @@
 """Dedup, matching and ranking on small fixtures against plain Python, also where one key is hot."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks import fixtures as fx
 from checks import matching as query_checks
 from screenforge.operators import dedup, joins, ranking, scoring
 from screenforge.operators.similarity import add_skill_vector, embed
@@ -287,3 +289,19 @@ def test_candidates_of_batches_are_derived_once(spark, monkeypatch):
     monkeypatch.setattr(query_checks, "candidates", lambda *_: derived)
     assert query_checks.s5_candidate_batches(spark, "").count() == 5
     assert seen.value == 5
+
+
+def test_skills_of_an_application_are_not_shuffled_word_by_word(spark, tmp_path):
+    when = dt.datetime(2024, 1, 1)
+    tables = {
+        "nation": ([(1, "N")], "n_nationkey int, n_name string"),
+        "customer": ([(1, "C#1", 1)], "c_custkey long, c_name string, c_nationkey int"),
+        "orders": ([(1, 1, when), (2, 1, when), (3, 1, when)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+        "part": ([(1, "red gear"), (2, "gear  blue"), (3, None)], "p_partkey long, p_name string"),
+        "lineitem": ([(1, 1), (1, 2), (1, 1), (1, 3), (2, 3), (None, 1)], "l_orderkey long, l_partkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = fx.applications(spark, str(tmp_path))
+    assert {r.application_id: r.skills for r in rows.collect()} == {1: ["", "blue", "gear", "red"], 2: None, 3: None}
+    assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
