@@ -103,14 +103,36 @@ def _vectors(column: pd.Series, dims: int) -> np.ndarray:
     return out
 
 
+def first_of(
+    raw: np.ndarray, years: np.ndarray, k: int, cut: float, wants: bool, filtering: bool, minimum: float, weights: np.ndarray, wanted: str
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and scores of one request's first ``k`` people, who stand in the order of ties and are in the wanted place."""
+    enough = years >= minimum
+    points = np.where(enough, weights[1], 0.0)
+    if wants:
+        points = raw * weights[0] / 100 + points
+    points = points + (weights[2] if wanted else 0.0)
+    score = np.floor(points * 100 + 0.5) / 100
+    score = np.where(raw < cut, 0.0, score) if wants else np.where(points == 0, 1.0, score)
+    keep = (score > 0) if filtering else np.ones(len(years), dtype=bool)
+    rows = np.flatnonzero(keep if minimum <= 0 else keep & enough)
+    if not filtering:  # the score is ignored
+        rows = rows[:k]
+    elif len(rows) > k:
+        values = score[rows]
+        limit = np.partition(values, len(values) - k)[len(values) - k]
+        rows = rows[values >= limit]
+    if filtering:
+        rows = rows[np.argsort(-score[rows], kind="stable")[:k]]
+    return rows, score[rows]
+
+
 def _block_shortlist(k: int, cut: float):
     """Function for one block: candidates of a role against the requests of that role."""
 
     def run(people: pd.DataFrame, jobs: pd.DataFrame) -> pd.DataFrame:
         # Ties on the score keep this order.
-        people = people.sort_values(
-            ["experience", "skill_count", "application_id"], ascending=[False, False, True], kind="stable"
-        ).reset_index(drop=True)
+        people = in_tie_order(people)
         dims = max((len(v) for column in (people["vector"], jobs["job_vector"]) for v in column if v is not None), default=0)
         vectors = _vectors(people["vector"], dims)
         all_years = people["experience"].to_numpy(dtype=float)
@@ -144,27 +166,11 @@ def _block_shortlist(k: int, cut: float):
                 if wants.any():
                     raw[wants] = _vectors(part["job_vector"][wants], dims) @ vectors_there[:able].T * 100
                 for j in range(len(part)):
-                    enough = have >= minimum[j]
-                    points = np.where(enough, weights[j, 1], 0.0)
-                    if wants[j]:
-                        points = raw[j] * weights[j, 0] / 100 + points
-                    points = points + (weights[j, 2] if wanted else 0.0)
-                    score = np.floor(points * 100 + 0.5) / 100
-                    score = np.where(raw[j] < cut, 0.0, score) if wants[j] else np.where(points == 0, 1.0, score)
-                    keep = (score > 0) if filtering[j] else np.ones(able, dtype=bool)
-                    rows = np.flatnonzero(keep if minimum[j] <= 0 else keep & enough)
-                    if not filtering[j]:  # the score is ignored
-                        rows = rows[:k]
-                    elif len(rows) > k:
-                        values = score[rows]
-                        limit = np.partition(values, len(values) - k)[len(values) - k]
-                        rows = rows[values >= limit]
-                    if filtering[j]:
-                        rows = rows[np.argsort(-score[rows], kind="stable")[:k]]
+                    rows, score = first_of(raw[j], have, k, cut, wants[j], filtering[j], minimum[j], weights[j], wanted)
                     chosen.append(here[rows])
                     request.append(np.full(len(rows), request_ids[j]))
                     kind.append(np.full(len(rows), filtering[j]))
-                    points_of.append(score[rows])
+                    points_of.append(score)
         best = people.take(np.concatenate(chosen)).assign(
             request_id=np.concatenate(request), any_filter=np.concatenate(kind), score=np.concatenate(points_of)
         )
@@ -173,6 +179,12 @@ def _block_shortlist(k: int, cut: float):
     return run
 
 
+def in_tie_order(people: pd.DataFrame) -> pd.DataFrame:
+    """People in the order in which equal scores are listed."""
+    by = ["experience", "skill_count", "application_id"]
+    return people.sort_values(by, ascending=[False, False, True], kind="stable").reset_index(drop=True)
+
+
 def block_shape() -> str:
     """Schema of the rows a block hands on."""
     return ", ".join(f"{n} {t}" for n, t in _SHORTLIST.items())
@@ -253,6 +265,13 @@ def shortlists(
     one part of each, scores them as matrix products and hands on ``k`` rows per request; pairs
     never become rows. A part should have some ten thousand rows at most.
     """
+    return block_shortlists(candidates, requests, k, cut, blocks, request_blocks, grid).drop("any_filter")
+
+
+def block_shortlists(
+    candidates: DataFrame, requests: DataFrame, k: int, cut: float, blocks: int | None = None, request_blocks: int = 1, grid: DataFrame | None = None
+) -> DataFrame:
+    """:func:`shortlists`, with ``any_filter`` beside each row."""
     people, jobs = people_of(candidates), jobs_of(requests)
     if grid is None:
         blocks = blocks or shuffle_width(candidates.sparkSession)
@@ -268,4 +287,4 @@ def shortlists(
         .cogroup(jobs.drop("blocks", "request_blocks").groupBy(*cell))
         .applyInPandas(_block_shortlist(k, cut), block_shape())
     )
-    return partial.withColumn("place", place_of_block_row()).where(F.col("place") <= k).drop("any_filter")
+    return partial.withColumn("place", place_of_block_row()).where(F.col("place") <= k)

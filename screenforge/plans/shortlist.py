@@ -12,7 +12,7 @@ from screenforge.constants import DEFAULT_ROLE, RAW_SIMILARITY_CUT, SHORTLIST_SI
 from screenforge.functions.experience import clean_experience
 from screenforge.operators.filters import meets_experience, meets_location, positive_score
 from screenforge.operators.joins import shuffle_width, spread_join
-from screenforge.operators.pruning import ROWS_PER_CLUSTER, PrunedSearch, pruned_shortlists
+from screenforge.operators.pruning import ROWS_PER_CLUSTER, PrunedSearch, known_skills, pruned_shortlists
 from screenforge.operators.ranking import by_experience, finalists, most_experienced, rank_matches, role_grid, shortlists, top_matches
 from screenforge.operators.scoring import add_score, match, prepare_requests, vector_similarity
 from screenforge.operators.similarity import add_skill_vector
@@ -83,13 +83,15 @@ def shortlist_pruned(
     """The same rows as :func:`shortlist_many`, opening only the clusters of candidates that can hold one of them.
 
     Worth it where vectors of a role differ much and requests name skills; beside the rows it tells how many clusters each
-    request has opened.
+    request has opened. Where candidates carry no ``vector`` and the skill vectors are few enough for every task to hold them, no
+    vector is written or shuffled.
     """
     able = materialize(finalists(candidates, k), "finalists")
-    if "vector" not in able.columns:
+    skills = None if "vector" in able.columns else known_skills(skill_vectors)
+    if "vector" not in able.columns and skills is None:
         able = add_skill_vector(able, skill_vectors, "application_id")
     jobs = with_job_vectors(prepare_requests(requests, weights), skill_vectors)
-    return pruned_shortlists(able, jobs, k, cut, rows_per_cluster, ROWS_PER_BLOCK)
+    return pruned_shortlists(able, jobs, k, cut, rows_per_cluster, ROWS_PER_BLOCK, skills)
 
 
 class Search(NamedTuple):

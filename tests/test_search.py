@@ -10,6 +10,7 @@ from screenforge.operators import extraction, pruning, ranking
 from screenforge.operators.cooccurrence import cooccurrence, learned_skill_vectors, ppmi
 from screenforge.operators.scoring import prepare_requests
 from screenforge.plans import shortlist
+from screenforge.session import materialize
 
 PERSON = "application_id long, role string, name string, email string, phone string, location string, skills array<string>, experience double, vector array<double>"
 REQUEST = "request_id long, role string, skills string, experience double, location string"
@@ -117,6 +118,32 @@ def test_bounds_hold_for_every_member():
     assert (score[:, :1] >= true).all()
 
 
+@pytest.mark.parametrize("most_skills", [20_000, 0])
+def test_pruned_search_writes_neither_pairs_nor_vectors(spark, monkeypatch, most_skills):
+    rng = np.random.default_rng(3)
+    known = spark.createDataFrame([(f"s{i}", rng.normal(size=6).tolist()) for i in range(30)] + [("null", [0.0] * 6)], "skill string, embedding array<double>")
+    pick = lambda n: [f"s{j}" for j in rng.choice(32, n)]  # two of them are unknown
+    people = [(i, "hr", f"n{i}", "e", None, ["Bonn", "Oslo", None][i % 3], [None, ["null"], [" S1 ", "s1"]][i % 3] if i % 50 == 0 else pick(1 + i % 5), float(i % 9)) for i in range(1500)]
+    candidates = spark.createDataFrame(people, PERSON.rsplit(",", 1)[0])
+    jobs = [(j, "hr", ", ".join(pick(1 + j % 3)) if j % 7 else "", float(j % 3 * 3), ["", "bonn"][j % 2]) for j in range(60)]
+    requests = spark.createDataFrame(jobs, REQUEST)
+    written = []
+
+    def recorded(df, label, **options):
+        table = materialize(df, label, **options)
+        written.append((label, table.columns, table.count()))
+        return table
+
+    monkeypatch.setattr(pruning, "materialize", recorded)
+    monkeypatch.setattr(pruning, "MOST_SKILLS", most_skills, raising=False)
+    found = shortlist.shortlist_pruned(candidates, requests, known, rows_per_cluster=20)
+    assert rows_of(found.rows) == rows_of(shortlist.shortlist_many(candidates, requests, known))
+    assert found.opened.where("opened > 0 AND opened < clusters").count() > 0
+    assert max(n for _, _, n in written) <= len(people)
+    wide = [label for label, columns, n in written if "vector" in columns and n > len(people) / 2]
+    assert wide == ([] if most_skills else ["people"])
+
+
 def test_small_role_copies_no_request(spark):
     candidates, ready = world(spark)
     grid = {r.role: (r.blocks, r.request_blocks) for r in ranking.role_grid(candidates, ready, 50, 1000).collect()}
