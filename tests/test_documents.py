@@ -12,6 +12,7 @@ from screenforge.operators import documents, extraction, outbox
 from screenforge.plans.shortlist import role_overview
 from screenforge.session import scratch_path
 from screenforge.sources import candidates as store
+from screenforge.sources import resumes
 from screenforge.sources.resumes import plain_text, read_resume_files
 from screenforge.streaming import intake
 
@@ -228,6 +229,31 @@ def test_text_files_are_written_one_per_row_and_nothing_beside_them(spark):
     fx.write_text_files(values.where("false").select("value"), scratch_path(spark, "files"))
 
 
+@pytest.mark.parametrize("pattern", [None, "*.{txt,TXT}", "[!a]?[0-4]*", "a\\*[b,]*"])
+def test_tasks_list_and_read_what_a_file_scan_does(spark, tmp_path, monkeypatch, pattern):
+    monkeypatch.setattr(resumes, "BATCH_FILES", 7)
+    for i in range(200):
+        folder = tmp_path / ["", "deep/er", "_hidden", "a=1", "_k=2", ".git", "_metadata.d"][i % 11 % 7] / f"n{i % 5}"
+        folder.mkdir(parents=True, exist_ok=True)
+        name = [f"b{i}.txt", f"a*b{i}.TXT", f"_x{i}.txt", f".y{i}", f"ü {i}%20#.docx", f"_metadata{i}", f"_m=q{i}", f"_metadata=m{i}", f"q{i}.txt._COPYING_"][i % 9]
+        (folder / name).write_bytes(b"" if i % 10 == 0 else bytes([i]) * i)
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    expected = (scan.option("pathGlobFilter", pattern) if pattern else scan).load(str(tmp_path))
+    for path in (str(tmp_path), f"file://{tmp_path}/"):
+        found = read_resume_files(spark, path, pattern)
+        assert found.drop("format").schema.simpleString() == expected.schema.simpleString()
+        rows = lambda df: sorted((r.path, r.modificationTime, r.length, bytes(r.content)) for r in df.collect())
+        assert rows(found) == rows(expected) and rows(found)
+
+
+def test_the_driver_holds_nothing_per_file(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.txt").write_text("text")
+    found = read_resume_files(spark, str(tmp_path))
+    assert found.count() == 600
+    assert len(found.inputFiles()) < 20 and found.rdd.getNumPartitions() <= 8
+
+
 def test_files_reach_decoders_in_small_batches(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
